@@ -5,10 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality_lines, secrets
+from . import backoff_lm, langid, merkle, mixing, packing, quality_lines, secrets
 from .common import documents
 
 
+def crc_mod(n: int):
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs.where(crc_mod(3) != 1).select("doc_id", "lang", "text"))
+    got = langid.classify(docs, model)
+    return got.select("doc_id", (crc_mod(3) == 1).alias("held_out"), "lang_pred", "score", "rejected", "runner_up")
+
+
+def op5_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprints(documents(spark, sf_dir))
+
+
+def op9_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = backoff_lm.score(documents(spark, sf_dir), "crc32(cast(doc_id as string)) % 7 <> 2")
+    return got.select(
+        "doc_id", (~F.col("in_training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = quality_lines.judge(documents(spark, sf_dir))
     return got.select(
@@ -43,9 +65,12 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_language": op1_language,
         "op2_line_frequency": op2_line_frequency,
+        "op5_merkle": op5_merkle,
         "op6_pack": op6_pack,
         "op7_secrets": op7_secrets,
+        "op9_backoff": op9_backoff,
         "op10_mix": op10_mix,
     }
 
