@@ -27,6 +27,8 @@ from .common import as_bytes, materialise, text_bytes
 
 #: Bytes of text whose n-grams are listed together.
 BLOCK_BYTES = 4 << 20
+#: Rows of a block at most, so that two bytes number them.
+BLOCK_ROWS = 65_000
 _UPPER = bytes(range(0x41, 0x5B))
 _TO_LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
 _NUL_SAFE = 0x9E3779B97F4A7C15
@@ -47,7 +49,7 @@ def blocks_of(batches):
         start = size = 0
         for i, n in enumerate(len(t or b"") for t in as_bytes(b.column("text"))):
             size += n
-            if size >= BLOCK_BYTES:
+            if size >= BLOCK_BYTES or i + 1 - start >= BLOCK_ROWS:
                 yield part << 32 | serial, b.slice(start, i + 1 - start)
                 start, size, serial = i + 1, 0, serial + 1
         if start < b.num_rows:

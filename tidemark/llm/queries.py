@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, langid, merkle, mixing, packing, quality_lines, secrets
+from . import backoff_lm, jaccard_join, langid, merkle, mixing, packing, quality_lines, secrets
 from .common import documents
 
 
@@ -20,6 +20,11 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", (crc_mod(3) == 1).alias("held_out"), "lang_pred", "score", "rejected", "runner_up")
 
 
+def op4_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = jaccard_join.join_components(documents(spark, sf_dir), shingle_words=5, num=75, den=100)
+    return got.select("doc_id", "n_shingles", "component_id", "class_size")
+
+
 def op5_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(documents(spark, sf_dir))
 
@@ -67,6 +72,7 @@ def queries() -> dict:
     return {
         "op1_language": op1_language,
         "op2_line_frequency": op2_line_frequency,
+        "op4_partenum": op4_partenum,
         "op5_merkle": op5_merkle,
         "op6_pack": op6_pack,
         "op7_secrets": op7_secrets,
