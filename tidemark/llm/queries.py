@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, jaccard_join, langid, merkle, mixing, packing, quality_lines, secrets
+from . import backoff_lm, jaccard_join, langid, merkle, mixing, packing, quality_lines, secrets, suffix_dedup
 from .common import documents
 
 
@@ -29,6 +29,10 @@ def op5_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(documents(spark, sf_dir))
 
 
+def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.cut_repeats(documents(spark, sf_dir), least=200)
+
+
 def op9_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = backoff_lm.score(documents(spark, sf_dir), "crc32(cast(doc_id as string)) % 7 <> 2")
     return got.select(
@@ -76,6 +80,7 @@ def queries() -> dict:
         "op5_merkle": op5_merkle,
         "op6_pack": op6_pack,
         "op7_secrets": op7_secrets,
+        "op8_suffix": op8_suffix,
         "op9_backoff": op9_backoff,
         "op10_mix": op10_mix,
     }
