@@ -4,11 +4,47 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm import jaccard_join, langid, mixing, packing, secrets
 from tidemark.llm.common import documents, materialise
+from tidemark.llm.queries import tokenizer_path
 
-STAGES: list = []
 
-#: Language ID and packing by a tokenizer have no SQL form; tests use brute force.
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the language classifier rejects go."""
+    return langid.keep_accepted(docs, langid.fit(docs.select("doc_id", "lang", "text")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return jaccard_join.keep_one_of_each(docs, shingle_words=5, num=75, den=100)
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets, encoded ones too, give way to the name of their kind; documents stay."""
+    return secrets.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mix(docs, weights=(5.0, 2.0, 1.0), budget_ratio=1.5, max_repeats=2)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their sequence and offset."""
+    return packing.pack(docs, tokenizer_path()).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("secrets", hide_secrets),
+    ("mix", mix_sources),
+    ("pack", pack),
+]
+
+#: The classifier and the tokenizer have no SQL form; tests use brute force.
 ORACLE_SQL = None
 
 

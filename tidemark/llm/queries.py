@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, jaccard_join, langid, merkle, mixing, packing, quality_lines, secrets, suffix_dedup
+from . import backoff_lm, jaccard_join, langid, merkle, mixing, packing, quality_lines, secrets, suffix_dedup, url_lists
 from .common import documents
 
 
@@ -20,6 +20,41 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", (crc_mod(3) == 1).alias("held_out"), "lang_pred", "score", "rejected", "runner_up")
 
 
+def list_events(pages: DataFrame) -> DataFrame:
+    """Dated list of hosts derived from pages: every fourth host (by digest) is
+    added on a day of its own in January 2024; half of those are removed nine
+    days later, and a third of these come back after five more; parent domains
+    of some hosts are listed likewise."""
+    hosts = pages.select(url_lists.host_of(F.col("url")).alias("host")).where("host <> ''").distinct()
+    keys = hosts.select("host", F.lit("host").alias("rule")).union(
+        hosts.select(F.substring_index("host", ".", -2).alias("host"), F.lit("domain")).distinct()
+    )
+    number = F.conv(F.substring(F.md5("host"), 1, 6), 16, 10).cast("long")
+    listed = keys.withColumn("x", number).where("x % 4 = 0 or rule = 'domain'")
+    day = lambda n: F.timestamp_seconds(F.lit(1704067200) + 86400 * n)
+    start = (F.floor(F.col("x") / 4) % 20).cast("long")
+    events = F.array(
+        F.struct(day(start).alias("at"), F.lit("add").alias("action")),
+        F.when((F.floor(F.col("x") / 80) % 2 == 0) | (F.col("rule") == "domain"), F.struct(day(start + 9).alias("at"), F.lit("remove").alias("action"))),
+        F.when((F.floor(F.col("x") / 80) % 6 == 0) & (F.col("rule") == "host"), F.struct(day(start + 14).alias("at"), F.lit("add").alias("action"))),
+    )
+    return (
+        listed.withColumn("e", F.explode(events)).where("e is not null")
+        .select(F.col("host").alias("key"), "rule", F.col("e.at").alias("at"), F.col("e.action").alias("action"))
+    )
+
+
+def op3_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    # Fetch times follow from page_id: one every 97 seconds, over 30 days and around again.
+    fetched = F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.col("page_id") * 97, F.lit(30 * 86400)))
+    got = url_lists.filter_captures(pages.withColumn("fetched_at", fetched), url_lists.validity(list_events(pages)))
+    return got.select(
+        "page_id", "host", F.unix_seconds("fetched_at").alias("fetched_s"), "blocked", "matched_key", "rule",
+        F.unix_seconds("valid_from").alias("valid_from_s"),
+    )
+
+
 def op4_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = jaccard_join.join_components(documents(spark, sf_dir), shingle_words=5, num=75, den=100)
     return got.select("doc_id", "n_shingles", "component_id", "class_size")
@@ -76,6 +111,7 @@ def queries() -> dict:
     return {
         "op1_language": op1_language,
         "op2_line_frequency": op2_line_frequency,
+        "op3_url_lists": op3_url_lists,
         "op4_partenum": op4_partenum,
         "op5_merkle": op5_merkle,
         "op6_pack": op6_pack,
@@ -86,5 +122,35 @@ def queries() -> dict:
     }
 
 
+OP3_SQL = r"""
+WITH hosted AS (
+  SELECT page_id, 1704067200 + (page_id * 97) % (30 * 86400) AS fetched_s,
+    regexp_replace(regexp_replace(regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), '(:[0-9]*|\.)+$', '') AS host
+  FROM pages),
+hosts AS (SELECT DISTINCT host FROM hosted WHERE host <> ''),
+keys AS (
+  SELECT host AS key, 'host' AS rule FROM hosts
+  UNION ALL SELECT DISTINCT array_to_string(list_slice(string_split(host, '.'), -2, -1), '.'), 'domain' FROM hosts),
+numbered AS (SELECT key, rule, CAST('0x' || substr(md5(key), 1, 6) AS BIGINT) AS x FROM keys),
+listed AS (SELECT *, (x // 4) % 20 AS start FROM numbered WHERE x % 4 = 0 OR rule = 'domain'),
+events AS (
+  SELECT key, rule, 1704067200 + 86400 * start AS moment, 'add' AS action FROM listed
+  UNION ALL SELECT key, rule, 1704067200 + 86400 * (start + 9), 'remove' FROM listed WHERE (x // 80) % 2 = 0 OR rule = 'domain'
+  UNION ALL SELECT key, rule, 1704067200 + 86400 * (start + 14), 'add' FROM listed WHERE (x // 80) % 6 = 0 AND rule = 'host'),
+latest AS (
+  SELECT key, moment, action, rule FROM events
+  QUALIFY row_number() OVER (PARTITION BY key, moment ORDER BY action DESC, rule DESC) = 1),
+spans AS (SELECT key, rule, action, moment AS valid_from, lead(moment) OVER (PARTITION BY key ORDER BY moment) AS valid_to FROM latest),
+met AS (
+  SELECT h.page_id, s.key, s.rule, s.valid_from,
+    row_number() OVER (PARTITION BY h.page_id ORDER BY length(s.key) DESC) AS n
+  FROM hosted h JOIN spans s ON s.action = 'add'
+    AND (h.host = s.key OR ends_with(h.host, '.' || s.key))
+    AND s.valid_from <= h.fetched_s AND (s.valid_to IS NULL OR h.fetched_s < s.valid_to))
+SELECT h.page_id, h.host, h.fetched_s, m.key IS NOT NULL AS blocked, m.key AS matched_key, m.rule, m.valid_from AS valid_from_s
+FROM hosted h LEFT JOIN met m ON m.page_id = h.page_id AND m.n = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_url_lists": OP3_SQL}
