@@ -85,7 +85,7 @@ class WordIds:
         except KeyError:
             if len(self.memo) > MEMO_WORDS:
                 self.memo.clear()
-            self.learn(set(words) - self.memo.keys())
+            self.learn({w for w in words if w not in self.memo})
             return b"".join(map(self.memo.__getitem__, words))
 
 
