@@ -39,8 +39,8 @@ def tokens(text: bytes | None) -> list[bytes]:
     return [*(text.translate(_TO_LOWER).split() if text else ()), b""]
 
 
-def blocks_of(batches):
-    """(block id, record batch) cut at about BLOCK_BYTES of text; the same input
+def blocks_of(batches, block_bytes: int = BLOCK_BYTES):
+    """(block id, record batch) cut at about so many bytes of text; the same input
     split gives the same blocks again."""
     from pyspark import TaskContext
 
@@ -49,7 +49,7 @@ def blocks_of(batches):
         start = size = 0
         for i, n in enumerate(len(t or b"") for t in as_bytes(b.column("text"))):
             size += n
-            if size >= BLOCK_BYTES or i + 1 - start >= BLOCK_ROWS:
+            if size >= block_bytes or i + 1 - start >= BLOCK_ROWS:
                 yield part << 32 | serial, b.slice(start, i + 1 - start)
                 start, size, serial = i + 1, 0, serial + 1
         if start < b.num_rows:

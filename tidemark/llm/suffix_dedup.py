@@ -24,11 +24,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .backoff_lm import BLOCK_BYTES, blocks_of
+from .backoff_lm import blocks_of
 from .common import as_bytes, materialise, text_bytes
 from .suffix_arrays import common_prefixes, suffix_array, words_at
 
 ANCHOR_BYTES = 64
+#: Bytes of text of a block, and of corpus for each shard. Anchors of a block take
+#: some hundred bytes of memory per byte, as do suffix arrays.
+BLOCK_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 _BREAK = 0xFF  # in no UTF-8 text
 
 
@@ -54,7 +58,9 @@ def anchors(texts: list, least: int):
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
     bits = np.uint64(n.bit_length())
-    m = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)  # ties: the leftmost
+    m = h >> bits
+    m <<= bits
+    m |= np.arange(len(h), dtype=np.uint64)  # ties: the leftmost
     span = 1
     while 2 * span <= width:
         m = np.minimum(m[: len(m) - span], m[span:])
@@ -62,7 +68,8 @@ def anchors(texts: list, least: int):
     if span < width:
         rest = width - span
         m = np.minimum(m[: len(m) - rest], m[rest:])
-    owner = (m & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    m &= (np.uint64(1) << bits) - np.uint64(1)
+    owner = m.view(np.int64)
     windows = np.maximum(lengths - least + 1, 0)
     inside = np.zeros(len(owner) + 1, np.int64)
     has = windows > 0
@@ -73,7 +80,12 @@ def anchors(texts: list, least: int):
     if not len(own):
         return joined, starts, lengths, none.astype(np.uint64), none, none
     head = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (valid[1:] != valid[:-1] + 1))))
-    return joined, starts, lengths, h[own[head]], valid[head], np.diff(np.append(head, len(own)))
+    a = h[own[head]]  # least values of windows: small ones, to be spread over the buckets again
+    with np.errstate(over="ignore"):
+        for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+            a = (a ^ (a >> np.uint64(shift))) * np.uint64(factor)
+        a ^= a >> np.uint64(33)
+    return joined, starts, lengths, a, valid[head], np.diff(np.append(head, len(own)))
 
 
 def folded(texts: list, least: int):
@@ -139,14 +151,14 @@ def cut_repeats(docs: DataFrame, *, least: int = 200, with_text: bool = False) -
     rows = docs.select("doc_id", "text")
     id_type = rows.schema["doc_id"].dataType.simpleString()
     size, _ = text_bytes(docs)
-    n_buckets = max(16, size // BLOCK_BYTES)
+    n_buckets = max(16, size // SHARD_BYTES)
 
     def ask(batches):
         import numpy as np
         import pyarrow as pa
 
         bounds = _cut_points(n_buckets)
-        for block, b in blocks_of(batches):
+        for block, b in blocks_of(batches, BLOCK_BYTES):
             a, c, count, *_ = folded(as_bytes(b.column("text")), least)
             cut = np.searchsorted(a, bounds)
             cols: list[list] = [[], [], [], []]
@@ -191,7 +203,7 @@ def cut_repeats(docs: DataFrame, *, least: int = 200, with_text: bool = False) -
         import numpy as np
         import pyarrow as pa
 
-        for block, b in blocks_of(batches):
+        for block, b in blocks_of(batches, BLOCK_BYTES):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block] * b.num_rows, pa.int64()), pa.array(np.arange(b.num_rows)), *b.columns],
                 ["block", "pos", "doc_id", "text"],
