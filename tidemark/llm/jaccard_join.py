@@ -29,7 +29,7 @@ from .components import least_labels
 _UPPER = bytes(range(0x41, 0x5B))
 _TO_LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
 #: Of 1024 hash values, so many are looked at to find unshared shingles.
-LOOKED_AT = 320
+LOOKED_AT = 512
 #: Partitions per half difference; above 1 so that most sets need no empty parts.
 PARTITION_SLACK = 1.2
 
@@ -123,58 +123,68 @@ def set_table(docs: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, f"block long, pos long, doc_id {id_type}, text_hash long, n_shingles long, set_hash binary")
 
 
-def unshared_counts(docs: DataFrame, width: int) -> DataFrame:
-    """block, pos, unshared: how many of the looked-at shingles no set but the
-    document's own has. Blocks send packed (hash, class, owner) lists to hash
-    buckets and get the owners of unshared ones back."""
-    size, _ = text_bytes(docs)
-    n_buckets = max(16, size // BLOCK_BYTES)
+def _entries(block: int, ids, sets: list, kinds, share: int, bounds):
+    """Packed (hash, class, owner) lists of a block, one per hash bucket. Of the
+    owners of a shingle, the first of the first two classes say all. 32 bits of
+    the hash are kept: a clash only makes a shingle look shared."""
+    import numpy as np
 
-    def ask(batches):
-        import numpy as np
-        import pyarrow as pa
-        import xxhash
+    some = [s[(s & np.uint64(1023)) < share] for s in sets]
+    h = np.concatenate(some) if some else np.zeros(0, np.uint64)
+    n = [len(s) for s in some]
+    who, kind = np.repeat(np.asarray(ids, np.uint16), n), np.repeat(np.asarray(kinds, np.uint32), n)
+    order = np.lexsort((who, kind, h))
+    h, who, kind = h[order], who[order], kind[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = h[1:] != h[:-1]
+    new_kind = fresh.copy()
+    new_kind[1:] |= kind[1:] != kind[:-1]
+    run = np.cumsum(new_kind)
+    nth = run - np.maximum.accumulate(np.where(fresh, run, 0)) if len(h) else run
+    keep = new_kind & (nth < 2)
+    h, who, kind = h[keep], who[keep], kind[keep]
+    cut = np.searchsorted(h, bounds)
+    for k, (x, y, z) in enumerate(zip(np.split(h, cut), np.split(kind, cut), np.split(who, cut))):
+        if len(x):
+            yield block, k, (x >> np.uint64(10)).astype(np.uint32).tobytes(), y.tobytes(), z.tobytes()
+
+
+def _bounds(n_buckets: int):
+    import numpy as np
 
-        step = (1 << 64) // n_buckets
-        bounds = np.array([step * k for k in range(1, n_buckets)], np.uint64)
-        for block, b in blocks_of(batches):
-            sets = block_sets(as_bytes(b.column("text")), width)
-            some = [s[(s & np.uint64(1023)) < LOOKED_AT] for s in sets]
-            h = np.concatenate(some) if some else np.zeros(0, np.uint64)
-            who = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in some])
-            kind = np.array([xxhash.xxh3_128_intdigest(s.tobytes()) & (1 << 64) - 1 for s in sets], np.uint64)[who]
-            order = np.lexsort((who, kind, h))
-            h, who, kind = h[order], who[order], kind[order]
-            # Of a shingle's owners in this block, the first of the first two classes say all.
-            same = np.concatenate(([False], h[1:] == h[:-1]))
-            new_kind = np.concatenate(([True], kind[1:] != kind[:-1])) | ~same
-            nth = np.cumsum(new_kind) - np.maximum.accumulate(np.where(~same, np.cumsum(new_kind), 0)) if len(h) else np.zeros(0, int)
-            keep = new_kind & (nth < 2)
-            h, who, kind = h[keep], who[keep], kind[keep]
-            cut = np.searchsorted(h, bounds)
-            cols: list[list] = [[], [], [], []]
-            for k, (x, y, z) in enumerate(zip(np.split(h, cut), np.split(kind, cut), np.split(who, cut))):
-                if len(x):
-                    for col, v in zip(cols, (k, x.tobytes(), y.tobytes(), z.tobytes())):
-                        col.append(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block] * len(cols[0]), pa.int64()), pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])],
-                ["block", "bucket", "hashes", "kinds", "owners"],
-            )
+    step = (1 << 64) // n_buckets
+    return np.array([step * k for k in range(1, n_buckets)], np.uint64)
+
+
+ENTRIES = "block long, bucket long, hashes binary, kinds binary, owners binary"
+
+
+def _entry_batch(rows: list):
+    import pyarrow as pa
+
+    cols = list(zip(*rows)) or [()] * 5
+    kinds = [pa.int64(), pa.int64()] + [pa.binary()] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["block", "bucket", "hashes", "kinds", "owners"])
+
+
+def _count_unshared(entries: DataFrame) -> DataFrame:
+    """block, pos, unshared: shingles of an owner that no other class has. Hash
+    buckets get the packed lists and give back the owners of unshared ones."""
 
     def answer(table):
         import numpy as np
         import pyarrow as pa
 
-        hashes = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-        kinds = np.frombuffer(b"".join(table.column("kinds").to_pylist()), np.uint64)
+        hashes = [np.frombuffer(x, np.uint32) for x in table.column("hashes").to_pylist()]
+        kinds = np.frombuffer(b"".join(table.column("kinds").to_pylist()), np.uint32)
         owners = [np.frombuffer(x, np.uint16) for x in table.column("owners").to_pylist()]
-        distinct, at = np.unique(np.concatenate(hashes), return_inverse=True)
-        low = np.full(len(distinct), np.uint64((1 << 64) - 1))
-        high = np.zeros(len(distinct), np.uint64)
-        np.minimum.at(low, at, kinds)
-        np.maximum.at(high, at, kinds)
-        alone = (low == high)[at]
+        h = np.concatenate(hashes)
+        order = np.argsort(h, kind="stable")
+        ranked, kind = h[order], kinds[order]
+        head = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+        one = np.minimum.reduceat(kind, head) == np.maximum.reduceat(kind, head)
+        alone = np.empty(len(h), bool)
+        alone[order] = np.repeat(one, np.diff(np.append(head, len(h))))
         found = [o[a].tobytes() for o, a in zip(owners, np.split(alone, np.cumsum([len(o) for o in owners])[:-1]))]
         return pa.table([table.column("block"), pa.array(found, pa.binary())], names=["block", "owners"])
 
@@ -188,27 +198,92 @@ def unshared_counts(docs: DataFrame, width: int) -> DataFrame:
         return pa.table([pa.array([block] * len(pos), pa.int64()), pa.array(pos), pa.array(n[pos])], names=["block", "pos", "unshared"])
 
     return (
-        docs.select("doc_id", "text")
-        .mapInArrow(ask, "block long, bucket long, hashes binary, kinds binary, owners binary")
-        .groupBy("bucket")
-        .applyInArrow(answer, "block long, owners binary")
-        .groupBy("block")
-        .applyInArrow(count, "block long, pos long, unshared long")
+        entries.groupBy("bucket").applyInArrow(answer, "block long, owners binary")
+        .groupBy("block").applyInArrow(count, "block long, pos long, unshared long")
     )
 
 
+def unshared_in_texts(docs: DataFrame, width: int) -> DataFrame:
+    """Over a share of the hash domain, for all documents. Classes are told apart
+    by 32 bits of their set's hash."""
+    size, _ = text_bytes(docs)
+    n_buckets = max(16, size // BLOCK_BYTES)
+
+    def ask(batches):
+        import numpy as np
+        import xxhash
+
+        for block, b in blocks_of(batches):
+            sets = block_sets(as_bytes(b.column("text")), width)
+            kinds = [xxhash.xxh3_128_intdigest(s.tobytes()) & 0xFFFFFFFF for s in sets]
+            yield _entry_batch(list(_entries(block, np.arange(len(sets)), sets, kinds, LOOKED_AT, _bounds(n_buckets))))
+
+    return _count_unshared(docs.select("doc_id", "text").mapInArrow(ask, ENTRIES))
+
+
+def unshared_in_sets(sets: DataFrame) -> DataFrame:
+    """Over the whole hash domain, for the sets that are left (one per class)."""
+    total = int(sets.agg(F.sum("n_shingles")).first()[0] or 0)
+    n_buckets = max(16, 6 * total // BLOCK_BYTES)
+
+    def ask(batches):
+        import numpy as np
+        import xxhash
+
+        for b in batches:
+            block = b.column("block").to_numpy()
+            pos, raw = b.column("pos").to_numpy(), b.column("hashes").to_pylist()
+            for one in np.unique(block).tolist():
+                mine = np.flatnonzero(block == one).tolist()
+                kinds = [xxhash.xxh32_intdigest(b"%d:%d" % (one, pos[i])) for i in mine]
+                yield _entry_batch(list(_entries(one, pos[mine], [np.frombuffer(raw[i], np.uint64) for i in mine], kinds, 1024, _bounds(n_buckets))))
+
+    return _count_unshared(sets.select("block", "pos", "hashes").mapInArrow(ask, ENTRIES))
+
+
+def sketch(s) -> bytes:
+    """Parity of the number of elements in each of 2^k cells, at least four per
+    element: one difference between two sets flips one bit at most."""
+    import numpy as np
+
+    cells = 64
+    while cells < 4 * len(s):
+        cells *= 2
+    odd = np.bincount((s >> np.uint64(7) & np.uint64(cells - 1)).astype(np.intp), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def flips(x: bytes, y: bytes) -> int:
+    """Cells whose parity differs, the finer sketch folded to the coarser."""
+    import numpy as np
+
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those pairs (a, b) whose sets reach num/den, compared element by element."""
-    left = sets.select(F.col("cid").alias("a"), F.col("hashes").alias("ha"))
-    right = sets.select(F.col("cid").alias("b"), F.col("hashes").alias("hb"))
-    sized = sets.select("cid", F.col("n_shingles").alias("n"))
-    close = (
-        pairs.join(sized.withColumnRenamed("cid", "a").withColumnRenamed("n", "na"), "a")
-        .join(sized.withColumnRenamed("cid", "b").withColumnRenamed("n", "nb"), "b")
+    """Those pairs (a, b) whose sets reach num/den. Sizes and sketches rule out
+    most that do not; the rest is compared element by element."""
+    sized = sets.select("cid", F.col("n_shingles").alias("n"), "sketch")
+    near = (
+        pairs.join(sized.withColumnsRenamed({"cid": "a", "n": "na", "sketch": "sa"}), "a")
+        .join(sized.withColumnsRenamed({"cid": "b", "n": "nb", "sketch": "sb"}), "b")
         .where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-        .select("a", "b")
+        .select("a", "b", "na", "nb", "sa", "sb")
     )
 
+    def rule_out(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in ("na", "nb", "sa", "sb")))
+            keep = [flips(x, y) * (den + num) <= (m + n) * (den - num) for m, n, x, y in rows]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
     def compare(batches):
         import numpy as np
         import pyarrow as pa
@@ -221,6 +296,9 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    left = sets.select(F.col("cid").alias("a"), F.col("hashes").alias("ha"))
+    right = sets.select(F.col("cid").alias("b"), F.col("hashes").alias("hb"))
+    close = near.mapInArrow(rule_out, "a long, b long")
     return close.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(compare, "a long, b long")
 
 
@@ -233,7 +311,7 @@ def join_components(docs: DataFrame, *, shingle_words: int = 5, num: int = 75, d
     rows are one class; an empty table gives no rows."""
     spark = docs.sparkSession
     table = materialise(set_table(docs, shingle_words).withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
-    unshared = unshared_counts(docs, shingle_words)
+    unshared = unshared_in_texts(docs, shingle_words)
     counted = table.where("n_shingles > 0").join(unshared, ["block", "pos"], "left").na.fill(0, ["unshared"])
     classes = materialise(
         counted.groupBy("set_hash").agg(
@@ -253,18 +331,27 @@ def join_components(docs: DataFrame, *, shingle_words: int = 5, num: int = 75, d
     )
 
     def to_sets(batches):
+        import numpy as np
         import pyarrow as pa
 
-        for b in batches:
+        for block, b in blocks_of(batches):
             sets = block_sets(as_bytes(b.column("text")), shingle_words)
             yield pa.RecordBatch.from_arrays(
-                [b.column("cid"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                ["cid", "n_shingles", "hashes"],
+                [pa.array([block] * len(sets), pa.int64()), pa.array(np.arange(len(sets))), b.column("cid"), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary())],
+                ["block", "pos", "cid", "n_shingles", "hashes", "sketch"],
             )
 
-    sets = materialise(
-        texts.select("cid", "text").mapInArrow(to_sets, "cid long, n_shingles long, hashes binary"), "jaccard-alive"
-    ).dropDuplicates(["cid"])
+    first = materialise(
+        texts.select("cid", "text").mapInArrow(to_sets, "block long, pos long, cid long, n_shingles long, hashes binary, sketch binary"), "jaccard-alive"
+    )
+    again = first.drop("hashes", "sketch").join(unshared_in_sets(first), ["block", "pos"], "left").na.fill(0, ["unshared"])
+    left = (
+        again.groupBy("cid").agg(F.max("unshared").alias("unshared"), F.first("n_shingles").alias("n"), F.min(F.struct("block", "pos")).alias("at"))
+        .where(F.col("unshared") * den <= F.col("n") * (den - num))
+        .select("at.block", "at.pos")
+    )
+    sets = materialise(first.join(left, ["block", "pos"]).select("cid", "n_shingles", "hashes", "sketch"), "jaccard-left")
     largest = int(sets.agg(F.max("n_shingles")).first()[0] or 0)
     lows = bands(num, den, largest * den // num + 1)
 
@@ -306,11 +393,12 @@ def join_components(docs: DataFrame, *, shingle_words: int = 5, num: int = 75, d
         .agg(F.min("sig").alias("sig"))
         .select("sig")
     )
-    members = materialise(named.join(groups, "sig"), "jaccard-members")
-    other = members.select("sig", F.col("cid").alias("b"), F.col("label").alias("label_b"))
+    members = materialise(named.join(groups, "sig").join(sets.select("cid", F.col("n_shingles").alias("n")), "cid"), "jaccard-members")
+    other = members.select("sig", F.col("cid").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
     rest = (
         members.withColumnRenamed("cid", "a").join(other, "sig")
         .where("a < b and label <> label_b")
+        .where(F.least("n", "n_b") * den >= F.greatest("n", "n_b") * num)
         .select("a", "b")
         .distinct()
         .join(stars, ["a", "b"], "left_anti")

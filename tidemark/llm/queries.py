@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, jaccard_join, langid, merkle, mixing, packing, quality_lines, secrets, suffix_dedup, url_lists
+from . import backoff_lm, jaccard_join, langid, merkle, mixing, oracles, packing, quality_lines, secrets, suffix_dedup, url_lists
 from .common import documents
 
 
@@ -61,7 +61,8 @@ def op4_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merkle.fingerprints(documents(spark, sf_dir))
+    got = merkle.fingerprints(documents(spark, sf_dir))
+    return got.withColumn("n_edited_sections", F.size("edited_sections").cast("long")).drop("edited_sections")
 
 
 def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,4 +154,4 @@ FROM hosted h LEFT JOIN met m ON m.page_id = h.page_id AND m.n = 1
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_lists": OP3_SQL}
+    return oracles.oracle_sql() | {"op3_url_lists": OP3_SQL}
