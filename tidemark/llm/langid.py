@@ -110,26 +110,31 @@ def fit(
     for name, n in per.items():
         limit = F.when(F.col("lang") == name, min(1 << 20, max(1, (sample_docs << 20) // n))).otherwise(limit)
     sample = rows.where(draw < limit).select("doc_id", "lang", "text").collect() if per else []
-    by: dict[str, list] = {}
+    by: dict[str, list] = {}  # of each language: places and square roots of the counts, and letters
+    seen, total = np.zeros(DIMS, np.int64), 0
     for r in sorted(sample, key=lambda r: (r["lang"], str(r["doc_id"]), r["text"])):
         count, n = grams(r["text"])
         if n:
-            by.setdefault(r["lang"], []).append((np.sqrt(count).astype(np.float32), n))
+            at = np.flatnonzero(count)
+            seen[at] += 1
+            total += 1
+            by.setdefault(r["lang"], []).append((at.astype(np.uint16), np.sqrt(count[at]).astype(np.float32), n))
+    del sample
     labels = sorted(by)
     if not labels:
         return Centroids([], np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros(21))
-    total = sum(map(len, by.values()))
-    seen = sum((v > 0).astype(np.int64) for docs in by.values() for v, _ in docs)
     idf = np.log((1 + total) / (1 + seen)).astype(np.float32) + np.float32(0.1)
     rng = np.random.default_rng(seed)
     found, owner, close = [], [], [[] for _ in range(21)]
     for k, name in enumerate(labels):
-        x = np.stack([v for v, _ in by[name]]) * idf
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        x = np.zeros((len(by[name]), DIMS), np.float32)  # one language at a time is spread out
+        for row, (at, v, _) in zip(x, by[name]):
+            row[at] = v * idf[at]
+            row /= max(float(np.sqrt(row @ row)), 1e-9)
         c = _kmeans(x, centroids, rounds, rng)
         found.append(c)
         owner += [k] * len(c)
-        for cos, (_, n) in zip((x @ c.T).max(axis=1).tolist(), by[name]):
+        for cos, (_, _, n) in zip((x @ c.T).max(axis=1).tolist(), by[name]):
             close[_bin(n)].append(cos)
     floor = np.zeros(21)
     for b in range(21):  # few documents of a length: those of all shorter ones count too
