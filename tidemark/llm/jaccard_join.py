@@ -12,14 +12,16 @@ Before that, texts with equal sets fold into one class, and classes with too
 many shingles that no other class has (counted over a fixed share of the hash
 domain) drop out: they cannot reach t with anything. Both steps lose nothing.
 
-Sets of a signature are first compared with the least one only; then, with
-components known, just the pairs of a signature that are still in different
-components are compared. Groups of near copies thus never unfold into pairs.
+Sets of a signature are first compared with the least one only. The exact way
+for the rest: of the members of signatures that are still in different
+components, those are compared whose first common shingle, rare ones first,
+leaves room for enough common ones. Groups of near copies and texts that share
+a passage thus never unfold into pairs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .backoff_lm import BLOCK_BYTES, blocks_of
@@ -302,6 +304,46 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return close.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(compare, "a long, b long")
 
 
+def across_components(sets: DataFrame, open_ones: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of sets in different components that may still be similar.
+
+    Only shingles that occur in several components count. In one order for all
+    sets (rare ones first), a similar pair's first common shingle must have as
+    many shingles after it, in both, as the pair has to share: that leaves out
+    shingles of passages that many texts have but that make up too little of
+    them, and pairs of near copies that each differ too much."""
+
+    def spread(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            raw = b.column("hashes").to_pylist()
+            n = [len(x) // 8 for x in raw]
+            for k in range(0, len(raw), 200):
+                part = slice(k, k + 200)
+                col = lambda c: pa.array(np.repeat(b.column(c).to_numpy()[part], n[part]))  # noqa: B023, E731
+                h = np.frombuffer(b"".join(raw[part]), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), col("cid"), col("n_shingles"), col("label")], ["h", "cid", "n", "label"])
+
+    rows = sets.join(open_ones, "cid").select("cid", "n_shingles", "label", "hashes").mapInArrow(spread, "h long, cid long, n long, label long")
+    crossing = (
+        rows.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("x"), F.max("label").alias("y"))
+        .where("x < y").select("h", "df")
+    )
+    back = Window.partitionBy("cid").orderBy(F.col("df").desc(), F.col("h").desc())
+    # left: crossing shingles from this one on, itself included.
+    kept = rows.join(crossing, "h").withColumn("left", F.row_number().over(back)).where(F.col("left") * den >= F.col("n") * num)
+    kept = materialise(kept.select("h", "cid", "n", "label", "left"), "jaccard-crossing")
+    other = kept.select("h", *[F.col(c).alias(f"{c}_b") for c in ("cid", "n", "label", "left")])
+    enough = F.least("left", "left_b") * (num + den) >= (F.col("n") + F.col("n_b")) * num
+    return (
+        kept.join(other, "h").where((F.col("cid") < F.col("cid_b")) & (F.col("label") != F.col("label_b")) & enough)
+        .select(F.col("cid").alias("a"), F.col("cid_b").alias("b"))
+        .distinct()
+    )
+
+
 def join_components(docs: DataFrame, *, shingle_words: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """One row per document: doc_id, text_hash, n_shingles, component_id (least
     doc_id reachable by links), class_size (documents with the same set).
@@ -381,28 +423,11 @@ def join_components(docs: DataFrame, *, shingle_words: int = 5, num: int = 75, d
     stars = shared.where("head < cid").select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct()
     links = materialise(verified(stars, sets, num, den), "jaccard-links")
     labels = least_labels(links)
-    # Members of a signature that the stars left in different components.
+    # Members of signatures that the stars left in different components.
     named = shared.join(labels, F.col("cid") == F.col("id"), "left").select("sig", "cid", F.coalesce("label", "cid").alias("label"))
     split = named.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
-    # Signatures with the same members ask for the same pairs: one of them is enough.
-    groups = (
-        named.join(split, "sig")
-        .groupBy("sig")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("xor"))
-        .groupBy("n", "sum", "xor")
-        .agg(F.min("sig").alias("sig"))
-        .select("sig")
-    )
-    members = materialise(named.join(groups, "sig").join(sets.select("cid", F.col("n_shingles").alias("n")), "cid"), "jaccard-members")
-    other = members.select("sig", F.col("cid").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
-    rest = (
-        members.withColumnRenamed("cid", "a").join(other, "sig")
-        .where("a < b and label <> label_b")
-        .where(F.least("n", "n_b") * den >= F.greatest("n", "n_b") * num)
-        .select("a", "b")
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
+    open_ones = materialise(named.join(split, "sig").select("cid", "label").distinct(), "jaccard-open")
+    rest = across_components(sets, open_ones, num, den).join(stars, ["a", "b"], "left_anti")
     more = materialise(verified(rest, sets, num, den), "jaccard-more-links")
     if more.limit(1).count():
         labels = least_labels(links.union(more))
