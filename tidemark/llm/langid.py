@@ -59,6 +59,7 @@ class Centroids:
     matrix: np.ndarray  # one row per centroid
     owner: np.ndarray  # index into labels of each row
     floor: np.ndarray  # least cosine that is accepted, by bit length of the letter count
+    least_letters: int = 0
 
     def predict(self, text: str | None) -> tuple[str, float, bool, str | None]:
         """Language, score in 0..1, whether it is rejected, and the runner-up."""
@@ -74,7 +75,7 @@ class Centroids:
         order = np.argsort(-best, kind="stable")
         score = min(1.0, max(0.0, float(best[order[0]])))
         second = self.labels[order[1]] if len(order) > 1 else None
-        return self.labels[order[0]], score, bool(score < self.floor[_bin(n)]), second
+        return self.labels[order[0]], score, bool(n >= self.least_letters and score < self.floor[_bin(n)]), second
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng) -> np.ndarray:
@@ -95,14 +96,15 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng) -> np.ndarray:
 
 
 def fit(
-    labelled: DataFrame, *, sample_docs: int = 1200, centroids: int = 4, rounds: int = 8, slack: float = 0.6, seed: int = 7
+    labelled: DataFrame, *, sample_docs: int = 1200, centroids: int = 4, rounds: int = 8, slack: float = 0.4, least_letters: int = 20, seed: int = 7
 ) -> Centroids:
     """Fit on a sample of about ``sample_docs`` whole texts per language.
 
     The sample is chosen by a hash of the document, the same on every run. It is
     the only thing that reaches the driver; its size does not grow with the
     corpus. A document is rejected when its cosine is below ``slack`` times the
-    first percentile of sample documents with about as many letters."""
+    first percentile of sample documents with about as many letters; with fewer
+    than ``least_letters`` there is too little to tell, and it is accepted."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20))
@@ -140,7 +142,7 @@ def fit(
     for b in range(21):  # few documents of a length: those of all shorter ones count too
         near = close[b] if len(close[b]) >= 30 else [c for bin_ in close[: b + 1] for c in bin_]
         floor[b] = slack * float(np.quantile(near, 0.01)) if near else 0.0
-    return Centroids(labels, idf, np.concatenate(found).astype(np.float32), np.array(owner), floor)
+    return Centroids(labels, idf, np.concatenate(found).astype(np.float32), np.array(owner), floor, least_letters)
 
 
 def classify(docs: DataFrame, model: Centroids) -> DataFrame:
