@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from .common import as_bytes, materialise
 
 BUCKET_ROWS = 2000
-#: Words whose ids a task remembers; beyond it, it starts afresh.
-MEMO_WORDS = 300_000
+#: Words whose ids a worker remembers in each of two generations.
+MEMO_WORDS = 350_000
+_ENCODERS: dict[str, WordIds] = {}
 
 
 class WordIds:
@@ -41,6 +42,14 @@ class WordIds:
         for piece, i in vocab.items():
             self.ends[i] = piece.endswith("</w>")
         self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    @classmethod
+    def of(cls, path: str) -> WordIds:
+        """The worker's encoder; it outlives a task and with it what it remembers."""
+        if path not in _ENCODERS:
+            _ENCODERS[path] = cls(path)
+        return _ENCODERS[path]
 
     def _plain(self, word: str) -> bool:
         """Letters whose lower case is one letter again: one piece for the tokenizer."""
@@ -83,10 +92,18 @@ class WordIds:
         try:
             return b"".join(map(self.memo.__getitem__, words))
         except KeyError:
-            if len(self.memo) > MEMO_WORDS:
-                self.memo.clear()
-            self.learn({w for w in words if w not in self.memo})
-            return b"".join(map(self.memo.__getitem__, words))
+            if len(self.memo) > MEMO_WORDS:  # what is still in use comes over from the older one
+                self.older, self.memo = self.memo, {}
+            memo, older = self.memo, self.older
+            new = set()
+            for w in words:
+                if w not in memo:
+                    if w in older:
+                        memo[w] = older[w]
+                    else:
+                        new.add(w)
+            self.learn(new)
+            return b"".join(map(memo.__getitem__, words))
 
 
 def pieces(docs: DataFrame, tokenizer: str, max_tokens: int, end_id: int, with_ids: bool = False) -> DataFrame:
@@ -101,7 +118,7 @@ def pieces(docs: DataFrame, tokenizer: str, max_tokens: int, end_id: int, with_i
 
         import pyarrow as pa
 
-        encode = WordIds(tokenizer)
+        encode = WordIds.of(tokenizer)
         end, step = end_id.to_bytes(4, "little"), 4 * max_tokens
         for b in batches:
             owner, start, length, crc, total, ids = array("q"), array("q"), array("q"), array("q"), array("q"), []
