@@ -82,6 +82,22 @@ def test_jaccard_components(docs, none, rows):
     assert {r.doc_id for r in kept.collect()} == {i for i, s in sets.items() if root(i) == i or not s}
 
 
+def test_jaccard_links_do_not_depend_on_batches(spark):
+    # Batches end by bytes: an extra column moves their ends, and so those of blocks.
+    r = random.Random(11)
+    texts = [prose(r, 40 + 7 * (i % 5)) for i in range(150)]
+    texts += [f"{t} more" for t in texts[::3]]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2).sortWithinPartitions("doc_id").cache()
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "3000")
+        got = {x.doc_id: x.component_id for x in jaccard_join.join_components(table).collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert got == {i: 3 * (i - 150) if i >= 150 else i for i in range(200)}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_signatures_lose_no_similar_pair(seed):
     r = random.Random(seed)

@@ -104,25 +104,23 @@ def signatures(s, band: int, hi: int, num: int, den: int):
 
 
 def set_table(docs: DataFrame, width: int) -> DataFrame:
-    """block, pos, doc_id, text_hash, n_shingles, set_hash of every document."""
+    """doc_id, text_hash, n_shingles, set_hash of every document."""
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
         import xxhash
 
-        for block, b in blocks_of(batches):
+        for _, b in blocks_of(batches):
             sets = block_sets(as_bytes(b.column("text")), width)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block] * b.num_rows, pa.int64()), pa.array(np.arange(b.num_rows)), b.column("doc_id"), b.column("text_hash"),
-                 pa.array([len(s) for s in sets], pa.int64()),
+                [b.column("doc_id"), b.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())],
-                ["block", "pos", "doc_id", "text_hash", "n_shingles", "set_hash"],
+                ["doc_id", "text_hash", "n_shingles", "set_hash"],
             )
 
-    return rows.mapInArrow(run, f"block long, pos long, doc_id {id_type}, text_hash long, n_shingles long, set_hash binary")
+    return rows.mapInArrow(run, f"doc_id {id_type}, text_hash long, n_shingles long, set_hash binary")
 
 
 def _entries(block: int, ids, sets: list, kinds, share: int, bounds):
@@ -148,7 +146,7 @@ def _entries(block: int, ids, sets: list, kinds, share: int, bounds):
     cut = np.searchsorted(h, bounds)
     for k, (x, y, z) in enumerate(zip(np.split(h, cut), np.split(kind, cut), np.split(who, cut))):
         if len(x):
-            yield block, k, (x >> np.uint64(10)).astype(np.uint32).tobytes(), y.tobytes(), z.tobytes()
+            yield block, k, (x >> np.uint64(10)).astype(np.uint32).tobytes(), y.tobytes(), z.tobytes(), None
 
 
 def _bounds(n_buckets: int):
@@ -158,20 +156,23 @@ def _bounds(n_buckets: int):
     return np.array([step * k for k in range(1, n_buckets)], np.uint64)
 
 
-ENTRIES = "block long, bucket long, hashes binary, kinds binary, owners binary"
+ENTRIES = "block long, bucket long, hashes binary, kinds binary, owners binary, keys binary"
+KEY_BYTES = 16
 
 
 def _entry_batch(rows: list):
     import pyarrow as pa
 
-    cols = list(zip(*rows)) or [()] * 5
-    kinds = [pa.int64(), pa.int64()] + [pa.binary()] * 3
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["block", "bucket", "hashes", "kinds", "owners"])
+    cols = list(zip(*rows)) or [()] * 6
+    kinds = [pa.int64(), pa.int64()] + [pa.binary()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["block", "bucket", "hashes", "kinds", "owners", "keys"])
 
 
 def _count_unshared(entries: DataFrame) -> DataFrame:
-    """block, pos, unshared: shingles of an owner that no other class has. Hash
-    buckets get the packed lists and give back the owners of unshared ones."""
+    """key, unshared: shingles of an owner that no other class has. Hash buckets
+    get the packed lists and give back the owners of unshared ones. Owners are
+    positions in a block of this very scan, so the scan sends their keys along:
+    another scan may cut its blocks elsewhere."""
 
     def answer(table):
         import numpy as np
@@ -188,7 +189,7 @@ def _count_unshared(entries: DataFrame) -> DataFrame:
         alone = np.empty(len(h), bool)
         alone[order] = np.repeat(one, np.diff(np.append(head, len(h))))
         found = [o[a].tobytes() for o, a in zip(owners, np.split(alone, np.cumsum([len(o) for o in owners])[:-1]))]
-        return pa.table([table.column("block"), pa.array(found, pa.binary())], names=["block", "owners"])
+        return pa.table([table.column("block"), pa.array(found, pa.binary()), table.column("keys")], names=["block", "owners", "keys"])
 
     def count(table):
         import numpy as np
@@ -196,18 +197,19 @@ def _count_unshared(entries: DataFrame) -> DataFrame:
 
         n = np.bincount(np.frombuffer(b"".join(table.column("owners").to_pylist()), np.uint16))
         pos = np.flatnonzero(n)
-        block = table.column("block")[0].as_py()
-        return pa.table([pa.array([block] * len(pos), pa.int64()), pa.array(pos), pa.array(n[pos])], names=["block", "pos", "unshared"])
+        (keys,) = (k for k in table.column("keys").to_pylist() if k is not None)
+        own = [keys[p : p + KEY_BYTES] for p in (pos * KEY_BYTES).tolist()]
+        return pa.table([pa.array(own, pa.binary()), pa.array(n[pos], pa.int64())], names=["key", "unshared"])
 
     return (
-        entries.groupBy("bucket").applyInArrow(answer, "block long, owners binary")
-        .groupBy("block").applyInArrow(count, "block long, pos long, unshared long")
+        entries.groupBy("bucket").applyInArrow(answer, "block long, owners binary, keys binary")
+        .groupBy("block").applyInArrow(count, "key binary, unshared long")
     )
 
 
 def unshared_in_texts(docs: DataFrame, width: int) -> DataFrame:
-    """Over a share of the hash domain, for all documents. Classes are told apart
-    by 32 bits of their set's hash."""
+    """Over a share of the hash domain, for all documents, by set hash. Classes are
+    told apart by 32 bits of it."""
     size, _ = text_bytes(docs)
     n_buckets = max(16, size // BLOCK_BYTES)
 
@@ -217,30 +219,39 @@ def unshared_in_texts(docs: DataFrame, width: int) -> DataFrame:
 
         for block, b in blocks_of(batches):
             sets = block_sets(as_bytes(b.column("text")), width)
-            kinds = [xxhash.xxh3_128_intdigest(s.tobytes()) & 0xFFFFFFFF for s in sets]
-            yield _entry_batch(list(_entries(block, np.arange(len(sets)), sets, kinds, LOOKED_AT, _bounds(n_buckets))))
+            keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            kinds = [int.from_bytes(k[-4:], "big") for k in keys]
+            found = list(_entries(block, np.arange(len(sets)), sets, kinds, LOOKED_AT, _bounds(n_buckets)))
+            yield _entry_batch([*found, (block, block % n_buckets, b"", b"", b"", b"".join(keys))])
 
     return _count_unshared(docs.select("doc_id", "text").mapInArrow(ask, ENTRIES))
 
 
 def unshared_in_sets(sets: DataFrame) -> DataFrame:
-    """Over the whole hash domain, for the sets that are left (one per class)."""
+    """Over the whole hash domain, for the sets that are left (one per class), by cid."""
     total = int(sets.agg(F.sum("n_shingles")).first()[0] or 0)
     n_buckets = max(16, 6 * total // BLOCK_BYTES)
 
     def ask(batches):
         import numpy as np
         import xxhash
+        from pyspark import TaskContext
 
+        part, serial = TaskContext.get().partitionId(), 0
         for b in batches:
-            block = b.column("block").to_numpy()
-            pos, raw = b.column("pos").to_numpy(), b.column("hashes").to_pylist()
-            for one in np.unique(block).tolist():
-                mine = np.flatnonzero(block == one).tolist()
-                kinds = [xxhash.xxh32_intdigest(b"%d:%d" % (one, pos[i])) for i in mine]
-                yield _entry_batch(list(_entries(one, pos[mine], [np.frombuffer(raw[i], np.uint64) for i in mine], kinds, 1024, _bounds(n_buckets))))
+            cut = np.flatnonzero(np.diff(b.column("block").to_numpy())) + 1
+            for mine in np.split(np.arange(b.num_rows), cut):
+                if len(mine):
+                    rows = b.slice(int(mine[0]), len(mine))
+                    keys = [c.to_bytes(KEY_BYTES, "big", signed=True) for c in rows.column("cid").to_pylist()]
+                    kinds = [xxhash.xxh32_intdigest(k) for k in keys]
+                    own = [np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()]
+                    block, serial = part << 32 | serial, serial + 1
+                    found = list(_entries(block, np.arange(len(own)), own, kinds, 1024, _bounds(n_buckets)))
+                    yield _entry_batch([*found, (block, block % n_buckets, b"", b"", b"", b"".join(keys))])
 
-    return _count_unshared(sets.select("block", "pos", "hashes").mapInArrow(ask, ENTRIES))
+    cid = F.conv(F.hex(F.substring("key", KEY_BYTES - 7, 8)), 16, 10).cast("long")
+    return _count_unshared(sets.select("block", "cid", "hashes").mapInArrow(ask, ENTRIES)).select(cid.alias("cid"), "unshared")
 
 
 def sketch(s) -> bytes:
@@ -353,15 +364,13 @@ def join_components(docs: DataFrame, *, shingle_words: int = 5, num: int = 75, d
     rows are one class; an empty table gives no rows."""
     spark = docs.sparkSession
     table = materialise(set_table(docs, shingle_words).withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
-    unshared = unshared_in_texts(docs, shingle_words)
-    counted = table.where("n_shingles > 0").join(unshared, ["block", "pos"], "left").na.fill(0, ["unshared"])
+    unshared = unshared_in_texts(docs, shingle_words).groupBy(F.col("key").alias("set_hash")).agg(F.max("unshared").alias("unshared"))
     classes = materialise(
-        counted.groupBy("set_hash").agg(
+        table.where("n_shingles > 0").groupBy("set_hash").agg(
             F.min(F.struct("row", "doc_id", "text_hash", "n_shingles")).alias("first"),
             F.min("doc_id").alias("least_id"),
             F.count(F.lit(1)).alias("class_size"),
-            F.max("unshared").alias("unshared"),
-        ).select("set_hash", F.col("first.row").alias("cid"), "least_id", "class_size", "unshared",
+        ).join(unshared, "set_hash", "left").na.fill(0, ["unshared"]).select("set_hash", F.col("first.row").alias("cid"), "least_id", "class_size", "unshared",
                  F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), F.col("first.n_shingles").alias("n_shingles")),
         "jaccard-classes",
     )
@@ -387,9 +396,10 @@ def join_components(docs: DataFrame, *, shingle_words: int = 5, num: int = 75, d
     first = materialise(
         texts.select("cid", "text").mapInArrow(to_sets, "block long, pos long, cid long, n_shingles long, hashes binary, sketch binary"), "jaccard-alive"
     )
-    again = first.drop("hashes", "sketch").join(unshared_in_sets(first), ["block", "pos"], "left").na.fill(0, ["unshared"])
+    again = unshared_in_sets(first).groupBy("cid").agg(F.max("unshared").alias("unshared"))
     left = (
-        again.groupBy("cid").agg(F.max("unshared").alias("unshared"), F.first("n_shingles").alias("n"), F.min(F.struct("block", "pos")).alias("at"))
+        first.groupBy("cid").agg(F.first("n_shingles").alias("n"), F.min(F.struct("block", "pos")).alias("at"))
+        .join(again, "cid", "left").na.fill(0, ["unshared"])
         .where(F.col("unshared") * den <= F.col("n") * (den - num))
         .select("at.block", "at.pos")
     )
