@@ -305,6 +305,23 @@ def test_secrets(spark, docs, none):
     assert (one[0].text, one[0].n_chars, one[1].text) == ('x [assign]" y', 13, None)
 
 
+def test_secrets_at_every_place(spark):
+    import base64
+
+    key = "password = hunter22x"
+    b64 = base64.b64encode(key.encode()).decode()
+    url = "".join(f"%{c:02X}" for c in key.encode())
+    for enc in (b64, url):
+        text = f"{enc}\n{enc}\nand {enc} end"
+        base, every, layers = secrets.secrets(text)
+        n = len(enc)
+        assert base == [] and secrets.joined(every) == ",".join(f"assign:{s}:{s + n}" for s in (0, n + 1, 2 * n + 6)) and layers >= 3
+        out = secrets.redact(spark.createDataFrame([(1, text, "en", "s", 9)], SCHEMA)).first().text
+        assert out == "[assign]\n[assign]\nand [assign] end"
+    outer = [base64.b64encode(f"{w} {b64}".encode()).decode() for w in ("first one", "other two")]
+    assert [s for s, *_ in secrets.secrets(" ".join(outer))[1]] == [0, len(outer[0]) + 1]
+
+
 def test_language(spark, none):
     r = random.Random(9)
     vocab = {"en": WORDS, "de": "der und die das nicht ein ist zu von mit sich auf für über größe straße".split(), "fr": "le la les des été où être très avec pour dans une".split()}

@@ -3,8 +3,9 @@
 A text is scanned, then every part of it that reads as percent escapes, Unicode
 escapes, base64 or (inside base64) a compressed stream is decoded to a new
 layer, which is scanned and searched for parts again, until no new layer turns
-up. Layers already seen are not decoded twice, so cycles end. A secret found in
-a layer is reported at the place in the original text that it came from.
+up. A layer already seen at the same place is not followed again, so cycles end;
+at a further place its scan is used again. A secret found in a layer is reported
+at the place in the original text that it came from.
 """
 
 from __future__ import annotations
@@ -132,26 +133,45 @@ def parts(layer: str):
                 yield got[0], [a + x for x in got[1]], [a + x for x in got[2]]
     for m in ENCODED.finditer(layer):
         if (inner := unwrap(m.group())) is not None:
-            yield inner, [m.start()] * len(inner), [m.end()] * len(inner)
+            yield inner, m.start(), m.end()
+
+
+def _mapped(a, z, starts, ends):
+    """Starts and ends of a part in the original text, given those of its layer.
+    Two numbers instead of lists say that all characters share one span."""
+    if starts is None:
+        return a, z
+    if isinstance(starts, int):
+        return starts, ends
+    if isinstance(a, int):
+        return starts[a], ends[z - 1]
+    return [starts[x] for x in a], [ends[x - 1] for x in z]
 
 
 def secrets(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
-    """Base spans, all spans (both by start, kind, end) and the number of layers."""
+    """Base spans, all spans (both by start, kind, end) and the number of layers
+    (a layer that stands at several places counts at each)."""
     base = sorted(scan(text))
     every = set(base)
-    seen = {text}
-    work = [(text, None, None)]
+    seen = set()
+    known: dict[str, tuple[list, list]] = {}
+    work: list = [(text, None, None)]
     while work:
         layer, starts, ends = work.pop()
-        for inner, a, z in parts(layer):
-            if inner in seen:
-                continue
-            seen.add(inner)
-            if starts is not None:
-                a, z = [starts[x] for x in a], [ends[x - 1] for x in z]
-            every |= {(a[s], kind, max(z[s:e])) for s, kind, e in scan(inner)}
-            work.append((inner, a, z))
-    return base, sorted(every), len(seen) - 1
+        if layer not in known:
+            known[layer] = scan(layer) if starts is not None else base, list(parts(layer))
+        spans, inside = known[layer]
+        if isinstance(starts, int):
+            every |= {(starts, kind, ends) for _, kind, _ in spans}
+        elif starts is not None:
+            every |= {(starts[s], kind, max(ends[s:e])) for s, kind, e in spans}
+        for inner, a, z in inside:
+            a, z = _mapped(a, z, starts, ends)
+            place = (inner, a, z) if isinstance(a, int) else (inner, tuple(a), tuple(z))
+            if place not in seen and inner != layer:
+                seen.add(place)
+                work.append((inner, a, z))
+    return base, sorted(every), len(seen)
 
 
 def joined(spans) -> str:
