@@ -322,6 +322,30 @@ def test_secrets_at_every_place(spark):
     assert [s for s, *_ in secrets.secrets(" ".join(outer))[1]] == [0, len(outer[0]) + 1]
 
 
+def test_secrets_in_odd_layers(monkeypatch):
+    import base64
+    import gzip
+
+    key = b"password = hunter22x"
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    spans = lambda text: secrets.joined(secrets.secrets(text)[1])
+    for raw in (
+        b"x-" + key, gzip.compress(gzip.compress(key)), zlib.compress(gzip.compress(key)), gzip.compress(b"none, ") + gzip.compress(key),
+        gzip.compress(b"none, " * 3_000_000 + key), gzip.compress(bytes(range(200, 256)) + b"\0" + key),
+    ):
+        assert spans(f"( {b64(raw)} )") == f"assign:2:{2 + len(b64(raw))}"
+    assert spans(b64(b"token=abcdef")) == "assign:0:16"
+    got = secrets.secrets(b64(b"\xff\x00\xfe" + key + b"\xff\x00"))[1]
+    assert got and got[0][1] == 0
+    wrapped = base64.encodebytes(b"a text, " * 20 + key).decode().strip()
+    # A word on the next line may belong to the run, so it is looked at with and without.
+    assert (5, 0, 5 + len(wrapped)) in secrets.secrets(f"word\n{wrapped}\nend of it")[1]
+    assert [s for s, *_ in secrets.secrets(f"ab/{b64(key)}")[1]] == [3]
+    monkeypatch.setattr(secrets, "PIECE_BYTES", 64)
+    raw = gzip.compress(b"a, " * 500_000 + key + b", b" * 500_000)
+    assert spans(b64(raw)) == f"assign:0:{len(b64(raw))}"
+
+
 def test_language(spark, none):
     r = random.Random(9)
     vocab = {"en": WORDS, "de": "der und die das nicht ein ist zu von mit sich auf für über größe straße".split(), "fr": "le la les des été où être très avec pour dans une".split()}

@@ -11,6 +11,8 @@ at the place in the original text that it came from.
 from __future__ import annotations
 
 import base64
+import bisect
+import hashlib
 import re
 import zlib
 
@@ -27,9 +29,18 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ESCAPE = re.compile(r"%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
-ENCODED = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
-#: Bytes that one compressed stream may unfold to before it counts as hostile.
-MAX_LAYER_BYTES = 16 << 20
+# Runs of 16 base64 characters or more, over single line breaks.
+ENCODED = re.compile(
+    r"(?<![A-Za-z0-9+/_-])(?=(?:[A-Za-z0-9+/_-]|\r?\n(?=[A-Za-z0-9+/_-])){16})[A-Za-z0-9+/_-]+(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}"
+)
+LEAST_RUN = 16
+#: Unfolded streams are scanned in pieces of about so many bytes.
+PIECE_BYTES = 16 << 20
+#: What may stand inside a pattern, an escape or a run: no piece ends there.
+_INSIDE = bytes(c for c in range(256) if c >= 0x80 or chr(c).isalnum() or chr(c) in "+/_.=-\"':\x20\r\n%\\&#;")
+# The patterns are ASCII; the shortest has 12 characters.
+_READABLE_RUN = re.compile(rb"[\t\r\n\x20-\x7e]{12,}")
+_GZIP = b"\x1f\x8b\x08"
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -102,19 +113,135 @@ def readable(data: bytes) -> str | None:
     return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
 
 
-def unwrap(run: str) -> str | None:
-    """The text inside a base64 run, unpacked where it is gzip or zlib."""
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    data = base64.b64decode(body + "=" * (-len(body) % 4))
-    if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78":
-        try:
-            stream = zlib.decompressobj(wbits=47)
-            data = stream.decompress(data, MAX_LAYER_BYTES)
-        except zlib.error:
-            return None
-    return readable(data)
+def squeezed(head: bytes) -> bool:
+    """Whether bytes begin like gzip or zlib."""
+    return head[:3] == _GZIP or (len(head) > 1 and head[0] & 15 == 8 and head[0] >> 4 < 8 and (head[0] << 8 | head[1]) % 31 == 0)
+
+
+def inflate(chunks, state: dict):
+    """What compressed chunks unfold to, all members; state["whole"] tells in the
+    end whether the stream was sound."""
+    stream, rest = zlib.decompressobj(wbits=47), b""
+    state["whole"] = False
+    try:
+        for chunk in chunks:
+            rest += chunk
+            while rest:
+                if stream.eof:
+                    if len(rest) < 3:
+                        break
+                    if not squeezed(rest):  # padding, or text behind the last member
+                        state["whole"] = not rest.strip(b"\0")
+                        return
+                    stream = zlib.decompressobj(wbits=47)
+                got = stream.decompress(rest, 1 << 20)
+                rest = stream.unused_data if stream.eof else stream.unconsumed_tail
+                if got:
+                    yield got
+                elif not stream.eof and not rest:
+                    break
+        while not stream.eof and (got := stream.decompress(b"", 1 << 20)):
+            yield got
+        state["whole"] = stream.eof and not rest.strip(b"\0")
+    except zlib.error:
+        return
+
+
+def pieces(chunks):
+    """Chunks joined to pieces that no pattern crosses."""
+    held: list[bytes] = []
+    size = 0
+    for chunk in chunks:
+        held.append(chunk)
+        size += len(chunk)
+        # A chunk without a place to cut cannot end a piece.
+        if size >= PIECE_BYTES and chunk.rstrip(_INSIDE):
+            joined = b"".join(held)
+            cut = len(joined.rstrip(_INSIDE))
+            yield joined[:cut]
+            held = [joined[cut:]]
+            size = len(held[0])
+    if size:
+        yield b"".join(held)
+
+
+def texts_of(source, above=()):
+    """(text, first byte, end) of what is readable in the bytes that source()
+    gives in chunks, and in what they unfold to, as often as they do; the place
+    is None for unfolded text. ``above`` has the digests of the layers around."""
+    digest, head = hashlib.blake2b(digest_size=16), b""
+    for chunk in source():
+        head = head or chunk[:3]
+        digest.update(chunk)
+    if digest.digest() in above:
+        return
+    if squeezed(head):
+        state: dict = {}
+        for text, *_ in texts_of(lambda: inflate(source(), state), (*above, digest.digest())):
+            yield text, None, None
+        for _ in inflate(source(), state):
+            pass
+        if state["whole"]:
+            return
+    at = 0
+    for piece in pieces(source()):
+        if (text := readable(piece)) is not None:
+            yield text, at, at + len(piece)
+        else:
+            for m in _READABLE_RUN.finditer(piece):
+                yield m.group().decode("ascii"), at + m.start(), at + m.end()
+        at += len(piece)
+
+
+def blocks_in(m):
+    """Lists of (start, end) of lines in a run: lines of one width with the
+    shorter last one, and the whole run where that is more."""
+    lines = [(m.start() + x.start(), m.start() + x.end()) for x in _LINE.finditer(m.group())]
+    groups: list[list] = []
+    for a, z in lines:
+        last = groups[-1] if groups else None
+        if last and z - a <= (width := last[0][1] - last[0][0]) and last[-1][1] - last[-1][0] == width:
+            last.append((a, z))
+        else:
+            groups.append([(a, z)])
+    return [*groups, lines] if len(groups) > 1 else groups
+
+
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+
+
+def unwrap(layer: str, lines: list, upto: int):
+    """(text, start, end) of what is readable inside a base64 block, at all four
+    alignments, unpacked where it is gzip or zlib; upto is where its padding ends."""
+    body = "".join(layer[a:z] for a, z in lines).replace("-", "+").replace("_", "/")
+    if len(body) < LEAST_RUN:
+        return
+    before = [0]
+    for a, z in lines:
+        before.append(before[-1] + z - a)
+
+    def place(k: int) -> int:
+        nth = bisect.bisect_right(before, k) - 1
+        return lines[nth][0] + k - before[nth]
+
+    for shift in range(4):
+        run = body[shift:]
+        run = run[: len(run) - (len(run) % 4 == 1)]
+        data = base64.b64decode(run + "=" * (-len(run) % 4))
+
+        def found(first, skip=0):
+            for text, s, e in texts_of(lambda: iter([data[first:]])):  # noqa: B023
+                a, z = (first, len(data)) if s is None else (first + s, first + e)  # noqa: B023
+                if skip and s is not None:
+                    continue
+                start = place(shift + a // 3 * 4 + a % 3)  # noqa: B023
+                yield text, start, upto if z == len(data) else place(shift + (4 * z + 2) // 3 - 1) + 1  # noqa: B023
+
+        yield from found(0)
+        at = -1 if squeezed(data[:3]) else data.find(_GZIP, 1)
+        while at > 0:  # a stream behind other bytes
+            yield from found(at, 1)
+            at = data.find(_GZIP, at + 1)
 
 
 def parts(layer: str):
@@ -132,8 +259,8 @@ def parts(layer: str):
             if got := unescape(layer[a:z]):
                 yield got[0], [a + x for x in got[1]], [a + x for x in got[2]]
     for m in ENCODED.finditer(layer):
-        if (inner := unwrap(m.group())) is not None:
-            yield inner, m.start(), m.end()
+        for lines in blocks_in(m):
+            yield from unwrap(layer, lines, m.end() if lines[-1][1] == m.end() - m.group().count("=") else lines[-1][1])
 
 
 def _mapped(a, z, starts, ends):
