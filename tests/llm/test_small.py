@@ -151,6 +151,23 @@ def test_cut_repeats(docs, none, rows):
     assert suffix_dedup.cut_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("hot", [3, 2_000])
+def test_cut_repeats_around_a_frequent_line(spark, hot):
+    r = random.Random(5)
+    line = "licensed under terms that every file of this tree repeats, as it was agreed upon: read them before use"
+    texts = [f"{prose(r, 60)} {line} {prose(r, 60)}" for _ in range(40)]
+    at = texts[0].index(line)
+    texts += [f"{prose(r, 9)} {texts[0][at - 90 : at + 190]} {prose(r, 9)}", line, line + line, texts[7]]
+    seen = Counter(b[k : k + 200] for b in (t.encode() for t in texts) for k in range(len(b) - 199))
+    want = []
+    for b in (t.encode() for t in texts):
+        gone = {j for k in range(len(b) - 199) if seen[b[k : k + 200]] > 1 for j in range(k, k + 200)}
+        want.append(hashlib.sha256(bytes(x for j, x in enumerate(b) if j not in gone)).hexdigest())
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).cache()
+    got = {x.doc_id: x.kept_sha256 for x in suffix_dedup.cut_repeats(table, hot=hot).collect()}
+    assert got == dict(enumerate(want)) and want[40] != hashlib.sha256(texts[40].encode()).hexdigest()
+
+
 def test_backoff_scores(docs, none, rows):
     order, mu = 2, 60.0
     lists = [(i, ((t or "").encode().translate(backoff_lm._TO_LOWER).split() + [b""])) for i, t, *_ in rows]

@@ -15,6 +15,10 @@ context of an anchor is the text under all windows that it stands for.
 3. Shards answer each block in the order it asked; blocks cover the bytes of
    the windows found, and cut them out.
 
+An anchor with more than ``hot`` contexts (a frequent line shorter than a window,
+in ever different surroundings) would make a shard of any size. Its windows are
+told apart by 128-bit hashes instead, counted in buckets of these hashes.
+
 Blocks are folded first, so a passage that a third of all documents share is
 sent once per block, and no step holds all occurrences of anything.
 """
@@ -33,6 +37,8 @@ ANCHOR_BYTES = 64
 #: some hundred bytes of memory per byte, as do suffix arrays.
 BLOCK_BYTES = 2 << 20
 SHARD_BYTES = 1 << 20
+#: Different contexts (336 bytes at most) up to which a shard compares an anchor's windows.
+HOT_CONTEXTS = 2_000
 _BREAK = 0xFF  # in no UTF-8 text
 
 
@@ -135,6 +141,24 @@ def windows_twice(contexts: list[bytes], counts, least: int):
     return [twice[s : s + k - least + 1] for s, k in zip(starts.tolist(), sizes.tolist())]
 
 
+def hot_windows(joined: bytes, low, n, least: int):
+    """For runs of windows: their places, the distinct hashes in order (two words
+    each) and for every place the number of its hash."""
+    import numpy as np
+    import xxhash
+
+    at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+    digest = xxhash.xxh3_128_digest
+    raw = np.frombuffer(b"".join(digest(joined[i : i + least]) for i in at.tolist()), ">u8").reshape(-1, 2).astype(np.uint64)
+    order = np.lexsort((raw[:, 1], raw[:, 0]))
+    ranked = raw[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (ranked[1:] != ranked[:-1]).any(axis=1)
+    which = np.empty(len(at), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return at, ranked[new], which
+
+
 def _cut_points(n_buckets: int):
     import numpy as np
 
@@ -142,7 +166,7 @@ def _cut_points(n_buckets: int):
     return np.array([step * k for k in range(1, n_buckets)], np.uint64)
 
 
-def cut_repeats(docs: DataFrame, *, least: int = 200, with_text: bool = False) -> DataFrame:
+def cut_repeats(docs: DataFrame, *, least: int = 200, with_text: bool = False, hot: int = HOT_CONTEXTS) -> DataFrame:
     """Per document: n_bytes, n_removed, n_spans, kept_sha256 (and kept, binary).
 
     Texts are UTF-8 bytes, null is empty; windows never cross documents; texts
@@ -172,7 +196,8 @@ def cut_repeats(docs: DataFrame, *, least: int = 200, with_text: bool = False) -
             )
 
     def sort_out(table):
-        """0: the anchor occurs once; 1: send the context; 2: another block sends it."""
+        """0: the anchor occurs once; 1: send the context; 2: another block sends it;
+        3: the anchor is hot, send the hashes of its windows."""
         import numpy as np
         import pyarrow as pa
 
@@ -185,9 +210,11 @@ def cut_repeats(docs: DataFrame, *, least: int = 200, with_text: bool = False) -
         aa, cc = a[order], c[order]
         new_a = np.concatenate(([True], aa[1:] != aa[:-1]))
         new_c = new_a | np.concatenate(([True], cc[1:] != cc[:-1]))
-        shared = np.add.reduceat(m[order], np.flatnonzero(new_a)) >= 2
+        heads, nth = np.flatnonzero(new_a), np.cumsum(new_a) - 1
+        shared = np.add.reduceat(m[order], heads) >= 2
+        many = np.add.reduceat(new_c.astype(np.int64), heads) > hot
         code = np.empty(len(a), np.uint8)
-        code[order] = np.where(shared[np.cumsum(new_a) - 1], np.where(new_c, 1, 2), 0)
+        code[order] = np.where(shared[nth], np.where(many[nth], 3, np.where(new_c, 1, 2)), 0)
         parts = [x.tobytes() for x in np.split(code, np.cumsum(sizes)[:-1])]
         return pa.table([table.column("block"), table.column("bucket"), pa.array(parts, pa.binary())], names=["block", "bucket", "codes"])
 
@@ -227,9 +254,18 @@ def cut_repeats(docs: DataFrame, *, least: int = 200, with_text: bool = False) -
 
         cols: list[list] = [[], [], [], [], [], []]
         if texts.num_rows:
-            texts, (a, c, count, at, _, (joined, _, _, _, low, n)), code = in_order(texts, answers, "codes")
+            texts, (a, c, count, at, entry, (joined, _, _, _, low, n)), code = in_order(texts, answers, "codes")
             block = texts.column("block")[0].as_py()
-            use = np.flatnonzero(code)
+            much = np.flatnonzero(code[entry] == 3)
+            if len(much):
+                _, keys, which = hot_windows(joined, low[much], n[much], least)
+                times = np.minimum(np.bincount(which, minlength=len(keys)), 2).astype(np.uint8)
+                cut = np.searchsorted(keys[:, 0], _cut_points(n_buckets), side="left")
+                for k, (x, m) in enumerate(zip(np.split(keys, cut), np.split(times, cut))):
+                    if len(x):
+                        for col, v in zip(cols, (block, n_buckets + k, x.tobytes(), m.tobytes(), b"", b"")):
+                            col.append(v)
+            use = np.flatnonzero((code == 1) | (code == 2))
             first, last = low[at[use]], (low + n)[at[use]] + least - 1
             cut = np.searchsorted(a[use], _cut_points(n_buckets))
             for k, part in enumerate(np.split(np.arange(len(use)), cut)):
@@ -247,10 +283,28 @@ def cut_repeats(docs: DataFrame, *, least: int = 200, with_text: bool = False) -
 
     width = (least - ANCHOR_BYTES + 1 + 7) // 8
 
+    def count_hot(table):
+        import numpy as np
+        import pyarrow as pa
+
+        raw = table.column("contexts").to_pylist()
+        keys = np.frombuffer(b"".join(raw), np.uint64).reshape(-1, 2)
+        times = np.frombuffer(b"".join(table.column("flags").to_pylist()), np.uint8).astype(np.int64)
+        order = np.lexsort((keys[:, 1], keys[:, 0]))
+        ranked = keys[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (ranked[1:] != ranked[:-1]).any(axis=1)
+        twice = np.empty(len(keys), np.uint8)
+        twice[order] = (np.add.reduceat(times[order], np.flatnonzero(new)) >= 2)[np.cumsum(new) - 1]
+        found = [x.tobytes() for x in np.split(twice, np.cumsum([len(x) // 16 for x in raw])[:-1])]
+        return pa.table([table.column("block"), table.column("bucket"), pa.array(found, pa.binary())], names=["block", "bucket", "bits"])
+
     def compare(table):
         import numpy as np
         import pyarrow as pa
 
+        if table.column("bucket")[0].as_py() >= n_buckets:
+            return count_hot(table)
         c = [np.frombuffer(x, np.uint64) for x in table.column("contexts").to_pylist()]
         flags = [np.frombuffer(x, np.uint8).reshape(2, -1) for x in table.column("flags").to_pylist()]
         texts: list[bytes] = []
@@ -294,12 +348,18 @@ def cut_repeats(docs: DataFrame, *, least: int = 200, with_text: bool = False) -
         if texts.num_rows:
             texts, (_, _, _, _, entry, (joined, starts, lengths, _, low, n)), code = in_order(texts, told, "codes")
             parts = sorted((k, v) for k, v in zip(told.column("bucket").to_pylist(), told.column("bits").to_pylist()) if v is not None)
-            bits = np.frombuffer(b"".join(v for _, v in parts), np.uint8).reshape(-1, width)
-            nth = np.cumsum(code > 0) - 1
-            asked = np.flatnonzero(code[entry] > 0)
+            bits = np.frombuffer(b"".join(v for k, v in parts if k < n_buckets), np.uint8).reshape(-1, width)
+            compared = (code == 1) | (code == 2)
+            nth = np.cumsum(compared) - 1
+            asked = np.flatnonzero(compared[entry])
             twice = np.unpackbits(bits[nth[entry[asked]]], axis=1)
             row, col = np.nonzero(twice)
             hit = low[asked][row] + col
+            much = np.flatnonzero(code[entry] == 3)
+            if len(much):
+                at, _, which = hot_windows(joined, low[much], n[much], least)
+                told_hot = np.frombuffer(b"".join(v for k, v in parts if k >= n_buckets), np.uint8)
+                hit = np.concatenate((hit, at[told_hot[which] > 0]))
             edge = np.bincount(hit, minlength=len(joined) + 1) - np.bincount(hit + least, minlength=len(joined) + 1)
             gone = np.cumsum(edge[: len(joined)]) > 0
             for k, (s, m) in enumerate(zip(starts.tolist(), lengths.tolist())):
