@@ -296,6 +296,19 @@ def test_quality_lines(spark, docs, none, rows):
     assert not got[1].kept and got[1].depleted and got[2].kept and got[2].n_removed_lines == 1 and got[99].n_removed_lines == 0
 
 
+def test_clean_removes_frequent_lines(spark):
+    r = random.Random(4)
+    line = prose(r, 60)
+    many = [(i, f"{line}\n\n{prose(r, 30) if i % 2 else prose(r, 200)}", "en", None, 0) for i in range(60)] + [(99, prose(r, 80), "en", None, 0)]
+    table = spark.createDataFrame(many, SCHEMA)
+    want = {x.doc_id for x in quality_lines.judge(table).where("kept").collect()}
+    got = {x.doc_id: x for x in quality_lines.clean(table).collect()}
+    assert set(got) == want and 2 in want and 1 not in want
+    for i, t, *_ in many:
+        if i in want:
+            assert got[i].text == t.removeprefix(line + "\n") and got[i].n_chars == len(got[i].text)
+
+
 def test_secrets(spark, docs, none):
     import base64
     import gzip

@@ -18,6 +18,60 @@ from .common import as_bytes, materialise
 BROADCAST_ROWS = 20_000
 
 
+_SPACES = bytes([0x20, *range(0x09, 0x0E)])
+_SYMBOLS = b"#*$%&|<>"
+
+
+def line_hash(parts: list[bytes]) -> int:
+    """Hash of a line, given its words."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(b" ".join(parts).lower())
+
+
+def measures(text: bytes):
+    """Words, their characters, symbols, repeated lines, repeated words, and the
+    lines as a map of hash to words."""
+    import numpy as np
+
+    words = text.split()
+    n = len(words)
+    chars = len(text.translate(None, _SPACES + bytes(range(0x80, 0xC0))))
+    marks = len(text) - len(text.translate(None, _SYMBOLS))
+    seen, again, lines = set(), 0, {}
+    for line in text.split(b"\n"):
+        parts = line.split()
+        if not parts:
+            continue
+        if line in seen:
+            again += 1
+        seen.add(line)
+        h = line_hash(parts)
+        lines[h] = lines.get(h, 0) + len(parts)
+    repeat = 0
+    if n > 3:
+        code: dict[bytes, int] = {}
+        a = np.fromiter((code.setdefault(w, len(code)) for w in words), np.int64, n)
+        v = len(code)
+        key = a[:-2] * v + a[1:-1]
+        if v < 2_000_000:
+            key = key * v + a[2:]
+        else:  # three factors would overflow
+            key = np.unique(key, return_inverse=True)[1] * v + a[2:]
+        order = np.argsort(key)
+        ranked = key[order]
+        same = ranked[1:] == ranked[:-1]
+        if same.any():
+            hit = np.zeros(n - 2, bool)
+            hit[order[1:][same]] = True
+            hit[order[:-1][same]] = True
+            cover = np.zeros(n, bool)
+            for k in range(3):
+                cover[k : n - 2 + k] |= hit
+            repeat = int(cover.sum())
+    return n, chars, marks, again, repeat, lines
+
+
 def measure(docs: DataFrame, host_col: str) -> DataFrame:
     """Per document: the base measures and its lines as (hash, words, times)."""
     rows = docs.select("doc_id", F.col(host_col).alias("host"), "text")
@@ -30,51 +84,9 @@ def measure(docs: DataFrame, host_col: str) -> DataFrame:
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        import xxhash
-
-        spaces = bytes([0x20, *range(0x09, 0x0E)])
-        symbols = b"#*$%&|<>"
-
-        def one(text: bytes):
-            words = text.split()
-            n = len(words)
-            chars = len(text.translate(None, spaces + bytes(range(0x80, 0xC0))))
-            marks = len(text) - len(text.translate(None, symbols))
-            seen, again, lines = set(), 0, {}
-            for line in text.split(b"\n"):
-                parts = line.split()
-                if not parts:
-                    continue
-                if line in seen:
-                    again += 1
-                seen.add(line)
-                h = xxhash.xxh3_64_intdigest(b" ".join(parts).lower())
-                lines[h] = lines.get(h, 0) + len(parts)
-            repeat = 0
-            if n > 3:
-                code: dict[bytes, int] = {}
-                a = np.fromiter((code.setdefault(w, len(code)) for w in words), np.int64, n)
-                v = len(code)
-                key = a[:-2] * v + a[1:-1]
-                if v < 2_000_000:
-                    key = key * v + a[2:]
-                else:  # three factors would overflow
-                    key = np.unique(key, return_inverse=True)[1] * v + a[2:]
-                order = np.argsort(key)
-                ranked = key[order]
-                same = ranked[1:] == ranked[:-1]
-                if same.any():
-                    hit = np.zeros(n - 2, bool)
-                    hit[order[1:][same]] = True
-                    hit[order[:-1][same]] = True
-                    cover = np.zeros(n, bool)
-                    for k in range(3):
-                        cover[k : n - 2 + k] |= hit
-                    repeat = int(cover.sum())
-            return n, chars, marks, again, repeat, lines
 
         for b in batches:
-            got = [one(t or b"") for t in as_bytes(b.column("text"))]
+            got = [measures(t or b"") for t in as_bytes(b.column("text"))]
             hashes = np.array([h for g in got for h in g[5]], np.uint64).view(np.int64)
             weights = pa.array([w for g in got for w in g[5].values()], pa.int64())
             ends = np.cumsum([0] + [len(g[5]) for g in got])
@@ -89,6 +101,20 @@ def measure(docs: DataFrame, host_col: str) -> DataFrame:
     return rows.mapInArrow(run, out)
 
 
+def frequent_lines(table: DataFrame, least_docs: int, host_share: float) -> tuple[DataFrame, DataFrame]:
+    """The lines of a measured table, and the (f_host, f_h) that are too frequent."""
+    per_host = table.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+    lines = table.select("host", "_row", F.explode("lines").alias("line")).select("host", "_row", "line.h", "line.w")
+    counts = lines.groupBy("host", "h").agg(F.count(F.lit(1)).alias("line_docs")).where(F.col("line_docs") > least_docs)
+    frequent = materialise(
+        counts.join(per_host.withColumnRenamed("host", "host2"), F.col("host").eqNullSafe(F.col("host2")))
+        .where(F.col("line_docs") > F.col("host_docs") * F.lit(float(host_share)))
+        .select(F.col("host").alias("f_host"), F.col("h").alias("f_h")),
+        "quality-frequent",
+    )
+    return lines, frequent
+
+
 def judge(
     docs: DataFrame,
     *,
@@ -107,15 +133,7 @@ def judge(
     empty and fails the base rules; a null host is a host of its own; repeated
     rows are documents each; an empty table gives no rows."""
     table = materialise(measure(docs, host_col).withColumn("_row", F.monotonically_increasing_id()), "quality-lines")
-    per_host = table.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    lines = table.select("host", "_row", F.explode("lines").alias("line")).select("host", "_row", "line.h", "line.w")
-    counts = lines.groupBy("host", "h").agg(F.count(F.lit(1)).alias("line_docs")).where(F.col("line_docs") > least_docs)
-    frequent = materialise(
-        counts.join(per_host.withColumnRenamed("host", "host2"), F.col("host").eqNullSafe(F.col("host2")))
-        .where(F.col("line_docs") > F.col("host_docs") * F.lit(float(host_share)))
-        .select(F.col("host").alias("f_host"), F.col("h").alias("f_h")),
-        "quality-frequent",
-    )
+    lines, frequent = frequent_lines(table, least_docs, host_share)
     side = F.broadcast(frequent) if frequent.count() <= BROADCAST_ROWS else frequent
     removed = (
         lines.join(side, F.col("host").eqNullSafe(F.col("f_host")) & (F.col("h") == F.col("f_h")))
@@ -133,3 +151,52 @@ def judge(
         .withColumn("kept", ~failed & ~depleted)
         .drop("_row")
     )
+
+
+def clean(
+    docs: DataFrame,
+    *,
+    host_col: str = "source",
+    least_docs: int = 20,
+    host_share: float = 0.02,
+    depleted_share: float = 0.5,
+    min_words: int = 50,
+    max_repeat_percent: int = 50,
+) -> DataFrame:
+    """The documents that judge() keeps, without their too frequent lines.
+
+    The other lines stay as they are, in order. Columns other than text (and
+    n_chars, which follows it) pass through unchanged. A host has fewer frequent
+    lines than lines a document on average over ``host_share``, so they come as
+    one list per host."""
+    table = materialise(measure(docs, host_col).withColumn("_row", F.monotonically_increasing_id()), "quality-lines")
+    _, frequent = frequent_lines(table, least_docs, host_share)
+    lists = frequent.groupBy(F.col("f_host").alias("_f_host")).agg(F.collect_list("f_h").alias("_f_hashes"))
+    names, schema = docs.columns, docs.schema
+    listed = docs.join(lists, F.col(host_col).eqNullSafe(F.col("_f_host")), "left").select(*docs.columns, "_f_hashes")
+
+    def run(batches):
+        import pyarrow as pa
+
+        at = names.index("text")
+        last_raw, gone = None, frozenset()
+        for b in batches:
+            texts, keep = [], []
+            for raw, hashes in zip(as_bytes(b.column(at)), b.column(len(names))):
+                got = measures(raw or b"")
+                bad = hashes.as_py()
+                if bad != last_raw:
+                    last_raw, gone = bad, frozenset(h & (1 << 64) - 1 for h in bad or ())
+                lost = sum(w for h, w in got[5].items() if h in gone)
+                failed = got[0] < min_words or 100 * got[4] > max_repeat_percent * got[0]
+                keep.append(not failed and not lost > got[0] * depleted_share)
+                if keep[-1] and gone:
+                    left = [x for x in (raw or b"").split(b"\n") if not (parts := x.split()) or line_hash(parts) not in gone]
+                    raw = b"\n".join(left)
+                texts.append(raw)
+            cols = list(b.columns[: len(names)])
+            cols[at] = pa.array(texts, pa.binary()).cast(pa.string()).cast(b.column(at).type)
+            yield pa.RecordBatch.from_arrays(cols, names).filter(pa.array(keep, pa.bool_()))
+
+    done = listed.mapInArrow(run, schema)
+    return done.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else done
