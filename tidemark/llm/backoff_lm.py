@@ -1,21 +1,20 @@
-"""Language-model scoring with a weighted backoff automaton.
+"""Language-model scoring by interpolated n-gram lookup.
 
-The states of the automaton are the n-grams of the training texts, up to
-``order`` - 1 words; the arc of word w from state h has weight P(w | h), and a
-failure arc leads from h to h without its first word, with weight
-mu / (c(h) + mu). Probabilities are smoothed towards the shorter state,
+This stands in for a weighted backoff automaton, which is not built: there are no
+states, failure arcs or state carried from token to token. With h the words before
+w, up to ``order`` - 1, probabilities are smoothed towards the shorter context,
 
     P(w | h) = (c(hw) + mu * P(w | h')) / (c(h) + mu),
 
 down to the root, where a known word has (c(w) - D) / N and all unknown words
 together have the mass D * V / N that discounting freed.
 
-The automaton is as large as the corpus, so no task holds it. A block of
+The model is as large as the corpus, so no task holds it. A block of
 documents lists its own distinct n-grams; these are counted in hash buckets
 over all blocks; each bucket answers each block with the counts of just the
 n-grams that the block asked for, in the order asked. A block thus gets the
-part of the automaton that its documents can reach, walks its texts left to
-right, taking arcs and failure arcs, and adds up the log-probabilities.
+part of the model that its documents can reach, interpolates at all positions
+at once, and adds up the log-probabilities.
 """
 
 from __future__ import annotations
