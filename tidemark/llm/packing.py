@@ -12,7 +12,8 @@ not land in one task.
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterable
+import re
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,16 +21,21 @@ from pyspark.sql import functions as F
 from .common import as_bytes, materialise
 
 BUCKET_ROWS = 2000
+MARKS = ".,;:!?#$%&*|"
 #: Words whose ids a worker remembers in each of two generations.
 MEMO_WORDS = 350_000
+#: Bytes of text whose words are looked up together.
+PART_BYTES = 24 << 20
 _ENCODERS: dict[str, WordIds] = {}
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 class WordIds:
     """Token ids (little-endian uint32 bytes) of ASCII-white-space separated words.
 
     The tokenizer drops white space and never joins across it, so a text's ids
-    are those of its words, one after the other. A word is encoded once."""
+    are those of its words, one after the other. The words of many texts are
+    told apart by one dictionary encoding; a word is encoded once."""
 
     def __init__(self, path: str):
         import numpy as np
@@ -41,8 +47,9 @@ class WordIds:
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
         for piece, i in vocab.items():
             self.ends[i] = piece.endswith("</w>")
-        self.memo: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.folds = self.tok.encode("ABC", add_special_tokens=False).ids == self.tok.encode("abc", add_special_tokens=False).ids
+        self.memo: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> WordIds:
@@ -51,59 +58,84 @@ class WordIds:
             _ENCODERS[path] = cls(path)
         return _ENCODERS[path]
 
-    def _plain(self, word: str) -> bool:
-        """Letters whose lower case is one letter again: one piece for the tokenizer."""
-        return word.isalpha() and max(word) < "İ"
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [self.np.array(e.ids, self.np.uint32).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: Iterable[bytes]) -> None:
+    def learn(self, single: list[str], odd: list[str]) -> None:
+        """Remember the ids of pieces. Single ones are one piece for the tokenizer
+        too, so all of them are encoded as one text and told apart by their ends."""
         np, memo = self.np, self.memo
-        single, parts, odd = {}, [], []
-        for w in words:
-            s = w.decode()
-            core = s.rstrip(".,;:!?#$%&*|")
-            tail = s[len(core):]
-            if core and not self._plain(core):
-                odd.append((w, s))
-                continue
-            parts.append((w, core, tail))
-            for x in (core, tail):
-                if x:
-                    single[x] = b""
         if single:
-            keys = list(single)
-            ids = np.array(self.tok.encode(" ".join(keys), add_special_tokens=False).ids, np.uint32)
+            (whole,) = self.tok.encode_batch_fast([" ".join(single)], add_special_tokens=False)
+            ids = np.array(whole.ids, np.uint32)
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(keys):
+            if len(stops) == len(single):
                 raw, at = ids.tobytes(), 0
-                for x, stop in zip(keys, stops.tolist()):
-                    single[x] = raw[4 * at : 4 * stop]
+                for x, stop in zip(single, (4 * stops).tolist()):
+                    memo[x] = raw[at:stop]
                     at = stop
             else:  # another tokenizer, without marked word ends
-                for x, e in zip(keys, self.tok.encode_batch_fast(keys, add_special_tokens=False)):
-                    single[x] = np.array(e.ids, np.uint32).tobytes()
-        for w, core, tail in parts:
-            memo[w] = single.get(core, b"") + single.get(tail, b"")
+                memo.update(zip(single, self._encoded(single)))
         if odd:
-            for (w, _), e in zip(odd, self.tok.encode_batch_fast([s for _, s in odd], add_special_tokens=False)):
-                memo[w] = np.array(e.ids, np.uint32).tobytes()
-
-    def __call__(self, text: bytes) -> bytes:
-        words = text.split()
-        try:
-            return b"".join(map(self.memo.__getitem__, words))
-        except KeyError:
-            if len(self.memo) > MEMO_WORDS:  # what is still in use comes over from the older one
-                self.older, self.memo = self.memo, {}
-            memo, older = self.memo, self.older
-            new = set()
-            for w in words:
-                if w not in memo:
-                    if w in older:
-                        memo[w] = older[w]
-                    else:
-                        new.add(w)
-            self.learn(new)
-            return b"".join(map(memo.__getitem__, words))
+            memo.update(zip(odd, self._encoded(odd)))
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of each of several distinct words. Most are letters whose lower case
+        is one letter again, and then marks; the tokenizer takes these as two pieces."""
+        if len(self.memo) > MEMO_WORDS:  # what is still in use comes over from the older one
+            self.older, self.memo = self.memo, {"": b""}
+        memo, older, folds = self.memo, self.older, self.folds
+        cores = [s.rstrip(MARKS) for s in words]
+        plain = [not c or (c.isalpha() and (c.isascii() or max(c) < "İ")) for c in cores]
+        heads = [(c.lower() if folds else c) if ok else s for s, c, ok in zip(words, cores, plain)]
+        tails = [s[len(c) :] if ok else "" for s, c, ok in zip(words, cores, plain)]
+        single, odd = [], []
+        for x, ok in zip(heads, plain):
+            if x not in memo:
+                if x in older:
+                    memo[x] = older[x]
+                else:
+                    memo[x] = b""
+                    (single if ok else odd).append(x)
+        for x in set(tails).difference(memo):
+            memo[x] = b""
+            single.append(x)
+        self.learn(single, odd)
+        return [memo[x] + memo[y] if y else memo[x] for x, y in zip(heads, tails)]
+
+    def _flat(self, texts: list[bytes]) -> list[bytes]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        coded = lists.flatten().dictionary_encode()
+        ids = self.ids_of(coded.dictionary.to_pylist())
+        codes, ends = coded.indices, lists.offsets.to_pylist()
+        return [b"".join(map(ids.__getitem__, codes[a:z].to_numpy().tolist())) for a, z in zip(ends, ends[1:])]
+
+    def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
+        """Ids of every text, in order. A long text is looked up in parts that end
+        at white space."""
+        held: list[bytes] = []
+        size = 0
+        for text in texts:
+            text = text or b""
+            if held and size + len(text) > PART_BYTES:
+                yield from self._flat(held)
+                held, size = [], 0
+            if len(text) <= PART_BYTES:
+                held.append(text)
+                size += len(text)
+                continue
+            done, at = [], 0
+            while at < len(text):
+                cut = _SPACE.search(text, at + PART_BYTES)
+                end = cut.end() if cut else len(text)
+                done += self._flat([text[at:end]])
+                at = end
+            yield b"".join(done)
+        if held:
+            yield from self._flat(held)
 
 
 def pieces(docs: DataFrame, tokenizer: str, max_tokens: int, end_id: int, with_ids: bool = False) -> DataFrame:
@@ -118,12 +150,12 @@ def pieces(docs: DataFrame, tokenizer: str, max_tokens: int, end_id: int, with_i
 
         import pyarrow as pa
 
-        encode = WordIds.of(tokenizer)
+        words = WordIds.of(tokenizer)
         end, step = end_id.to_bytes(4, "little"), 4 * max_tokens
         for b in batches:
             owner, start, length, crc, total, ids = array("q"), array("q"), array("q"), array("q"), array("q"), []
-            for row, text in enumerate(as_bytes(b.column("text"))):
-                raw = (encode(text) if text else b"") + end
+            for row, raw in enumerate(words.encode(as_bytes(b.column("text")))):
+                raw += end
                 for at in range(0, len(raw), step):
                     part = raw[at : at + step]
                     owner.append(row)
