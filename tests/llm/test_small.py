@@ -168,40 +168,93 @@ def test_cut_repeats_around_a_frequent_line(spark, hot):
     assert got == dict(enumerate(want)) and want[40] != hashlib.sha256(texts[40].encode()).hexdigest()
 
 
-def test_backoff_scores(docs, none, rows):
-    order, mu = 2, 60.0
-    lists = [(i, ((t or "").encode().translate(backoff_lm._TO_LOWER).split() + [b""])) for i, t, *_ in rows]
-    train = [w for i, w in lists if zlib.crc32(str(i).encode()) % 7 != 2]
-    one = Counter(x for w in train for x in w)
-    two = Counter(p for w in train for p in zip([None, *w], w))
-    state = Counter(h for w in train for h in [None, *w][: len(w)])
+def interpolated(lists, train, order, mu):
+    """Score of every token list by the interpolated model, one n-gram at a time."""
+    marked = [["<s>", *w] for w in train]
+    count = Counter(tuple(w[max(0, i - m) : i + 1]) for w in marked for i in range(1, len(w)) for m in range(min(order, i + 1)))
+    state = Counter()
+    for g, c in count.items():
+        state[g[:-1]] += c
+    one = {g[0]: c for g, c in count.items() if len(g) == 1}
     n, v = sum(one.values()), len(one)
     n1, n2 = (sum(c == k for c in one.values()) for k in (1, 2))
     d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.75
-    for r in backoff_lm.score(docs, "crc32(cast(doc_id as string)) % 7 <> 2", order=order, mu=mu).collect():
-        words = dict(lists)[r.doc_id]
-        base = sum(np.log10((one[x] + 1) / (n + v + 1)) for x in words)
-        score = 0.0
-        for h, x in zip([None, *words], words):
-            root = (one[x] - d) / n if one[x] else d * v / n
-            score += np.log10((two[h, x] + mu * root) / (state[h] + mu))
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(words), sum(one[x] > 0 for x in words), n)
+
+    def p(g):
+        if len(g) == 1:
+            return ((one[g[0]] - d) / n if g[0] in one else d * v / n) if n else 1.0
+        return (count[g] + mu * p(g[1:])) / (state[g[:-1]] + mu)
+
+    out = []
+    for w in lists:
+        w = ["<s>", *w]
+        out.append(sum(np.log10(p(tuple(w[max(0, i - order + 1) : i + 1]))) for i in range(1, len(w))))
+    return out, one, n, v
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_backoff_scores(docs, none, rows, order):
+    lists = [(t or "").encode().translate(backoff_lm._TO_LOWER).split() + [b""] for _, t, *_ in rows]
+    train = [w for (i, *_), w in zip(rows, lists) if zlib.crc32(str(i).encode()) % 7 != 2]
+    scores, one, n, v = interpolated(lists, train, order, 9.0)
+    want = {i: (w, x) for (i, *_), w, x in zip(rows, lists, scores)}
+    for r in backoff_lm.score(docs, "crc32(cast(doc_id as string)) % 7 <> 2", order=order, mu=9.0).collect():
+        words, score = want[r.doc_id]
+        base = sum(np.log10((one.get(x, 0) + 1) / (n + v + 1)) for x in words)
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(words), sum(x in one for x in words), n)
         assert abs(r.base_score - base) < 1e-6 * max(1, abs(base)) and abs(r.score - score) < 1e-6 * max(1, abs(score))
-    assert backoff_lm.score(none, "true").count() == 0
-
-
-def test_probabilities_sum_to_one(spark):
-    text = "a b a c a b b a"
-    probes = ["a", "b", "c", "unseen"]
-    rows = [(0, text)] + [(k + 1, f"a {w}") for k, w in enumerate(probes)] + [(9, "a")]
-    got = {}
-    for order in (1, 2):
-        scored = backoff_lm.score(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id = 0", order=order).collect()
-        got[order] = {r.doc_id: r.score for r in scored}
-    # Root: P(a), P(end) and so the words one by one; the end mark follows each probe.
-    root = lambda w: 10 ** (got[1][probes.index(w) + 1] - got[1][9])
-    end = 10 ** (got[1][9]) / root("a")
-    assert abs(sum(root(w) for w in probes) + end - 1) < 1e-9
+    assert backoff_lm.score(none, "true", order=order).count() == 0
+
+
+def test_backoff_without_training_or_ids(spark):
+    table = spark.createDataFrame([(None, "a b", 1), (None, None, 2), (3, "a", 3), (3, "a", 3)], "doc_id long, text string, block int")
+    got = backoff_lm.score(table, "doc_id < 0", order=3).collect()
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_known, r.score) for r in got) == [("3", 2, 0, 0.0), ("3", 2, 0, 0.0), ("None", 1, 0, 0.0), ("None", 3, 0, 0.0)]
+    assert not any(r.in_training for r in got)
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_probabilities_sum_to_one(order):
+    # One state's arcs, for every word that was seen and one that was not.
+    train = b"a b a c a b b a c a b".split() + [b""]
+    words = sorted(set(train)) + [b"unseen"]
+    texts = [b" ".join(train[:-1])] + [b"a b " + w for w in words if w] + [b"a b"]
+    grams = backoff_lm.Grams(texts, order)
+    marked = ["<s>", *train]
+    totals = []
+    for m in range(order):
+        seen = Counter(tuple(marked[i - m : i + 1]) for i in range(max(1, m), len(marked)))
+        at = [["<s>", *backoff_lm.tokens(t)] for t in texts]
+        totals.append(np.array([seen[tuple(w[i - m : i + 1])] if i >= m else 0 for w in at for i in range(1, len(w))]))
+    one = Counter(train)
+    made = backoff_lm.Automaton(grams, totals, len(train), len(one), 0.6, 7.0)
+    after = lambda t: made.weight(grams.codes[grams.starts[t] : grams.starts[t] + grams.lengths[t]].tolist()[:3])
+    before = made.weight(grams.codes[grams.starts[-1] :].tolist()[:2])
+    total = sum(10 ** (after(t) - before) for t in range(1, len(texts)))
+    assert abs(total - 1) < 1e-9
+
+
+def test_blocks_do_not_depend_on_batches(spark):
+    # The passes of a block operator see one cut, wherever Arrow batches end and partitions lie.
+    r = random.Random(12)
+    texts = [prose(r, r.randrange(1, 90)) for _ in range(120)]
+    texts += [f"{prose(r, 5)} {texts[i]} {prose(r, 5)}" for i in range(0, 120, 6)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    names = ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before = [spark.conf.get(n) for n in names]
+    got = []
+    try:
+        for parts, size, n in ((1, before[0], before[1]), (3, "2500", "7"), (7, "900", "1000")):
+            for name, v in zip(names, (size, n)):
+                spark.conf.set(name, v)
+            t = table.repartition(parts)
+            cut = sorted(map(tuple, suffix_dedup.cut_repeats(t).collect()))
+            scores = sorted((x.doc_id, x.n_known, round(x.score, 6)) for x in backoff_lm.score(t, "doc_id % 5 > 0").collect())
+            got.append((cut, scores))
+    finally:
+        for name, v in zip(names, before):
+            spark.conf.set(name, v)
+    assert got[0] == got[1] == got[2] and any(x[2] for x in got[0][0])
 
 
 def test_packing(docs, none, rows):

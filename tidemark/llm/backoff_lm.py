@@ -1,20 +1,25 @@
-"""Language-model scoring by interpolated n-gram lookup.
+"""Language-model scoring by a weighted backoff automaton.
 
-This stands in for a weighted backoff automaton, which is not built: there are no
-states, failure arcs or state carried from token to token. With h the words before
-w, up to ``order`` - 1, probabilities are smoothed towards the shorter context,
+States are the contexts of up to ``order`` - 1 words that training texts have,
+and the root. With h the words of a state, an arc goes out for every word w
+that follows h in training, weighted with
 
     P(w | h) = (c(hw) + mu * P(w | h')) / (c(h) + mu),
 
-down to the root, where a known word has (c(w) - D) / N and all unknown words
-together have the mass D * V / N that discounting freed.
+to the state of the longest context that hw leaves. For all other words there
+is one failure arc, weighted with mu / (c(h) + mu), to the state of h', which is
+h without its first word. The root has an arc for every word: a known one has
+(c(w) - D) / N, and all unknown words together have the mass D * V / N that
+discounting freed. A text starts in the state of the start mark.
 
-The model is as large as the corpus, so no task holds it. A block of
+The automaton is as large as the corpus, so no task holds it. A block of
 documents lists its own distinct n-grams; these are counted in hash buckets
 over all blocks; each bucket answers each block with the counts of just the
-n-grams that the block asked for, in the order asked. A block thus gets the
-part of the model that its documents can reach, interpolates at all positions
-at once, and adds up the log-probabilities.
+n-grams that the block asked for, in the order asked. A block then builds the
+part of the automaton that its texts can reach, and goes through each text once
+from left to right, carrying the state and adding up the weights of the arcs.
+
+Blocks are cut once and written as one row each, so all passes see the same.
 """
 
 from __future__ import annotations
@@ -22,12 +27,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialise, text_bytes
+from .common import BLOCK_FILES, as_bytes, blocks_of, materialise, text_bytes
 
 #: Bytes of text whose n-grams are listed together.
 BLOCK_BYTES = 4 << 20
-#: Rows of a block at most, so that two bytes number them.
-BLOCK_ROWS = 65_000
 _UPPER = bytes(range(0x41, 0x5B))
 _TO_LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
 _NUL_SAFE = 0x9E3779B97F4A7C15
@@ -38,72 +41,109 @@ def tokens(text: bytes | None) -> list[bytes]:
     return [*(text.translate(_TO_LOWER).split() if text else ()), b""]
 
 
-def blocks_of(batches, block_bytes: int = BLOCK_BYTES):
-    """(block id, record batch) cut at about so many bytes of text; the same input
-    split gives the same blocks again."""
-    from pyspark import TaskContext
-
-    part, serial = TaskContext.get().partitionId(), 0
-    for b in batches:
-        start = size = 0
-        for i, n in enumerate(len(t or b"") for t in as_bytes(b.column("text"))):
-            size += n
-            if size >= block_bytes or i + 1 - start >= BLOCK_ROWS:
-                yield part << 32 | serial, b.slice(start, i + 1 - start)
-                start, size, serial = i + 1, 0, serial + 1
-        if start < b.num_rows:
-            yield part << 32 | serial, b.slice(start)
-            serial += 1
+class Grams:
+    """The n-grams of the texts of a block.
 
+    hashes[m] holds for every token the hash of the m+1 tokens that end there; a
+    start mark stands before a text's first token. valid[m] is False where that
+    would reach beyond the start mark."""
 
-def gram_hashes(texts: list, order: int):
-    """Token hashes of all texts by order, and where each text starts.
+    def __init__(self, texts: list, order: int):
+        import numpy as np
+        import xxhash
+
+        words: dict[bytes, int] = {}
+        lists = [tokens(t) for t in texts]
+        self.lengths = np.array([len(x) for x in lists], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        n = int(self.lengths.sum())
+        self.codes = np.fromiter((words.setdefault(w, len(words)) for x in lists for w in x), np.int64, n)
+        self.n_words, self.end = len(words), words.get(b"", 0)
+        one = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))[self.codes]
+        self.hashes, self.valid = [one], [np.ones(n, bool)]
+        for m in range(1, order):
+            before = np.roll(self.hashes[-1], 1)
+            before[self.starts] = np.uint64(m)  # start mark
+            with np.errstate(over="ignore"):
+                h = (before ^ (before >> np.uint64(29))) * np.uint64(_NUL_SAFE) + one
+                h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            self.hashes.append(h ^ (h >> np.uint64(29)))
+            valid = np.roll(self.valid[-1], 1) if m > 1 else np.ones(n, bool)
+            if m > 1:
+                valid[self.starts] = False
+            self.valid.append(valid)
+
+    def asked(self, trains):
+        """Per n-gram length (from 0) the sorted distinct hashes and their counts
+        in training texts."""
+        import numpy as np
 
-    Index m holds for every token the hash of the m+1 tokens ending there; a
-    text's first tokens are preceded by a start mark."""
-    import numpy as np
-    import xxhash
-
-    words: dict[bytes, int] = {}
-    lists = [tokens(t) for t in texts]
-    starts = np.cumsum([0] + [len(x) for x in lists])[:-1]
-    codes = np.fromiter((words.setdefault(w, len(words)) for x in lists for w in x), np.int64, sum(map(len, lists)))
-    known = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
-    one = known[codes]
-    grams = [one]
-    first = np.zeros(len(one), bool)
-    first[starts] = True
-    for m in range(1, order):
-        before = np.roll(grams[-1], 1)
-        before[first] = np.uint64(m)  # start mark
-        with np.errstate(over="ignore"):
-            h = (before ^ (before >> np.uint64(29))) * np.uint64(_NUL_SAFE) + one
-            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        grams.append(h ^ (h >> np.uint64(29)))
-    return grams, starts, first
-
-
-def context_hashes(grams, first, m: int):
-    """Hash of the m tokens before each token."""
-    import numpy as np
+        for m, (h, ok) in enumerate(zip(self.hashes, self.valid)):
+            h, at = np.unique(h[ok], return_inverse=True)
+            yield m, h, np.bincount(at, weights=trains[ok], minlength=len(h)).astype(np.int64)
 
-    before = np.roll(grams[m - 1], 1)
-    before[first] = np.uint64(m)
-    return before
 
+class Automaton:
+    """The states and arcs that the texts of a block can reach."""
 
-def asked(grams, first, trains, order: int):
-    """Per kind (0..order-1: n-grams, order..: contexts) the sorted distinct
-    hashes and their counts in training texts. Contexts of one word are counted
-    by the word itself, but for the start mark."""
-    import numpy as np
+    def __init__(self, grams: Grams, totals: list, n_train: int, vocab: int, discount: float, mu: float):
+        """totals[m]: training count of the m+1 tokens that end at each token (0
+        where that is not valid)."""
+        import numpy as np
 
-    for m in range(order):
-        h, at = np.unique(grams[m], return_inverse=True)
-        yield m, h, np.bincount(at, weights=trains, minlength=len(h)).astype(np.int64)
-    for m in range(1, order):
-        h, at = np.unique(context_hashes(grams, first, m), return_inverse=True)
-        yield order + m - 1, h, np.bincount(at, weights=trains, minlength=len(h)).astype(np.int64)
+        order, n = len(totals), len(grams.codes)
+        is_first = np.zeros(n, bool)
+        is_first[grams.starts] = True
+        back_one = lambda x: np.concatenate((x[:1], x[:-1]))
+        c1 = totals[0]
+        n_texts = int(c1[grams.codes == grams.end].max(initial=0))
+        # States: 0 is the root, 1 the start mark; then contexts by length.
+        self.fail, self.back = [0, 0], [0.0, float(np.log10(mu / (n_texts + mu)))]
+        ending = [np.zeros(n, np.int64)]  # state of the m tokens that end at a token
+        for m in range(1, order):
+            there = np.flatnonzero((totals[m - 1] > 0) & (grams.codes != grams.end))
+            _, at, which = np.unique(grams.hashes[m - 1][there], return_index=True, return_inverse=True)
+            state = np.zeros(n, np.int64)
+            state[there] = len(self.fail) + which
+            one = there[at]
+            self.fail += ending[-1][one].tolist()
+            self.back += np.log10(mu / (totals[m - 1][one] + mu)).tolist()
+            ending.append(state)
+        unknown = discount * vocab / n_train if n_train else 1.0
+        p = np.where(c1 > 0, (c1 - discount) / max(n_train, 1), unknown)
+        _, at = np.unique(grams.codes, return_index=True)
+        longest = ending[1] if order > 1 else ending[0]
+        self.root = list(zip(np.log10(p[at]).tolist(), longest[at].tolist()))
+        self.arcs: dict[int, tuple] = {}
+        for m in range(1, order):
+            source = back_one(ending[m])
+            context = back_one(totals[m - 1])
+            source[is_first], context[is_first] = (1, n_texts) if m == 1 else (0, 0)
+            p = (totals[m] + mu * p) / (context + mu)
+            there = np.flatnonzero(totals[m] > 0)
+            _, at = np.unique(grams.hashes[m][there], return_index=True)
+            one = there[at]
+            goes = ending[m + 1 if m + 1 < order else m][one]
+            key = source[one] * grams.n_words + grams.codes[one]
+            self.arcs.update(zip(key.tolist(), zip(np.log10(p[one]).tolist(), goes.tolist())))
+        self.n_words, self.start = grams.n_words, int(order > 1)
+
+    def weight(self, codes: list[int]) -> float:
+        """Sum of the weights on the way of a text."""
+        total, state = 0.0, self.start
+        arcs, root, back, fail, n_words = self.arcs, self.root, self.back, self.fail, self.n_words
+        for w in codes:
+            while state:
+                arc = arcs.get(state * n_words + w)
+                if arc is not None:
+                    break
+                total += back[state]
+                state = fail[state]
+            else:
+                arc = root[w]
+            total += arc[0]
+            state = arc[1]
+        return total
 
 
 def _pack(a) -> bytes:
@@ -136,34 +176,47 @@ def score(
     ``train_on`` (over doc_id) holds.
 
     Null text is empty and has the end token alone; repeated rows count and are
-    scored each; an empty table gives no rows. Columns: doc_id, in_training,
-    n_tokens, n_known, train_tokens, base_score, score."""
+    scored each; an empty table gives no rows; without training texts all words
+    are unknown and weigh 1. A text is held whole by one task, at some hundred
+    bytes a token. Columns: doc_id, in_training, n_tokens, n_known, train_tokens,
+    base_score, score."""
     rows = docs.select("doc_id", "text", F.coalesce(F.expr(train_on), F.lit(False)).alias("in_training"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     size, _ = text_bytes(docs)
     n_buckets = max(16, size // BLOCK_BYTES)
 
+    def gather(batches):
+        import pyarrow as pa
+
+        for block, b in blocks_of(batches, BLOCK_BYTES):
+            lists = [pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(k)) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *lists], ["block", "doc_id", "text", "in_training"])
+
+    blocks = materialise(
+        rows.mapInArrow(gather, f"block long, doc_id array<{id_type}>, text array<string>, in_training array<boolean>"), "lm-blocks", **BLOCK_FILES
+    )
+
     def ask(batches):
         import numpy as np
         import pyarrow as pa
 
-        for block, b in blocks_of(batches):
-            grams, starts, first = gram_hashes(as_bytes(b.column("text")), order)
-            lengths = np.diff(np.append(starts, len(first)))
-            trains = np.repeat(np.array(b.column("in_training").to_pylist(), float), lengths)
-            out = [[], [], [], []]
-            for kind, h, c in asked(grams, first, trains, order):
-                cut = _cuts(h, n_buckets)
-                for k, (hh, cc) in enumerate(zip(np.split(h, cut), np.split(c, cut))):
-                    if len(hh):
-                        for col, v in zip(out, (k, kind, hh.tobytes(), _pack(cc))):
-                            col.append(v)
-            n = len(out[0])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block] * n, pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()),
-                 pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())],
-                ["block", "bucket", "kind", "hashes", "counts"],
-            )
+        for b in batches:
+            for block, texts, flags in zip(b.column("block").to_pylist(), b.column("text"), b.column("in_training")):
+                grams = Grams(as_bytes(texts.values), order)
+                trains = np.repeat(np.array(flags.as_py(), float), grams.lengths)
+                out: list[list] = [[], [], [], []]
+                for kind, h, c in grams.asked(trains):
+                    cut = _cuts(h, n_buckets)
+                    for k, (hh, cc) in enumerate(zip(np.split(h, cut), np.split(c, cut))):
+                        if len(hh):
+                            for col, v in zip(out, (k, kind, hh.tobytes(), _pack(cc))):
+                                col.append(v)
+                n = len(out[0])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block] * n, pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()),
+                     pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())],
+                    ["block", "bucket", "kind", "hashes", "counts"],
+                )
 
     def answer(table):
         import numpy as np
@@ -194,7 +247,7 @@ def score(
         )
 
     answers = materialise(
-        rows.mapInArrow(ask, "block long, bucket long, kind int, hashes binary, counts binary")
+        blocks.mapInArrow(ask, "block long, bucket long, kind int, hashes binary, counts binary")
         .groupBy("bucket")
         .applyInArrow(answer, "block long, bucket long, kind int, totals binary, stats array<long>"),
         "lm-answers",
@@ -203,55 +256,32 @@ def score(
     n_train, vocab, n1, n2 = (int(x or 0) for x in s)
     discount = n1 / (n1 + 2 * n2) if n1 and n2 else fallback_discount
 
-    def place(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for block, b in blocks_of(batches):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block] * b.num_rows, pa.int64()), pa.array(np.arange(b.num_rows)), *b.columns],
-                ["block", "pos", "doc_id", "text", "in_training"],
-            )
-
     def walk(texts, answered):
         import numpy as np
         import pyarrow as pa
 
         if not texts.num_rows:
             return pa.table({n: pa.array([], k) for n, k in zip(out_names, out_kinds)})
-        texts = texts.sort_by("pos")
-        grams, starts, first = gram_hashes(as_bytes(texts.column("text").combine_chunks()), order)
-        lengths = np.diff(np.append(starts, len(first)))
+        ids, words, flags = (texts.column(c)[0].values for c in ("doc_id", "text", "in_training"))
+        grams = Grams(as_bytes(words), order)
         parts: dict[int, list] = {}
         for kind, bucket, raw in zip(*(answered.column(c).to_pylist() for c in ("kind", "bucket", "totals"))):
             parts.setdefault(kind, []).append((bucket, raw))
-
-        def totals(kind, h):
-            keys, at = np.unique(h, return_inverse=True)
-            got = [_unpack(raw) for _, raw in sorted(parts.get(kind, []))]
-            got = np.concatenate(got) if got else np.zeros(0, np.int64)
-            if len(got) != len(keys):
-                raise RuntimeError("a block of documents was read in another split than before")
-            return got[at]
-
-        c1 = totals(0, grams[0])
+        totals = []
+        for m, (h, ok) in enumerate(zip(grams.hashes, grams.valid)):
+            keys, at = np.unique(h[ok], return_inverse=True)
+            got = [_unpack(raw) for _, raw in sorted(parts.get(m, []))]
+            c = np.zeros(len(ok), np.int64)
+            c[ok] = np.concatenate(got)[at] if got else 0
+            totals.append(c)
+        automaton = Automaton(grams, totals, n_train, vocab, discount, mu)
+        c1 = totals[0]
         base = np.log10((c1 + 1) / (n_train + vocab + 1))
-        unknown = discount * vocab / n_train if n_train else 1.0
-        # Root state; then the longer states, each reached where the shorter one left off.
-        p = np.where(c1 > 0, (c1 - discount) / max(n_train, 1), unknown)
-        for m in range(1, order):
-            state = totals(order + m - 1, context_hashes(grams, first, m))
-            arc = totals(m, grams[m])
-            fail = mu / (state + mu)
-            p = arc / (state + mu) + fail * p
+        ends = (grams.starts + grams.lengths).tolist()
+        weights = [automaton.weight(grams.codes[a:z].tolist()) for a, z in zip(grams.starts.tolist(), ends)]
         cols = [
-            texts.column("doc_id").combine_chunks(),
-            texts.column("in_training").combine_chunks(),
-            pa.array(lengths, pa.int64()),
-            pa.array(np.add.reduceat((c1 > 0).astype(np.int64), starts), pa.int64()),
-            pa.array(np.full(len(starts), n_train), pa.int64()),
-            pa.array(np.add.reduceat(base, starts), pa.float64()),
-            pa.array(np.add.reduceat(np.log10(p), starts), pa.float64()),
+            ids, flags, pa.array(grams.lengths), pa.array(np.add.reduceat((c1 > 0).astype(np.int64), grams.starts)),
+            pa.array(np.full(len(ids), n_train), pa.int64()), pa.array(np.add.reduceat(base, grams.starts), pa.float64()), pa.array(weights, pa.float64()),
         ]
         return pa.table(cols, names=out_names)
 
@@ -260,9 +290,8 @@ def score(
 
     out_names = ["doc_id", "in_training", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     out_kinds = [to_arrow_type(rows.schema["doc_id"].dataType), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    placed = rows.mapInArrow(place, f"block long, pos long, doc_id {id_type}, text string, in_training boolean")
     return (
-        placed.groupBy("block")
+        blocks.groupBy("block")
         .cogroup(answers.where("block >= 0").select("block", "bucket", "kind", "totals").groupBy("block"))
         .applyInArrow(
             lambda texts, answered: walk(texts, answered),

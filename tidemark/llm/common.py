@@ -5,31 +5,87 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: spark.checkpoint.dir, or where
-    it is unset (tests, local mode) a temporary folder set for this session."""
+    it is unset a temporary folder set for this session. Only local mode may leave
+    it unset: executors of a cluster would each write to their own disks."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, **options) -> DataFrame:
     """Write df once to the shared folder and read it back.
 
     Later jobs start from the files, so a lost executor costs no more than the
     tasks it was running, and values that depend on task order stay fixed."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialise() that no later job reads."""
+    for table in tables:
+        for path in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+            if "/tidemark/" in path:
+                where = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Rows that one window of a running sum holds at most.
+RUN_ROWS = 2_000
+
+
+def running_before(rows: DataFrame, keys: list[str], order: str, value: str, span: int, out: str = "before") -> DataFrame:
+    """rows with the sum of ``value`` over the rows before each, by ``order`` (whole
+    numbers in 0..span-1, one row each within ``keys``, which are not null).
+
+    Spans above RUN_ROWS are cut: sums of the cuts run first, by the same way."""
+    inside = lambda by: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    if span <= RUN_ROWS:
+        by = keys or [F.lit(0)]
+        return rows.withColumn(out, F.coalesce(F.sum(value).over(inside(by)), F.lit(0)))
+    cut = rows.withColumn("_cut", F.floor(F.col(order) / RUN_ROWS))
+    sums = cut.groupBy(*keys, "_cut").agg(F.sum(value).alias("_sum"))
+    upto = running_before(sums, keys, "_cut", "_sum", -(-span // RUN_ROWS), "_upto").drop("_sum")
+    within = cut.withColumn("_in", F.coalesce(F.sum(value).over(inside([*keys, "_cut"])), F.lit(0)))
+    return within.join(upto, [*keys, "_cut"]).withColumn(out, F.col("_in") + F.col("_upto")).drop("_in", "_upto", "_cut")
+
+
+#: A block is one large value, so files are cut at few rows.
+BLOCK_FILES = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+#: Rows of a block at most, so that two bytes number them.
+BLOCK_ROWS = 65_000
+
+
+def blocks_of(batches, block_bytes: int, block_rows: int = BLOCK_ROWS):
+    """(block id, record batch) cut at about so many bytes of the column text. The
+    id tells the blocks of one pass apart; another pass may cut elsewhere."""
+    from pyspark import TaskContext
+
+    part, serial = TaskContext.get().partitionId(), 0
+    for b in batches:
+        start = size = 0
+        for i, n in enumerate(len(t or b"") for t in as_bytes(b.column("text"))):
+            size += n
+            if size >= block_bytes or i + 1 - start >= block_rows:
+                yield part << 32 | serial, b.slice(start, i + 1 - start)
+                start, size, serial = i + 1, 0, serial + 1
+        if start < b.num_rows:
+            yield part << 32 | serial, b.slice(start)
+            serial += 1
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

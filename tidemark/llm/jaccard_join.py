@@ -24,8 +24,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .backoff_lm import BLOCK_BYTES, blocks_of
-from .common import as_bytes, materialise, text_bytes
+from .backoff_lm import BLOCK_BYTES
+from .common import as_bytes, blocks_of, materialise, text_bytes
 from .components import least_labels
 
 _UPPER = bytes(range(0x41, 0x5B))
@@ -112,7 +112,7 @@ def set_table(docs: DataFrame, width: int) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
-        for _, b in blocks_of(batches):
+        for _, b in blocks_of(batches, BLOCK_BYTES):
             sets = block_sets(as_bytes(b.column("text")), width)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()),
@@ -217,7 +217,7 @@ def unshared_in_texts(docs: DataFrame, width: int) -> DataFrame:
         import numpy as np
         import xxhash
 
-        for block, b in blocks_of(batches):
+        for block, b in blocks_of(batches, BLOCK_BYTES):
             sets = block_sets(as_bytes(b.column("text")), width)
             keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             kinds = [int.from_bytes(k[-4:], "big") for k in keys]
@@ -385,7 +385,7 @@ def join_components(docs: DataFrame, *, shingle_words: int = 5, num: int = 75, d
         import numpy as np
         import pyarrow as pa
 
-        for block, b in blocks_of(batches):
+        for block, b in blocks_of(batches, BLOCK_BYTES):
             sets = block_sets(as_bytes(b.column("text")), shingle_words)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block] * len(sets), pa.int64()), pa.array(np.arange(len(sets))), b.column("cid"), pa.array([len(s) for s in sets], pa.int64()),

@@ -28,8 +28,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .backoff_lm import blocks_of
-from .common import as_bytes, materialise, text_bytes
+
+from .common import as_bytes, blocks_of, materialise, text_bytes
 from .suffix_arrays import common_prefixes, suffix_array, words_at
 
 ANCHOR_BYTES = 64
