@@ -151,6 +151,27 @@ def test_cut_repeats(docs, none, rows):
     assert suffix_dedup.cut_repeats(none).count() == 0
 
 
+def test_cut_repeats_in_long_texts(spark):
+    r = random.Random(8)
+    long = prose(r, 900)
+    texts = [long, long[:700] + prose(r, 300) + long[1500:2900], prose(r, 700), prose(r, 60) + long[-450:], long[:199], "é" * 450, None]
+    texts[2] += texts[2][100:500]
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(b[k : k + 200] for b in raw for k in range(len(b) - 199))
+    want = []
+    for i, b in enumerate(raw):
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 199):
+            if seen[b[k : k + 200]] > 1:
+                gone[k : k + 200] = True
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        want.append((i, len(b), int(gone.sum()), int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest(), kept))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for size in (64, 333, 5000):
+        got = suffix_dedup.cut_repeats(table, piece_bytes=size, with_text=True).collect()
+        assert sorted((*r[:5], bytes(r[5])) for r in got) == want
+
+
 @pytest.mark.parametrize("hot", [3, 2_000])
 def test_cut_repeats_around_a_frequent_line(spark, hot):
     r = random.Random(5)

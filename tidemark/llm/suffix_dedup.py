@@ -20,7 +20,10 @@ in ever different surroundings) would make a shard of any size. Its windows are
 told apart by 128-bit hashes instead, counted in buckets of these hashes.
 
 Blocks are folded first, so a passage that a third of all documents share is
-sent once per block, and no step holds all occurrences of anything.
+sent once per block, and no step holds all occurrences of anything. Long texts are
+cut into pieces that overlap by less than a window: the windows that start in a
+piece are its own. Blocks are cut once and written as one row each, so all passes
+see the same.
 """
 
 from __future__ import annotations
@@ -28,8 +31,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-from .common import as_bytes, blocks_of, materialise, text_bytes
+from .common import BLOCK_FILES, BLOCK_ROWS, as_bytes, discard, materialise, text_bytes
 from .suffix_arrays import common_prefixes, suffix_array, words_at
 
 ANCHOR_BYTES = 64
@@ -39,6 +41,8 @@ BLOCK_BYTES = 2 << 20
 SHARD_BYTES = 1 << 20
 #: Different contexts (336 bytes at most) up to which a shard compares an anchor's windows.
 HOT_CONTEXTS = 2_000
+#: Bytes of a text whose windows are looked at together.
+PIECE_BYTES = 1 << 20
 _BREAK = 0xFF  # in no UTF-8 text
 
 
@@ -166,34 +170,76 @@ def _cut_points(n_buckets: int):
     return np.array([step * k for k in range(1, n_buckets)], np.uint64)
 
 
-def cut_repeats(docs: DataFrame, *, least: int = 200, with_text: bool = False, hot: int = HOT_CONTEXTS) -> DataFrame:
+def cut_repeats(docs: DataFrame, *, least: int = 200, with_text: bool = False, hot: int = HOT_CONTEXTS, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """Per document: n_bytes, n_removed, n_spans, kept_sha256 (and kept, binary).
 
     Texts are UTF-8 bytes, null is empty; windows never cross documents; texts
     below ``least`` bytes lose nothing; repeated rows are places of their own,
-    so copies lose all; an empty table gives no rows."""
+    so copies lose all; an empty table gives no rows. A text longer than
+    ``piece_bytes`` is worked on in pieces and put together at the end, at a few
+    bytes of memory per byte."""
     rows = docs.select("doc_id", "text")
     id_type = rows.schema["doc_id"].dataType.simpleString()
     size, _ = text_bytes(docs)
     n_buckets = max(16, size // SHARD_BYTES)
 
+    def gather(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, serial, row = TaskContext.get().partitionId(), 0, 0
+        for b in batches:
+            held: list[tuple] = []
+            size = 0
+
+            def block():
+                at, rows, starts, totals, texts = zip(*held)  # noqa: B023
+                one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+                longs = [one(pa.array(x, pa.int64())) for x in (rows, starts, totals)]
+                ids = one(b.column("doc_id").take(pa.array(at, pa.int64())))  # noqa: B023
+                return pa.RecordBatch.from_arrays(
+                    [pa.array([part << 32 | serial], pa.int64()), ids, *longs, one(pa.array(texts, pa.binary()))],  # noqa: B023
+                    ["block", "doc_id", "row", "start", "total", "text"],
+                )
+
+            for i, text in enumerate(as_bytes(b.column("text"))):
+                text = text or b""
+                for start in range(0, max(len(text) - least + 1, 1), piece_bytes):
+                    last = start + piece_bytes > len(text) - least
+                    piece = text[start:] if last else text[start : start + piece_bytes + least - 1]
+                    held.append((i, part << 40 | row, start, len(text), piece))
+                    size += len(piece)
+                    if size >= BLOCK_BYTES or len(held) >= BLOCK_ROWS:
+                        yield block()
+                        held, size, serial = [], 0, serial + 1
+                row += 1
+            if held:
+                yield block()
+                serial += 1
+
+    blocks = materialise(
+        rows.mapInArrow(gather, f"block long, doc_id array<{id_type}>, row array<long>, start array<long>, total array<long>, text array<binary>"),
+        "suffix-blocks", **BLOCK_FILES,
+    )
+
     def ask(batches):
         import numpy as np
         import pyarrow as pa
 
         bounds = _cut_points(n_buckets)
-        for block, b in blocks_of(batches, BLOCK_BYTES):
-            a, c, count, *_ = folded(as_bytes(b.column("text")), least)
-            cut = np.searchsorted(a, bounds)
-            cols: list[list] = [[], [], [], []]
-            for k, (x, y, m) in enumerate(zip(np.split(a, cut), np.split(c, cut), np.split(np.minimum(count, 2).astype(np.uint8), cut))):
-                if len(x):
-                    for col, v in zip(cols, (k, x.tobytes(), y.tobytes(), m.tobytes())):
-                        col.append(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block] * len(cols[0]), pa.int64()), pa.array(cols[0], pa.int64()), *(pa.array(v, pa.binary()) for v in cols[1:])],
-                ["block", "bucket", "anchors", "contexts", "counts"],
-            )
+        for b in batches:
+            for block, texts in zip(b.column("block").to_pylist(), b.column("text").to_pylist()):
+                a, c, count, *_ = folded(texts, least)
+                cut = np.searchsorted(a, bounds)
+                cols: list[list] = [[], [], [], []]
+                for k, (x, y, m) in enumerate(zip(np.split(a, cut), np.split(c, cut), np.split(np.minimum(count, 2).astype(np.uint8), cut))):
+                    if len(x):
+                        for col, v in zip(cols, (k, x.tobytes(), y.tobytes(), m.tobytes())):
+                            col.append(v)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block] * len(cols[0]), pa.int64()), pa.array(cols[0], pa.int64()), *(pa.array(v, pa.binary()) for v in cols[1:])],
+                    ["block", "bucket", "anchors", "contexts", "counts"],
+                )
 
     def sort_out(table):
         """0: the anchor occurs once; 1: send the context; 2: another block sends it;
@@ -219,34 +265,19 @@ def cut_repeats(docs: DataFrame, *, least: int = 200, with_text: bool = False, h
         return pa.table([table.column("block"), table.column("bucket"), pa.array(parts, pa.binary())], names=["block", "bucket", "codes"])
 
     codes = materialise(
-        rows.select("doc_id", "text")
-        .mapInArrow(ask, "block long, bucket long, anchors binary, contexts binary, counts binary")
+        blocks.mapInArrow(ask, "block long, bucket long, anchors binary, contexts binary, counts binary")
         .groupBy("bucket")
         .applyInArrow(sort_out, "block long, bucket long, codes binary"),
         "suffix-codes",
     )
 
-    def place(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for block, b in blocks_of(batches, BLOCK_BYTES):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block] * b.num_rows, pa.int64()), pa.array(np.arange(b.num_rows)), *b.columns],
-                ["block", "pos", "doc_id", "text"],
-            )
-
     def in_order(texts, answers, column):
         """The block's folded anchors and what the buckets say of each."""
         import numpy as np
 
-        texts = texts.sort_by("pos")
-        got = folded(as_bytes(texts.column("text").combine_chunks()), least)
+        got = folded(texts.column("text")[0].as_py(), least)
         parts = sorted((k, v) for k, v in zip(*(answers.column(x).to_pylist() for x in ("bucket", column))) if v is not None)
-        code = np.frombuffer(b"".join(v for _, v in parts), np.uint8)
-        if len(code) != len(got[0]):
-            raise RuntimeError("a block of documents was read in another split than before")
-        return texts, got, code
+        return got, np.frombuffer(b"".join(v for _, v in parts), np.uint8)
 
     def send(texts, answers):
         import numpy as np
@@ -254,7 +285,7 @@ def cut_repeats(docs: DataFrame, *, least: int = 200, with_text: bool = False, h
 
         cols: list[list] = [[], [], [], [], [], []]
         if texts.num_rows:
-            texts, (a, c, count, at, entry, (joined, _, _, _, low, n)), code = in_order(texts, answers, "codes")
+            (a, c, count, at, entry, (joined, _, _, _, low, n)), code = in_order(texts, answers, "codes")
             block = texts.column("block")[0].as_py()
             much = np.flatnonzero(code[entry] == 3)
             if len(much):
@@ -322,39 +353,29 @@ def cut_repeats(docs: DataFrame, *, least: int = 200, with_text: bool = False, h
         found = [bits[w].tobytes() for w in np.split(where, np.cumsum([len(x) for x in c])[:-1])]
         return pa.table([table.column("block"), table.column("bucket"), pa.array(found, pa.binary())], names=["block", "bucket", "bits"])
 
-    def placed():
-        return rows.mapInArrow(place, f"block long, pos long, doc_id {id_type}, text string")
-
     answers = materialise(
-        placed()
-        .groupBy("block")
+        blocks.groupBy("block")
         .cogroup(codes.groupBy("block"))
         .applyInArrow(lambda texts, told: send(texts, told), "block long, bucket long, contexts binary, flags binary, sizes binary, texts binary")
         .groupBy("bucket")
         .applyInArrow(compare, "block long, bucket long, bits binary"),
         "suffix-answers",
     )
-    out = f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-
     def cut(texts, told):
-        import hashlib
-
         import numpy as np
         import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
 
-        cols: list[list] = [[], [], [], [], [], []]
-        schema = to_arrow_schema(out_schema)
+        rows: list[tuple] = []
         if texts.num_rows:
-            texts, (_, _, _, _, entry, (joined, starts, lengths, _, low, n)), code = in_order(texts, told, "codes")
+            (_, _, _, _, entry, (joined, starts, lengths, _, low, n)), code = in_order(texts, told, "codes")
             parts = sorted((k, v) for k, v in zip(told.column("bucket").to_pylist(), told.column("bits").to_pylist()) if v is not None)
             bits = np.frombuffer(b"".join(v for k, v in parts if k < n_buckets), np.uint8).reshape(-1, width)
             compared = (code == 1) | (code == 2)
             nth = np.cumsum(compared) - 1
             asked = np.flatnonzero(compared[entry])
             twice = np.unpackbits(bits[nth[entry[asked]]], axis=1)
-            row, col = np.nonzero(twice)
-            hit = low[asked][row] + col
+            run, col = np.nonzero(twice)
+            hit = low[asked][run] + col
             much = np.flatnonzero(code[entry] == 3)
             if len(much):
                 at, _, which = hot_windows(joined, low[much], n[much], least)
@@ -362,24 +383,57 @@ def cut_repeats(docs: DataFrame, *, least: int = 200, with_text: bool = False, h
                 hit = np.concatenate((hit, at[told_hot[which] > 0]))
             edge = np.bincount(hit, minlength=len(joined) + 1) - np.bincount(hit + least, minlength=len(joined) + 1)
             gone = np.cumsum(edge[: len(joined)]) > 0
-            for k, (s, m) in enumerate(zip(starts.tolist(), lengths.tolist())):
-                mine = gone[s : s + m]
-                text = np.frombuffer(joined, np.uint8, m, s)
-                removed = int(mine.sum())
-                kept = text[~mine].tobytes() if removed else text.tobytes()
-                spans = int(mine[:1].sum() + (mine[1:] & ~mine[:-1]).sum()) if removed else 0
-                for c, v in zip(cols, (k, m, removed, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None)):
-                    c.append(v)
-        ids = texts.column("doc_id").combine_chunks()
-        arrays = [ids.take(pa.array(cols[0], pa.int64())), *(pa.array(v, f.type) for v, f in zip(cols[1:], list(schema)[1:]))]
-        return pa.table(arrays, schema=schema)
+            ids = texts.column("doc_id")[0].as_py()
+            of = zip(ids, *(texts.column(c)[0].as_py() for c in ("row", "start", "total")), starts.tolist(), lengths.tolist())
+            for doc_id, row, start, total, s, m in of:
+                text, mine = joined[s : s + m], gone[s : s + m]
+                if m == total:
+                    rows.append((doc_id, row, *without(text, mine), None, None, start))
+                else:
+                    rows.append((doc_id, row, total, None, None, None, None, text, np.packbits(mine).tobytes(), start))
+        schema = to_arrow_schema(pieces_schema)
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema) if rows else schema.empty_table()
+
+    def without(text: bytes, gone):
+        """n_bytes, n_removed, n_spans, kept_sha256, kept of a whole text."""
+        import hashlib
+
+        import numpy as np
+
+        removed = int(gone.sum())
+        kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if removed else text
+        spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()) if removed else 0
+        return len(text), removed, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None
 
+    def join_pieces(table):
+        """A long text from its pieces: a byte is gone if it is in any of them."""
+        import numpy as np
+        import pyarrow as pa
+
+        total = table.column("n_bytes")[0].as_py()
+        text, gone = bytearray(total), np.zeros(total, bool)
+        for start, piece, bits in zip(*(table.column(c).to_pylist() for c in ("start", "piece", "gone"))):
+            text[start : start + len(piece)] = piece
+            gone[start : start + len(piece)] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=len(piece)).astype(bool)
+        schema = to_arrow_schema(out_schema)
+        cols = [table.column("doc_id").combine_chunks()[:1], *([v] for v in without(bytes(text), gone)[: len(schema) - 1])]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    out = f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     out_schema = _parse_datatype_string(out)
+    pieces = f"doc_id {id_type}, row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, piece binary, gone binary, start long"
+    pieces_schema = _parse_datatype_string(pieces)
     told = codes.select("block", "bucket", "codes", F.lit(None).cast("binary").alias("bits")).unionByName(
         answers.select("block", "bucket", F.lit(None).cast("binary").alias("codes"), "bits")
     )
+    done = materialise(
+        blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda texts, told: cut(texts, told), pieces_schema), "suffix-cut"
+    )
+    discard(blocks, codes, answers)
     return (
-        placed().groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda texts, told: cut(texts, told), out_schema)
+        done.where("piece is null").select(*out_schema.names)
+        .unionByName(done.where("piece is not null").groupBy("row").applyInArrow(join_pieces, out_schema))
     )
