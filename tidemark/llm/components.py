@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def least_labels(edges: DataFrame) -> DataFrame:
@@ -13,7 +13,7 @@ def least_labels(edges: DataFrame) -> DataFrame:
 
     Every round takes the least label among the neighbours and then follows the
     label's own label, so the number of rounds grows with the logarithm of the
-    longest path. Rounds are written out, so lineage stays short."""
+    longest path. Rounds are written out, so lineage stays short; only the last stays."""
     both = materialise(
         edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "components-edges"
     )
@@ -31,6 +31,8 @@ def least_labels(edges: DataFrame) -> DataFrame:
             "components-labels",
         )
         changed = new.where("label <> old").limit(1).count()
+        discard(labels)
         labels = new.select("id", "label")
         if not changed:
+            discard(both)
             return labels

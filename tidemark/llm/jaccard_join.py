@@ -15,17 +15,20 @@ domain) drop out: they cannot reach t with anything. Both steps lose nothing.
 Sets of a signature are first compared with the least one only. The exact way
 for the rest: of the members of signatures that are still in different
 components, those are compared whose first common shingle, rare ones first,
-leaves room for enough common ones. Groups of near copies and texts that share
-a passage thus never unfold into pairs.
+leaves room for enough common ones. Groups of near copies thus do not unfold into
+pairs, nor do texts that share a passage; texts of one template that are nearly but
+not quite similar do, and each such pair is then compared.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .backoff_lm import BLOCK_BYTES
-from .common import as_bytes, blocks_of, materialise, text_bytes
+from .common import as_bytes, blocks_of, discard, materialise, text_bytes
 from .components import least_labels
 
 _UPPER = bytes(range(0x41, 0x5B))
@@ -132,7 +135,7 @@ def _entries(block: int, ids, sets: list, kinds, share: int, bounds):
     some = [s[(s & np.uint64(1023)) < share] for s in sets]
     h = np.concatenate(some) if some else np.zeros(0, np.uint64)
     n = [len(s) for s in some]
-    who, kind = np.repeat(np.asarray(ids, np.uint16), n), np.repeat(np.asarray(kinds, np.uint32), n)
+    who, kind = np.repeat(np.asarray(ids, np.uint16), n), np.repeat(np.asarray(kinds, np.uint64), n)
     order = np.lexsort((who, kind, h))
     h, who, kind = h[order], who[order], kind[order]
     fresh = np.ones(len(h), bool)
@@ -179,7 +182,7 @@ def _count_unshared(entries: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         hashes = [np.frombuffer(x, np.uint32) for x in table.column("hashes").to_pylist()]
-        kinds = np.frombuffer(b"".join(table.column("kinds").to_pylist()), np.uint32)
+        kinds = np.frombuffer(b"".join(table.column("kinds").to_pylist()), np.uint64)
         owners = [np.frombuffer(x, np.uint16) for x in table.column("owners").to_pylist()]
         h = np.concatenate(hashes)
         order = np.argsort(h, kind="stable")
@@ -208,8 +211,7 @@ def _count_unshared(entries: DataFrame) -> DataFrame:
 
 
 def unshared_in_texts(docs: DataFrame, width: int) -> DataFrame:
-    """Over a share of the hash domain, for all documents, by set hash. Classes are
-    told apart by 32 bits of it."""
+    """Over a share of the hash domain, for all documents, by set hash."""
     size, _ = text_bytes(docs)
     n_buckets = max(16, size // BLOCK_BYTES)
 
@@ -220,7 +222,7 @@ def unshared_in_texts(docs: DataFrame, width: int) -> DataFrame:
         for block, b in blocks_of(batches, BLOCK_BYTES):
             sets = block_sets(as_bytes(b.column("text")), width)
             keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            kinds = [int.from_bytes(k[-4:], "big") for k in keys]
+            kinds = [int.from_bytes(k[-8:], "big") for k in keys]
             found = list(_entries(block, np.arange(len(sets)), sets, kinds, LOOKED_AT, _bounds(n_buckets)))
             yield _entry_batch([*found, (block, block % n_buckets, b"", b"", b"", b"".join(keys))])
 
@@ -234,7 +236,6 @@ def unshared_in_sets(sets: DataFrame) -> DataFrame:
 
     def ask(batches):
         import numpy as np
-        import xxhash
         from pyspark import TaskContext
 
         part, serial = TaskContext.get().partitionId(), 0
@@ -244,7 +245,7 @@ def unshared_in_sets(sets: DataFrame) -> DataFrame:
                 if len(mine):
                     rows = b.slice(int(mine[0]), len(mine))
                     keys = [c.to_bytes(KEY_BYTES, "big", signed=True) for c in rows.column("cid").to_pylist()]
-                    kinds = [xxhash.xxh32_intdigest(k) for k in keys]
+                    kinds = rows.column("cid").to_numpy()
                     own = [np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()]
                     block, serial = part << 32 | serial, serial + 1
                     found = list(_entries(block, np.arange(len(own)), own, kinds, 1024, _bounds(n_buckets)))
@@ -357,20 +358,21 @@ def across_components(sets: DataFrame, open_ones: DataFrame, num: int, den: int)
 
 def join_components(docs: DataFrame, *, shingle_words: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """One row per document: doc_id, text_hash, n_shingles, component_id (least
-    doc_id reachable by links), class_size (documents with the same set).
+    doc_id reachable by links), class_size (documents with the same set), kept
+    (true for one row of every component, and for rows without words).
 
     Texts without words have no shingles and are linked with nothing, not even
     with each other; a null doc_id is treated as an id above all others; repeated
-    rows are one class; an empty table gives no rows."""
+    rows are one class; an empty table gives no rows. A text is held whole by one
+    task, at about a hundred bytes a word."""
     spark = docs.sparkSession
     table = materialise(set_table(docs, shingle_words).withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
     unshared = unshared_in_texts(docs, shingle_words).groupBy(F.col("key").alias("set_hash")).agg(F.max("unshared").alias("unshared"))
     classes = materialise(
         table.where("n_shingles > 0").groupBy("set_hash").agg(
-            F.min(F.struct("row", "doc_id", "text_hash", "n_shingles")).alias("first"),
-            F.min("doc_id").alias("least_id"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "text_hash", "n_shingles")).alias("first"),
             F.count(F.lit(1)).alias("class_size"),
-        ).join(unshared, "set_hash", "left").na.fill(0, ["unshared"]).select("set_hash", F.col("first.row").alias("cid"), "least_id", "class_size", "unshared",
+        ).join(unshared, "set_hash", "left").na.fill(0, ["unshared"]).select("set_hash", F.col("first.row").alias("cid"), F.col("first.doc_id").alias("least_id"), "class_size", "unshared",
                  F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), F.col("first.n_shingles").alias("n_shingles")),
         "jaccard-classes",
     )
@@ -442,27 +444,33 @@ def join_components(docs: DataFrame, *, shingle_words: int = 5, num: int = 75, d
     if more.limit(1).count():
         labels = least_labels(links.union(more))
     whole = classes.join(labels, F.col("cid") == F.col("id"), "left").withColumn("label", F.coalesce("label", "cid"))
+    discard(first, sets, shared, links, open_ones, more)
     # Only classes with a link take part in the sums over components.
-    linked = whole.where("id is not null").groupBy("label").agg(F.min("least_id").alias("component_id"))
+    linked = whole.where("id is not null").groupBy("label").agg(F.min(F.struct(F.col("least_id").isNull(), "least_id", "cid")).alias("head"))
     named_classes = whole.join(linked, "label", "left").select(
-        "set_hash", "class_size", F.coalesce("component_id", "least_id").alias("component_id")
+        F.col("set_hash").alias("k"), "class_size", F.coalesce("head.least_id", "least_id").alias("component_id"), F.coalesce("head.cid", "cid").alias("keeper")
     )
     return (
-        table.join(named_classes.withColumnRenamed("set_hash", "k"), (F.col("set_hash") == F.col("k")) & (F.col("n_shingles") > 0), "left")
-        .select("row", "doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+        table.join(named_classes, (F.col("set_hash") == F.col("k")) & (F.col("n_shingles") > 0), "left")
+        .select("row", "doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"),
+                (F.coalesce("keeper", "row") == F.col("row")).alias("kept"))
     )
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of every component (that of the least doc_id);
-    documents without words all stay; columns pass through unchanged."""
-    found = join_components(docs, **options)
-    kept = (
-        found.where((F.col("doc_id") == F.col("component_id")) | (F.col("n_shingles") == 0) | F.col("component_id").isNull())
-        .select(F.col("doc_id").alias("_k_id"), F.col("text_hash").alias("_k_hash"), "n_shingles", "component_id")
-        .distinct()
-    )
-    one = docs.withColumn("_text_hash", F.xxhash64("text")).join(
-        kept.select("_k_id", "_k_hash"), F.col("doc_id").eqNullSafe(F.col("_k_id")) & (F.col("_text_hash") == F.col("_k_hash"))
+    """docs with one row of every component: that of the least doc_id (null ids
+    last), and one of them where rows repeat. Documents without words are linked
+    with nothing and all stay; columns pass through unchanged whatever their names."""
+    found = materialise(join_components(docs, **options).select("doc_id", "text_hash", "n_shingles", "kept"), "jaccard-found")
+    # Rows are found again by id and text. Of rows that agree in both, all stay or one.
+    own = f"_{uuid.uuid4().hex}_"
+    keys = (
+        found.groupBy("doc_id", "text_hash").agg(F.max("kept").alias("kept"), ((F.count(F.lit(1)) > 1) & (F.max("n_shingles") > 0)).alias("again"))
+        .where("kept").select(*[F.col(c).alias(own + c) for c in ("doc_id", "text_hash", "again")])
     )
-    return one.drop("_k_id", "_k_hash", "_text_hash")
+    rows = docs.withColumn(own + "hash", F.xxhash64("text"))
+    one = rows.join(keys, F.col("doc_id").eqNullSafe(F.col(own + "doc_id")) & (F.col(own + "hash") == F.col(own + "text_hash")))
+    again = F.col(own + "again")
+    packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    firsts = one.where(again).groupBy(own + "doc_id", own + "text_hash").agg(F.first(packed).alias(own + "row")).select(own + "row.*")
+    return one.where(~again).select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(firsts)
