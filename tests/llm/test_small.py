@@ -1,6 +1,7 @@
 """Operators against brute force on small tables with awkward rows."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -496,11 +497,47 @@ def test_url_lists(spark):
     from datetime import datetime, timedelta
 
     day = lambda n: datetime(2024, 1, 1) + timedelta(days=n)
-    events = [("bad.example.com", day(1), "add", "r1"), ("bad.example.com", day(3), "remove", "r1"), ("example.org", day(0), "add", "r2"), (None, day(0), "add", "x"), ("z", None, "add", "x")]
-    caps = [(1, "http://bad.example.com/x", day(1)), (2, "http://bad.example.com/x", day(3)), (3, "https://u@WWW.Example.org:8080/", day(9)), (4, "nohost", day(9)), (5, None, day(9)),
-            (6, "http://bad.example.com", None), (7, "http://bad.example.com", day(0)), (1, "http://bad.example.com/x", day(1)), (8, "http://notexample.org", day(9))]
-    table = spark.createDataFrame(caps, "page_id int, url string, fetched_at timestamp")
+    events = [
+        ("bad.example.com", day(1), "add", "host"), ("bad.example.com", day(3), "remove", "host"), ("example.org", day(0), "add", "domain"),
+        (None, day(0), "add", "host"), ("z", None, "add", "host"), ("bad.example.com", day(0), "add", "other"), ("bad.example.com", day(0), None, "host"),
+        # Two rules on one key: each has intervals of its own.
+        ("two.net", day(2), "add", "domain"), ("two.net", day(4), "add", "host"), ("two.net", day(5), "remove", "host"),
+        ("two.net/a/b", day(7), "add", "path"), ("two.net/a/b", day(7), "remove", "path"), ("two.net/a", day(8), "add", "path"),
+    ]
+    cases = [
+        ("http://bad.example.com/x", day(1), "host"), ("http://bad.example.com/x", day(3), None), ("https://u@WWW.Example.org:8080/", day(9), "domain"),
+        ("nohost", day(9), None), (None, day(9), None), ("http://bad.example.com", None, None), ("http://bad.example.com", day(0), None),
+        ("http://a.bad.example.com/x", day(1), None), ("http://notexample.org", day(9), None), ("http://two.net/a/b", day(3), "domain"),
+        ("http://two.net/", day(4), "host"), ("http://two.net/", day(6), "domain"), ("http://www.two.net/", day(4), "domain"),
+        ("http://two.net/a/b/c?x#y", day(7), "domain"), ("http://two.net/a/b/c?x#y", day(8), "path"), ("http://two.net/ab", day(8), "domain"),
+        ("http://www.two.net/a", day(8), "domain"), ("http://two.net/a", day(1), None), ("http://bad.example.com/x", day(1), "host"),
+    ]
+    rows = [(i % 17, u, t, "k") for i, (u, t, _) in enumerate(cases)]
+    table = spark.createDataFrame(rows, "page_id int, url string, fetched_at timestamp, `key` string")
     listed = url_lists.validity(spark.createDataFrame(events, "key string, at timestamp, action string, rule string"))
-    got = sorted((r.page_id, r.blocked, r.rule) for r in url_lists.filter_captures(table, listed).collect())
-    assert got == sorted([(1, True, "r1"), (1, True, "r1"), (2, False, None), (3, True, "r2"), (4, False, None), (5, False, None), (6, False, None), (7, False, None), (8, False, None)], key=str)
+    got = sorted((r.page_id, str(r.url), str(r.fetched_at), str(r.rule)) for r in url_lists.filter_captures(table, listed).collect())
+    assert got == sorted((i % 17, str(u), str(t), str(rule)) for i, (u, t, rule) in enumerate(cases))
     assert url_lists.filter_captures(table, listed.limit(0)).where("blocked").count() == 0
+    assert url_lists.filter_captures(table.limit(0), listed).count() == 0
+
+
+ORACLES = ["op2_line_frequency", "op3_url_lists", "op4_partenum", "op5_merkle", "op8_suffix", "op10_mix"]
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the given tables are not here")
+@pytest.mark.parametrize("name", ORACLES)
+def test_query_matches_sql(spark, name):
+    import duckdb
+    from tidemark.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
+    df = queries.queries()[name](spark, SF)
+    cols = sorted(df.columns)
+    plain = lambda v: float(f"{v:.9g}") if isinstance(v, float) else v
+    got = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=str)
+    cur = con.execute(queries.oracle_sql()[name])
+    at = [[d[0] for d in cur.description].index(c) for c in cols]
+    assert got and got == sorted((tuple(plain(r[i]) for i in at) for r in cur.fetchall()), key=str)

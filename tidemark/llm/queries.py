@@ -21,16 +21,20 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def list_events(pages: DataFrame) -> DataFrame:
-    """Dated list of hosts derived from pages: every fourth host (by digest) is
-    added on a day of its own in January 2024; half of those are removed nine
-    days later, and a third of these come back after five more; parent domains
-    of some hosts are listed likewise."""
-    hosts = pages.select(url_lists.host_of(F.col("url")).alias("host")).where("host <> ''").distinct()
-    keys = hosts.select("host", F.lit("host").alias("rule")).union(
-        hosts.select(F.substring_index("host", ".", -2).alias("host"), F.lit("domain")).distinct()
+    """Dated list derived from pages: every fourth host, every third first path part
+    of a host, and all parent domains (chosen by digest) are added on a day of their
+    own in January 2024; half of them, and all domains, are removed nine days later,
+    and a third of the hosts come back after five more."""
+    url = F.col("url")
+    hosts = pages.select(url_lists.host_of(url).alias("host"), F.get(url_lists.path_parts(url), 0).alias("part")).where("host <> ''").distinct()
+    keys = (
+        hosts.select(F.col("host").alias("key"), F.lit("host").alias("rule"))
+        .union(hosts.select(F.substring_index("host", ".", -2), F.lit("domain")))
+        .union(hosts.where("part is not null").select(F.concat_ws("/", "host", "part"), F.lit("path")))
+        .distinct()
     )
-    number = F.conv(F.substring(F.md5("host"), 1, 6), 16, 10).cast("long")
-    listed = keys.withColumn("x", number).where("x % 4 = 0 or rule = 'domain'")
+    number = F.conv(F.substring(F.md5("key"), 1, 6), 16, 10).cast("long")
+    listed = keys.withColumn("x", number).where("x % 4 = 0 and rule = 'host' or x % 3 = 0 and rule = 'path' or rule = 'domain'")
     day = lambda n: F.timestamp_seconds(F.lit(1704067200) + 86400 * n)
     start = (F.floor(F.col("x") / 4) % 20).cast("long")
     events = F.array(
@@ -40,7 +44,7 @@ def list_events(pages: DataFrame) -> DataFrame:
     )
     return (
         listed.withColumn("e", F.explode(events)).where("e is not null")
-        .select(F.col("host").alias("key"), "rule", F.col("e.at").alias("at"), F.col("e.action").alias("action"))
+        .select("key", "rule", F.col("e.at").alias("at"), F.col("e.action").alias("action"))
     )
 
 
@@ -126,27 +130,30 @@ def queries() -> dict:
 OP3_SQL = r"""
 WITH hosted AS (
   SELECT page_id, 1704067200 + (page_id * 97) % (30 * 86400) AS fetched_s,
-    regexp_replace(regexp_replace(regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), '(:[0-9]*|\.)+$', '') AS host
+    regexp_replace(regexp_replace(regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), '(:[0-9]*|\.)+$', '') AS host,
+    regexp_replace(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)', 1), '/$', '') AS path,
+    regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)', 1) <> '' AS has_path
   FROM pages),
-hosts AS (SELECT DISTINCT host FROM hosted WHERE host <> ''),
 keys AS (
-  SELECT host AS key, 'host' AS rule FROM hosts
-  UNION ALL SELECT DISTINCT array_to_string(list_slice(string_split(host, '.'), -2, -1), '.'), 'domain' FROM hosts),
+  SELECT host AS key, 'host' AS rule FROM hosted WHERE host <> ''
+  UNION SELECT array_to_string(list_slice(string_split(host, '.'), -2, -1), '.'), 'domain' FROM hosted WHERE host <> ''
+  UNION SELECT host || '/' || string_split(path, '/')[1], 'path' FROM hosted WHERE host <> '' AND has_path),
 numbered AS (SELECT key, rule, CAST('0x' || substr(md5(key), 1, 6) AS BIGINT) AS x FROM keys),
-listed AS (SELECT *, (x // 4) % 20 AS start FROM numbered WHERE x % 4 = 0 OR rule = 'domain'),
+listed AS (
+  SELECT *, (x // 4) % 20 AS start FROM numbered
+  WHERE x % 4 = 0 AND rule = 'host' OR x % 3 = 0 AND rule = 'path' OR rule = 'domain'),
 events AS (
   SELECT key, rule, 1704067200 + 86400 * start AS moment, 'add' AS action FROM listed
   UNION ALL SELECT key, rule, 1704067200 + 86400 * (start + 9), 'remove' FROM listed WHERE (x // 80) % 2 = 0 OR rule = 'domain'
   UNION ALL SELECT key, rule, 1704067200 + 86400 * (start + 14), 'add' FROM listed WHERE (x // 80) % 6 = 0 AND rule = 'host'),
-latest AS (
-  SELECT key, moment, action, rule FROM events
-  QUALIFY row_number() OVER (PARTITION BY key, moment ORDER BY action DESC, rule DESC) = 1),
-spans AS (SELECT key, rule, action, moment AS valid_from, lead(moment) OVER (PARTITION BY key ORDER BY moment) AS valid_to FROM latest),
+spans AS (SELECT key, rule, action, moment AS valid_from, lead(moment) OVER (PARTITION BY rule, key ORDER BY moment) AS valid_to FROM events),
 met AS (
   SELECT h.page_id, s.key, s.rule, s.valid_from,
-    row_number() OVER (PARTITION BY h.page_id ORDER BY length(s.key) DESC) AS n
+    row_number() OVER (PARTITION BY h.page_id ORDER BY CASE s.rule WHEN 'path' THEN 0 WHEN 'host' THEN 1 ELSE 2 END, length(s.key) DESC) AS n
   FROM hosted h JOIN spans s ON s.action = 'add'
-    AND (h.host = s.key OR ends_with(h.host, '.' || s.key))
+    AND (h.host = s.key AND s.rule <> 'path'
+      OR s.rule = 'domain' AND ends_with(h.host, '.' || s.key)
+      OR s.rule = 'path' AND h.has_path AND starts_with(h.host || '/' || h.path || '/', s.key || '/'))
     AND s.valid_from <= h.fetched_s AND (s.valid_to IS NULL OR h.fetched_s < s.valid_to))
 SELECT h.page_id, h.host, h.fetched_s, m.key IS NOT NULL AS blocked, m.key AS matched_key, m.rule, m.valid_from AS valid_from_s
 FROM hosted h LEFT JOIN met m ON m.page_id = h.page_id AND m.n = 1
