@@ -330,7 +330,7 @@ def test_plan_places_all_and_fills():
 
 
 def test_mixing(docs, none, rows):
-    sized = mixing.sizes(docs).drop("text_hash")
+    sized = mixing.sizes(docs)
     got = mixing.take(sized).collect()
     assert len(got) == len(rows)
     size = Counter()
@@ -352,7 +352,33 @@ def test_mixing(docs, none, rows):
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.take(sized.repartition(5)).collect()), key=str)
     assert mixing.take(mixing.sizes(none)).count() == 0
     mixed = mixing.mix(docs)
-    assert mixed.columns == docs.columns and mixed.count() > 0
+    assert mixed.columns == docs.columns and mixing.mix(none).count() == 0
+    times = Counter(r.doc_id for r in mixed.collect())
+    want = Counter()
+    for r in got:
+        want[r.doc_id] += r.times
+    assert times == +want
+
+
+def test_mix_keeps_the_budget_with_repeated_rows(spark):
+    rows = [(1, "a b c", "s", 0), (1, "a b c", "s", 0), (None, "a b c d", "t", 1), (None, None, None, 2), (None, None, None, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `_mix_id` int").withColumns({"_mix_hash": F.lit(1), "times": F.lit("t"), "size": F.lit(0)})
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    got = mixed.collect()
+    assert sum(len((r.text or "").split()) for r in got) <= 15 and max(Counter(map(tuple, got)).values()) <= 4
+    assert {r["_mix_id"] for r in got} == {0, 1, 2}
+
+
+def test_running_sums_in_levels(spark, monkeypatch):
+    from tidemark.llm import common
+
+    monkeypatch.setattr(common, "RUN_ROWS", 3)
+    rows = [(k, o, (7 * o + k) % 5) for k in range(2) for o in range(0, 100, 1 + k)]
+    got = common.running_before(spark.createDataFrame(rows, "k int, o long, v long"), ["k"], "o", "v", 100).collect()
+    assert {(r.k, r.o, r.before) for r in got} == {(k, o, sum(v for j, i, v in rows if j == k and i < o)) for k, o, _ in rows}
+    got = common.running_before(spark.createDataFrame(rows[:100], "k int, o long, v long"), [], "o", "v", 100).collect()
+    assert {(r.o, r.before) for r in got} == {(o, sum(v for _, i, v in rows[:100] if i < o)) for _, o, _ in rows[:100]}
 
 
 def brute_quality(t):
@@ -367,6 +393,12 @@ def brute_quality(t):
     return len(w), sum(map(len, w)), sum((t or "").count(c) for c in "#*$%&|<>"), dup, len(cover)
 
 
+def test_frequent_lines_shuffled_or_broadcast(docs):
+    few = dict(least_docs=1, host_share=0.0)
+    a, b = (sorted(map(str, quality_lines.judge(docs, broadcast_rows=n, **few).collect())) for n in (0, 1000))
+    assert a == b and any("n_removed_lines=1" in x for x in a)
+
+
 def test_quality_lines(spark, docs, none, rows):
     for r in quality_lines.judge(docs).collect():
         t = {i: t for i, t, *_ in rows}[r.doc_id]
@@ -461,16 +493,46 @@ def test_secrets_in_odd_layers(monkeypatch):
     assert spans(b64(raw)) == f"assign:0:{len(b64(raw))}"
 
 
+def test_language_against_brute_force(spark):
+    # Scores from plain dictionaries of n-grams, given the centroids.
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice(WORDS[:9] if i % 2 else WORDS[9:]) for _ in range(30)), "a" if i % 2 else "b") for i in range(60)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), centroids=2)
+
+    def brute(text):
+        s = re.sub(r"[^a-zß-ÿ]+", " ", text.lower())
+        v = Counter()
+        for n, mix in zip((1, 2, 3), (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)):
+            for i in range(len(s) - n + 1):
+                k = 0
+                for c in s[i : i + n]:
+                    k = k << 21 | ord(c)
+                v[(k * mix & (1 << 64) - 1) >> 50] += 1
+        w = {k: c**0.5 * float(model.idf[k]) for k, c in v.items()}
+        norm = sum(x * x for x in w.values()) ** 0.5
+        best = {}
+        for row, o in zip(model.matrix, model.owner):
+            cos = sum(x * float(row[k]) for k, x in w.items()) / norm
+            best[model.labels[o]] = max(best.get(model.labels[o], -1), cos)
+        return max(sorted(best), key=best.get), max(best.values())
+
+    texts = [t for _, t, _ in rows[:20]] + ["The, THE of! and", "x", "of\n\nto  in", "straße für über"]
+    got = langid.classify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for x in got:
+        lang, score = brute(texts[x.doc_id])
+        assert x.lang_pred == lang and abs(x.score - max(0.0, score)) < 1e-4
+
+
 def test_language(spark, none):
     r = random.Random(9)
     vocab = {"en": WORDS, "de": "der und die das nicht ein ist zu von mit sich auf für über größe straße".split(), "fr": "le la les des été où être très avec pour dans une".split()}
     rows = [(i, " ".join(r.choice(vocab[k]) for _ in range(r.randrange(5, 80))), k) for i in range(240) for k in [("en", "de", "fr")[i % 3]]]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.fit(table.where("doc_id < 180"))
-    odd = spark.createDataFrame([(900, None, None), (901, "", None), (902, "123 !!", None), (903, "ξψωφ χκλμ ντζξ ψωφχ" * 9, None)], "doc_id long, text string, lang string")
+    odd = spark.createDataFrame([(900, None, None), (901, "", None), (902, "123 !!", None), (903, "ξψωφ χκλμ ντζξ ψωφχ" * 9, None), (904, "😀 \U0001f4a9", None)], "doc_id long, text string, lang string")
     got = {x.doc_id: x for x in langid.classify(table.union(odd), model).collect()}
     assert sum(got[i].lang_pred == k for i, _, k in rows if i >= 180) >= 59
-    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (900, 901, 902))
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (900, 901, 902, 904))
     assert got[903].rejected and got[903].lang_pred in vocab and 0 <= got[903].score <= 1
     assert langid.fit(none).labels == [] and langid.classify(none, model).count() == 0
     kept = langid.keep_accepted(table.union(odd), model)

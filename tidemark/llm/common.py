@@ -55,11 +55,12 @@ def running_before(rows: DataFrame, keys: list[str], order: str, value: str, spa
     if span <= RUN_ROWS:
         by = keys or [F.lit(0)]
         return rows.withColumn(out, F.coalesce(F.sum(value).over(inside(by)), F.lit(0)))
-    cut = rows.withColumn("_cut", F.floor(F.col(order) / RUN_ROWS))
-    sums = cut.groupBy(*keys, "_cut").agg(F.sum(value).alias("_sum"))
-    upto = running_before(sums, keys, "_cut", "_sum", -(-span // RUN_ROWS), "_upto").drop("_sum")
-    within = cut.withColumn("_in", F.coalesce(F.sum(value).over(inside([*keys, "_cut"])), F.lit(0)))
-    return within.join(upto, [*keys, "_cut"]).withColumn(out, F.col("_in") + F.col("_upto")).drop("_in", "_upto", "_cut")
+    cut, part, upto = f"{order}_cut", f"{order}_in", f"{order}_upto"
+    rows = rows.withColumn(cut, F.floor(F.col(order) / RUN_ROWS))
+    sums = rows.groupBy(*keys, cut).agg(F.sum(value).alias("_sum"))
+    sums = running_before(sums, keys, cut, "_sum", -(-span // RUN_ROWS), upto).drop("_sum")
+    rows = rows.withColumn(part, F.coalesce(F.sum(value).over(inside([*keys, cut])), F.lit(0)))
+    return rows.join(sums, [*keys, cut]).withColumn(out, F.col(part) + F.col(upto)).drop(cut, part, upto)
 
 
 #: A block is one large value, so files are cut at few rows.

@@ -6,43 +6,42 @@ the source's target. Sorting all documents by that time and cutting at the
 total budget gives each source its share. A source that is asked for more than
 it holds is read again, in another order, up to ``max_repeats`` times.
 
-Both running sums (within a source, and over the mix) are taken in two levels:
-sums of buckets, running sums over the buckets, then a window inside a bucket.
-A source with a third of all rows is therefore spread over many tasks.
+Both running sums (within a source, and over the mix) are taken in levels: sums of
+buckets, running sums over the buckets (which are cut again where they are many),
+then a window inside a bucket. A source with a third of all rows is therefore
+spread over many tasks.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialise
+from .common import as_bytes, materialise, running_before
 
 #: Rows that one bucket of a running sum should hold, about.
 BUCKET_ROWS = 2000
 
 
-def sizes(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
-    """doc_id, source, size (words between ASCII white space; 0 for null text)."""
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")
-    )
-    id_type, source_type = rows.schema["doc_id"].dataType, rows.schema["source"].dataType
-    out = f"doc_id {id_type.simpleString()}, source {source_type.simpleString()}, size long, text_hash long"
+def sizes(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", also: Sequence[str] = ()) -> DataFrame:
+    """doc_id, source, size (words between ASCII white space; 0 for null text) and
+    the columns named in ``also``. A text is split whole, at some hundred bytes of
+    memory a word."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *also, F.col(text_col).alias("text"))
+    names = ["doc_id", "source", *also]
+    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names]
 
     def count(batches):
         import pyarrow as pa
 
         for b in batches:
             n = [len(t.split()) if t else 0 for t in as_bytes(b.column("text"))]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("source"), pa.array(n, pa.int64()), b.column("text_hash")],
-                ["doc_id", "source", "size", "text_hash"],
-            )
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(n, pa.int64())], [*names, "size"])
 
-    return rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(count, out)
+    return rows.mapInArrow(count, ", ".join([*kinds, "size long"]))
 
 
 def source_targets(
@@ -87,62 +86,47 @@ def take(
     seed: str = "mix",
 ) -> DataFrame:
     """sized's columns with source_size, target and times (how often it is taken)."""
-    spark = sized.sparkSession
     rows = materialise(sized.withColumn("_row", F.monotonically_increasing_id()), "mix-sizes")
     n = max(1, rows.count())
     per = materialise(source_targets(rows, weights, budget_ratio, max_repeats), "mix-targets")
     digits = 1
     while 16**digits * BUCKET_ROWS < n and digits < 8:
         digits += 1
+    goal = per.select(F.col("source").alias("t_source"), "source_rank", "source_size", "target", "budget")
+    # One row per source: the planner broadcasts it only below its own size limit.
+    rows = rows.join(goal, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col("pass").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    place = F.col("pass") * F.lit(16**digits) + F.conv(F.substring("key", 1, digits), 16, 10).cast("long")
     items = (
         rows.withColumn("pass", F.explode(F.array(*[F.lit(i) for i in range(max_repeats)])))
         .withColumn("key", key)
-        .withColumn("bucket", F.substring("key", 1, digits))
-    )
-    # Level 1: words before a bucket of (source, pass).
-    sums = items.groupBy("source", "pass", "bucket").agg(F.sum("size").alias("in_bucket"))
-    upto = Window.partitionBy("source").orderBy("pass", "bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("before", F.coalesce(F.sum("in_bucket").over(upto), F.lit(0))).select(
-        F.col("source").alias("o_source"), F.col("pass").alias("o_pass"), F.col("bucket").alias("o_bucket"), "before"
-    )
-    inside = Window.partitionBy("source", "pass", "bucket").orderBy("key", "size", "_row")
-    tagged = (
-        items.withColumn("within", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-        .join(
-            offsets,
-            F.col("source").eqNullSafe(F.col("o_source"))
-            & (F.col("pass") == F.col("o_pass"))
-            & (F.col("bucket") == F.col("o_bucket")),
-        )
-        .drop("o_source", "o_pass", "o_bucket")
+        .withColumn("bucket", place)
     )
-    goal = per.select(F.col("source").alias("t_source"), "source_rank", "source_size", "target", "budget")
-    # One row per source: the planner broadcasts it only below its own size limit.
-    tagged = tagged.join(goal, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
+    # Level 1: words before a bucket of a source and pass.
+    sums = items.groupBy("source_rank", "bucket").agg(F.sum("size").alias("in_bucket"))
+    offsets = running_before(sums, ["source_rank"], "bucket", "in_bucket", max_repeats * 16**digits).drop("in_bucket")
+    inside = Window.partitionBy("source_rank", "bucket").orderBy("key", "size", "_row")
+    tagged = items.withColumn("within", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))).join(offsets, ["source_rank", "bucket"])
     finish = F.when(F.col("target") > 0, (F.col("before") + F.col("within")) / F.col("target")).otherwise(F.lit(0.0))
     ranges = max(64, n // BUCKET_ROWS)
+    # The budget runs out about time 1; what ends long after it is one range.
     tagged = materialise(
         tagged.withColumn("finish", finish)
-        .withColumn("range", F.floor(F.col("finish") * ranges).cast("long"))
+        .withColumn("range", F.least(F.floor(F.col("finish") * ranges), F.lit(4 * ranges)).cast("long"))
         .drop("before", "within", "bucket"),
         "mix-tags",
     )
     # Level 2: words before a range of finish times; only the range in which the
     # budget runs out needs its own order.
-    by_range = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
-    ends = (
-        tagged.groupBy("range").agg(F.sum("size").alias("words"))
-        .withColumn("upto", F.sum("words").over(by_range))
-    )
+    ends = running_before(tagged.groupBy("range").agg(F.sum("size").alias("words")), [], "range", "words", 4 * ranges + 1)
     budget = (per.agg(F.max("budget")).first()[0]) or 0.0
-    cut = ends.where(F.col("upto") > budget).orderBy("range").limit(1).select("range", "words", "upto").first()
+    cut = ends.where(F.col("before") + F.col("words") > budget).orderBy("range").limit(1).select("range", "before").first()
     if cut is None:
         taken = tagged.withColumn("in", F.lit(True))
     else:
         order = Window.partitionBy("range").orderBy("finish", "source_rank", "pass", "key", "size", "_row")
         last = tagged.where(F.col("range") == cut["range"]).withColumn(
-            "in", (F.lit(cut["upto"] - cut["words"]) + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))) <= budget
+            "in", (F.lit(cut["before"]) + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))) <= budget
         )
         rest = tagged.where(F.col("range") != cut["range"]).withColumn("in", F.col("range") < cut["range"])
         taken = rest.unionByName(last)
@@ -153,21 +137,14 @@ def take(
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: every document as often as the mix takes it, with docs'
-    own columns. Rows that agree in doc_id and text count as one document here.
-
-    Null text has size 0 and is kept (it takes no budget); an empty table stays
-    empty; extra columns pass through whatever their names are."""
-    copies = (
-        take(sizes(docs), **options)
-        .groupBy("doc_id", "text_hash")
-        .agg(F.max("times").alias("times"))
-        .where("times > 0")
-        .select(F.col("doc_id").alias("_mix_id"), F.col("text_hash").alias("_mix_hash"), F.col("times").alias("_mix_times"))
-    )
-    joined = docs.join(
-        copies, docs["doc_id"].eqNullSafe(copies["_mix_id"]) & (F.xxhash64(docs["text"]) == copies["_mix_hash"])
-    )
-    return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_times")))).drop(
-        "_mix_id", "_mix_hash", "_mix_times", "_mix_copy"
-    )
+    """The mixed corpus: every row as often as the mix takes it, with docs' own
+    columns, whatever their names are.
+
+    Null text has size 0 and is kept (it takes no budget); repeated rows are
+    documents each; an empty table stays empty. Rows are numbered in a copy of
+    docs, and found again by number."""
+    row = f"_{uuid.uuid4().hex}"
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "mix-docs")
+    times = take(sizes(numbered, also=[row]), **options).where("times > 0").select(F.col(row).alias(f"{row}r"), F.col("times").alias(f"{row}t"))
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{row}t")))
+    return numbered.join(times, F.col(row) == F.col(f"{row}r")).withColumn(f"{row}c", copies).drop(row, f"{row}r", f"{row}t", f"{row}c")

@@ -5,8 +5,8 @@ histogram of piece lengths (at most ``max_tokens`` rows, whatever the corpus
 size) reaches the driver, where lengths are placed longest first into the open
 packing pattern with the fewest tokens. A pattern carries a count, so one step
 places many pieces. Pieces then find their sequence by their rank among the
-pieces of equal length, counted in two levels so that one frequent length does
-not land in one task.
+pieces of equal length, counted in levels so that one frequent length does not
+land in one task.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialise
+from .common import as_bytes, materialise, running_before
 
 BUCKET_ROWS = 2000
 MARKS = ".,;:!?#$%&*|"
@@ -244,12 +244,8 @@ def pack(docs: DataFrame, tokenizer: str, *, max_tokens: int = 2048, end_id: int
     place = slots(plan(histogram, max_tokens))
     buckets = max(16, sum(histogram.values()) // BUCKET_ROWS)
     table = table.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start", "_row"), F.lit(buckets)))
-    before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        table.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
-    )
+    counts = table.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = running_before(counts, ["length"], "_bucket", "_n", buckets, "_before").drop("_n")
     inside = Window.partitionBy("length", "_bucket").orderBy("doc_id", "start", "_row")
     ranked = (
         table.withColumn("_in", F.row_number().over(inside) - 1)

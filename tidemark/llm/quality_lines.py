@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, materialise
 
-#: A table of frequent lines up to this many rows is broadcast, a larger one shuffled.
+#: A table of frequent lines up to this many rows is broadcast; a larger one is
+#: shuffled, each of its lines (they are the hot ones) over so many tasks.
 BROADCAST_ROWS = 20_000
+SALTS = 16
 
 
 _SPACES = bytes([0x20, *range(0x09, 0x0E)])
@@ -124,6 +126,7 @@ def judge(
     depleted_share: float = 0.5,
     min_words: int = 50,
     max_repeat_percent: int = 50,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Measures and verdict per document.
 
@@ -134,9 +137,14 @@ def judge(
     rows are documents each; an empty table gives no rows."""
     table = materialise(measure(docs, host_col).withColumn("_row", F.monotonically_increasing_id()), "quality-lines")
     lines, frequent = frequent_lines(table, least_docs, host_share)
-    side = F.broadcast(frequent) if frequent.count() <= BROADCAST_ROWS else frequent
+    same = F.col("host").eqNullSafe(F.col("f_host")) & (F.col("h") == F.col("f_h"))
+    if frequent.count() <= broadcast_rows:
+        hit = lines.join(F.broadcast(frequent), same)
+    else:
+        salted = frequent.withColumn("f_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hit = lines.join(salted, same & (F.pmod(F.xxhash64("_row"), F.lit(SALTS)) == F.col("f_salt")))
     removed = (
-        lines.join(side, F.col("host").eqNullSafe(F.col("f_host")) & (F.col("h") == F.col("f_h")))
+        hit
         .groupBy("_row")
         .agg(F.count(F.lit(1)).alias("n_removed_lines"), F.sum("w").alias("n_removed_words"))
     )

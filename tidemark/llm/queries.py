@@ -107,7 +107,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = mixing.sizes(documents(spark, sf_dir)).drop("text_hash")
+    sized = mixing.sizes(documents(spark, sf_dir))
     got = mixing.take(sized, weights=(5.0, 2.0, 1.0), budget_ratio=1.5, max_repeats=2)
     return got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "source")
 
