@@ -493,6 +493,108 @@ def test_secrets_in_odd_layers(monkeypatch):
     assert spans(b64(raw)) == f"assign:0:{len(b64(raw))}"
 
 
+def naive_secrets(text):
+    """Secret values anywhere in a text or below it, by trying every decoding of
+    every run at every alignment, without spans."""
+    import base64
+    import gzip
+    import html
+
+    found, seen, work = set(), set(), [text]
+    while work:
+        t = work.pop()
+        if t in seen:
+            continue
+        seen.add(t)
+        for m in re.finditer(r"(?:password|token)[ =]+([A-Za-z0-9]{6,})", t):
+            found.add(m.group(1))
+        raw = re.sub(r"%([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)), t)
+        work += [raw, re.sub(r"\\u([0-9A-Fa-f]{4})", lambda m: chr(int(m[1], 16)), t), html.unescape(t)]
+        for m in re.finditer(r"[A-Za-z0-9+/]{16,}", re.sub(r"(?<=[A-Za-z0-9+/])\n(?=[A-Za-z0-9+/])", "", t)):
+            for k in range(4):
+                run = m.group()[k:]
+                data = base64.b64decode(run[: len(run) // 4 * 4] + (run[len(run) // 4 * 4 :] + "===")[:4] if len(run) % 4 > 1 else run[: len(run) // 4 * 4])
+                for unpack in (lambda d: d, gzip.decompress, zlib.decompress):
+                    try:
+                        work.append(unpack(data).decode("ascii"))
+                    except (OSError, EOFError, zlib.error, UnicodeDecodeError):
+                        pass
+    return found
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_secrets_in_random_nestings(spark, seed):
+    import base64
+    import gzip
+
+    r = random.Random(seed)
+    wrap = [
+        lambda t: base64.b64encode(t.encode()).decode(), lambda t: base64.b64encode(gzip.compress(t.encode())).decode(),
+        lambda t: base64.b64encode(zlib.compress(t.encode())).decode(), lambda t: "".join(f"%{c:02x}" for c in t.encode()),
+        lambda t: "".join(f"\\u{ord(c):04x}" for c in t), lambda t: "".join(f"&#{ord(c)};" for c in t),
+        lambda t: base64.encodebytes(t.encode()).decode().strip(),
+    ]
+    text, keys = [], set()
+    for k in range(r.randrange(1, 4)):
+        key = "".join(r.choice("abcdefghij0123456789") for _ in range(12))
+        inner = f"token={key}"
+        for _ in range(r.randrange(1, 4)):
+            inner = r.choice(wrap)(f"{r.choice(['', 'see ', 'a b '])}{inner}")
+        keys.add(key)
+        text += [inner] * r.randrange(1, 3)
+    whole = "\n\n".join(text)
+    assert keys <= naive_secrets(whole)  # the brute force itself finds what was planted
+    _, every, _ = secrets.secrets(whole)
+    # Every copy is covered by a span, and nothing is left when the spans are cut out.
+    at = 0
+    for part in text:
+        start = whole.index(part, at)
+        at = start + len(part)
+        assert any(s < at and e > start for s, _, e in every), part
+    out = secrets.redact(spark.createDataFrame([(1, whole, "en", "s", 9)], SCHEMA)).first().text
+    assert not naive_secrets(out) & keys
+
+
+def test_pipeline(spark, docs, none, tmp_path):
+    """Every stage against the plain reading of what it does to its input."""
+    import corpus_pipeline as P
+
+    assert [n for n, _ in P.STAGES] == ["language", "near_duplicates", "secrets", "mix", "pack"]
+    here = str(tmp_path)
+    docs.write.parquet(f"{here}/documents.parquet")
+    got = docs
+    for name, stage in P.STAGES[:-1]:
+        before, got = got, stage(spark, got, here)
+        assert got.columns == docs.columns, name
+        got.write.parquet(f"{here}/{name}")
+        got = spark.read.parquet(f"{here}/{name}")
+        old, new = before.collect(), got.collect()
+        if name == "language":
+            assert {r.doc_id for r in new} <= {r.doc_id for r in old} and not any(r.text is None or not any(c.isalpha() for c in r.text) for r in new)
+        if name == "near_duplicates":
+            sets = [shingles(r.text) for r in new]
+            assert all(100 * len(a & b) < 75 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+            kept = [shingles(r.text) for r in new]
+            near = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+            gone = [shingles(r.text) for r in old if r.doc_id not in {x.doc_id for x in new}]
+            assert all(any(near(g, x) for x in [*kept, *(y for y in gone if y is not g)]) for g in gone)
+        if name == "secrets":
+            assert sorted(r.doc_id for r in new) == sorted(r.doc_id for r in old) and not any(secrets.secrets(r.text)[1] for r in new)
+        if name == "mix":
+            words = lambda rs: sum(len(r.text.encode().split()) for r in rs)
+            assert words(new) <= 1.5 * words(old) and max(Counter(r.doc_id for r in new).values()) <= 2
+    packed = P.STAGES[-1][1](spark, got, here)
+    total = Counter(r.doc_id for r in got.collect())
+    pieces = defaultdict(int)
+    for r in packed.collect():
+        pieces[r.doc_id] += r.length
+        assert r.offset + r.length <= 2048
+    assert {i: n for i, n in pieces.items()} == {r.doc_id: r.doc_tokens * total[r.doc_id] for r in packed.collect()}
+    assert P.run(spark, here).count() == packed.count()
+    none.write.parquet(f"{here}/none/documents.parquet")
+    assert P.run(spark, f"{here}/none").count() == 0
+
+
 def test_language_against_brute_force(spark):
     # Scores from plain dictionaries of n-grams, given the centroids.
     r = random.Random(3)

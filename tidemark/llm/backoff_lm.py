@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import BLOCK_FILES, as_bytes, blocks_of, materialise, text_bytes
 
-#: Bytes of text whose n-grams are listed together.
-BLOCK_BYTES = 4 << 20
+#: Bytes of text whose n-grams are listed together, and of corpus for each bucket.
+BLOCK_BYTES = 3 << 20
+BUCKET_BYTES = 4 << 20
 _UPPER = bytes(range(0x41, 0x5B))
 _TO_LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
 _NUL_SAFE = 0x9E3779B97F4A7C15
@@ -183,7 +184,7 @@ def score(
     rows = docs.select("doc_id", "text", F.coalesce(F.expr(train_on), F.lit(False)).alias("in_training"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     size, _ = text_bytes(docs)
-    n_buckets = max(16, size // BLOCK_BYTES)
+    n_buckets = max(16, size // BUCKET_BYTES)
 
     def gather(batches):
         import pyarrow as pa

@@ -64,7 +64,7 @@ def running_before(rows: DataFrame, keys: list[str], order: str, value: str, spa
 
 
 #: A block is one large value, so files are cut at few rows.
-BLOCK_FILES = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+BLOCK_FILES = {"compression": "zstd", "parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
 #: Rows of a block at most, so that two bytes number them.
 BLOCK_ROWS = 65_000
 

@@ -27,12 +27,13 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .backoff_lm import BLOCK_BYTES
 from .common import as_bytes, blocks_of, discard, materialise, text_bytes
 from .components import least_labels
 
 _UPPER = bytes(range(0x41, 0x5B))
 _TO_LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
+#: Bytes of text whose sets are made together.
+BLOCK_BYTES = 4 << 20
 #: Of 1024 hash values, so many are looked at to find unshared shingles.
 LOOKED_AT = 512
 #: Partitions per half difference; above 1 so that most sets need no empty parts.

@@ -308,7 +308,9 @@ def joined(spans) -> str:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, counts, spans of base patterns and of all layers per document.
 
-    One narrow pass; null text is empty; repeated rows give repeated results."""
+    One narrow pass; null text is empty; repeated rows give repeated results; an
+    empty table gives no rows. A text and its layers are held whole by one task;
+    an escaped line takes some 150 bytes of memory a character."""
     rows = docs.select("doc_id", "text")
     out = (
         f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, "
@@ -337,7 +339,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every secret replaced by [kind]; documents are kept.
 
-    Overlapping spans are replaced as one, named by the first. Columns other
+    Null and empty texts stay as they are, as do repeated rows; an empty table
+    stays empty; long texts are as in find_secrets(). Overlapping spans are replaced as one, named by the first. Columns other
     than text (and n_chars, which follows it) pass through unchanged."""
     schema = docs.schema
     names = docs.columns
