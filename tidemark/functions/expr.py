@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Levels that find_numeric looks into; deeper values count as absent.
@@ -18,6 +18,7 @@ _ISO = (
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
     r"([T ][0-9]{2}(:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?)?(Z|[+-][0-9]{2}(:?[0-9]{2})?)?)?$"
 )
+_FULL = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})?$"
 _FLOAT = r"^[+-]?([0-9]+(_[0-9]+)*(\.([0-9]+(_[0-9]+)*)?)?|\.[0-9]+(_[0-9]+)*)([eE][+-]?[0-9]+(_[0-9]+)*)?$"
 _SPECIAL = r"^[+-]?(?i:inf|infinity|nan)$"
 
@@ -31,29 +32,30 @@ def parse(raw: Column) -> Column:
 
 
 def kind(v: Column) -> Column:
-    """OBJECT, ARRAY, STRING, BOOLEAN, VOID or a number type; NULL for NULL."""
+    """OBJECT, ARRAY, STRING, BOOLEAN, VOID or a number type; NULL for NULL. Writes
+    the schema of the whole value: the tests below are cheaper."""
     return F.regexp_extract(F.schema_of_variant(v), "^[A-Z_]+", 0)
 
 
 def is_object(v: Column) -> Column:
-    return F.coalesce(kind(v) == "OBJECT", F.lit(False))
+    return F.try_variant_get(v, "$", "struct<_:variant>").isNotNull()
 
 
 def is_array(v: Column) -> Column:
-    return F.coalesce(kind(v) == "ARRAY", F.lit(False))
+    return F.try_variant_get(v, "$", "array<variant>").isNotNull()
 
 
 def is_string(v: Column) -> Column:
-    return F.coalesce(kind(v) == "STRING", F.lit(False))
+    return F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
 
 
 def is_number(v: Column) -> Column:
-    return F.coalesce(kind(v).isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT", "DECIMAL"), F.lit(False))
+    return F.coalesce(F.schema_of_variant(v).rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"), F.lit(False))
 
 
 def is_true(v: Column) -> Column:
     """The JSON value true, not a text or number that reads like it."""
-    return (kind(v) == "BOOLEAN") & F.try_variant_get(v, "$", "boolean")
+    return let(v, lambda x: (F.schema_of_variant(x) == "BOOLEAN") & F.try_variant_get(x, "$", "boolean"))
 
 
 def let(x: Column, body) -> Column:
@@ -61,6 +63,13 @@ def let(x: Column, body) -> Column:
     return F.get(F.transform(F.array(x), body), F.lit(0))
 
 
+def computed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns computed once per row. The optimizer copies a plain
+    column's expression into all its uses, and nested ones grow without bound; it
+    does not copy through a generator."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def get(v: Column, key: str) -> Column:
     """Member of an object (JSON null included); NULL for anything else."""
     return F.try_variant_get(v, f"$.{key}", "variant")
@@ -68,7 +77,7 @@ def get(v: Column, key: str) -> Column:
 
 def items(v: Column) -> Column:
     """Elements of an array; NULL for anything else."""
-    return let(v, lambda x: F.when(is_array(x), F.try_variant_get(x, "$", "array<variant>")))
+    return F.try_variant_get(v, "$", "array<variant>")
 
 
 def text(v: Column) -> Column:
@@ -78,15 +87,20 @@ def text(v: Column) -> Column:
 
 def is_truthy(v: Column) -> Column:
     """Not null, false, zero, or an empty text, list or object."""
-    # Texts that are empty, by type.
-    empty = F.create_map(*[F.lit(x) for x in ("STRING", "", "BOOLEAN", "false", "ARRAY", "[]", "OBJECT", "{}")])
-    plain = let(kind(v), lambda k: F.when(k == "VOID", True).when(empty[k].isNotNull(), text(v) == empty[k]))
-    return v.isNotNull() & ~F.coalesce(plain, F.try_variant_get(v, "$", "double") == 0, F.lit(True))
+
+    def told(t: Column) -> Column:
+        # Texts of what is not truthy; the texts themselves are.
+        zero = t.rlike("^-?[0.]") & (t.try_cast("double") == 0)
+        like = t.isin("false", "[]", "{}") | F.coalesce(zero, F.lit(False))
+        return t.isNotNull() & (t != "") & (~like | (F.schema_of_variant(v) == "STRING"))
+
+    return F.coalesce(let(text(v), told), F.lit(False))
 
 
 def first_truthy(*values: Column) -> Column:
-    """The first truthy of several VARIANT values; coalesce would also take 0 or ''."""
-    return F.get(F.filter(F.array(*values), is_truthy), F.lit(0))
+    """The first truthy of several VARIANT values; coalesce would also take 0 or ''.
+    Later values are not looked at once one is found."""
+    return F.coalesce(*[let(v, lambda x: F.when(is_truthy(x), x)) for v in values])
 
 
 def truthy(v: Column) -> Column:
@@ -113,9 +127,9 @@ def number(v: Column) -> Column:
     """A scalar VARIANT as double; booleans count 1 and 0; NULL for the rest."""
     return let(
         v,
-        lambda x: F.when(is_string(x), float_text(text(x)))
-        .when(kind(x) == "BOOLEAN", F.when(F.try_variant_get(x, "$", "boolean"), 1.0).otherwise(0.0))
-        .when(is_number(x), F.try_variant_get(x, "$", "double")),
+        lambda x: F.when(is_number(x), F.try_variant_get(x, "$", "double"))
+        .when(is_string(x), float_text(text(x)))
+        .when(F.schema_of_variant(x) == "BOOLEAN", F.when(F.try_variant_get(x, "$", "boolean"), 1.0).otherwise(0.0)),
     )
 
 
@@ -150,13 +164,18 @@ def parse_datetime(s: Column) -> Column:
 
     Not read: week dates, offsets with seconds, separators other than T or a
     space, and a zone right after a date."""
-    t = F.regexp_replace(F.trim(s), ",", ".")
-    t = F.regexp_replace(t, "^([0-9]{4})([0-9]{2})([0-9]{2})(?=$|[T ])", "$1-$2-$3")
-    t = F.regexp_replace(t, "^(.{10}[T ][0-9]{2})([0-9]{2})([0-9]{2})?", "$1:$2:$3")
-    t = F.regexp_replace(t, ":(?=$|[Z+.-])", "")
-    t = F.regexp_replace(t, "^(.{10}[T ][0-9]{2})(?=$|[Z+-])", "$1:00")
-    t = F.regexp_replace(t, "^(.{10}[T ][0-9]{2}:[0-9]{2})(?=$|[Z+-])", "$1:00")
-    return let(t, lambda x: F.when(x.rlike(_ISO), x.try_cast("timestamp")))
+
+    def repaired(x: Column) -> Column:
+        t = F.regexp_replace(x, ",", ".")
+        t = F.regexp_replace(t, "^([0-9]{4})([0-9]{2})([0-9]{2})(?=$|[T ])", "$1-$2-$3")
+        t = F.regexp_replace(t, "^(.{10}[T ][0-9]{2})([0-9]{2})([0-9]{2})?", "$1:$2:$3")
+        t = F.regexp_replace(t, ":(?=$|[Z+.-])", "")
+        t = F.regexp_replace(t, "^(.{10}[T ][0-9]{2})(?=$|[Z+-])", "$1:00")
+        return F.regexp_replace(t, "^(.{10}[T ][0-9]{2}:[0-9]{2})(?=$|[Z+-])", "$1:00")
+
+    # Most texts have the full form already.
+    whole = lambda x: F.when(x.rlike(_FULL), x.try_cast("timestamp")).otherwise(let(repaired(x), lambda t: F.when(t.rlike(_ISO), t.try_cast("timestamp"))))
+    return let(F.trim(s), whole)
 
 
 def iso(ts: Column) -> Column:
@@ -207,7 +226,7 @@ def age_text(age: Column) -> Column:
 
 def json_list(v: Column) -> Column:
     """A list, or the text of a list, as array; else NULL."""
-    return let(v, lambda x: F.coalesce(items(x), F.when(is_string(x), items(F.try_parse_json(text(x))))))
+    return let(v, lambda x: F.coalesce(items(x), items(F.try_parse_json(F.when(is_string(x), text(x))))))
 
 
 def payload_rows(v: Column) -> Column:

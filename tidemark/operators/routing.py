@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import PROFILES, SETTINGS, AssetProfile, Settings
 from ..functions import expr as E
+from ..sources.workdir import stored
 from .asof import interval_join
 from .diagnostics import attempt_summaries, attempts, classified, failure_reasons
 
@@ -75,8 +76,10 @@ def _objects(v: Column) -> Column:
 
 
 def _with_markets(node: Column) -> Column:
-    one = lambda v: F.when(E.is_object(v), F.array(v)).otherwise(_objects(v))
-    return F.concat(F.array(node), one(E.get(node, "market")), one(E.get(node, "markets")))
+    """node, then its market and markets: objects, or objects of lists."""
+    listed = lambda v: F.coalesce(E.items(v), F.when(v.isNotNull(), F.array(v)), F.array().cast("array<variant>"))
+    below = F.concat(E.let(E.get(node, "market"), listed), E.let(E.get(node, "markets"), listed))
+    return F.concat(F.array(node), F.filter(below, E.is_object))
 
 
 def _flatten(node: Column, depth: int) -> Column:
@@ -96,34 +99,33 @@ def _tokens(c: Column) -> Column:
 
 
 def _tokens_of(c: Column, ids: Column, labels: Column) -> Column:
-    pairs = F.when(F.size(ids) == F.size(labels), F.arrays_zip(labels.alias("l"), ids.alias("i")))
-    group = lambda v: F.coalesce(
-        E.items(v), F.map_values(F.try_variant_get(v, "$", "map<string,variant>")), F.array().cast("array<variant>")
-    )
     empty = F.array().cast("array<variant>")
-    objects = F.filter(
-        F.concat(group(E.get(c, "tokens")), F.coalesce(labels, empty), group(E.get(c, "outcomeTokens")), F.coalesce(ids, empty)), E.is_object
+    group = lambda v: F.coalesce(E.items(v), F.map_values(F.try_variant_get(v, "$", "map<string,variant>")), empty)
+    pairs = F.transform(
+        F.when(F.size(ids) == F.size(labels), F.arrays_zip(labels.alias("l"), ids.alias("i"))),
+        lambda p: F.struct(E.series_text(E.text(E.truthy(p["l"]))).alias("label"), F.nullif(E.text(p["i"]), F.lit("")).alias("id")),
+    )
+    groups = F.concat(group(E.get(c, "tokens")), F.coalesce(labels, empty), group(E.get(c, "outcomeTokens")), F.coalesce(ids, empty))
+    named = F.transform(
+        F.filter(groups, E.is_object),
+        lambda o: F.struct(
+            E.series_text(E.first_text(o, "side", "name", "outcome", "label")).alias("label"), E.first_text(o, "id", "tokenId", "token_id", "assetId").alias("id")
+        ),
     )
+    # Labels and keys of the two sides.
+    sides = {"yes": (("yes", "up"), ("yesTokenId", "tokenYes", "token_yes")), "no": (("no", "down"), ("noTokenId", "tokenNo", "token_no"))}
 
-    def pick(names: tuple[str, ...], flat: tuple[str, ...]) -> Column:
-        label = lambda v: E.series_text(E.text(E.truthy(v)))
-        paired = F.filter(pairs, lambda p: label(p["l"]).isin(*names) & (E.text(p["i"]) != ""))
-        named = F.filter(
-            objects,
-            lambda o: E.series_text(E.first_text(o, "side", "name", "outcome", "label")).isin(*names)
-            & E.first_text(o, "id", "tokenId", "token_id", "assetId").isNotNull(),
-        )
-        return F.coalesce(
-            E.text(F.get(paired, F.lit(0))["i"]),
-            E.first_text(F.get(named, F.lit(0)), "id", "tokenId", "token_id", "assetId"),
-            E.first_text(c, *flat),
-        )
+    def of(entries: Column, names: tuple[str, ...]) -> Column:
+        return F.get(F.filter(entries, lambda e: e["label"].isin(*names) & e["id"].isNotNull()), F.lit(0))["id"]
 
-    # Labels and keys of the two sides.
-    return F.struct(
-        pick(("yes", "up"), ("yesTokenId", "tokenYes", "token_yes")).alias("yes"),
-        pick(("no", "down"), ("noTokenId", "tokenNo", "token_no")).alias("no"),
-    )
+    paired = E.let(pairs, lambda x: F.struct(*[of(x, names).alias(side) for side, (names, _) in sides.items()]))
+
+    def filled(found: Column) -> Column:
+        rest = F.when(found["yes"].isNull() | found["no"].isNull(), named)
+        both = lambda n: F.struct(*[F.coalesce(found[k], of(n, names), E.first_text(c, *flat)).alias(k) for k, (names, flat) in sides.items()])
+        return E.let(rest, both)
+
+    return E.let(paired, filled)
 
 
 def normalized(responses: DataFrame, *, expand_lists: bool = False) -> DataFrame:
@@ -138,7 +140,7 @@ def normalized(responses: DataFrame, *, expand_lists: bool = False) -> DataFrame
     rows = rows.select("poll_id", "poll_ts", "asset", "phase", "attempt_seq", "source", "path", F.posexplode(payloads).alias("payload_seq", "p"))
     rows = rows.select("*", F.posexplode(_flatten(F.col("p"), EVENT_DEPTH)).alias("candidate_seq", "c"))
     c, p = F.col("c"), F.col("p")
-    rows = rows.withColumn("e0", F.get(E.items(E.get(p, "events")), F.lit(0)))
+    rows = E.computed(rows, e0=F.get(E.items(E.get(p, "events")), F.lit(0)))
     e0 = F.col("e0")
     starts = [
         ("candidate.eventStartTime", c, "eventStartTime"), ("candidate.startTime", c, "startTime"),
@@ -150,10 +152,13 @@ def normalized(responses: DataFrame, *, expand_lists: bool = False) -> DataFrame
 
     def chosen(sources) -> Column:
         texts = F.array(*[F.struct(E.text(E.get(v, k)).alias("t"), F.lit(name).alias("source")) for name, v, k in sources])
-        tried = F.transform(texts, lambda s: F.struct(E.parse_datetime(s["t"]).alias("at"), s["source"].alias("source")))
+        there = F.filter(texts, lambda s: s["t"].isNotNull())
+        tried = F.transform(there, lambda s: F.struct(E.parse_datetime(s["t"]).alias("at"), s["source"].alias("source")))
         return F.get(F.filter(tried, lambda s: s["at"].isNotNull()), F.lit(0))
 
-    rows = rows.withColumn("s", chosen(starts)).withColumn("z", chosen(ends)).withColumn("own", _tokens(c)).withColumn("top", _tokens(p))
+    rows = E.computed(rows, s=chosen(starts), z=chosen(ends), own=_tokens(c))
+    # The payload's tokens count where the candidate lacks one.
+    rows = E.computed(rows, top=F.when(F.col("own.yes").isNull() | F.col("own.no").isNull(), _tokens(p)))
     rows = rows.select(
         "*", F.col("s.at").alias("start"), F.col("z.at").alias("end"),
         F.col("s.source").alias("start_source"), F.col("z.source").alias("end_source"),
@@ -296,7 +301,7 @@ def route(responses: DataFrame, polls: DataFrame | None = None) -> DataFrame:
     """One decision per poll: the routed market or NULLs with the reason, and
     the counts behind it. polls (poll_id, poll_ts, asset) adds polls that got no
     response at all."""
-    found = normalized(responses)
+    found = stored(normalized(responses), "candidates")
     tried = attempt_summaries(attempts(responses), found)
     judged_rows = combined(found)
     best = selected(judged_rows).select(
@@ -315,18 +320,25 @@ def route(responses: DataFrame, polls: DataFrame | None = None) -> DataFrame:
     )
 
 
-def route_rows(decisions: DataFrame) -> DataFrame:
-    """Decisions in time order per asset with market_changed: whether the seven
-    identity fields differ from those of the decision before. The first decision
-    compares with no market."""
+def route_rows(decisions: DataFrame, slice_seconds: int = 3600) -> DataFrame:
+    """Decisions with market_changed: whether the seven identity fields differ from
+    those of the asset's decision before, by time and poll_id. The first decision
+    compares with no market.
+
+    An asset's rows are cut into time slices; the last identity of the slice before
+    comes from a table with one row per slice, so no task holds an asset's history."""
     here = F.when(F.col("routing_score").isNotNull(), F.struct(*IDENTITY))
-    w = Window.partitionBy("asset").orderBy("poll_ts", "poll_id")
+    rows = decisions.withColumn("identity", F.struct(here.alias("i"))).withColumn("slice", F.floor(F.unix_seconds("poll_ts") / slice_seconds))
+    ends = rows.groupBy(F.col("asset").alias("e_asset"), F.col("slice").alias("e_slice")).agg(F.max_by("identity", F.struct("poll_ts", "poll_id")).alias("end"))
+    carried = ends.select("e_asset", "e_slice", F.lag("end").over(Window.partitionBy("e_asset").orderBy("e_slice")).alias("carried"))
+    w = Window.partitionBy("asset", "slice").orderBy("poll_ts", "poll_id")
+    before = F.coalesce(F.lag("identity").over(w), F.col("carried"))
     return (
-        decisions.withColumn("identity", here)
-        .withColumn("market_changed", ~F.col("identity").eqNullSafe(F.lag("identity").over(w)))
+        rows.join(carried, F.col("asset").eqNullSafe(F.col("e_asset")) & F.col("slice").eqNullSafe(F.col("e_slice")))
+        .withColumn("market_changed", ~F.col("identity.i").eqNullSafe(before["i"]))
         .withColumn("ts", E.iso(F.col("poll_ts")))
         .withColumn("record_type", F.lit("market_route"))
-        .drop("identity")
+        .drop("identity", "slice", "e_asset", "e_slice", "carried")
     )
 
 
