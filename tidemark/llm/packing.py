@@ -23,9 +23,9 @@ from .common import as_bytes, materialise, running_before
 BUCKET_ROWS = 2000
 MARKS = ".,;:!?#$%&*|"
 #: Words and marks whose ids a worker remembers in each of two generations.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 150_000
 #: Bytes of text whose words are looked up together.
-PART_BYTES = 6 << 20
+PART_BYTES = 4 << 20
 _ENCODERS: dict[str, WordIds] = {}
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
