@@ -26,6 +26,8 @@ MARKS = ".,;:!?#$%&*|"
 MEMO_WORDS = 150_000
 #: Bytes of text whose words are looked up together.
 PART_BYTES = 4 << 20
+#: Words that one call of the tokenizer takes.
+LEARN_WORDS = 10_000
 _ENCODERS: dict[str, WordIds] = {}
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -38,7 +40,12 @@ class WordIds:
     told apart by one dictionary encoding; a word is encoded once."""
 
     def __init__(self, path: str):
+        import os
+
         import numpy as np
+
+        # Spark runs a task a core; threads of the tokenizer would each keep memory.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.np = np
@@ -65,19 +72,21 @@ class WordIds:
         """Remember the ids of pieces. Single ones are one piece for the tokenizer
         too, so all of them are encoded as one text and told apart by their ends."""
         np, memo = self.np, self.memo
-        if single:
-            (whole,) = self.tok.encode_batch_fast([" ".join(single)], add_special_tokens=False)
+        for k in range(0, len(single), LEARN_WORDS):
+            some = single[k : k + LEARN_WORDS]
+            (whole,) = self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)
             ids = np.array(whole.ids, np.uint32)
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(single):
+            if len(stops) == len(some):
                 raw, at = ids.tobytes(), 0
-                for x, stop in zip(single, (4 * stops).tolist()):
+                for x, stop in zip(some, (4 * stops).tolist()):
                     memo[x] = raw[at:stop]
                     at = stop
             else:  # another tokenizer, without marked word ends
-                memo.update(zip(single, self._encoded(single)))
-        if odd:
-            memo.update(zip(odd, self._encoded(odd)))
+                memo.update(zip(some, self._encoded(some)))
+        for k in range(0, len(odd), LEARN_WORDS):
+            some = odd[k : k + LEARN_WORDS]
+            memo.update(zip(some, self._encoded(some)))
 
     def ids_of(self, words: list[str]) -> list[bytes]:
         """Ids of each of several distinct words. Most are letters whose lower case
