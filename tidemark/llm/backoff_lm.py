@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_FILES, as_bytes, blocks_of, materialise, text_bytes
+from .common import BLOCK_FILES, as_bytes, blocks_of, lean, materialise, text_bytes
 
 #: Bytes of text whose n-grams are listed together, and of corpus for each bucket.
 BLOCK_BYTES = 3 << 20
@@ -194,7 +194,7 @@ def score(
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *lists], ["block", "doc_id", "text", "in_training"])
 
     blocks = materialise(
-        rows.mapInArrow(gather, f"block long, doc_id array<{id_type}>, text array<string>, in_training array<boolean>"), "lm-blocks", **BLOCK_FILES
+        rows.mapInArrow(lean(gather), f"block long, doc_id array<{id_type}>, text array<string>, in_training array<boolean>"), "lm-blocks", **BLOCK_FILES
     )
 
     def ask(batches):
@@ -248,7 +248,7 @@ def score(
         )
 
     answers = materialise(
-        blocks.mapInArrow(ask, "block long, bucket long, kind int, hashes binary, counts binary")
+        blocks.mapInArrow(lean(ask), "block long, bucket long, kind int, hashes binary, counts binary")
         .groupBy("bucket")
         .applyInArrow(answer, "block long, bucket long, kind int, totals binary, stats array<long>"),
         "lm-answers",

@@ -95,6 +95,48 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Bytes of input after which a worker's freed memory goes back to the system.
+LEAN_BYTES = 32 << 20
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Arrow's pool and, under glibc, the heap.
+
+    Workers outlive their tasks; what allocators keep of one stage would be missing
+    in the next, two hundred MB a worker in a long pipeline."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run):
+    """The function for mapInArrow that does what ``run`` does and gives freed memory
+    back after every LEAN_BYTES of input and at the end of the task."""
+
+    def spare(batches):
+        seen = 0
+        for b in batches:
+            seen += b.nbytes
+            yield b
+            del b
+            if seen >= LEAN_BYTES:
+                give_back()
+                seen = 0
+
+    def lean_run(batches):
+        try:
+            yield from run(spare(batches))
+        finally:
+            give_back()
+
+    return lean_run
+
+
 def as_bytes(column) -> list:
     """Python bytes (None for null) of an Arrow string column, without decoding."""
     import pyarrow as pa

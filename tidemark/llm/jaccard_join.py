@@ -27,7 +27,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks_of, discard, materialise, text_bytes
+from .common import as_bytes, blocks_of, discard, lean, materialise, text_bytes
 from .components import least_labels
 
 _UPPER = bytes(range(0x41, 0x5B))
@@ -124,7 +124,7 @@ def set_table(docs: DataFrame, width: int) -> DataFrame:
                 ["doc_id", "text_hash", "n_shingles", "set_hash"],
             )
 
-    return rows.mapInArrow(run, f"doc_id {id_type}, text_hash long, n_shingles long, set_hash binary")
+    return rows.mapInArrow(lean(run), f"doc_id {id_type}, text_hash long, n_shingles long, set_hash binary")
 
 
 def _entries(block: int, ids, sets: list, kinds, share: int, bounds):
@@ -227,7 +227,7 @@ def unshared_in_texts(docs: DataFrame, width: int) -> DataFrame:
             found = list(_entries(block, np.arange(len(sets)), sets, kinds, LOOKED_AT, _bounds(n_buckets)))
             yield _entry_batch([*found, (block, block % n_buckets, b"", b"", b"", b"".join(keys))])
 
-    return _count_unshared(docs.select("doc_id", "text").mapInArrow(ask, ENTRIES))
+    return _count_unshared(docs.select("doc_id", "text").mapInArrow(lean(ask), ENTRIES))
 
 
 def unshared_in_sets(sets: DataFrame) -> DataFrame:
@@ -253,7 +253,7 @@ def unshared_in_sets(sets: DataFrame) -> DataFrame:
                     yield _entry_batch([*found, (block, block % n_buckets, b"", b"", b"", b"".join(keys))])
 
     cid = F.conv(F.hex(F.substring("key", KEY_BYTES - 7, 8)), 16, 10).cast("long")
-    return _count_unshared(sets.select("block", "cid", "hashes").mapInArrow(ask, ENTRIES)).select(cid.alias("cid"), "unshared")
+    return _count_unshared(sets.select("block", "cid", "hashes").mapInArrow(lean(ask), ENTRIES)).select(cid.alias("cid"), "unshared")
 
 
 def sketch(s) -> bytes:
@@ -313,8 +313,8 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
     left = sets.select(F.col("cid").alias("a"), F.col("hashes").alias("ha"))
     right = sets.select(F.col("cid").alias("b"), F.col("hashes").alias("hb"))
-    close = near.mapInArrow(rule_out, "a long, b long")
-    return close.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(compare, "a long, b long")
+    close = near.mapInArrow(lean(rule_out), "a long, b long")
+    return close.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(lean(compare), "a long, b long")
 
 
 def across_components(sets: DataFrame, open_ones: DataFrame, num: int, den: int) -> DataFrame:
@@ -339,7 +339,7 @@ def across_components(sets: DataFrame, open_ones: DataFrame, num: int, den: int)
                 h = np.frombuffer(b"".join(raw[part]), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(h), col("cid"), col("n_shingles"), col("label")], ["h", "cid", "n", "label"])
 
-    rows = sets.join(open_ones, "cid").select("cid", "n_shingles", "label", "hashes").mapInArrow(spread, "h long, cid long, n long, label long")
+    rows = sets.join(open_ones, "cid").select("cid", "n_shingles", "label", "hashes").mapInArrow(lean(spread), "h long, cid long, n long, label long")
     crossing = (
         rows.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("x"), F.max("label").alias("y"))
         .where("x < y").select("h", "df")
@@ -397,7 +397,7 @@ def join_components(docs: DataFrame, *, shingle_words: int = 5, num: int = 75, d
             )
 
     first = materialise(
-        texts.select("cid", "text").mapInArrow(to_sets, "block long, pos long, cid long, n_shingles long, hashes binary, sketch binary"), "jaccard-alive"
+        texts.select("cid", "text").mapInArrow(lean(to_sets), "block long, pos long, cid long, n_shingles long, hashes binary, sketch binary"), "jaccard-alive"
     )
     again = unshared_in_sets(first).groupBy("cid").agg(F.max("unshared").alias("unshared"))
     left = (
@@ -430,7 +430,7 @@ def join_components(docs: DataFrame, *, shingle_words: int = 5, num: int = 75, d
                     [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(ids))], ["sig", "cid"]
                 )
 
-    sigs = sets.mapInArrow(to_signatures, "sig long, cid long")
+    sigs = sets.mapInArrow(lean(to_signatures), "sig long, cid long")
     heads = sigs.groupBy("sig").agg(F.min("cid").alias("head"), F.max("cid").alias("tail")).where("head < tail").select("sig", "head")
     shared = materialise(sigs.join(heads, "sig"), "jaccard-signatures")
     stars = shared.where("head < cid").select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct()

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import as_bytes, lean
 
 DIMS = 1 << 14
 _SPACE = np.uint32(32)
@@ -126,7 +126,7 @@ def fit(
             cols = [pa.array([x.astype(np.uint16).tobytes() for x in at], pa.binary()), pa.array(roots, pa.binary()), pa.array(letters, pa.int64())]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *cols], ["lang", "id", "h", "at", "roots", "n"])
 
-    found = sample.mapInArrow(vectors, "lang string, id string, h long, at binary, roots binary, n long").where("n > 0").collect() if per else []
+    found = sample.mapInArrow(lean(vectors), "lang string, id string, h long, at binary, roots binary, n long").where("n > 0").collect() if per else []
     by: dict[str, list] = {}  # of each language: places and square roots of the counts, and letters
     seen = np.zeros(DIMS, np.int64)
     for r in sorted(found, key=lambda r: (r["lang"], r["id"] or "", r["h"])):
@@ -179,7 +179,7 @@ def classify(docs: DataFrame, model: Centroids) -> DataFrame:
                 ["doc_id", "lang_pred", "score", "rejected", "runner_up"],
             )
 
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(lean(run), out)
 
 
 def keep_accepted(docs: DataFrame, model: Centroids) -> DataFrame:
@@ -196,4 +196,4 @@ def keep_accepted(docs: DataFrame, model: Centroids) -> DataFrame:
             keep = [not model.predict(t and t.decode("utf-8", "replace"))[2] for t in texts]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialise, running_before
+from .common import as_bytes, lean, materialise, running_before
 
 #: Rows that one bucket of a running sum should hold, about.
 BUCKET_ROWS = 2000
@@ -41,7 +41,7 @@ def sizes(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source"
             n = [len(t.split()) if t else 0 for t in as_bytes(b.column("text"))]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(n, pa.int64())], [*names, "size"])
 
-    return rows.mapInArrow(count, ", ".join([*kinds, "size long"]))
+    return rows.mapInArrow(lean(count), ", ".join([*kinds, "size long"]))
 
 
 def source_targets(

@@ -18,11 +18,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialise, running_before
+from .common import as_bytes, lean, materialise, running_before
 
 BUCKET_ROWS = 2000
 MARKS = ".,;:!?#$%&*|"
-#: Words and marks whose ids a worker remembers in each of two generations.
+#: Words and marks whose ids a task remembers in each of two generations.
 MEMO_WORDS = 150_000
 #: Bytes of text whose words are looked up together.
 PART_BYTES = 4 << 20
@@ -60,11 +60,15 @@ class WordIds:
 
     @classmethod
     def of(cls, path: str) -> WordIds:
-        """The worker's encoder; it outlives a task and with it what it remembers."""
+        """The worker's encoder; it outlives a task, unlike what it remembers."""
         if path not in _ENCODERS:
             _ENCODERS[path] = cls(path)
         return _ENCODERS[path]
 
+    def forget(self) -> None:
+        """Words of one task are few of another's; the memory is wanted elsewhere."""
+        self.memo, self.older = {"": b""}, {}
+
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [self.np.array(e.ids, self.np.uint32).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -180,8 +184,9 @@ def pieces(docs: DataFrame, tokenizer: str, max_tokens: int, end_id: int, with_i
             if with_ids:
                 cols, names = [*cols, pa.array(ids, pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(cols, names)
+        words.forget()
 
-    return rows.mapInArrow(cut, out)
+    return rows.mapInArrow(lean(cut), out)
 
 
 def plan(histogram: dict[int, int], max_tokens: int) -> list[tuple[tuple[int, ...], int]]:
@@ -279,4 +284,4 @@ def pack(docs: DataFrame, tokenizer: str, *, max_tokens: int = 2048, end_id: int
             cols += [pa.array(grid[at, 2] + rank - grid[at, 1]), pa.array(grid[at, 3])]
             yield pa.RecordBatch.from_arrays(cols, [*kept, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(assign, out)
+    return ranked.mapInArrow(lean(assign), out)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialise
+from .common import as_bytes, lean, materialise
 
 #: A table of frequent lines up to this many rows is broadcast; a larger one is
 #: shuffled, each of its lines (they are the hot ones) over so many tasks.
@@ -100,7 +100,7 @@ def measure(docs: DataFrame, host_col: str) -> DataFrame:
                 cols, ["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"]
             )
 
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(lean(run), out)
 
 
 def frequent_lines(table: DataFrame, least_docs: int, host_share: float) -> tuple[DataFrame, DataFrame]:
@@ -206,5 +206,5 @@ def clean(
             cols[at] = pa.array(texts, pa.binary()).cast(pa.string()).cast(b.column(at).type)
             yield pa.RecordBatch.from_arrays(cols, names).filter(pa.array(keep, pa.bool_()))
 
-    done = listed.mapInArrow(run, schema)
+    done = listed.mapInArrow(lean(run), schema)
     return done.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else done

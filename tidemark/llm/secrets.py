@@ -19,7 +19,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import as_bytes, lean
 
 KINDS = ("assign", "access", "hex")
 # The three base patterns.
@@ -333,7 +333,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_assign", "n_access", "n_hex", "base_spans", "spans", "n_layers"],
             )
 
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(lean(run), out)
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -366,5 +366,5 @@ def redact(docs: DataFrame) -> DataFrame:
             cols[at] = pa.array(texts, b.column(at).type)
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    done = docs.mapInArrow(run, schema)
+    done = docs.mapInArrow(lean(run), schema)
     return done.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else done

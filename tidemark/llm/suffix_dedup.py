@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_FILES, BLOCK_ROWS, as_bytes, discard, materialise, text_bytes
+from .common import BLOCK_FILES, BLOCK_ROWS, as_bytes, discard, lean, materialise, text_bytes
 from .suffix_arrays import common_prefixes, suffix_array, words_at
 
 ANCHOR_BYTES = 64
@@ -218,7 +218,7 @@ def cut_repeats(docs: DataFrame, *, least: int = 200, with_text: bool = False, h
                 serial += 1
 
     blocks = materialise(
-        rows.mapInArrow(gather, f"block long, doc_id array<{id_type}>, row array<long>, start array<long>, total array<long>, text array<binary>"),
+        rows.mapInArrow(lean(gather), f"block long, doc_id array<{id_type}>, row array<long>, start array<long>, total array<long>, text array<binary>"),
         "suffix-blocks", **BLOCK_FILES,
     )
 
@@ -265,7 +265,7 @@ def cut_repeats(docs: DataFrame, *, least: int = 200, with_text: bool = False, h
         return pa.table([table.column("block"), table.column("bucket"), pa.array(parts, pa.binary())], names=["block", "bucket", "codes"])
 
     codes = materialise(
-        blocks.mapInArrow(ask, "block long, bucket long, anchors binary, contexts binary, counts binary")
+        blocks.mapInArrow(lean(ask), "block long, bucket long, anchors binary, contexts binary, counts binary")
         .groupBy("bucket")
         .applyInArrow(sort_out, "block long, bucket long, codes binary"),
         "suffix-codes",
