@@ -19,6 +19,9 @@ LEAF_HEX = 12
 SECTION_HEX = 16
 #: UTF-8 bytes of text that one bucket of neighbours should hold, about.
 BUCKET_BYTES = 4 << 20
+#: Buckets at most, so that their bounds in the plan stay below 200 kB at any size.
+#: Beyond 80 GB buckets grow instead (5 GB each at 100 TB); their sort spills to disk.
+MAX_BUCKETS = 20_000
 
 
 def sections(text: Column) -> Column:
@@ -74,7 +77,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     in its own bucket. Texts are shuffled once, and never to one task."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("order_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     size, _ = text_bytes(docs)
-    n = max(shuffle_partitions(docs.sparkSession), size // BUCKET_BYTES, 1)
+    n = max(shuffle_partitions(docs.sparkSession), min(size // BUCKET_BYTES, MAX_BUCKETS), 1)
     cuts = rows.agg(
         F.min("order_id").alias("low"),
         F.percentile_approx("order_id", [k / n for k in range(1, n)] or [0.5], F.lit(max(10_000, 10 * n))).alias("cuts"),
