@@ -156,6 +156,9 @@ def oracle_sql() -> dict[str, str]:
         "quote_errors": f"WITH {QUOTES} SELECT poll_id, quote_capture_status, last_error FROM failing",
         "quote_warnings": f"""SELECT CAST(o_orderkey AS VARCHAR) AS poll_id, {iso_s('1704067200 + o_orderkey % 86400')} AS ts,
             'no_active_market_for_quote_poll' AS warning, 'm' || o_orderkey AS market_id FROM orders WHERE o_orderkey % 7 = 0""",
+        "quote_poll_failures": f"""SELECT CAST(o_orderkey AS VARCHAR) AS poll_id, {iso_s('1704067200 + o_orderkey % 86400')} AS ts, 'warning' AS record_type,
+            CASE WHEN o_orderkey % 7 = 0 THEN 'no_active_market_for_quote_poll' ELSE 'quote_poll_failed' END AS warning, 'm' || o_orderkey AS market_id,
+            CASE WHEN o_orderkey % 7 <> 0 THEN 'timeout ' || o_orderkey END AS error FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 11 = 3""",
         "latest_quote_asof": """WITH t AS (SELECT CAST(user_id % 50 AS VARCHAR) AS token_id, ts, max_by(value, event_id) AS v FROM events WHERE event_type = 'view' GROUP BY 1, 2),
             a AS (SELECT event_id, CAST(user_id % 50 AS VARCHAR) AS token_id, ts FROM events WHERE event_type = 'purchase'),
             x AS (SELECT a.event_id, a.token_id, t.v, (epoch_us(a.ts) - epoch_us(t.ts)) / 1e6 AS age FROM a ASOF LEFT JOIN t ON a.token_id = t.token_id AND a.ts >= t.ts)
@@ -213,6 +216,10 @@ def oracle_sql() -> dict[str, str]:
         "heartbeat_quote_error": f"""WITH {QUOTES}, a AS (SELECT event_id, event_id % 86400 AS t FROM events WHERE event_type = 'click'),
             o AS (SELECT o_orderkey % 86400 AS t, last_error FROM failing QUALIFY row_number() OVER (PARTITION BY o_orderkey % 86400 ORDER BY poll_id DESC) = 1)
             SELECT a.event_id AS id, last_error AS quote_last_error FROM a ASOF LEFT JOIN o ON a.t >= o.t""",
+        "heartbeat_cadence": """WITH span AS (SELECT min(epoch_us(ts)) AS low, max(epoch_us(ts)) AS high FROM events)
+            SELECT low + i * 300000000 AS ts_us FROM span, unnest(generate_series(0, (high - low) // 300000000)) AS u(i)""",
+        "manifest_roundtrip": f"""WITH {HOURS} SELECT strftime(h, '%Y-%m-%d') AS segment_date, strftime(h, '%H') AS segment_hour, {H_ISO('h')} AS segment_start_utc,
+            {H_ISO('nx')} AS segment_end_utc, true AS closed_cleanly, 'BTC' AS asset, 'store' AS output_root, n_chainlink, n_binance FROM hours WHERE nx IS NOT NULL""",
         "segment_manifest": f"""WITH {HOURS} SELECT {H_ISO('h')} AS segment_start_utc, {H_ISO("coalesce(nx, TIMESTAMP '2024-02-01')")} AS segment_end_utc, true AS closed_cleanly,
             'hourly-segment-rotation-v1' AS recorder_version, 'BTC' AS asset, n_chainlink, n_binance, 0 AS n_quotes, 0 AS n_meta, 0 AS n_heartbeat FROM hours""",
         "segment_catalog": f"""WITH {HOURS} SELECT strftime(h, '%Y-%m-%d') AS segment_date, strftime(h, '%H') AS segment_hour,

@@ -70,6 +70,13 @@ def quote_warnings(spark, sf_dir):
     return quotes.quote_warnings(A.quote_polls(spark, sf_dir)).select("poll_id", "ts", "warning", "market_id")
 
 
+def quote_poll_failures(spark, sf_dir):
+    """Quote polls of which every eleventh failed as a whole, with its error."""
+    key = F.col("poll_id").cast("long")
+    polls = A.quote_polls(spark, sf_dir).withColumn("poll_error", F.when(key % 11 == 3, F.concat(F.lit("timeout "), "poll_id")))
+    return quotes.quote_warnings(polls).select("poll_id", "ts", "record_type", "warning", "market_id", "error")
+
+
 def latest_quote_asof(spark, sf_dir):
     e = A.events(spark, sf_dir).withColumn("token_id", (F.col("user_id") % 50).cast("string"))
     taken = e.where("event_type = 'view'").select(
@@ -173,6 +180,12 @@ def heartbeat_quote_error(spark, sf_dir):
     return health.last_quote_error(at, errors).select("id", "quote_last_error")
 
 
+def heartbeat_cadence(spark, sf_dir):
+    """Times of a heartbeat every five minutes over the span of the events."""
+    span = A.events(spark, sf_dir).agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+    return health.beats(span["low"], span["high"], spark, every_seconds=300).select(F.unix_micros("ts").alias("ts_us"))
+
+
 def _segmented(spark, sf_dir):
     rows = ticks.all_ticks(A.raw_frames(spark, sf_dir))
     return segments.with_segment(rows.withColumn("at", E.parse_datetime(F.col("ts"))), "at")
@@ -189,6 +202,15 @@ def segment_catalog(spark, sf_dir):
     return segments.catalogue(rows, segments.manifests(rows)).select("segment_date", "segment_hour", "state", "segment_end_utc")
 
 
+def manifest_roundtrip(spark, sf_dir):
+    """Manifests of closed segments, written as JSON and read back."""
+    root = new_folder(spark, "manifests")
+    store.write_manifests(segments.manifests(_segmented(spark, sf_dir), asset="BTC", output_root="store"), root)
+    return store.read_manifests(spark, root).select(
+        "segment_date", "segment_hour", "segment_start_utc", "segment_end_utc", "closed_cleanly", "asset", "output_root",
+        F.col("row_counts")["chainlink.jsonl"].alias("n_chainlink"), F.col("row_counts")["binance.jsonl"].alias("n_binance"))
+
+
 def latest_segment(spark, sf_dir):
     return segments.latest_closed(segments.manifests(_segmented(spark, sf_dir))).select("segment_start_utc", "segment_end_utc", F.col("row_counts")["binance.jsonl"].alias("n_binance"))
 
@@ -247,9 +269,9 @@ def route_changes_stream(spark, sf_dir):
 
 QUERIES = [
     ticks_binance, ticks_rest, ticks_chainlink, ticks_union, response_diagnostics, quote_snapshots, crossed_books, quote_rows, quote_errors,
-    quote_warnings, latest_quote_asof, candidate_slugs, normalized_candidates, deduped_candidates, filter_waterfall, scored_candidates,
+    quote_warnings, quote_poll_failures, latest_quote_asof, candidate_slugs, normalized_candidates, deduped_candidates, filter_waterfall, scored_candidates,
     routed_market, route_failures, attempt_summary, route_changes, route_backfill, catalogue_window_scan, heartbeat_freshness, heartbeat_state,
-    heartbeat_market, heartbeat_quote_error, segment_manifest, segment_catalog, latest_segment, jsonl_roundtrip, hourly_counts_stream,
+    heartbeat_market, heartbeat_quote_error, heartbeat_cadence, segment_manifest, segment_catalog, manifest_roundtrip, latest_segment, jsonl_roundtrip, hourly_counts_stream,
     ticks_stream, route_changes_stream,
 ]
 
