@@ -42,6 +42,21 @@ def raw_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def transport_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transport events of both feeds: four named ones by event id, and ticker polls
+    (every fifth event) that failed or brought no price."""
+    i = F.col("event_id")
+    # Transport events as the feeds name them.
+    names = ["rtds_reconnect", "missing_poly_rtds_url", "websockets_dependency_unavailable", "ws_reconnect_rest_fallback"]
+    event = F.when(i % 5 < 4, F.element_at(F.array(*[F.lit(n) for n in names]), (i % 5 + 1).cast("int")))
+    feed = F.when(i % 5 < 2, "chainlink").when(i % 5 == 2, F.when(i % 2 == 0, "chainlink").otherwise("binance_ws")).when(i % 5 == 3, "binance_ws").otherwise("binance_rest")
+    poll = F.when(i % 5 == 4, F.when(i % 2 == 0, '{"symbol":"BTCUSDT","price":"none"}').otherwise("busy"))
+    return events(spark, sf_dir).select(
+        "event_id", feed.alias("feed"), F.col("ts").alias("received_ts"), poll.alias("raw"), event.alias("event"),
+        F.when(i % 3 == 0, F.concat(F.lit("lost "), i.cast("string"))).alias("error"), F.lit("wss://feed.invalid/ws").alias("url"),
+    )
+
+
 def book_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order books: the first two lines of an order are the YES and NO book. Bids
     are the line's price, asks that by 1 + tax - discount (crossed where the

@@ -142,6 +142,14 @@ def oracle_sql() -> dict[str, str]:
         "ticks_rest": REST,
         "ticks_chainlink": CHAINLINK,
         "ticks_union": UNION,
+        "transport_events": f"""WITH x AS (SELECT event_id, event_id % 5 AS k, ts, event_id % 5 < 2 OR (event_id % 5 = 2 AND event_id % 2 = 0) AS oracle,
+            CASE WHEN event_id % 3 = 0 THEN 'lost ' || event_id END AS lost FROM events)
+            SELECT CASE WHEN oracle THEN 'chainlink' ELSE 'binance' END AS family, {TS} AS ts, 'warning' AS record_type,
+            CASE WHEN oracle THEN 'polymarket_rtds' WHEN k = 4 THEN 'binance_rest' ELSE 'binance_ws' END AS source,
+            CASE WHEN oracle THEN 'BTC/USD' ELSE 'BTCUSDT' END AS symbol, CAST(NULL AS DOUBLE) AS price,
+            ['rtds_reconnect', 'missing_poly_rtds_url', 'websockets_dependency_unavailable', 'ws_reconnect_rest_fallback', 'rest_poll_failed'][k + 1] AS warning,
+            CASE WHEN k = 4 THEN coalesce(lost, 'price is not a number') ELSE lost END AS error,
+            '{{"url":"wss://feed.invalid/ws"}}' AS raw_payload_fragment FROM x""",
         "response_diagnostics": f"""WITH {RESPONSES} SELECT poll_id, attempt_seq, phase, ok,
             CASE WHEN denied THEN 'http_failure' WHEN broken THEN 'parse_failure' END AS error_kind,
             CASE WHEN denied THEN 'HTTP 503' WHEN broken THEN 'body is not JSON' END AS error,
