@@ -145,6 +145,34 @@ def as_bytes(column) -> list:
     return column.cast(kind).to_pylist()
 
 
+def binaries(values, cuts):
+    """Arrow binary array whose i-th value is values[cuts[i]:cuts[i + 1]] of a numpy
+    array; no loop over the values."""
+    import numpy as np
+    import pyarrow as pa
+
+    values = np.ascontiguousarray(values)
+    offsets = (np.asarray(cuts, np.int64) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
+def flat(column, kind):
+    """(values, cuts) of a binary column without nulls: what binaries() was made of."""
+    import numpy as np
+    import pyarrow as pa
+
+    out, cuts = [], [np.zeros(1, np.int64)]
+    size = np.dtype(kind).itemsize
+    for x in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        if len(x):
+            wide = np.int64 if pa.types.is_large_binary(x.type) else np.int32
+            at = np.frombuffer(x.buffers()[1], wide)[x.offset : x.offset + len(x) + 1].astype(np.int64)
+            if at[-1] > at[0]:
+                out.append(np.frombuffer(x.buffers()[2], np.uint8)[at[0] : at[-1]].view(kind))
+            cuts.append((at[1:] - at[0]) // size + cuts[-1][-1])
+    return np.concatenate(out) if out else np.zeros(0, kind), np.concatenate(cuts)
+
+
 def text_bytes(docs: DataFrame, text_col: str = "text"):
     """Sum of UTF-8 bytes and number of rows; one scan, partial aggregates."""
     row = docs.agg(

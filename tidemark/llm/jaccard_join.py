@@ -27,7 +27,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks_of, discard, lean, materialise, text_bytes
+from .common import as_bytes, binaries, blocks_of, discard, flat, lean, materialise, text_bytes
 from .components import least_labels
 
 _UPPER = bytes(range(0x41, 0x5B))
@@ -127,11 +127,18 @@ def set_table(docs: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(lean(run), f"doc_id {id_type}, text_hash long, n_shingles long, set_hash binary")
 
 
-def _entries(block: int, ids, sets: list, kinds, share: int, bounds):
-    """Packed (hash, class, owner) lists of a block, one per hash bucket. Of the
-    owners of a shingle, the first of the first two classes say all. 32 bits of
-    the hash are kept: a clash only makes a shingle look shared."""
+ENTRIES = "block long, bucket long, hashes binary, kinds binary, owners binary, keys binary"
+KEY_BYTES = 16
+
+
+def _entries(block: int, ids, sets: list, kinds, share: int, n_buckets: int, keys: list):
+    """Record batch of a block: packed (hash, class, owner) lists, one row per hash
+    bucket that gets any, and a row with the keys of the owners. Of the owners of a
+    shingle, the first of the first two classes say all. 32 bits of the hash are
+    kept: a clash only makes a shingle look shared. The work grows with the hashes
+    of the block, however many buckets there are."""
     import numpy as np
+    import pyarrow as pa
 
     some = [s[(s & np.uint64(1023)) < share] for s in sets]
     h = np.concatenate(some) if some else np.zeros(0, np.uint64)
@@ -147,29 +154,17 @@ def _entries(block: int, ids, sets: list, kinds, share: int, bounds):
     nth = run - np.maximum.accumulate(np.where(fresh, run, 0)) if len(h) else run
     keep = new_kind & (nth < 2)
     h, who, kind = h[keep], who[keep], kind[keep]
-    cut = np.searchsorted(h, bounds)
-    for k, (x, y, z) in enumerate(zip(np.split(h, cut), np.split(kind, cut), np.split(who, cut))):
-        if len(x):
-            yield block, k, (x >> np.uint64(10)).astype(np.uint32).tobytes(), y.tobytes(), z.tobytes(), None
-
-
-def _bounds(n_buckets: int):
-    import numpy as np
-
-    step = (1 << 64) // n_buckets
-    return np.array([step * k for k in range(1, n_buckets)], np.uint64)
-
-
-ENTRIES = "block long, bucket long, hashes binary, kinds binary, owners binary, keys binary"
-KEY_BYTES = 16
-
-
-def _entry_batch(rows: list):
-    import pyarrow as pa
-
-    cols = list(zip(*rows)) or [()] * 6
-    kinds = [pa.int64(), pa.int64()] + [pa.binary()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["block", "bucket", "hashes", "kinds", "owners", "keys"])
+    bucket = np.minimum(h // np.uint64((1 << 64) // n_buckets), np.uint64(n_buckets - 1)).astype(np.int64)
+    head = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), bucket[1:] != bucket[:-1])))
+    # The last row is that of the keys: its lists are empty.
+    cuts = np.concatenate((head, [len(h), len(h)]))
+    buckets = np.concatenate((bucket[head], [block % n_buckets]))
+    columns = [
+        pa.array(np.full(len(buckets), block, np.int64)), pa.array(buckets),
+        *(binaries(x, cuts) for x in ((h >> np.uint64(10)).astype(np.uint32), kind, who)),
+        pa.concat_arrays([pa.nulls(len(head), pa.binary()), pa.array([b"".join(keys)], pa.binary())]),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["block", "bucket", "hashes", "kinds", "owners", "keys"])
 
 
 def _count_unshared(entries: DataFrame) -> DataFrame:
@@ -182,26 +177,25 @@ def _count_unshared(entries: DataFrame) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        hashes = [np.frombuffer(x, np.uint32) for x in table.column("hashes").to_pylist()]
-        kinds = np.frombuffer(b"".join(table.column("kinds").to_pylist()), np.uint64)
-        owners = [np.frombuffer(x, np.uint16) for x in table.column("owners").to_pylist()]
-        h = np.concatenate(hashes)
-        order = np.argsort(h, kind="stable")
-        ranked, kind = h[order], kinds[order]
-        head = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-        one = np.minimum.reduceat(kind, head) == np.maximum.reduceat(kind, head)
-        alone = np.empty(len(h), bool)
-        alone[order] = np.repeat(one, np.diff(np.append(head, len(h))))
-        found = [o[a].tobytes() for o, a in zip(owners, np.split(alone, np.cumsum([len(o) for o in owners])[:-1]))]
-        return pa.table([table.column("block"), pa.array(found, pa.binary()), table.column("keys")], names=["block", "owners", "keys"])
+        h, cuts = flat(table.column("hashes"), np.uint32)
+        kinds, owners = flat(table.column("kinds"), np.uint64)[0], flat(table.column("owners"), np.uint16)[0]
+        alone = np.zeros(len(h), bool)
+        if len(h):
+            order = np.argsort(h, kind="stable")
+            ranked, kind = h[order], kinds[order]
+            head = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+            one = np.minimum.reduceat(kind, head) == np.maximum.reduceat(kind, head)
+            alone[order] = np.repeat(one, np.diff(np.append(head, len(h))))
+        found = binaries(owners[alone], np.concatenate(([0], np.cumsum(alone)))[cuts])
+        return pa.table([table.column("block"), found, table.column("keys")], names=["block", "owners", "keys"])
 
     def count(table):
         import numpy as np
         import pyarrow as pa
 
-        n = np.bincount(np.frombuffer(b"".join(table.column("owners").to_pylist()), np.uint16))
+        n = np.bincount(flat(table.column("owners"), np.uint16)[0])
         pos = np.flatnonzero(n)
-        (keys,) = (k for k in table.column("keys").to_pylist() if k is not None)
+        (keys,) = table.column("keys").drop_null().to_pylist()
         own = [keys[p : p + KEY_BYTES] for p in (pos * KEY_BYTES).tolist()]
         return pa.table([pa.array(own, pa.binary()), pa.array(n[pos], pa.int64())], names=["key", "unshared"])
 
@@ -224,8 +218,7 @@ def unshared_in_texts(docs: DataFrame, width: int) -> DataFrame:
             sets = block_sets(as_bytes(b.column("text")), width)
             keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             kinds = [int.from_bytes(k[-8:], "big") for k in keys]
-            found = list(_entries(block, np.arange(len(sets)), sets, kinds, LOOKED_AT, _bounds(n_buckets)))
-            yield _entry_batch([*found, (block, block % n_buckets, b"", b"", b"", b"".join(keys))])
+            yield _entries(block, np.arange(len(sets)), sets, kinds, LOOKED_AT, n_buckets, keys)
 
     return _count_unshared(docs.select("doc_id", "text").mapInArrow(lean(ask), ENTRIES))
 
@@ -249,8 +242,7 @@ def unshared_in_sets(sets: DataFrame) -> DataFrame:
                     kinds = rows.column("cid").to_numpy()
                     own = [np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()]
                     block, serial = part << 32 | serial, serial + 1
-                    found = list(_entries(block, np.arange(len(own)), own, kinds, 1024, _bounds(n_buckets)))
-                    yield _entry_batch([*found, (block, block % n_buckets, b"", b"", b"", b"".join(keys))])
+                    yield _entries(block, np.arange(len(own)), own, kinds, 1024, n_buckets, keys)
 
     cid = F.conv(F.hex(F.substring("key", KEY_BYTES - 7, 8)), 16, 10).cast("long")
     return _count_unshared(sets.select("block", "cid", "hashes").mapInArrow(lean(ask), ENTRIES)).select(cid.alias("cid"), "unshared")
