@@ -63,6 +63,29 @@ def running_before(rows: DataFrame, keys: list[str], order: str, value: str, spa
     return rows.join(sums, [*keys, cut]).withColumn(out, F.col(part) + F.col(upto)).drop(cut, part, upto)
 
 
+def ranked(rows: DataFrame, keys: list[str], order: list, label: str) -> DataFrame:
+    """rows, written once, with place (from 0, within ``keys``, by ``order``) and
+    n_keyed (rows of the key). Null keys are a key.
+
+    Rows are range-sorted over keys and order together, so a key with most of the
+    rows spreads over many tasks; windows see one row per key and range."""
+    spark = rows.sparkSession
+    by = [F.col(k).asc_nulls_first() for k in keys] + order
+    placed = rows.repartitionByRange(shuffle_partitions(spark), *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    table = materialise(placed, label).withColumn("_range", F.shiftright("_at", 33))
+    own = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    names = [f"_k{i}" for i in range(len(keys))]
+    per = table.groupBy(*own, F.col("_range").alias("_r")).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    whole = Window.partitionBy(*(names or [F.lit(0)]))
+    before = whole.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("n_keyed", F.sum("_n").over(whole))
+    same = F.col("_range") == F.col("_r")
+    for k, name in zip(keys, names):
+        same = same & F.col(k).eqNullSafe(F.col(name))
+    found = table.join(per, same).withColumn("place", F.col("_at") - F.col("_first") + F.col("_before"))
+    return found.select(*[F.col(f"`{c}`") for c in rows.columns], "place", "n_keyed")
+
+
 #: A block is one large value, so files are cut at few rows.
 BLOCK_FILES = {"compression": "zstd", "parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
 #: Rows of a block at most, so that two bytes number them.

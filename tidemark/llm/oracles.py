@@ -121,5 +121,43 @@ FROM run GROUP BY doc_id, size, source_size, target, source
 """
 
 
+#: CRC-32 of the decimal text of a number, bit by bit.
+CRC = (
+    "xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(regexp_extract_all(CAST({} AS VARCHAR), '.'), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))), "
+    "lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END))"
+).format
+PUT = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')".format
+LEAF = lambda text: "sha256(" + " || ".join(PUT(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+OP11 = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, {LEAF("text")} AS leaf, CASE WHEN {CRC("doc_id")} % 2 = 0 THEN {LEAF("replace(text, chr(10), '')")} ELSE {LEAF("text")} END AS changed FROM documents),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY source) AS n,
+    dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s FROM d),
+low(lvl, s, p, n, node) AS (
+  SELECT 0, s, p, n, leaf FROM placed
+  UNION ALL SELECT lvl + 1, s, p // 3, max((n + 2) // 3), sha256(string_agg(node, '' ORDER BY p)) FROM low WHERE n > 1 GROUP BY lvl, s, p // 3),
+subroots AS (SELECT s, lvl AS height, node AS subroot FROM low WHERE n = 1),
+high(lvl, p, n, node) AS (
+  SELECT 0, s, count(*) OVER (), subroot FROM subroots
+  UNION ALL SELECT lvl + 1, p // 3, max((n + 2) // 3), sha256(string_agg(node, '' ORDER BY p)) FROM high WHERE n > 1 GROUP BY lvl, p // 3),
+nodes AS (
+  SELECT s, lvl, p, n, node FROM low WHERE n > 1
+  UNION ALL SELECT x.s, x.height + h.lvl, h.p, h.n, h.node FROM subroots x JOIN high h ON h.n > 1 AND h.p // 3 = CAST(floor(x.s / 3 ** (h.lvl + 1)) AS BIGINT)),
+own AS (
+  SELECT f.s, f.p, n.lvl, n.p AS q, n.node, CASE WHEN n.lvl < x.height THEN CAST(floor(f.p / 3 ** n.lvl) AS BIGINT) ELSE CAST(floor(f.s / 3 ** (n.lvl - x.height)) AS BIGINT) END AS me
+  FROM placed f JOIN subroots x USING (s) JOIN nodes n ON n.s = f.s AND (n.lvl >= x.height OR n.p // 3 = CAST(floor(f.p / 3 ** (n.lvl + 1)) AS BIGINT))),
+runs AS (
+  SELECT s, p, lvl, coalesce(string_agg(node, '' ORDER BY q) FILTER (q < me), '') AS l, coalesce(string_agg(node, '' ORDER BY q) FILTER (q > me), '') AS r FROM own GROUP BY s, p, lvl),
+fold(s, p, lvl, node) AS (
+  SELECT s, p, 0, changed FROM placed
+  UNION ALL SELECT f.s, f.p, f.lvl + 1, sha256(r.l || f.node || r.r) FROM fold f JOIN runs r ON r.s = f.s AND r.p = f.p AND r.lvl = f.lvl),
+ends AS (SELECT s, p, arg_max(node, lvl) AS folded_root FROM fold GROUP BY s, p),
+proofs AS (SELECT s, p, sha256(string_agg(l || r, '' ORDER BY lvl)) AS proof_sha256 FROM runs GROUP BY s, p)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM placed JOIN subroots USING (s) CROSS JOIN (SELECT node AS root FROM high WHERE n = 1) JOIN ends USING (s, p) LEFT JOIN proofs USING (s, p)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_frequency": OP2, "op4_partenum": OP4, "op5_merkle": OP5, "op8_suffix": OP8, "op10_mix": OP10}
+    return {"op2_line_frequency": OP2, "op4_partenum": OP4, "op5_merkle": OP5, "op8_suffix": OP8, "op10_mix": OP10, "op11_manifest": OP11}

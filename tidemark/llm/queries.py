@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, jaccard_join, langid, merkle, mixing, oracles, packing, quality_lines, secrets, suffix_dedup, url_lists
+from . import backoff_lm, jaccard_join, langid, manifest, merkle, mixing, oracles, packing, quality_lines, secrets, suffix_dedup, url_lists
 from .common import documents
 
 
@@ -112,6 +112,16 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "source")
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    text = F.when(crc_mod(2) == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    got = manifest.prove(docs, {"leaf": manifest.leaf(docs, columns), "changed": manifest.leaf(docs, columns, text=text)})
+    root = manifest.folded(F.col("changed"), F.col("proof"), F.col("spot"))
+    got = got.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("proof")).alias("proof_sha256"), root.alias("folded_root"))
+    return got.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict:
     return {
         "op1_language": op1_language,
@@ -124,6 +134,7 @@ def queries() -> dict:
         "op8_suffix": op8_suffix,
         "op9_backoff": op9_backoff,
         "op10_mix": op10_mix,
+        "op11_manifest": op11_manifest,
     }
 
 
