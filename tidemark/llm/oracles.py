@@ -159,5 +159,29 @@ FROM placed JOIN subroots USING (s) CROSS JOIN (SELECT node AS root FROM high WH
 """
 
 
+OP12 = rf"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) - 1 AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, count(*) AS n, {CRC("c")} % 4 AS h, c - c % 20 AS b FROM t GROUP BY c),
+k AS (SELECT x.c, x.n, x.h, x.b, least(x.h, coalesce(y.n, 0)) AS m, least(x.h, coalesce(y.n, 0)) + greatest(0, x.n - x.h) AS total FROM convs x LEFT JOIN convs y ON y.c = x.b),
+r AS (
+  SELECT k.c, m + p - h + 1 AS d, role, text FROM t JOIN k USING (c) WHERE p >= h
+  UNION ALL SELECT k.c, p + 1, role, text FROM k JOIN t ON t.c = k.b WHERE p < h),
+pre AS (
+  SELECT c, d, len(regexp_extract_all(text, {WORD})) AS w, string_agg(sha256(strlen(role) || ':' || role || text), '') OVER (PARTITION BY c ORDER BY d) AS x FROM r
+  UNION ALL SELECT c, 0, 0, '' FROM k),
+nodes AS (
+  SELECT x, d, min(c) AS conv_id, count(*) AS n_convs, max(w) AS w, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = total), '') AS ends,
+    CASE WHEN count(*) FILTER (d < total) = 0 THEN 1 ELSE 0 END AS leaf
+  FROM pre JOIN k USING (c) GROUP BY x, d),
+above AS (SELECT d, leaf, (n_convs - 1) * w AS saved, substr(x, 1, 64 * j) AS ax, j FROM (SELECT *, unnest(range(0, d + 1)) AS j FROM nodes)),
+sums AS (SELECT ax, CAST(sum(leaf) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens, count(*) FILTER (d = j + 1) AS n_children FROM above GROUP BY ax)
+SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN sums ON ax = n.x LEFT JOIN nodes u ON u.d = n.d - 1 AND u.x = substr(n.x, 1, 64 * (n.d - 1))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_frequency": OP2, "op4_partenum": OP4, "op5_merkle": OP5, "op8_suffix": OP8, "op10_mix": OP10, "op11_manifest": OP11}
+    return {"op2_line_frequency": OP2, "op4_partenum": OP4, "op5_merkle": OP5, "op8_suffix": OP8, "op10_mix": OP10, "op11_manifest": OP11, "op12_prefix_trie": OP12}

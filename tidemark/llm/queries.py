@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, jaccard_join, langid, manifest, merkle, mixing, oracles, packing, quality_lines, secrets, suffix_dedup, url_lists
+from . import backoff_lm, jaccard_join, langid, manifest, merkle, mixing, oracles, packing, prefix_trie, quality_lines, secrets, suffix_dedup, url_lists
 from .common import documents
 
 
@@ -122,6 +122,10 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict:
     return {
         "op1_language": op1_language,
@@ -135,6 +139,7 @@ def queries() -> dict:
         "op9_backoff": op9_backoff,
         "op10_mix": op10_mix,
         "op11_manifest": op11_manifest,
+        "op12_prefix_trie": op12_prefix_trie,
     }
 
 
