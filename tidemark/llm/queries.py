@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, jaccard_join, langid, manifest, merkle, mixing, oracles, packing, prefix_trie, quality_lines, secrets, suffix_dedup, url_lists
+from . import backoff_lm, jaccard_join, langid, manifest, merkle, mixing, oracles, packing, prefix_trie, quality_lines, secrets, suffix_dedup, toxicity, url_lists
 from .common import documents
 
 
@@ -126,6 +126,13 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(crc_mod(5) != 0).select("doc_id", F.col("toxic").alias("label"))
+    got = toxicity.score(docs, toxicity.fit(docs, labels))
+    return got.select("doc_id", (crc_mod(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_restored")
+
+
 def queries() -> dict:
     return {
         "op1_language": op1_language,
@@ -140,6 +147,7 @@ def queries() -> dict:
         "op10_mix": op10_mix,
         "op11_manifest": op11_manifest,
         "op12_prefix_trie": op12_prefix_trie,
+        "op13_toxicity": op13_toxicity,
     }
 
 
