@@ -1,3 +1,5 @@
+import json
+import random
 from datetime import datetime, timezone
 
 import pytest
@@ -60,8 +62,37 @@ def test_find_numeric_order_and_depth(spark):
     rows = ['{"value":"x","price":{"data":["y","3.5"]}}', '[{"a":1},{"value":true}]', '{"payload":{"data":[{"value":4}]}}', '"2"', '{"a":1}',
             '{"data":{"data":{"data":{"data":{"data":{"data":{"value":1}}}}}}}']
     keys = ("value", "price")
-    assert values(spark, rows, lambda s: E.find_numeric(E.parse(s), keys)) == [3.5, 1.0, 4.0, 2.0, None, None]
-    assert values(spark, rows[-2:], lambda s: E.too_deep(E.parse(s), keys)) == [False, True]
+    assert values(spark, rows, lambda s: E.find_numeric(E.parse(s), keys)) == [3.5, 1.0, 4.0, 2.0, None, 1.0]
+
+
+def _numeric(x, keys):
+    """The search written as a recursion over parsed JSON."""
+    if isinstance(x, (bool, int, float)):
+        return float(x)
+    if isinstance(x, str):
+        try:
+            return float(x)
+        except ValueError:
+            return None
+    inner = [x.get(k) for k in (*keys, "data", "payload", "event", "price")] if isinstance(x, dict) else x if isinstance(x, list) else []
+    return next((n for n in (_numeric(i, keys) for i in inner) if n is not None), None)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_find_numeric_against_recursion(spark, seed):
+    r = random.Random(seed)
+
+    def tree(levels):
+        if not levels or r.random() < 0.15:
+            return r.choice([1, "2.5", "no", True, None, "[{", 'a"b\\', {}, []])
+        if r.random() < 0.4:
+            return [tree(levels - 1) for _ in range(r.randrange(3))]
+        return {k: tree(levels - 1) for k in r.sample(["value", "price", "data", "payload", "event", "other", "x]"], r.randrange(1, 4))}
+
+    rows = [json.dumps(tree(r.choice([2, 5, 14]))) for _ in range(120)]
+    keys = ("value", "price")
+    got = values(spark, rows, lambda s: E.find_numeric(E.parse(s), keys))
+    assert got == [_numeric(json.loads(x), keys) for x in rows]
 
 
 def test_source_time(spark):

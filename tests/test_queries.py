@@ -34,7 +34,7 @@ def rows(cols, names, data):
     return sorted((tuple(plain(r[i]) for i in at) for r in data), key=str)
 
 
-@pytest.mark.parametrize("name", ["ticks_chainlink", "transport_events", "quote_errors", "routed_market", "latest_quote_asof", "heartbeat_freshness", "segment_catalog", "manifest_roundtrip", "heartbeat_cadence", "quote_poll_failures", "jsonl_roundtrip", "hourly_counts_stream"])
+@pytest.mark.parametrize("name", ["ticks_chainlink", "transport_events", "ticks_deep", "candidates_deep", "quote_errors", "routed_market", "latest_quote_asof", "heartbeat_freshness", "segment_catalog", "manifest_roundtrip", "heartbeat_cadence", "quote_poll_failures", "jsonl_roundtrip", "hourly_counts_stream"])
 def test_query_matches_sql(spark, base, name):
     df = queries.queries()[name](spark, SF)
     got = rows(sorted(df.columns), df.columns, [tuple(r) for r in df.collect()])

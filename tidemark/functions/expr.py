@@ -11,9 +11,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Levels that find_numeric looks into; deeper values count as absent.
-NUMERIC_DEPTH = 6
-
 _ISO = (
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
     r"([T ][0-9]{2}(:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?)?(Z|[+-][0-9]{2}(:?[0-9]{2})?)?)?$"
@@ -138,22 +135,36 @@ def _spread(node: Column, keys: tuple[str, ...]) -> Column:
     return F.when(is_object(node), members).when(is_array(node), F.try_variant_get(node, "$", "array<variant>")).otherwise(F.array(node))
 
 
-def find_numeric(v: Column, keys: tuple[str, ...], depth: int = NUMERIC_DEPTH) -> Column:
+def nesting(json: Column) -> Column:
+    """Levels of lists and objects in a JSON text: 0 for a scalar, at least."""
+    # Escaped characters go first, so that a text ends at the next quotation mark.
+    texts = F.regexp_replace(F.regexp_replace(json, r"\\.", ""), '"[^"]*"', "")
+    marks = F.regexp_replace(texts, r"[^\[\]{}]", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(at: Column, mark: Column) -> Column:
+        now = at["now"] + F.when(mark.isin("[", "{"), 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(at["most"], now).alias("most"))
+
+    return F.aggregate(F.filter(F.split(marks, ""), lambda c: c != ""), start, step, lambda at: at["most"])
+
+
+def unfolded(v: Column, start: Column, step) -> Column:
+    """``start``, an array, after as many rounds of step(array) as v has levels: what
+    is unfolded level by level has then come to its end, however deep it is."""
+    rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), nesting(F.to_json(v))))
+    return F.aggregate(rounds, start, lambda nodes, _: step(nodes))
+
+
+def find_numeric(v: Column, keys: tuple[str, ...]) -> Column:
     """First number in depth-first order: an object's keys in the order given,
-    then data, payload, event, price; a list's elements in order. Looks ``depth``
-    levels down."""
-    nodes = F.when(v.isNotNull(), F.array(v))
-    for _ in range(depth):
-        nodes = F.flatten(F.transform(nodes, lambda n: _spread(n, keys)))
-    return F.get(F.filter(F.transform(nodes, number), lambda x: x.isNotNull()), F.lit(0))
-
-
-def too_deep(v: Column, keys: tuple[str, ...], depth: int = NUMERIC_DEPTH) -> Column:
-    """Whether something is left below the levels that find_numeric looks at."""
-    nodes = F.when(v.isNotNull(), F.array(v))
-    for _ in range(depth):
-        nodes = F.flatten(F.transform(nodes, lambda n: _spread(n, keys)))
-    return F.coalesce(F.exists(nodes, lambda n: is_object(n) | is_array(n)), F.lit(False))
+    then data, payload, event, price; a list's elements in order. At any depth; a
+    scalar and an object's first key are looked at before anything is unfolded."""
+    direct = lambda x: F.coalesce(number(x), number(get(x, keys[0])))
+    level = lambda nodes: F.flatten(F.transform(nodes, lambda n: _spread(n, keys)))
+    leaves = lambda x: unfolded(x, F.when(x.isNotNull(), F.array(x)), level)
+    deep = lambda x: F.get(F.filter(F.transform(leaves(x), number), lambda n: n.isNotNull()), F.lit(0))
+    return let(v, lambda x: F.coalesce(direct(x), F.when(is_object(x) | is_array(x), deep(x))))
 
 
 # --- time -------------------------------------------------------------------

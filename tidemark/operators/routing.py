@@ -15,8 +15,6 @@ from ..sources.workdir import stored
 from .asof import interval_join
 from .diagnostics import attempt_summaries, attempts, classified, failure_reasons
 
-#: Levels of events inside events that are looked into.
-EVENT_DEPTH = 3
 IDENTITY = ["market_id", "slug", "condition_id", "token_yes", "token_no", "start_time", "end_time"]
 DEDUPE_KEY = ["market_id", "condition_id", "slug", "start", "end"]
 
@@ -82,12 +80,16 @@ def _with_markets(node: Column) -> Column:
     return F.concat(F.array(node), F.filter(below, E.is_object))
 
 
-def _flatten(node: Column, depth: int) -> Column:
-    """node, its markets, then the same of each of its events, in that order."""
-    own = _with_markets(node)
-    if depth == 0:
-        return own
-    return F.concat(own, F.flatten(F.transform(_objects(E.get(node, "events")), lambda e: _flatten(e, depth - 1))))
+def _flatten(node: Column) -> Column:
+    """node, its markets, then the same of each of its events, in that order, at any
+    depth. Entries wait with their events until their round unfolds them in place."""
+    entry = lambda waits, v: F.struct(F.lit(waits).alias("waits"), v.alias("v"))
+    opened = lambda v: F.concat(
+        F.transform(_with_markets(v), lambda x: entry(False, x)), F.transform(_objects(E.get(v, "events")), lambda x: entry(True, x))
+    )
+    step = lambda nodes: F.flatten(F.transform(nodes, lambda x: F.when(x["waits"], opened(x["v"])).otherwise(F.array(x))))
+    deep = lambda v: F.transform(E.unfolded(v, F.array(entry(True, v)), step), lambda x: x["v"])
+    return E.let(node, lambda v: F.when(E.is_array(E.get(v, "events")), deep(v)).otherwise(_with_markets(v)))
 
 
 def _tokens(c: Column) -> Column:
@@ -138,7 +140,7 @@ def normalized(responses: DataFrame, *, expand_lists: bool = False) -> DataFrame
     single = F.when(E.is_object(F.col("v")), F.array("v"))
     payloads = F.coalesce(single, _objects(F.col("v"))) if expand_lists else single
     rows = rows.select("poll_id", "poll_ts", "asset", "phase", "attempt_seq", "source", "path", F.posexplode(payloads).alias("payload_seq", "p"))
-    rows = rows.select("*", F.posexplode(_flatten(F.col("p"), EVENT_DEPTH)).alias("candidate_seq", "c"))
+    rows = rows.select("*", F.posexplode(_flatten(F.col("p"))).alias("candidate_seq", "c"))
     c, p = F.col("c"), F.col("p")
     rows = E.computed(rows, e0=F.get(E.items(E.get(p, "events")), F.lit(0)))
     e0 = F.col("e0")

@@ -42,6 +42,33 @@ def raw_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def deep_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Oracle frames of the click events whose price lies event_id % 14 levels down,
+    below lists and objects in turn; every seventh holds no number."""
+    levels = (F.col("event_id") % 14).cast("int")
+    inner = F.when(F.col("event_id") % 7 == 3, '{"note":"none"}').otherwise(F.concat(F.lit('{"price":"'), F.col("value").cast("string"), F.lit('"}')))
+    raw = F.concat(F.repeat(F.lit('{"payload":["no",{"event":'), levels), inner, F.repeat(F.lit("}]}"), levels))
+    return events(spark, sf_dir).where("event_type = 'click'").select(
+        "event_id", F.lit("chainlink").alias("feed"), F.col("ts").alias("received_ts"), raw.alias("raw"),
+        F.lit(None).cast("string").alias("event"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("url"),
+    )
+
+
+def nested_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogue responses of the click events: two markets, in events inside events,
+    event_id % 12 levels down; the level above the last has a market of its own."""
+    i, levels = F.col("event_id").cast("string"), (F.col("event_id") % 12).cast("int")
+    leaf = F.concat(F.lit('{"id":"e'), i, F.lit('","markets":[{"id":"a'), i, F.lit('"},7,{"id":"b'), i, F.lit('"}]}'))
+    above = F.when(levels > 0, F.concat(F.lit('{"id":"u'), i, F.lit('","market":{"id":"m'), i, F.lit('"},"events":['), leaf, F.lit(",[]]}"))).otherwise(leaf)
+    body = F.concat(F.repeat(F.lit('{"events":['), F.greatest(levels - 1, F.lit(0))), above, F.repeat(F.lit("]}"), F.greatest(levels - 1, F.lit(0))))
+    return events(spark, sf_dir).where("event_type = 'click'").select(
+        i.alias("poll_id"), F.col("ts").alias("poll_ts"), F.lit("BTC").alias("asset"), F.lit("slug").alias("phase"), F.lit(0).alias("attempt_seq"),
+        F.lit("slug_event_query").alias("source"), F.lit("s").alias("slug"), F.lit("/events").alias("path"), F.create_map().cast("map<string,string>").alias("params"),
+        F.create_map().cast("map<string,string>").alias("headers_applied"), F.lit(200).alias("http_status"), F.lit(None).cast("string").alias("failure"),
+        F.lit(None).cast("string").alias("error"), body.alias("body"),
+    )
+
+
 def transport_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transport events of both feeds: four named ones by event id, and ticker polls
     (every fifth event) that failed or brought no price."""

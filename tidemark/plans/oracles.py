@@ -150,6 +150,12 @@ def oracle_sql() -> dict[str, str]:
             ['rtds_reconnect', 'missing_poly_rtds_url', 'websockets_dependency_unavailable', 'ws_reconnect_rest_fallback', 'rest_poll_failed'][k + 1] AS warning,
             CASE WHEN k = 4 THEN coalesce(lost, 'price is not a number') ELSE lost END AS error,
             '{{"url":"wss://feed.invalid/ws"}}' AS raw_payload_fragment FROM x""",
+        "ticks_deep": f"""SELECT {TS} AS ts, CASE WHEN event_id % 7 = 3 THEN 'warning' ELSE 'tick' END AS record_type,
+            CASE WHEN event_id % 7 <> 3 THEN value END AS price, CASE WHEN event_id % 7 = 3 THEN 'unparsed_chainlink_payload' END AS warning FROM events WHERE event_type = 'click'""",
+        "candidates_deep": """WITH e AS (SELECT event_id AS i, event_id % 12 AS l FROM events WHERE event_type = 'click'),
+            x AS (SELECT i, unnest(CASE WHEN l = 0 THEN ['e', 'a', 'b'] ELSE ['u', 'm', 'e', 'a', 'b'] END) || i AS market_id,
+              unnest(CASE WHEN l = 0 THEN [1, 2, 3] ELSE [1, 2, 3, 4, 5] END) AS nth FROM e)
+            SELECT CAST(i AS VARCHAR) AS poll_id, market_id, CAST(nth AS INT) AS nth FROM x""",
         "response_diagnostics": f"""WITH {RESPONSES} SELECT poll_id, attempt_seq, phase, ok,
             CASE WHEN denied THEN 'http_failure' WHEN broken THEN 'parse_failure' END AS error_kind,
             CASE WHEN denied THEN 'HTTP 503' WHEN broken THEN 'body is not JSON' END AS error,

@@ -37,6 +37,16 @@ def transport_events(spark, sf_dir):
     return ticks.all_ticks(A.transport_frames(spark, sf_dir)).select("family", *TICK, "error", "raw_payload_fragment")
 
 
+def ticks_deep(spark, sf_dir):
+    """Prices that lie up to 13 pairs of levels down."""
+    return ticks.chainlink_rows(A.deep_frames(spark, sf_dir)).select("ts", "record_type", "price", "warning")
+
+
+def candidates_deep(spark, sf_dir):
+    """Candidates of events inside events, in the order found."""
+    return routing.normalized(A.nested_responses(spark, sf_dir)).select("poll_id", "market_id", "nth")
+
+
 def response_diagnostics(spark, sf_dir):
     return diagnostics.attempts(A.catalog_responses(spark, sf_dir)).select(
         "poll_id", "attempt_seq", "phase", "ok", "error_kind", "error", "exact_slug_endpoint_used", "browser_like_headers_applied", "payload_empty", "n_rows",
@@ -272,7 +282,7 @@ def route_changes_stream(spark, sf_dir):
 
 
 QUERIES = [
-    ticks_binance, ticks_rest, ticks_chainlink, ticks_union, transport_events, response_diagnostics, quote_snapshots, crossed_books, quote_rows, quote_errors,
+    ticks_binance, ticks_rest, ticks_chainlink, ticks_union, transport_events, ticks_deep, candidates_deep, response_diagnostics, quote_snapshots, crossed_books, quote_rows, quote_errors,
     quote_warnings, quote_poll_failures, latest_quote_asof, candidate_slugs, normalized_candidates, deduped_candidates, filter_waterfall, scored_candidates,
     routed_market, route_failures, attempt_summary, route_changes, route_backfill, catalogue_window_scan, heartbeat_freshness, heartbeat_state,
     heartbeat_market, heartbeat_quote_error, heartbeat_cadence, segment_manifest, segment_catalog, manifest_roundtrip, latest_segment, jsonl_roundtrip, hourly_counts_stream,
