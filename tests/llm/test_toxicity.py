@@ -145,5 +145,6 @@ def test_held_out_documents(spark):
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
     got = [(r["score"], labels[r["doc_id"]]) for r in op13_toxicity(spark, folder).collect() if r["held_out"] and r["doc_id"] in labels]
     toxic, clean = (np.array([s for s, y in got if y == k]) for k in (1, 0))
-    assert len(toxic) and (toxic[:, None] > clean[None, :]).mean() > 0.85
+    ahead = (toxic[:, None] > clean[None, :]) + 0.5 * (toxic[:, None] == clean[None, :])
+    assert len(toxic) and ahead.mean() > 0.85
     assert (clean < 0.5).mean() > 0.98
