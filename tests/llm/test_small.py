@@ -314,6 +314,16 @@ def test_packing(docs, none, rows):
     assert packing.pack(none, tokenizer_path()).count() == 0
 
 
+def test_packing_does_not_depend_on_partitions(spark):
+    from tidemark.llm.queries import tokenizer_path
+
+    r = random.Random(8)
+    rows = [(i % 90 if i % 9 else None, "same text" if i % 3 else prose(r, 30)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [sorted(map(tuple, packing.pack(docs.repartition(n), tokenizer_path()).select("doc_id", "start", "length", "ids_crc32", "sequence_id", "offset").collect()), key=str) for n in (1, 5)]
+    assert found[0] == found[1] and len(found[0]) == len(rows)
+
+
 def test_plan_places_all_and_fills():
     r = random.Random(1)
     hist = Counter(min(2048, int(r.lognormvariate(6, 1)) + 1) for _ in range(20_000))
@@ -356,10 +366,17 @@ def test_mixing(docs, none, rows):
     times = Counter(r.doc_id for r in mixed.collect())
     want = Counter()
     for r in got:
-        want[r.doc_id] += r.times
+        want[r.doc_id] += r.times if r.size else 1
     assert times == +want
 
 
+def test_mix_keeps_texts_without_words(spark):
+    r = random.Random(7)
+    rows = [(i, r.choice([None, "", " \n"]) if i % 2 else prose(r, 20), r.choice(["a", "b", None])) for i in range(400)]
+    got = Counter(x.doc_id for x in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+    assert all(got[i] == 1 for i in range(1, 400, 2)) and sum(got[i] for i in range(0, 400, 2)) > 200
+
+
 def test_mix_keeps_the_budget_with_repeated_rows(spark):
     rows = [(1, "a b c", "s", 0), (1, "a b c", "s", 0), (None, "a b c d", "t", 1), (None, None, None, 2), (None, None, None, 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `_mix_id` int").withColumns({"_mix_hash": F.lit(1), "times": F.lit("t"), "size": F.lit(0)})

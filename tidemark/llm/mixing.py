@@ -140,11 +140,12 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: every row as often as the mix takes it, with docs' own
     columns, whatever their names are.
 
-    Null text has size 0 and is kept (it takes no budget); repeated rows are
-    documents each; an empty table stays empty. Rows are numbered in a copy of
+    Null texts and texts without words have size 0: they take no budget and stay,
+    once each, wherever the cut falls; repeated rows are documents each; an empty table stays empty. Rows are numbered in a copy of
     docs, and found again by number."""
     row = f"_{uuid.uuid4().hex}"
     numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "mix-docs")
-    times = take(sizes(numbered, also=[row]), **options).where("times > 0").select(F.col(row).alias(f"{row}r"), F.col("times").alias(f"{row}t"))
+    often = F.when(F.col("size") == 0, F.lit(1).cast("long")).otherwise(F.col("times"))
+    times = take(sizes(numbered, also=[row]), **options).select(F.col(row).alias(f"{row}r"), often.alias(f"{row}t")).where(F.col(f"{row}t") > 0)
     copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{row}t")))
     return numbered.join(times, F.col(row) == F.col(f"{row}r")).withColumn(f"{row}c", copies).drop(row, f"{row}r", f"{row}t", f"{row}c")

@@ -249,18 +249,19 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
 def pack(docs: DataFrame, tokenizer: str, *, max_tokens: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """One row per piece with its sequence_id and offset.
 
-    Null or empty text is the end id alone. Repeated rows are packed each; among
-    equal pieces the order follows doc_id and start. An empty table gives no rows."""
+    Null or empty text is the end id alone. Repeated rows are packed each. Pieces of
+    one length are placed in the order of a hash of doc_id, start and their ids, so
+    another partitioning of docs gives the same rows. An empty table gives no rows."""
     table = materialise(
         pieces(docs, tokenizer, max_tokens, end_id, with_ids).withColumn("_row", F.monotonically_increasing_id()), "pack-pieces"
     )
     histogram = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     place = slots(plan(histogram, max_tokens))
     buckets = max(16, sum(histogram.values()) // BUCKET_ROWS)
-    table = table.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start", "_row"), F.lit(buckets)))
+    table = table.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
     counts = table.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     offsets = running_before(counts, ["length"], "_bucket", "_n", buckets, "_before").drop("_n")
-    inside = Window.partitionBy("length", "_bucket").orderBy("doc_id", "start", "_row")
+    inside = Window.partitionBy("length", "_bucket").orderBy("doc_id", "start", "ids_crc32", "doc_tokens", "_row")
     ranked = (
         table.withColumn("_in", F.row_number().over(inside) - 1)
         .join(offsets, ["length", "_bucket"])
