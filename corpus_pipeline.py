@@ -35,8 +35,8 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice, repeats
-    as rows of their own. Null and empty texts take no budget and stay; a null
-    source is a source, the last; repeated rows are documents each; ties go by a
+    as rows of their own. Null texts and texts without words take no budget and stay,
+    once; a null source is a source, the last; repeated rows are documents each; ties go by a
     digest of doc_id; an empty table stays empty; extra columns stay."""
     return mixing.mix(docs, weights=(5.0, 2.0, 1.0), budget_ratio=1.5, max_repeats=2)
 
@@ -44,7 +44,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their sequence and offset; other columns end here.
     Null and empty texts are their end id alone; long texts are cut; repeated rows
-    are packed each; ties go by doc_id and start; an empty table gives no rows."""
+    are packed each; pieces of one length go by a hash of doc_id, start and ids; an
+    empty table gives no rows."""
     return packing.pack(docs, tokenizer_path()).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
