@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS
@@ -69,3 +69,83 @@ def last_quote_error(at: DataFrame, errors: DataFrame) -> DataFrame:
     one = F.lit(1).alias("one")
     got = asof_join(at.select("*", one), errors.select("*", one), by=["one"], right_ts="poll_ts", values=["last_error"], tie=["poll_id"])
     return got.withColumnRenamed("last_error", "quote_last_error").drop("asof_ts", "one")
+
+
+# --- the whole row ---------------------------------------------------------------
+
+#: What a heartbeat tells, by signal: the last value of each counts, NULL included.
+SIGNALS = (
+    "router_at", "market", "chainlink_at", "chainlink_up", "chainlink_error", "binance_at", "binance_up", "binance_fallback", "binance_error", "quotes_at", "quote_error",
+)
+SIGNAL_ROWS = "asset string, signal string, at timestamp, seq string, value string"
+_MARKET = "struct<market_id:string,slug:string,title:string,status:string,market_start_time:string,market_end_time:string>"
+
+
+def _signal(rows: DataFrame, **values: Column) -> DataFrame:
+    """One row per signal and row (asset, at, seq); values are texts."""
+    entries = F.array(*[F.struct(F.lit(name).alias("signal"), v.cast("string").alias("value")) for name, v in values.items()])
+    return rows.select("asset", "at", F.col("seq").cast("string").alias("seq"), F.explode(entries).alias("s")).select("asset", "s.signal", "at", "seq", "s.value")
+
+
+def route_signals(decisions: DataFrame) -> DataFrame:
+    """Of decisions (asset, poll_ts, poll_id and the market's fields): when the router
+    last answered, and the market it named; a decision without one names none."""
+    market = F.struct("market_id", "slug", "title", "status", F.col("start_time").alias("market_start_time"), F.col("end_time").alias("market_end_time"))
+    rows = decisions.withColumns({"at": F.col("poll_ts"), "seq": F.col("poll_id")})
+    return _signal(rows, router_at=E.iso(F.col("at")), market=F.when(F.col("routing_score").isNotNull(), F.to_json(market)))
+
+
+def tick_signals(rows: DataFrame) -> DataFrame:
+    """Of recorded rows of the price feeds (asset, at, seq, family, source, warning,
+    error): the same states as transport_state(); an error stays until the next."""
+    warning = F.coalesce("warning", F.lit(""))
+    up = ~warning.isin("rtds_reconnect", "ws_reconnect_rest_fallback")
+    fallback = (F.col("source") == "binance_rest") | (warning == "ws_reconnect_rest_fallback")
+    failed = rows.where("error is not null")
+    parts = []
+    for f, more in (("chainlink", {}), ("binance", {"binance_fallback": fallback})):
+        own = rows.where(F.col("family") == f)
+        parts += [_signal(own, **{f"{f}_at": E.iso(F.col("at")), f"{f}_up": up, **more}), _signal(failed.where(F.col("family") == f), **{f"{f}_error": F.col("error")})]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def quote_signals(polls: DataFrame) -> DataFrame:
+    """Of quote polls (asset, at, seq, taken, last_error): when snapshots were last
+    taken, and the error of the last poll; one that went well resets it."""
+    return _signal(polls.where("taken"), quotes_at=E.iso(F.col("at"))).unionByName(_signal(polls, quote_error=F.col("last_error")))
+
+
+def _assembled(rows: DataFrame, output_dir: str) -> DataFrame:
+    """HEARTBEAT rows of asset, at and told (signal to its last value)."""
+    of = lambda name: F.get(F.map_values(F.map_filter("told", lambda k, _: k == name)), F.lit(0))
+    age = lambda name: E.seconds_since(F.col("at"), E.parse_datetime(of(name)))
+    yes = lambda name: F.coalesce(of(name).cast("boolean"), F.lit(False))
+    nothing = F.from_json(F.lit("{}"), _MARKET)
+    return rows.select(
+        E.iso(F.col("at")).alias("ts"), F.lit("heartbeat").alias("record_type"), F.lit(output_dir).alias("output_dir"),
+        F.coalesce(F.from_json(of("market"), _MARKET), nothing).alias("active_market"),
+        F.struct(*[age(f"{f}_at").alias(f) for f in FEEDS]).alias("freshness_seconds"),
+        F.struct(
+            yes("chainlink_up").alias("chainlink_connected"), of("chainlink_error").alias("chainlink_last_error"), yes("binance_up").alias("binance_connected"),
+            yes("binance_fallback").alias("binance_rest_fallback"), of("binance_error").alias("binance_last_error"), of("quote_error").alias("quote_last_error"),
+        ).alias("transport_state"),
+        "asset",
+    )
+
+
+def heartbeats(at: DataFrame, signals: DataFrame, *, output_dir: str = "") -> DataFrame:
+    """The heartbeat row of every asset and time of ``at`` (asset, ts), from signals
+    (SIGNAL_ROWS): the last value of each at or before that time, ties by seq. One
+    pass over all signals; a signal not yet seen leaves NULLs, or false for states."""
+    asks = at.select("asset", "ts", F.explode(F.array(*[F.lit(s) for s in SIGNALS])).alias("signal"))
+    got = asof_join(asks, signals, by=["asset", "signal"], right_ts="at", values=["value"], tie=["seq"])
+    told = F.map_from_entries(F.collect_list(F.struct("signal", "value")))
+    return _assembled(got.groupBy("asset", F.col("ts").alias("at")).agg(told.alias("told")), output_dir)
+
+
+def heartbeats_told(beats: DataFrame, *, output_dir: str = "") -> DataFrame:
+    """The same rows of beats (asset, at, told as JSON text), as a stream keeps them."""
+    return _assembled(beats.select("asset", "at", F.from_json("told", "map<string,string>").alias("told")), output_dir)

@@ -91,6 +91,12 @@ def quote_rows(polls: DataFrame, taken: DataFrame) -> DataFrame:
         polls.join(side.withColumnsRenamed({"token_id": "token_yes", "s": "yes"}), ["poll_id", "token_yes"], "left")
         .join(side.withColumnsRenamed({"token_id": "token_no", "s": "no"}), ["poll_id", "token_no"], "left")
     )
+    return paired(rows)
+
+
+def paired(rows: DataFrame) -> DataFrame:
+    """Quote rows of polls joined with their snapshots (yes and no, structs of SIDE;
+    NULL where a book is missing)."""
     ok_yes, ok_no = F.coalesce(F.col("yes.fetch_ok"), F.lit(False)), F.coalesce(F.col("no.fetch_ok"), F.lit(False))
     age = lambda s: F.coalesce(F.col(f"{s}.age_seconds"), F.lit(0.0))
     return rows.select(

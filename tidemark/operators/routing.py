@@ -322,22 +322,36 @@ def route(responses: DataFrame, polls: DataFrame | None = None) -> DataFrame:
     )
 
 
-def route_rows(decisions: DataFrame, slice_seconds: int = 3600) -> DataFrame:
+def _identity() -> Column:
+    """The seven fields of a decision's market, wrapped: NULL inside for none."""
+    return F.struct(F.when(F.col("routing_score").isNotNull(), F.struct(*IDENTITY)).alias("i"))
+
+
+def last_identities(decisions: DataFrame) -> DataFrame:
+    """asset, identity: what the asset's last decision named."""
+    last = F.max_by(_identity(), F.struct("poll_ts", "poll_id"))
+    return decisions.groupBy("asset").agg(last.alias("identity"))
+
+
+def route_rows(decisions: DataFrame, slice_seconds: int = 3600, before: DataFrame | None = None) -> DataFrame:
     """Decisions with market_changed: whether the seven identity fields differ from
     those of the asset's decision before, by time and poll_id. The first decision
-    compares with no market.
+    compares with ``before`` (last_identities() of what came earlier), or no market.
 
     An asset's rows are cut into time slices; the last identity of the slice before
     comes from a table with one row per slice, so no task holds an asset's history."""
-    here = F.when(F.col("routing_score").isNotNull(), F.struct(*IDENTITY))
-    rows = decisions.withColumn("identity", F.struct(here.alias("i"))).withColumn("slice", F.floor(F.unix_seconds("poll_ts") / slice_seconds))
+    rows = decisions.withColumn("identity", _identity()).withColumn("slice", F.floor(F.unix_seconds("poll_ts") / slice_seconds))
     ends = rows.groupBy(F.col("asset").alias("e_asset"), F.col("slice").alias("e_slice")).agg(F.max_by("identity", F.struct("poll_ts", "poll_id")).alias("end"))
-    carried = ends.select("e_asset", "e_slice", F.lag("end").over(Window.partitionBy("e_asset").orderBy("e_slice")).alias("carried"))
+    carried = ends.withColumn("carried", F.lag("end").over(Window.partitionBy("e_asset").orderBy("e_slice")))
+    if before is not None:
+        old = before.select(F.col("asset").alias("b_asset"), F.col("identity").alias("b_identity"))
+        carried = carried.join(old, F.col("e_asset").eqNullSafe(F.col("b_asset")), "left").withColumn("carried", F.coalesce("carried", "b_identity"))
+    carried = carried.select("e_asset", "e_slice", "carried")
     w = Window.partitionBy("asset", "slice").orderBy("poll_ts", "poll_id")
-    before = F.coalesce(F.lag("identity").over(w), F.col("carried"))
+    prior = F.coalesce(F.lag("identity").over(w), F.col("carried"))
     return (
         rows.join(carried, F.col("asset").eqNullSafe(F.col("e_asset")) & F.col("slice").eqNullSafe(F.col("e_slice")))
-        .withColumn("market_changed", ~F.col("identity.i").eqNullSafe(before["i"]))
+        .withColumn("market_changed", ~F.col("identity.i").eqNullSafe(prior["i"]))
         .withColumn("ts", E.iso(F.col("poll_ts")))
         .withColumn("record_type", F.lit("market_route"))
         .drop("identity", "slice", "e_asset", "e_slice", "carried")

@@ -32,14 +32,26 @@ def manifests(rows: DataFrame, *, asset: str | None = None, output_root: str = "
     end = F.lead(segment_start()).over(w)
     done = counts(rows).withColumn("start", segment_start()).withColumn("end", end if closed_at is None else F.coalesce(end, closed_at))
     files = F.create_map(*[x for f in FAMILIES for x in (F.lit(f"{f}.jsonl"), F.col(f))])
-    return done.where("end is not null").select(
+    return _manifest(done.where("end is not null").withColumn("row_counts", files).withColumn("asset", F.lit(asset).cast("string")), output_root)
+
+
+def _manifest(done: DataFrame, output_root: str) -> DataFrame:
+    return done.select(
         "segment_date", "segment_hour",
         E.iso(F.col("start")).alias("segment_start_utc"), E.iso(F.col("end")).alias("segment_end_utc"),
-        F.lit(True).alias("closed_cleanly"), files.alias("row_counts"), F.lit(RECORDER_VERSION).alias("recorder_version"),
-        F.lit(asset).cast("string").alias("asset"), F.lit(output_root).alias("output_root"),
+        F.lit(True).alias("closed_cleanly"), "row_counts", F.lit(RECORDER_VERSION).alias("recorder_version"),
+        "asset", F.lit(output_root).alias("output_root"),
     )
 
 
+def manifests_told(closed: DataFrame, *, output_root: str = "") -> DataFrame:
+    """Manifests of closed segments as a stream tells them (asset, start, end, told:
+    rows by family as JSON text); families without rows count 0."""
+    told = F.from_json("told", "map<string,bigint>")
+    files = F.create_map(*[x for f in FAMILIES for x in (F.lit(f"{f}.jsonl"), F.coalesce(told[f], F.lit(0).cast("long")))])
+    return _manifest(with_segment(closed, "start").withColumn("row_counts", files), output_root)
+
+
 def catalogue(rows: DataFrame, manifest_rows: DataFrame) -> DataFrame:
     """Segments with state closed (with a manifest) or active (the last without);
     earlier ones without a manifest are orphaned."""

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Catalogue polls see the markets of so many events on either side.
 REACH = 8
+#: Columns of landed order books, without those that only the SQL needs.
+BOOK_COLUMNS = ["poll_id", "poll_ts", "asset", "token_id", "http_status", "transport", "failure", "error", "body"]
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

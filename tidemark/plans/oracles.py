@@ -133,10 +133,44 @@ def _age(name: str) -> str:
     return f"(epoch_us(a.ts) - epoch_us({name}_ts)) / 1e6"
 
 
+_HEARTBEAT = f"""WITH {QUOTES}, {RESPONSES},
+told AS (SELECT epoch_us(ts) AS t, event_id, event_type FROM events WHERE event_type <> 'error' OR event_id % 3 <> 0),
+ch AS (SELECT t, event_type <> 'error' OR event_id % 3 <> 2 AS up FROM told WHERE event_type IN ('click', 'purchase', 'error')),
+ce AS (SELECT t AS et FROM told WHERE event_type = 'error' AND event_id % 3 = 2),
+bi AS (SELECT t AS bt, event_type = 'signup' AS rest FROM told WHERE event_type IN ('view', 'signup')),
+ro AS (SELECT d.now AS rt, d.market_id, d.slug, b.title, d.status, {iso_s('d.s')} AS start_time, {iso_s('d.z')} AS end_time FROM decided d LEFT JOIN best b USING (poll_id)
+  QUALIFY row_number() OVER (PARTITION BY d.now ORDER BY d.poll_id DESC) = 1),
+qu AS (SELECT (1704067200 + o_orderkey % 86400) * 1000000 AS qt, last_error FROM failing QUALIFY row_number() OVER (PARTITION BY o_orderkey % 86400 ORDER BY poll_id DESC) = 1),
+span AS (SELECT {{low}} AS low, {{high}} AS high),
+a AS (SELECT (low + i) * 300000000 AS beat FROM span, unnest(generate_series(0, high - low)) AS u(i))
+SELECT {iso('a.beat')} AS ts, 'heartbeat' AS record_type, 'store' AS output_dir, 'BTC' AS asset, market_id, slug, title, status, start_time AS market_start_time, end_time AS market_end_time,
+  (beat - rt) / 1e6 AS router_seconds, (beat - ch.t) / 1e6 AS chainlink_seconds, (beat - bt) / 1e6 AS binance_seconds, (beat - qt) / 1e6 AS quotes_seconds,
+  coalesce(up, false) AS chainlink_connected, CASE WHEN et IS NOT NULL THEN 'closed' END AS chainlink_last_error, bt IS NOT NULL AS binance_connected, coalesce(rest, false) AS binance_rest_fallback,
+  CAST(NULL AS VARCHAR) AS binance_last_error, last_error AS quote_last_error
+FROM a ASOF LEFT JOIN ro ON a.beat >= rt ASOF LEFT JOIN ch ON a.beat >= ch.t ASOF LEFT JOIN ce ON a.beat >= et ASOF LEFT JOIN bi ON a.beat >= bt ASOF LEFT JOIN qu ON a.beat >= qt"""
+HEARTBEATS = _HEARTBEAT.format(low="(SELECT (min(epoch_us(ts)) + 299999999) // 300000000 FROM events)", high="(SELECT max(epoch_us(ts)) // 300000000 FROM events)")
+#: From the first signal to the watermark, ten minutes before the last one.
+HEARTBEATS_TOLD = _HEARTBEAT.format(
+    low="(SELECT (min(x) + 299999999) // 300000000 FROM (SELECT min(t) AS x FROM told UNION ALL SELECT min(qt) FROM qu))",
+    high="(SELECT (max(x) // 1000 - 600000) // 300000 FROM (SELECT max(t) AS x FROM told UNION ALL SELECT max(qt) FROM qu))",
+)
+
+
 SEGMENT_OF = "strftime(e.ts, '%Y-%m-%d') AS segment_date, strftime(e.ts, '%H') AS segment_hour"
 
 
 def oracle_sql() -> dict[str, str]:
+    found = _batch_sql()
+    found["routed_market_stream"], found["quote_rows_stream"] = found["routed_market"], found["quote_rows"]
+    # Answered: whole seconds up to the watermark, ten minutes behind the last view or purchase.
+    found["latest_quote_stream"] = f"""SELECT q.* FROM ({found['latest_quote_asof']}) q JOIN events e USING (event_id)
+        WHERE epoch_us(e.ts) <= (SELECT (max(epoch_us(ts)) // 1000 - 600000) // 1000 * 1000000 FROM events WHERE event_type IN ('view', 'purchase'))"""
+    found["manifest_stream"] = f"""SELECT * FROM ({found['segment_manifest']}) WHERE segment_end_utc <> '2024-02-01T00:00:00+00:00'
+        AND segment_end_utc <= (SELECT strftime(make_timestamp((max(epoch_us(ts)) // 1000 - 600000) * 1000), '%Y-%m-%dT%H:%M:%S') FROM events WHERE event_type <> 'error' OR event_id % 3 <> 0)"""
+    return found
+
+
+def _batch_sql() -> dict[str, str]:
     return {
         "ticks_binance": BINANCE,
         "ticks_rest": REST,
@@ -232,6 +266,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT a.event_id AS id, last_error AS quote_last_error FROM a ASOF LEFT JOIN o ON a.t >= o.t""",
         "heartbeat_cadence": """WITH span AS (SELECT min(epoch_us(ts)) AS low, max(epoch_us(ts)) AS high FROM events)
             SELECT low + i * 300000000 AS ts_us FROM span, unnest(generate_series(0, (high - low) // 300000000)) AS u(i)""",
+        "heartbeat_rows": HEARTBEATS,
+        "heartbeat_stream": HEARTBEATS_TOLD,
         "manifest_roundtrip": f"""WITH {HOURS} SELECT strftime(h, '%Y-%m-%d') AS segment_date, strftime(h, '%H') AS segment_hour, {H_ISO('h')} AS segment_start_utc,
             {H_ISO('nx')} AS segment_end_utc, true AS closed_cleanly, 'BTC' AS asset, 'store' AS output_root, n_chainlink, n_binance FROM hours WHERE nx IS NOT NULL""",
         "segment_manifest": f"""WITH {HOURS} SELECT {H_ISO('h')} AS segment_start_utc, {H_ISO("coalesce(nx, TIMESTAMP '2024-02-01')")} AS segment_end_utc, true AS closed_cleanly,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -10,7 +11,9 @@ from ..functions import expr as E
 from ..operators import diagnostics, health, quotes, routing, segments, ticks
 from ..sources import schemas, store
 from ..sources.workdir import new_folder
-from ..streaming import jobs
+from ..streaming import heartbeats, jobs, routes
+from ..streaming import quotes as quote_streams
+from ..streaming import segments as segment_streams
 from . import adapters as A
 
 TICK = ["ts", "record_type", "source", "symbol", "price", "warning"]
@@ -91,14 +94,19 @@ def quote_poll_failures(spark, sf_dir):
     return quotes.quote_warnings(polls).select("poll_id", "ts", "record_type", "warning", "market_id", "error")
 
 
-def latest_quote_asof(spark, sf_dir):
+def _requests(spark, sf_dir):
+    """Snapshots taken (views) and asked for (purchases), by token."""
     e = A.events(spark, sf_dir).withColumn("token_id", (F.col("user_id") % 50).cast("string"))
     taken = e.where("event_type = 'view'").select(
         "token_id", F.col("ts").alias("poll_ts"), F.col("event_id").alias("poll_id"), F.col("value").alias("best_bid"),
         (F.col("value") + 1).alias("best_ask"), (F.col("value") + 0.5).alias("mid"), F.lit(1.0).alias("spread"), F.lit(True).alias("fetch_ok"),
     )
     asks = e.where("event_type = 'purchase'").select("event_id", "token_id", "ts")
-    got = quotes.reuse_snapshots(asks, taken, ttl_seconds=20_000.0)
+    return asks, taken
+
+
+def latest_quote_asof(spark, sf_dir):
+    got = quotes.reuse_snapshots(*_requests(spark, sf_dir), ttl_seconds=20_000.0)
     return got.select("event_id", "token_id", "best_bid", "best_ask", "age_seconds")
 
 
@@ -200,6 +208,56 @@ def heartbeat_cadence(spark, sf_dir):
     return health.beats(span["low"], span["high"], spark, every_seconds=300).select(F.unix_micros("ts").alias("ts_us"))
 
 
+def _signals(spark, sf_dir):
+    """What routes, ticks and quote polls tell the heartbeat of BTC."""
+    btc = F.lit("BTC").alias("asset")
+    rows = ticks.all_ticks(A.raw_frames(spark, sf_dir)).select(btc, E.parse_datetime(F.col("ts")).alias("at"), F.lit("").alias("seq"), "family", "source", "warning", "error")
+    polls = quotes.quote_errors(_quotes(spark, sf_dir)).select(btc, E.parse_datetime(F.col("ts")).alias("at"), F.col("poll_id").alias("seq"), F.lit(True).alias("taken"), "last_error")
+    return health.route_signals(_decisions(spark, sf_dir)).unionByName(health.tick_signals(rows)).unionByName(health.quote_signals(polls))
+
+
+def _flat(rows):
+    names = {"market_id": "active_market.market_id", "slug": "active_market.slug", "title": "active_market.title", "status": "active_market.status",
+             "market_start_time": "active_market.market_start_time", "market_end_time": "active_market.market_end_time",
+             **{f"{f}_seconds": f"freshness_seconds.{f}" for f in health.FEEDS},
+             **{c: f"transport_state.{c}" for c in ("chainlink_connected", "chainlink_last_error", "binance_connected", "binance_rest_fallback", "binance_last_error", "quote_last_error")}}
+    return rows.select("ts", "record_type", "output_dir", "asset", *[F.col(path).alias(name) for name, path in names.items()])
+
+
+def heartbeat_rows(spark, sf_dir):
+    """The whole heartbeat row at every fifth minute of the span of the events."""
+    span = A.events(spark, sf_dir).agg(F.min("ts").alias("low"), F.max("ts").alias("high"))
+    low, high = span.select((F.ceil(F.unix_micros("low") / 300_000_000) * 300).cast("timestamp"), "high").first()
+    at = health.beats(low, high, spark, every_seconds=300).select(F.lit("BTC").alias("asset"), "ts")
+    return _flat(health.heartbeats(at, _signals(spark, sf_dir), output_dir="store"))
+
+
+@contextmanager
+def _rocksdb(spark):
+    """The state store that transformWithState asks for."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+def heartbeat_stream(spark, sf_dir):
+    """Heartbeats of a stream that stops between two beats of the month and goes on
+    from its checkpoint."""
+    out = new_folder(spark, "heartbeats")
+    signals = store.kept(_signals(spark, sf_dir), f"{out}/all")
+    middle = F.to_timestamp(F.lit("2024-01-15 00:02:00"))
+    with _rocksdb(spark):
+        for part in (F.col("at") < middle, F.col("at") >= middle):
+            signals.where(part).write.mode("append").parquet(f"{out}/signals")
+            told = heartbeats.beats(spark.readStream.schema(health.SIGNAL_ROWS).parquet(f"{out}/signals"), every_seconds=300)
+            jobs.run_once(told.writeStream.format("parquet").option("path", f"{out}/beats").outputMode("append"), f"{out}/state")
+    return _flat(health.heartbeats_told(spark.read.schema(heartbeats.BEATS).parquet(f"{out}/beats"), output_dir="store"))
+
+
 def _segmented(spark, sf_dir):
     rows = ticks.all_ticks(A.raw_frames(spark, sf_dir))
     return segments.with_segment(rows.withColumn("at", E.parse_datetime(F.col("ts"))), "at")
@@ -267,26 +325,95 @@ def ticks_stream(spark, sf_dir):
 
 def route_changes_stream(spark, sf_dir):
     out = new_folder(spark, "changes")
-    _decisions(spark, sf_dir).write.parquet(f"{out}/decisions")
-    schema = spark.read.parquet(f"{out}/decisions").schema
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        rows = jobs.route_changes(spark.readStream.schema(schema).parquet(f"{out}/decisions"))
-        jobs.run_once(rows.writeStream.format("parquet").option("path", f"{out}/rows").outputMode("append"), f"{out}/state")
-    finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)
-    got = spark.read.schema(jobs.CHANGES).parquet(f"{out}/rows")
-    return got.select("poll_id", E.iso(F.col("ts")).alias("ts"), "asset", "market_id", "market_changed")
+    kept = store.kept(_decisions(spark, sf_dir), f"{out}/all")
+    # The second half of the decisions comes after a restart.
+    half = F.col("poll_ts") < F.to_timestamp(F.lit("2024-01-15 12:00:00"))
+    for part in (half, ~half):
+        kept.where(part).write.mode("append").parquet(f"{out}/in")
+        jobs.route_changes(spark.readStream.schema(kept.schema).parquet(f"{out}/in"), out, f"{out}/state")
+    got = spark.read.schema("poll_id string, ts string, asset string, market_id string, market_changed boolean").parquet(f"{out}/rows")
+    return got.select("poll_id", "ts", "asset", "market_id", "market_changed")
+
+
+#: Where the streams below stop for a while: within the month of the events.
+PAUSE = "2024-01-15 12:00:00"
+
+
+def routed_market_stream(spark, sf_dir):
+    """Routes of a stream. The polls of the hour after the pause are split: the even
+    attempts land before it, the others after."""
+    out = new_folder(spark, "routes")
+    rows = A.catalog_responses(spark, sf_dir)
+    known = rows.groupBy("poll_id").agg(F.count(F.lit(1)).alias("n_expected"))
+    rows = store.kept(rows.join(known, "poll_id"), f"{out}/all")
+    pause = F.to_timestamp(F.lit(PAUSE))
+    early = (F.col("poll_ts") < pause) | ((F.col("poll_ts") < pause + F.expr("interval 1 hour")) & (F.col("attempt_seq") % 2 == 0))
+    with _rocksdb(spark):
+        for part in (early, ~early):
+            rows.where(part).write.mode("append").parquet(f"{out}/in")
+            routes.record_routes(spark.readStream.schema(rows.schema).parquet(f"{out}/in"), f"{out}/rows", f"{out}/state", lateness="2 hours")
+    got = spark.read.parquet(f"{out}/rows/decisions")
+    return got.select("poll_id", "asset", "market_id", "slug", "token_yes", "token_no", "start_time", "end_time", "status", "routing_score", "routing_reason", "selection_mode", "n_ok", "n_candidates", "n_final")
+
+
+def latest_quote_stream(spark, sf_dir):
+    """Requests and snapshots as streams: answers as far as the watermark has come."""
+    out = new_folder(spark, "latest")
+    sides = {"asks": "ts", "taken": "poll_ts"}
+    tables = dict(zip(sides, (store.kept(x, f"{out}/all-{k}") for k, x in zip(sides, _requests(spark, sf_dir)))))
+    pause = F.to_timestamp(F.lit(PAUSE))
+    with _rocksdb(spark):
+        for first in (True, False):
+            for name, at in sides.items():
+                tables[name].where(F.col(at) < pause if first else F.col(at) >= pause).write.mode("append").parquet(f"{out}/{name}")
+            asks, taken = (spark.readStream.schema(tables[k].schema).parquet(f"{out}/{k}") for k in sides)
+            got = quote_streams.reuse_snapshots(asks, taken, ttl_seconds=20_000.0)
+            jobs.run_once(got.writeStream.format("parquet").option("path", f"{out}/rows").outputMode("append"), f"{out}/state")
+    got = spark.read.schema("event_id long, token_id string, best_bid double, best_ask double, age_seconds double").parquet(f"{out}/rows")
+    return got.select("event_id", "token_id", "best_bid", "best_ask", "age_seconds")
+
+
+def quote_rows_stream(spark, sf_dir):
+    """Quote rows of polls and books that arrive as streams. A poll of a later day
+    brings the watermark past all others; it is left out."""
+    out = new_folder(spark, "pairs")
+    polls, books = A.quote_polls(spark, sf_dir), A.book_responses(spark, sf_dir).select(*A.BOOK_COLUMNS)
+    last = lambda rows: rows.where("cast(poll_id as long) % 7 <> 0").orderBy("poll_id").limit(1).withColumns({"poll_id": F.lit("end"), "poll_ts": F.col("poll_ts") + F.expr("interval 2 days")})
+    for part in (lambda rows: rows, last):
+        for name, rows in (("polls", polls), ("books", books)):
+            part(rows).write.mode("append").parquet(f"{out}/{name}")
+        told = quote_streams.sides(*(spark.readStream.schema(x.schema).parquet(f"{out}/{name}") for name, x in (("polls", polls), ("books", books))))
+        jobs.run_once(told.writeStream.format("parquet").option("path", f"{out}/rows").outputMode("append"), f"{out}/state")
+    got = quote_streams.paired_sides(spark.read.schema(told.schema).parquet(f"{out}/rows").where("poll_id <> 'end'"))
+    return got.select(
+        "poll_id", "ts", "quote_capture_ok", "quote_capture_status", "market_id", F.col("yes.mid").alias("yes_mid"), F.col("no.mid").alias("no_mid"),
+        F.col("yes.spread").alias("yes_spread"), F.col("quote_age_diagnostics.max_age_seconds").alias("max_age_seconds"),
+    )
+
+
+def manifest_stream(spark, sf_dir):
+    """Manifests of the segments that a stream of ticks closes, with a restart."""
+    out = new_folder(spark, "closing")
+    frames = store.kept(A.raw_frames(spark, sf_dir).select("feed", "received_ts", "raw", "event", "error", "url"), f"{out}/all")
+    pause = F.to_timestamp(F.lit(PAUSE))
+    with _rocksdb(spark):
+        for part in (F.col("received_ts") < pause, F.col("received_ts") >= pause):
+            frames.where(part).write.mode("append").parquet(f"{out}/in")
+            rows = ticks.all_ticks(store.read_landed(spark, "raw_frames", f"{out}/in", stream=True))
+            rows = rows.select(F.lit("BTC").alias("asset"), E.parse_datetime(F.col("ts")).alias("at"), "family")
+            closed = segment_streams.closed_segments(rows)
+            jobs.run_once(closed.writeStream.format("parquet").option("path", f"{out}/rows").outputMode("append"), f"{out}/state")
+    got = segments.manifests_told(spark.read.schema(segment_streams.CLOSED).parquet(f"{out}/rows"), output_root="store")
+    return got.select("segment_start_utc", "segment_end_utc", "closed_cleanly", "recorder_version", "asset",
+                      *[F.col("row_counts")[f"{f}.jsonl"].alias(f"n_{f}") for f in ("chainlink", "binance", "quotes", "meta", "heartbeat")])
 
 
 QUERIES = [
     ticks_binance, ticks_rest, ticks_chainlink, ticks_union, transport_events, ticks_deep, candidates_deep, response_diagnostics, quote_snapshots, crossed_books, quote_rows, quote_errors,
     quote_warnings, quote_poll_failures, latest_quote_asof, candidate_slugs, normalized_candidates, deduped_candidates, filter_waterfall, scored_candidates,
     routed_market, route_failures, attempt_summary, route_changes, route_backfill, catalogue_window_scan, heartbeat_freshness, heartbeat_state,
-    heartbeat_market, heartbeat_quote_error, heartbeat_cadence, segment_manifest, segment_catalog, manifest_roundtrip, latest_segment, jsonl_roundtrip, hourly_counts_stream,
-    ticks_stream, route_changes_stream,
+    heartbeat_market, heartbeat_quote_error, heartbeat_cadence, heartbeat_rows, heartbeat_stream, segment_manifest, segment_catalog, manifest_roundtrip, latest_segment, jsonl_roundtrip, hourly_counts_stream,
+    ticks_stream, route_changes_stream, routed_market_stream, latest_quote_stream, quote_rows_stream, manifest_stream,
 ]
 
 

@@ -18,6 +18,12 @@ def read_landed(spark: SparkSession, name: str, path: str, *, format: str = "par
     return reader.schema(LANDED[name]).format(format).load(path)
 
 
+def kept(rows: DataFrame, path: str) -> DataFrame:
+    """rows written to path and read back: for what several jobs start from."""
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def encoded(rows: DataFrame) -> DataFrame:
     """rows with timestamps as ISO text; JSON has no other types to mind."""
     return rows.select(*[E.iso(F.col(f.name)).alias(f.name) if f.dataType.typeName() == "timestamp" else F.col(f.name) for f in rows.schema])

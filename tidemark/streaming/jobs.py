@@ -5,8 +5,6 @@ what needs state or a sink."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,43 +42,28 @@ def hourly_counts(frames: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     )
 
 
-CHANGES = "poll_id string, ts timestamp, asset string, market_id string, market_changed boolean"
-
-
-def changes_handler():
-    """State per asset: the identity of the market of the last decision."""
-    import pandas as pd
-    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+def route_changes(decisions: DataFrame, root: str, checkpoint: str) -> None:
+    """Change detection over a stream of decisions (poll_id, poll_ts, asset,
+    routing_score and the identity fields), in the order of its batches.
 
-    class Changes(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.last = handle.getValueState("identity", "identity string")
+    A batch runs as routing.route_rows() does, cut into time slices, so an asset's
+    batch needs no task of its own; what it starts from is one row per asset, written
+    beside the rows of the batch before. Both go to folders named by the batch, so a
+    batch that runs again replaces what it wrote."""
 
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-            batch = pd.concat(list(rows)).sort_values(["poll_ts", "poll_id"])  # rows of a batch come in no order
-            last = self.last.get()[0] if self.last.exists() else None
-            changed = []
-            for identity in batch["identity"]:
-                identity = None if pd.isna(identity) else identity
-                changed.append(identity != last)
-                last = identity
-            self.last.update((last,))
-            yield pd.DataFrame({
-                "poll_id": batch["poll_id"], "ts": batch["poll_ts"], "asset": key[0], "market_id": batch["market_id"], "market_changed": changed,
-            })
+    def keep(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        rows, ends = f"{root}/rows/batch={n}", f"{root}/identities/batch={n}"
+        known = spark.read.schema(f"{IDENTITIES}, batch long").parquet(f"{root}/identities") if n else None
+        before = known.where(F.col("batch") == n - 1).drop("batch") if n else None
+        routing.route_rows(batch, before=before).write.mode("overwrite").parquet(rows)
+        last = routing.last_identities(batch)
+        if n:
+            rest = before.join(last.select("asset"), before["asset"].eqNullSafe(last["asset"]), "left_anti")
+            last = last.unionByName(rest)
+        last.write.mode("overwrite").parquet(ends)
 
-        def close(self) -> None:
-            pass
+    run_once(decisions.writeStream.foreachBatch(keep), checkpoint)
 
-    return Changes()
 
-
-def route_changes(decisions: DataFrame) -> DataFrame:
-    """Streaming change detection over decisions (poll_id, poll_ts, asset,
-    routing_score and the identity fields). Needs the RocksDB state store."""
-    identity = F.when(F.col("routing_score").isNotNull(), F.to_json(F.struct(*routing.IDENTITY), {"ignoreNullFields": "false"}))
-    return (
-        decisions.select("poll_id", "poll_ts", "asset", "market_id", identity.alias("identity"))
-        .groupBy("asset")
-        .transformWithStateInPandas(changes_handler(), CHANGES, "append", "none")
-    )
+IDENTITIES = "asset string, identity struct<i:struct<" + ",".join(f"{c}:string" for c in routing.IDENTITY) + ">>"
