@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from tidemark.config import BTC, ETH, Settings
-from tidemark.operators import asof, diagnostics, health, quotes, routing, segments, ticks
+from tidemark.operators import asof, diagnostics, health, quotes, results, routing, segments, ticks
 from tidemark.sources import schemas, store
 
 NOW = datetime(2026, 4, 20, 12, 3)
@@ -227,3 +227,48 @@ def test_jobs_take_empty_tables(spark):
     assert routing.route(none).count() == 0
     assert ticks.all_ticks(spark.createDataFrame([], schemas.RAW_FRAMES)).count() == 0
     assert quotes.snapshots(spark.createDataFrame([], schemas.BOOK_RESPONSES)).count() == 0
+
+
+def test_asof_with_bounds_from_the_data(spark):
+    """A hundred times as many rows in one hour: slices follow the rows."""
+    import random
+
+    r = random.Random(3)
+    at = lambda: NOW + timedelta(seconds=r.randrange(3600)) if r.random() < 0.99 else NOW + timedelta(hours=r.randrange(1, 100))
+    events = [(at(), i, None if i % 7 == 0 else i) for i in range(3000)]
+    asks = [(i, r.choice([at(), events[i][0]])) for i in range(400)] + [(-1, None), (-2, NOW - timedelta(days=1))]
+    right = spark.createDataFrame(events, "ts timestamp, seq int, v int").withColumn("k", F.lit("a"))
+    left = spark.createDataFrame(asks, "id int, ts timestamp").withColumn("k", F.lit("a"))
+    bounds = asof.slice_bounds(right, "ts", 37)
+    assert len(bounds) > 30
+    slots = right.select(asof._slot_by(bounds)("ts").alias("s")).groupBy("s").count().collect()
+    assert len(slots) == len(bounds) + 1 and max(x["count"] for x in slots) < 3000 // 15
+    got = {x.id: (x.asof_ts, x.v) for x in asof.asof_join(left, right, by=["k"], values=["v"], tie=["seq"], bounds=bounds).collect()}
+    for i, t in asks:
+        seen = max((e for e in events if t is not None and e[0] <= t), default=(None, None, None))
+        assert got[i] == (seen[0], seen[2]), i
+
+
+def test_whole_results_keep_few_samples(spark):
+    many = [market(slug=f"btc-updown-5m-{i}", id=f"m{i}", tokens=i % 2 == 0) for i in range(25)]
+    responses = catalog(spark, *many)
+    (row,) = results.route_results(responses).collect()
+    d = row.diagnostics
+    assert row.market.market_id == "m0" and row.routing_reason.startswith("active") and d.selection_summary.selected_market_id == "m0"
+    assert [x.attempt_seq for x in d.request_diagnostics] == list(range(25)) and d.request_diagnostics[3].normalization_result.extracted_candidate_count == 1
+    assert d.slug_phase_summary.normalized_candidate_count == 25 and d.slug_phase_summary.filtered_candidate_count == 13 and not d.broad_phase_summary.attempted
+    samples = d.combined_filter_summary.samples
+    assert [x.slug[-2:] for x in samples.normalized] == [f"-{i}" for i in range(8)] and len(samples.final_candidates) == 8 == len(samples.excluded.missing_tokens)
+    assert d.combined_filter_summary.exclusion_counts.missing_tokens == 12 and len(d.candidate_slugs_attempted) == 4
+
+
+def test_segments_are_listed_without_reading_them(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    rows = spark.createDataFrame([("2024-01-01T10:59:59+00:00", 1), ("2024-01-01T11:00:00+00:00", 2)], "ts string, value int")
+    for family in ("quotes", "meta"):
+        store.write_segments(rows, root, family)
+    for path in tmp_path.rglob("part-*"):
+        path.write_bytes(b"\0not json")  # what the files hold does not matter
+    got = store.list_segments(spark, root)
+    assert {(r.family, r.segment_date, r.segment_hour) for r in got.collect()} == {(f, "2024-01-01", h) for f in ("quotes", "meta") for h in ("10", "11")}
+    assert "content" not in got._jdf.queryExecution().executedPlan().toString()

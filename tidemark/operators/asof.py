@@ -11,6 +11,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def slice_bounds(rows: DataFrame, ts: str, n: int) -> list[int]:
+    """Times (microseconds) that cut rows into n parts of about equal size, from a
+    quantile sketch: one pass, and n - 1 numbers at most, fewer where times repeat."""
+    if n < 2:
+        return []
+    at = F.array(*[F.lit(i / n) for i in range(1, n)])
+    return sorted(set(rows.agg(F.percentile_approx(F.unix_micros(ts), at, F.lit(10 * n)).alias("x")).first()["x"] or []))
+
+
+def _slot_by(bounds: list[int]):
+    """Slice of a time column: how many bounds are at or before it, by halving."""
+    table = F.array(*[F.lit(b) for b in bounds])
+    steps = [1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)]
+
+    def of(c: str):
+        us = F.unix_micros(F.col(c))
+        forward = lambda at, step: at + F.when(F.coalesce(F.get(table, at + step - 1) <= us, F.lit(False)), step).otherwise(0)
+        return F.when(F.col(c).isNotNull(), F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), forward).cast("long"))
+
+    return of
+
+
 def asof_join(
     left: DataFrame,
     right: DataFrame,
@@ -22,6 +44,7 @@ def asof_join(
     tie: list[str] | None = None,
     tolerance_seconds: float | None = None,
     slice_seconds: int = 3600,
+    bounds: list[int] | None = None,
     prefix: str = "",
 ) -> DataFrame:
     """left with ``values`` (and the time, as ``prefix``asof_ts) of the last row
@@ -29,9 +52,10 @@ def asof_join(
 
     A NULL value counts as a value. Ties in right go to the last by ``tie``.
     Rows without a time or key keep NULLs; a match older than the tolerance
-    counts as none (its limit included)."""
+    counts as none (its limit included). Slices have one length; where times crowd,
+    give the ``bounds`` of slices (slice_bounds() of the larger side)."""
     packed = F.struct(F.col(right_ts).alias("_at"), *[F.col(v).alias(f"_v_{v}") for v in values])
-    slot = lambda c: F.floor(F.unix_micros(F.col(c)) / (slice_seconds * 1_000_000))
+    slot = _slot_by(bounds) if bounds else lambda c: F.floor(F.unix_micros(F.col(c)) / (slice_seconds * 1_000_000))
     tie = tie or []
     events = right.where(F.col(right_ts).isNotNull()).select(
         *[F.col(k).alias(f"_k_{k}") for k in by], slot(right_ts).alias("_slot"), F.col(right_ts).alias("_ts"),

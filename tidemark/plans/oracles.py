@@ -161,6 +161,7 @@ SEGMENT_OF = "strftime(e.ts, '%Y-%m-%d') AS segment_date, strftime(e.ts, '%H') A
 
 def oracle_sql() -> dict[str, str]:
     found = _batch_sql()
+    found["segment_listing"] = found["segment_catalog"]
     found["routed_market_stream"], found["quote_rows_stream"] = found["routed_market"], found["quote_rows"]
     # Answered: whole seconds up to the watermark, ten minutes behind the last view or purchase.
     found["latest_quote_stream"] = f"""SELECT q.* FROM ({found['latest_quote_asof']}) q JOIN events e USING (event_id)
@@ -232,6 +233,20 @@ def _batch_sql() -> dict[str, str]:
             CAST(score AS INT) AS routing_score, why AS routing_reason, timing AS selection_mode, n_ok, coalesce(n, 0) AS n_candidates, coalesce(f, 0) AS n_final
             FROM decided d LEFT JOIN {COUNTED} q USING (poll_id)""",
         "route_failures": f"WITH {RESPONSES} SELECT poll_id, why AS routing_reason, n_ok, n_extracted FROM decided WHERE score IS NULL",
+        "route_results": f"""WITH {RESPONSES},
+            numbered AS (SELECT *, row_number() OVER (PARTITION BY poll_id ORDER BY attempt_seq) AS n_all, row_number() OVER (PARTITION BY poll_id, exclusion ORDER BY attempt_seq) AS n_why FROM k),
+            both_of AS (SELECT poll_id, count(*) AS n_both, count(*) FILTER (exclusion IS NULL) AS f_both, string_agg(slug, ',' ORDER BY attempt_seq) FILTER (n_all <= 8) AS first_slugs,
+              coalesce(string_agg({iso_s('z')}, ',' ORDER BY attempt_seq) FILTER (exclusion IS NULL AND n_why <= 8), '') AS final_ends,
+              coalesce(string_agg(slug, ',' ORDER BY attempt_seq) FILTER (exclusion = 'not_in_family' AND n_why <= 8), '') AS strangers FROM numbered GROUP BY 1),
+            phases AS (SELECT poll_id, count(*) FILTER (phase = 'slug') AS n_slug, count(*) FILTER (phase = 'slug' AND exclusion IS NULL) AS f_slug, count(*) FILTER (phase = 'broad') AS n_broad FROM phased GROUP BY 1),
+            sent AS (SELECT poll_id, max(broad) AS broad_attempted, string_agg(attempt_seq || ':' || CASE WHEN denied THEN 'http_failure' WHEN broken THEN 'parse_failure' ELSE 'ok' END
+              || CASE WHEN ok THEN CASE WHEN found THEN ':1' ELSE ':0' END ELSE '' END, ',' ORDER BY attempt_seq) AS requests FROM r GROUP BY 1),
+            b AS (SELECT poll_id, title, CASE WHEN broad THEN 'broad_market_open_scan:/markets' ELSE 'slug_exact_market_path:/markets/slug/' || slug END AS detection_source FROM best)
+            SELECT d.poll_id, why AS routing_reason, detection_source, b.title, d.now // 300000000 * 300 AS bucket_ts,
+              array_to_string(list_transform([-300, 0, 300, 600], lambda o: 'btc-updown-5m-' || (d.now // 300000000 * 300 + o)), ',') AS slugs, requests,
+              coalesce(n_slug, 0) AS n_slug, coalesce(f_slug, 0) AS f_slug, broad_attempted, coalesce(n_broad, 0) AS n_broad, coalesce(n_both, 0) AS n_both, coalesce(f_both, 0) AS f_both,
+              timing AS mode, first_slugs, final_ends, strangers
+            FROM decided d JOIN sent USING (poll_id) LEFT JOIN phases USING (poll_id) LEFT JOIN both_of USING (poll_id) LEFT JOIN b USING (poll_id)""",
         "attempt_summary": f"""WITH {RESPONSES} SELECT poll_id, attempt_seq, ok, CASE WHEN ok THEN CASE WHEN found THEN 1 ELSE 0 END END AS extracted_candidate_count,
             CASE WHEN found THEN market_id END AS first_market_id FROM r""",
         "route_changes": f"""WITH {RESPONSES}, w AS (SELECT *, CASE WHEN score IS NOT NULL THEN concat_ws('|', market_id, slug, token_yes, token_no, s, z) END AS id FROM decided)

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
-from ..operators import diagnostics, health, quotes, routing, segments, ticks
+from ..operators import diagnostics, health, quotes, results, routing, segments, ticks
 from ..sources import schemas, store
 from ..sources.workdir import new_folder
 from ..streaming import heartbeats, jobs, routes
@@ -150,6 +150,21 @@ def route_failures(spark, sf_dir):
     return routing.route(A.catalog_responses(spark, sf_dir)).where("routing_score is null").select("poll_id", "routing_reason", "n_ok", "n_extracted")
 
 
+def route_results(spark, sf_dir):
+    """The whole results of the polls, told by some of their nested fields."""
+    d, got = F.col("diagnostics"), results.route_results(A.catalog_responses(spark, sf_dir))
+    listed = lambda path, field: F.array_join(F.transform(d[path[0]][path[1]][path[2]], lambda x: x[field]), ",")
+    return got.select(
+        "poll_id", "routing_reason", "detection_source", F.col("market.title").alias("title"), d["bucket_ts"].alias("bucket_ts"), F.array_join(d["candidate_slugs_attempted"], ",").alias("slugs"),
+        F.array_join(F.transform(d["request_diagnostics"], lambda x: F.concat_ws(":", x["attempt_seq"].cast("string"), F.coalesce(x["error_kind"], F.lit("ok")), x["normalization_result"]["extracted_candidate_count"].cast("string"))), ",").alias("requests"),
+        d["slug_phase_summary"]["normalized_candidate_count"].alias("n_slug"), d["slug_phase_summary"]["filtered_candidate_count"].alias("f_slug"),
+        d["broad_phase_summary"]["attempted"].alias("broad_attempted"), d["broad_phase_summary"]["normalized_candidate_count"].alias("n_broad"),
+        d["selection_summary"]["normalized_candidate_count"].alias("n_both"), d["selection_summary"]["filtered_candidate_count"].alias("f_both"), d["selection_summary"]["selection_mode"].alias("mode"),
+        listed(("combined_filter_summary", "samples", "normalized"), "slug").alias("first_slugs"), listed(("combined_filter_summary", "samples", "final_candidates"), "end").alias("final_ends"),
+        F.array_join(F.transform(d["combined_filter_summary"]["samples"]["excluded"]["not_in_family"], lambda x: x["slug"]), ",").alias("strangers"),
+    )
+
+
 def attempt_summary(spark, sf_dir):
     responses = A.catalog_responses(spark, sf_dir)
     got = diagnostics.attempt_summaries(diagnostics.attempts(responses), routing.normalized(responses))
@@ -274,6 +289,19 @@ def segment_catalog(spark, sf_dir):
     return segments.catalogue(rows, segments.manifests(rows)).select("segment_date", "segment_hour", "state", "segment_end_utc")
 
 
+def segment_listing(spark, sf_dir):
+    """The catalogue of written segments, from the listing of their files and from
+    their manifests."""
+    root = new_folder(spark, "listing")
+    rows = store.kept(_segmented(spark, sf_dir).drop("at"), f"{root}/all")
+    for family in ("chainlink", "binance"):
+        store.write_segments(rows.where(F.col("family") == family).drop("segment_date", "segment_hour"), f"{root}/store", family)
+    store.write_manifests(segments.manifests(rows, asset="BTC", output_root="store"), f"{root}/store")
+    listed = store.list_segments(spark, f"{root}/store")
+    got = segments.catalogue(listed, store.read_manifests(spark, f"{root}/store"))
+    return got.select("segment_date", "segment_hour", "state", "segment_end_utc")
+
+
 def manifest_roundtrip(spark, sf_dir):
     """Manifests of closed segments, written as JSON and read back."""
     root = new_folder(spark, "manifests")
@@ -411,8 +439,8 @@ def manifest_stream(spark, sf_dir):
 QUERIES = [
     ticks_binance, ticks_rest, ticks_chainlink, ticks_union, transport_events, ticks_deep, candidates_deep, response_diagnostics, quote_snapshots, crossed_books, quote_rows, quote_errors,
     quote_warnings, quote_poll_failures, latest_quote_asof, candidate_slugs, normalized_candidates, deduped_candidates, filter_waterfall, scored_candidates,
-    routed_market, route_failures, attempt_summary, route_changes, route_backfill, catalogue_window_scan, heartbeat_freshness, heartbeat_state,
-    heartbeat_market, heartbeat_quote_error, heartbeat_cadence, heartbeat_rows, heartbeat_stream, segment_manifest, segment_catalog, manifest_roundtrip, latest_segment, jsonl_roundtrip, hourly_counts_stream,
+    routed_market, route_failures, route_results, attempt_summary, route_changes, route_backfill, catalogue_window_scan, heartbeat_freshness, heartbeat_state,
+    heartbeat_market, heartbeat_quote_error, heartbeat_cadence, heartbeat_rows, heartbeat_stream, segment_manifest, segment_catalog, segment_listing, manifest_roundtrip, latest_segment, jsonl_roundtrip, hourly_counts_stream,
     ticks_stream, route_changes_stream, routed_market_stream, latest_quote_stream, quote_rows_stream, manifest_stream,
 ]
 

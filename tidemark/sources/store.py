@@ -45,6 +45,16 @@ def read_segments(spark: SparkSession, root: str, family: str, *, schema: str |
     return spark.read.schema(f"{ddl}, {schemas.PARTITIONS}").format(format).load(f"{root}/{family}")
 
 
+def list_segments(spark: SparkSession, root: str) -> DataFrame:
+    """family, segment_date, segment_hour, files and bytes of what stands below root,
+    from the listing of the files alone: none is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(root)
+    part = lambda k: F.regexp_extract("path", r"/([^/]+)/segment_date=([0-9-]+)/segment_hour=([0-9]{2})/[^/]+$", k)
+    rows = files.select(part(1).alias("family"), part(2).alias("segment_date"), part(3).alias("segment_hour"), "length")
+    rows = rows.where("family <> '' and family <> 'segment_manifest'")
+    return rows.groupBy("family", "segment_date", "segment_hour").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+
+
 def write_manifests(manifest_rows: DataFrame, root: str) -> None:
     """Manifests as JSON, members in the order of their names."""
     keys = ["segment_date", "segment_hour"]
