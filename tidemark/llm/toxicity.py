@@ -48,6 +48,8 @@ LOOKS, ITSELF, AGAIN, NOTHING, BREAK, INSERTED = log(0.3), log(0.01), log(0.4),
 
 _MARK = "0-9@$!|+(#*€£¡"
 _SUSPECT = re.compile(rf"[a-z].*[{_MARK}аеорсхуіѕԁ]|[{_MARK}аеорсхуіѕԁ].*[a-z]|([^\W\d_])\1\1|\w[{re.escape(SEPARATORS)}]+\w")
+_RUN = re.compile(r"([^\W\d_])\1\1")
+_FOREIGN = re.compile("[аеорсхуіѕԁ]")
 _SPACED = re.compile(r"(?<!\S)(?:[^\s\w]?\w[^\s\w]?\s{1,3}|[@$!|+(#*€£¡]\s{1,3}){2,}[^\s\w]?[\w@$!|+(#*€£¡][^\s\w]?(?!\S)")
 
 
@@ -148,7 +150,7 @@ def decode(written: str, lm, spaced: bool = False) -> str:
         for state, (score, path) in states.items():
             starts = [(state, score, path)]
             if spaced and state % SYMBOLS:
-                starts.append((0, score + INSERTED + float(lm[state * SYMBOLS]), (path, " ")))
+                starts.append((0, score + INSERTED + lm[state * SYMBOLS], (path, " ")))
             if c == last and state % SYMBOLS:
                 put(new, state, score + AGAIN, path)
             for at, so_far, way in starts:
@@ -156,12 +158,12 @@ def decode(written: str, lm, spaced: bool = False) -> str:
                     if x == "":
                         put(new, at, so_far + p, way)
                     elif x == " ":
-                        put(new, 0, so_far + p + float(lm[at * SYMBOLS]), (way, " ")) if at else put(new, 0, so_far + p, way)
+                        put(new, 0, so_far + p + lm[at * SYMBOLS], (way, " ")) if at else put(new, 0, so_far + p, way)
                     else:
                         s = symbol(x)
-                        put(new, at % square * SYMBOLS + s, so_far + p + float(lm[at * SYMBOLS + s]), (way, x))
+                        put(new, at % square * SYMBOLS + s, so_far + p + lm[at * SYMBOLS + s], (way, x))
         states, last = new, c
-    _, path = max((score + float(lm[state * SYMBOLS]), k, path) for k, (state, (score, path)) in enumerate(states.items()))[:3:2]
+    _, path = max((score + lm[state * SYMBOLS], k, path) for k, (state, (score, path)) in enumerate(states.items()))[:3:2]
     out = []
     while path is not None:
         path, x = path
@@ -169,9 +171,10 @@ def decode(written: str, lm, spaced: bool = False) -> str:
     return "".join(reversed(out)).strip()
 
 
-def restored(text: str, lm, memo: dict | None = None) -> list[str]:
-    """Words that the suspicious tokens of a lower-case text stand for."""
-    memo = {} if memo is None else memo
+def restored(text: str, lm, memo: dict | None = None, calm: set | None = None) -> list[str]:
+    """Words that the suspicious tokens of a lower-case text stand for. ``memo`` keeps
+    what tokens were decoded to, ``calm`` the tokens that are not suspicious."""
+    memo, calm = {} if memo is None else memo, set() if calm is None else calm
     out = []
 
     def add(written, spaced):
@@ -184,10 +187,16 @@ def restored(text: str, lm, memo: dict | None = None) -> list[str]:
     if HIDDEN.search(text):
         text = HIDDEN.sub("", text)
         out.extend(text.split())
-    for w in set(text.split()):
+    # Most words are letters alone: they are suspicious only for runs and look-alikes.
+    letters_tell = _RUN.search(text) or _FOREIGN.search(text)
+    for w in set(text.split()) - calm:
         core = w.strip(ENDS)
+        if core.isalpha() and not letters_tell:
+            continue
         if len(core) > 2 and _SUSPECT.search(core):
             add(core, False)
+        else:
+            calm.add(w)
     for m in _SPACED.finditer(text):
         add("".join(x.strip(ENDS) or x for x in m.group().split()), True)
     return out
@@ -252,12 +261,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, most_featur
 
         import pyarrow as pa
 
-        memo: dict = {}
+        memo, table = {}, lm.tolist()
         for b in batches:
             held, size = [Counter(), Counter()], 0
             for text, label in zip(b.column("text"), b.column("label").to_pylist()):
                 t = text.as_py()
-                held[label].update(features_of(t, lm, memo))
+                held[label].update(features_of(t, table, memo))
                 size += len(t or "")
                 if size > PIECE:
                     yield told(held, pa)
@@ -280,11 +289,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, most_featur
     def hits(batches):
         import pyarrow as pa
 
-        memo: dict = {}
+        memo, table = {}, lm.tolist()
         for b in batches:
             found = []
             for t in b.column("text"):
-                found.append(sorted(index[f] for f in features_of(t.as_py(), lm, memo) if f in index))
+                found.append(sorted(index[f] for f in features_of(t.as_py(), table, memo) if f in index))
                 if len(memo) > MEMO:
                     memo.clear()
             yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(found, pa.list_(pa.int32()))], ["label", "hits"])
@@ -331,25 +340,29 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
         import pyarrow as pa
 
+        starts = {f[:-1] for f in weights if f.endswith("*")}
         plain: set = set()  # words without a feature of the model
-        memo: dict = {}
+        calm: set = set()
+        memo, table = {}, lm.tolist()  # single numbers come faster out of a list
         for b in batches:
             scores, restorations = [], []
             for t in b.column("text"):
                 low = (t.as_py() or "").lower()
                 words = set(low.split())
-                hidden = restored(low, lm, memo)
+                hidden = restored(low, table, memo, calm)
                 found = set()
-                for w in (words | set(hidden)) - plain:
-                    hit = [f for f in features(w.strip(ENDS)) if f in weights]
-                    found.update(hit)
-                    if not hit:
+                for w in words.union(hidden) - plain:
+                    core = w.strip(ENDS)
+                    if core in weights or core[:4] in starts or core[:5] in starts:
+                        found.update(f for f in features(core) if f in weights)
+                    else:
                         plain.add(w)
                 z = constant + sum(weights[f] for f in sorted(found))
                 scores.append(1 / (1 + exp(-max(-30.0, min(30.0, z)))))
                 restorations.append(len(hidden))
-                if len(plain) > MEMO:
-                    plain.clear()
+                for held in (plain, calm):
+                    if len(held) > MEMO:
+                        held.clear()
                 if len(memo) > MEMO:
                     memo.clear()
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores, pa.float64()), pa.array(restorations, pa.int64())], ["doc_id", "score", "n_restored"])
