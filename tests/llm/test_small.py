@@ -702,7 +702,7 @@ def test_url_lists(spark):
     assert url_lists.filter_captures(table.limit(0), listed).count() == 0
 
 
-ORACLES = ["op2_line_frequency", "op3_url_lists", "op4_partenum", "op5_merkle", "op8_suffix", "op10_mix"]
+ORACLES = ["op2_line_frequency", "op3_url_lists", "op4_partenum", "op5_merkle", "op8_suffix", "op10_mix", "op11_manifest", "op12_prefix_trie"]
 SF = "/root/testdata/sf0.001"
 
 
@@ -713,7 +713,7 @@ def test_query_matches_sql(spark, name):
     from tidemark.llm import queries
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     df = queries.queries()[name](spark, SF)
     cols = sorted(df.columns)
