@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_FILES, as_bytes, blocks_of, lean, materialise, text_bytes
+from .common import BLOCK_FILES, as_bytes, binaries, blocks_of, buckets_of, lean, materialise, text_bytes
 
 #: Bytes of text whose n-grams are listed together, and of corpus for each bucket.
 BLOCK_BYTES = 3 << 20
@@ -162,12 +162,23 @@ def _unpack(raw: bytes):
     return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
 
 
-def _cuts(h, n_buckets: int):
-    """Where the sorted hashes h pass from bucket to bucket."""
+def _pack_lists(a, cuts):
+    """_pack() of the lists between the cuts as an Arrow array, without a loop over them."""
     import numpy as np
+    import pyarrow as pa
 
-    width = (1 << 64) // n_buckets
-    return np.searchsorted(h, np.array([width * k for k in range(1, n_buckets)], np.uint64)) if n_buckets > 1 else np.zeros(0, int)
+    n = np.diff(cuts)
+    top = np.maximum.reduceat(a, cuts[:-1]) if len(a) else a
+    width = np.where(top < 1 << 8, 1, np.where(top < 1 << 16, 2, 8))
+    offsets = np.append(0, np.cumsum(1 + width * n))
+    out = np.zeros(offsets[-1], np.uint8)
+    out[offsets[:-1]] = width
+    wide = np.repeat(width, n)
+    at = np.repeat(offsets[:-1] + 1 - width * cuts[:-1], n) + wide * np.arange(len(a))
+    for byte in range(int(wide.max(initial=0))):
+        has = np.flatnonzero(wide > byte)
+        out[at[has] + byte] = a[has] >> 8 * byte & 255
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
 
 
 def score(
@@ -205,19 +216,14 @@ def score(
             for block, texts, flags in zip(b.column("block").to_pylist(), b.column("text"), b.column("in_training")):
                 grams = Grams(as_bytes(texts.values), order)
                 trains = np.repeat(np.array(flags.as_py(), float), grams.lengths)
-                out: list[list] = [[], [], [], []]
                 for kind, h, c in grams.asked(trains):
-                    cut = _cuts(h, n_buckets)
-                    for k, (hh, cc) in enumerate(zip(np.split(h, cut), np.split(c, cut))):
-                        if len(hh):
-                            for col, v in zip(out, (k, kind, hh.tobytes(), _pack(cc))):
-                                col.append(v)
-                n = len(out[0])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * n, pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()),
-                     pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())],
-                    ["block", "bucket", "kind", "hashes", "counts"],
-                )
+                    buckets, cuts = buckets_of(h, n_buckets)
+                    n = len(buckets)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(n, block, np.int64)), pa.array(buckets), pa.array(np.full(n, kind, np.int32)),
+                         binaries(h, cuts), _pack_lists(c, cuts)],
+                        ["block", "bucket", "kind", "hashes", "counts"],
+                    )
 
     def answer(table):
         import numpy as np

@@ -179,6 +179,17 @@ def binaries(values, cuts):
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
 
 
+def buckets_of(hashes, n_buckets: int):
+    """(buckets that get any of the sorted 64-bit hashes, cuts between them). The
+    work grows with the hashes, however many buckets there are."""
+    import numpy as np
+
+    width, n = np.uint64(min((1 << 64) // n_buckets, (1 << 64) - 1)), len(hashes)
+    bucket = np.minimum(hashes // width, np.uint64(n_buckets - 1)).astype(np.int64)
+    head = np.flatnonzero(np.concatenate((np.ones(min(1, n), bool), bucket[1:] != bucket[:-1])))
+    return bucket[head], np.append(head, n)
+
+
 def flat(column, kind):
     """(values, cuts) of a binary column without nulls: what binaries() was made of."""
     import numpy as np

@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_FILES, BLOCK_ROWS, as_bytes, discard, lean, materialise, text_bytes
+from .common import BLOCK_FILES, BLOCK_ROWS, as_bytes, binaries, buckets_of, discard, lean, materialise, text_bytes
 from .suffix_arrays import common_prefixes, suffix_array, words_at
 
 ANCHOR_BYTES = 64
@@ -163,13 +163,6 @@ def hot_windows(joined: bytes, low, n, least: int):
     return at, ranked[new], which
 
 
-def _cut_points(n_buckets: int):
-    import numpy as np
-
-    step = (1 << 64) // n_buckets
-    return np.array([step * k for k in range(1, n_buckets)], np.uint64)
-
-
 def cut_repeats(docs: DataFrame, *, least: int = 200, with_text: bool = False, hot: int = HOT_CONTEXTS, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """Per document: n_bytes, n_removed, n_spans, kept_sha256 (and kept, binary).
 
@@ -226,18 +219,13 @@ def cut_repeats(docs: DataFrame, *, least: int = 200, with_text: bool = False, h
         import numpy as np
         import pyarrow as pa
 
-        bounds = _cut_points(n_buckets)
         for b in batches:
             for block, texts in zip(b.column("block").to_pylist(), b.column("text").to_pylist()):
                 a, c, count, *_ = folded(texts, least)
-                cut = np.searchsorted(a, bounds)
-                cols: list[list] = [[], [], [], []]
-                for k, (x, y, m) in enumerate(zip(np.split(a, cut), np.split(c, cut), np.split(np.minimum(count, 2).astype(np.uint8), cut))):
-                    if len(x):
-                        for col, v in zip(cols, (k, x.tobytes(), y.tobytes(), m.tobytes())):
-                            col.append(v)
+                buckets, cuts = buckets_of(a, n_buckets)
+                lists = (binaries(x, cuts) for x in (a, c, np.minimum(count, 2).astype(np.uint8)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * len(cols[0]), pa.int64()), pa.array(cols[0], pa.int64()), *(pa.array(v, pa.binary()) for v in cols[1:])],
+                    [pa.array(np.full(len(buckets), block, np.int64)), pa.array(buckets), *lists],
                     ["block", "bucket", "anchors", "contexts", "counts"],
                 )
 
@@ -291,24 +279,22 @@ def cut_repeats(docs: DataFrame, *, least: int = 200, with_text: bool = False, h
             if len(much):
                 _, keys, which = hot_windows(joined, low[much], n[much], least)
                 times = np.minimum(np.bincount(which, minlength=len(keys)), 2).astype(np.uint8)
-                cut = np.searchsorted(keys[:, 0], _cut_points(n_buckets), side="left")
-                for k, (x, m) in enumerate(zip(np.split(keys, cut), np.split(times, cut))):
-                    if len(x):
-                        for col, v in zip(cols, (block, n_buckets + k, x.tobytes(), m.tobytes(), b"", b"")):
-                            col.append(v)
+                buckets, cuts = buckets_of(keys[:, 0], n_buckets)
+                for k, x, y in zip(buckets.tolist(), cuts.tolist(), cuts[1:].tolist()):
+                    for col, v in zip(cols, (block, n_buckets + k, keys[x:y].tobytes(), times[x:y].tobytes(), b"", b"")):
+                        col.append(v)
             use = np.flatnonzero((code == 1) | (code == 2))
             first, last = low[at[use]], (low + n)[at[use]] + least - 1
-            cut = np.searchsorted(a[use], _cut_points(n_buckets))
-            for k, part in enumerate(np.split(np.arange(len(use)), cut)):
-                if len(part):
-                    mine = use[part]
-                    sent = code[mine] == 1
-                    spans = [(int(x), int(y)) for x, y, s in zip(first[part], last[part], sent) if s]
-                    for col, v in zip(cols, (
-                        block, k, c[mine].tobytes(), np.minimum(count[mine], 2).astype(np.uint8).tobytes() + sent.astype(np.uint8).tobytes(),
-                        np.array([y - x for x, y in spans], np.uint32).tobytes(), b"".join(joined[x:y] for x, y in spans),
-                    )):
-                        col.append(v)
+            buckets, cuts = buckets_of(a[use], n_buckets)
+            for k, x, y in zip(buckets.tolist(), cuts.tolist(), cuts[1:].tolist()):
+                mine = use[x:y]
+                sent = code[mine] == 1
+                spans = list(zip(first[x:y][sent].tolist(), last[x:y][sent].tolist()))
+                for col, v in zip(cols, (
+                    block, k, c[mine].tobytes(), np.minimum(count[mine], 2).astype(np.uint8).tobytes() + sent.astype(np.uint8).tobytes(),
+                    np.array([z - s for s, z in spans], np.uint32).tobytes(), b"".join(joined[s:z] for s, z in spans),
+                )):
+                    col.append(v)
         kinds = [pa.int64(), pa.int64()] + [pa.binary()] * 4
         return pa.table([pa.array(v, k) for v, k in zip(cols, kinds)], names=["block", "bucket", "contexts", "flags", "sizes", "texts"])
 
