@@ -14,6 +14,7 @@ import base64
 import bisect
 import hashlib
 import re
+import sys
 import zlib
 
 from pyspark.sql import DataFrame
@@ -34,10 +35,8 @@ ENCODED = re.compile(
     r"(?<![A-Za-z0-9+/_-])(?=(?:[A-Za-z0-9+/_-]|\r?\n(?=[A-Za-z0-9+/_-])){16})[A-Za-z0-9+/_-]+(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}"
 )
 LEAST_RUN = 16
-#: Unfolded streams are scanned in pieces of about so many bytes.
-PIECE_BYTES = 16 << 20
-#: What may stand inside a pattern, an escape or a run: no piece ends there.
-_INSIDE = bytes(c for c in range(256) if c >= 0x80 or chr(c).isalnum() or chr(c) in "+/_.=-\"':\x20\r\n%\\&#;")
+#: Inside compressed streams, base64 runs and escaped lines are held up to so many bytes.
+PIECE_BYTES = 1 << 20
 # The patterns are ASCII; the shortest has 12 characters.
 _READABLE_RUN = re.compile(rb"[\t\r\n\x20-\x7e]{12,}")
 _GZIP = b"\x1f\x8b\x08"
@@ -118,79 +117,309 @@ def squeezed(head: bytes) -> bool:
     return head[:3] == _GZIP or (len(head) > 1 and head[0] & 15 == 8 and head[0] >> 4 < 8 and (head[0] << 8 | head[1]) % 31 == 0)
 
 
-def inflate(chunks, state: dict):
-    """What compressed chunks unfold to, all members; state["whole"] tells in the
-    end whether the stream was sound."""
-    stream, rest = zlib.decompressobj(wbits=47), b""
-    state["whole"] = False
-    try:
-        for chunk in chunks:
-            rest += chunk
-            while rest:
-                if stream.eof:
-                    if len(rest) < 3:
+class Found:
+    """What is known of the layers inside one compressed stream. All of them stand at
+    the stream's place, so only the kinds of secrets count."""
+
+    def __init__(self):
+        self.kinds: set[int] = set()
+        self.followed: set[bytes] = set()
+        self.open: set[bytes] = set()
+
+    def done(self) -> bool:
+        return len(self.kinds) == len(KINDS)
+
+
+class Unfolded:
+    """The layer that a compressed stream unfolds to, all members. Input comes in
+    chunks and goes on in chunks; nothing is held but the window. A stream that has
+    been followed already is not followed again: it is known by the digest of its
+    first HEAD_BYTES, of all if there are fewer."""
+
+    def __init__(self, found: Found):
+        self.found, self.held, self.key, self.dead, self.whole = found, b"", None, False, False
+        self.stream, self.into, self.used = zlib.decompressobj(wbits=47), Layer(found), 0
+
+    def feed(self, chunk: bytes) -> None:
+        if self.dead or self.found.done():
+            return
+        if self.key is not None:
+            self._inflate(chunk)
+            return
+        if len(self.held) < PROBE_BYTES:
+            # Most bytes that look like a beginning fail at once.
+            try:
+                zlib.decompressobj(wbits=47).decompress((self.held + chunk)[:PROBE_BYTES], 1 << 12)
+            except zlib.error:
+                self.dead, self.held = True, b""
+                return
+        self.held += chunk
+        if len(self.held) >= HEAD_BYTES:
+            self._begin(self.found.open)
+
+    def _begin(self, known: set) -> None:
+        self.key = hashlib.blake2b(self.held[:HEAD_BYTES], digest_size=16).digest()
+        held, self.held = self.held, b""
+        if self.key in known:
+            self.dead = True
+            return
+        known.add(self.key)
+        for k in range(0, len(held), CHUNK_BYTES):
+            self._inflate(held[k : k + CHUNK_BYTES])
+
+    def _inflate(self, chunk: bytes) -> None:
+        self.used += len(chunk)
+        rest = self.held + chunk
+        try:
+            while rest and not self.dead:
+                if self.stream.eof:
+                    if len(rest) < 3 or not (rest := rest.lstrip(b"\0")):
                         break
-                    if not squeezed(rest):  # padding, or text behind the last member
-                        state["whole"] = not rest.strip(b"\0")
-                        return
-                    stream = zlib.decompressobj(wbits=47)
-                got = stream.decompress(rest, 1 << 20)
-                rest = stream.unused_data if stream.eof else stream.unconsumed_tail
+                    if not squeezed(rest):  # text behind the last member
+                        self.dead = True
+                        break
+                    self.stream = zlib.decompressobj(wbits=47)
+                got = self.stream.decompress(rest, CHUNK_BYTES)
+                rest = self.stream.unused_data if self.stream.eof else self.stream.unconsumed_tail
                 if got:
-                    yield got
-                elif not stream.eof and not rest:
+                    self.into.feed(got)
+        except zlib.error:
+            self.dead = True
+        self.held = rest
+
+    def close(self) -> None:
+        """After this ``whole`` tells whether the stream was sound up to its end, and
+        ``used`` how many bytes its sound members took."""
+        if self.key is None and self.held and not self.dead:
+            self._begin(self.found.followed)
+        if self.key is not None:
+            try:
+                while not self.stream.eof and not self.dead and (got := self.stream.decompress(b"", CHUNK_BYTES)):
+                    self.into.feed(got)
+            except zlib.error:
+                self.dead = True
+            self.into.close()
+            self.found.open.discard(self.key)
+        self.whole = self.stream.eof and not self.held.strip(b"\0")
+        self.used = self.used - len(self.held) if self.stream.eof else 0
+
+
+class Layer:
+    """A layer inside a compressed stream, which comes in chunks. Patterns are looked
+    for with a small carry. Escaped lines and base64 runs are held up to PIECE_BYTES;
+    longer ones are decoded as they come (their lines are then joined whatever their
+    widths; of an escaped line what stands more than half a piece before its first
+    escape is not decoded again with it)."""
+
+    def __init__(self, found: Found, marks: bool = False):
+        self.found, self.marks = found, marks
+        self.began, self.start, self.at_head = False, b"", None
+        self.tail, self.skip = "", 0
+        self.line, self.escaped = "", None
+        self.run, self.long = "", None
+        self.edge, self.live = b"", []
+
+    def feed(self, chunk: bytes) -> None:
+        if self.found.done():
+            return
+        if not self.began:
+            self.start += chunk
+            if len(self.start) < 3:
+                return
+            chunk, self.start = self.start, b""
+            self._open(chunk)
+        self._take(chunk)
+
+    def _open(self, chunk: bytes) -> None:
+        self.began = True
+        if squeezed(chunk[:3]):
+            self.at_head = Unfolded(self.found)
+
+    def _take(self, chunk: bytes) -> None:
+        if self.at_head is not None:
+            self.at_head.feed(chunk)
+        for stream in self.live:
+            stream.feed(chunk)
+        if self.marks:
+            self.live = [x for x in self.live if not x.dead]
+            data = self.edge + chunk
+            at = data.find(_GZIP)
+            while at >= 0:
+                if at or self.edge:  # not at the head
+                    stream = Unfolded(self.found)
+                    stream.feed(data[at:])
+                    if not stream.dead:
+                        self.live.append(stream)
+                at = data.find(_GZIP, at + 1)
+            # What is kept cannot hold a whole mark, so none is met twice.
+            self.edge = data[-2:]
+        text = chunk.decode("latin-1")
+        self._look(text)
+        self._lines(text)
+        self._runs(text)
+
+    def _look(self, text: str) -> None:
+        """Presence of the base patterns. A run of blanks means what one means, so an
+        undecided match is short."""
+        kinds = self.found.kinds
+        data = _BLANKS.sub(" ", self.tail + text)
+        upto = self.skip
+        if 0 not in kinds and ("=" in data or ":" in data):
+            for m in ASSIGN.finditer(data, self.skip):
+                if m.end(2) - m.start(2) >= 6:
+                    kinds.add(0)
                     break
-        while not stream.eof and (got := stream.decompress(b"", 1 << 20)):
-            yield got
-        state["whole"] = stream.eof and not rest.strip(b"\0")
-    except zlib.error:
-        return
+                if m.end() < len(data):
+                    upto = m.end()
+        if 1 not in kinds and "AKIA" in data and ACCESS.search(data):
+            kinds.add(1)
+        if 2 not in kinds and HEX.search(data):
+            kinds.add(2)
+        self.tail = data[-CARRY:]
+        self.skip = max(0, upto - (len(data) - len(self.tail)), len(self.tail) - 18)
+
+    def _child(self, data: bytes, marks: bool = False) -> None:
+        child = Layer(self.found, marks)
+        for k in range(0, len(data), CHUNK_BYTES):
+            child.feed(data[k : k + CHUNK_BYTES])
+        child.close()
+
+    def _lines(self, text: str) -> None:
+        parts = (self.line + text).split("\n")
+        for line in parts[:-1]:
+            self._line_ends(line)
+        self.line = parts[-1]
+        if len(self.line) > PIECE_BYTES:
+            cut = len(self.line) - 12
+            cut = max(self.line.rfind(c, cut) for c in "%\\&") if any(c in self.line[cut:] for c in "%\\&") else cut
+            if self.escaped is None and not (any(c in self.line for c in "%\\&") and ESCAPE.search(self.line)):
+                self.line = self.line[-(PIECE_BYTES // 2) :]
+                return
+            self.escaped = self.escaped or Layer(self.found)
+            self.escaped.feed(_unescaped(self.line[:cut]))
+            self.line = self.line[cut:]
+
+    def _line_ends(self, line: str) -> None:
+        if self.escaped is not None:
+            self.escaped.feed(_unescaped(line))
+            self.escaped.close()
+            self.escaped = None
+        elif ("%" in line or "\\" in line or "&#" in line) and ESCAPE.search(line):
+            self._child(_unescaped(line))
+
+    def _runs(self, text: str) -> None:
+        if self.long is not None:
+            m = _RUN_ENDS.search(text)
+            self._longer(text[: m.start()] if m else text)
+            if m is None:
+                return
+            self._long_ends()
+            text = text[m.start() :]
+        text = self.run + text
+        cut = len(text.rstrip(_IN_RUN))
+        if len(text) - cut > PIECE_BYTES:
+            cut = max(cut, text.rfind("=") + 1, text.rfind("\n\n") + 1, text.rfind("\n\r\n") + 1)
+        self._decode(text, cut)
+        self.run = text[cut:]
+        if len(self.run) > PIECE_BYTES:
+            self.long = [[Layer(self.found, True), k, ""] for k in range(4)]
+            run, self.run = self.run, ""
+            self._longer(run)
+
+    def _decode(self, text: str, upto: int) -> None:
+        for m in runs_in(text, upto):
+            for lines in blocks_in(m):
+                body = "".join(text[a:z] for a, z in lines)
+                for data in _alignments(body):
+                    if squeezed(data[:3]) or _GZIP in data or _READABLE_RUN.search(data):
+                        self._child(data, True)
+
+    def _longer(self, text: str) -> None:
+        body = text.replace("\n", "").replace("\r", "").translate(_STANDARD)
+        for each in self.long:
+            layer, skip, rest = each
+            if skip:
+                each[1] = max(0, skip - len(body))
+            rest += body[skip:]
+            whole = len(rest) // 4 * 4
+            for k in range(0, whole, CHUNK_BYTES):
+                layer.feed(base64.b64decode(rest[k : min(k + CHUNK_BYTES, whole)]))
+            each[2] = rest[whole:]
+
+    def _long_ends(self) -> None:
+        for layer, _, rest in self.long:
+            rest = rest[: len(rest) - (len(rest) % 4 == 1)]
+            layer.feed(base64.b64decode(rest + "=" * (-len(rest) % 4)))
+            layer.close()
+        self.long = None
+
+    def close(self) -> None:
+        if not self.began and self.start:
+            self._open(self.start)
+            self._take(self.start)
+        if self.found.done():
+            return
+        for stream in [*self.live, *([self.at_head] if self.at_head else [])]:
+            stream.close()
+        self._line_ends(self.line)
+        if self.long is not None:
+            self._long_ends()
+        self._decode(self.run, len(self.run))
 
 
-def pieces(chunks):
-    """Chunks joined to pieces that no pattern crosses."""
-    held: list[bytes] = []
-    size = 0
-    for chunk in chunks:
-        held.append(chunk)
-        size += len(chunk)
-        # A chunk without a place to cut cannot end a piece.
-        if size >= PIECE_BYTES and chunk.rstrip(_INSIDE):
-            joined = b"".join(held)
-            cut = len(joined.rstrip(_INSIDE))
-            yield joined[:cut]
-            held = [joined[cut:]]
-            size = len(held[0])
-    if size:
-        yield b"".join(held)
-
-
-def texts_of(source, above=()):
-    """(text, first byte, end) of what is readable in the bytes that source()
-    gives in chunks, and in what they unfold to, as often as they do; the place
-    is None for unfolded text. ``above`` has the digests of the layers around."""
-    digest, head = hashlib.blake2b(digest_size=16), b""
-    for chunk in source():
-        head = head or chunk[:3]
-        digest.update(chunk)
-    if digest.digest() in above:
-        return
-    if squeezed(head):
-        state: dict = {}
-        for text, *_ in texts_of(lambda: inflate(source(), state), (*above, digest.digest())):
-            yield text, None, None
-        for _ in inflate(source(), state):
-            pass
-        if state["whole"]:
-            return
-    at = 0
-    for piece in pieces(source()):
-        if (text := readable(piece)) is not None:
-            yield text, at, at + len(piece)
-        else:
-            for m in _READABLE_RUN.finditer(piece):
-                yield m.group().decode("ascii"), at + m.start(), at + m.end()
-        at += len(piece)
+#: Bytes that are passed on at once, that a stream is tried with, and that tell one
+#: stream from another; characters in which every undecided match lies.
+CHUNK_BYTES, PROBE_BYTES, HEAD_BYTES, CARRY = 1 << 16, 256, 1 << 20, 24
+_BLANKS = re.compile("\x20{2,}")
+_IN_RUN = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=\r\n"
+_RUN_ENDS = re.compile(r"[^A-Za-z0-9+/_\r\n-]|\n\r?\n")
+_STANDARD = str.maketrans("-_", "+/")
+
+
+def _unescaped(line: str) -> bytes:
+    """The bytes of a line (a character a byte) without its escapes."""
+
+    def one(m) -> str:
+        body = m.group()
+        if body[0] == "%":
+            return chr(int(body[1:], 16))
+        code = int(body[2:], 16) if body[0] == "\\" else int(body[3:-1], 16) if body[2] in "xX" else int(body[2:-1])
+        return (chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�").encode().decode("latin-1")
+
+    return ESCAPE.sub(one, line).encode("latin-1")
+
+
+def _alignments(body: str):
+    """The bytes of a base64 body at each of its four alignments."""
+    body = body.translate(_STANDARD)
+    for shift in range(4):
+        run = body[shift:]
+        run = run[: len(run) - (len(run) % 4 == 1)]
+        yield base64.b64decode(run + "=" * (-len(run) % 4))
+
+
+def kinds_inside(data: bytes, first: int) -> tuple[frozenset, bool, int]:
+    """Kinds of secrets at any depth in the compressed stream that begins at
+    data[first]; whether it was sound to the end of data; bytes of sound members."""
+    # Layers call each other as deep as they are nested.
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
+    found = Found()
+    stream = Unfolded(found)
+    at, step = first, PROBE_BYTES
+    while at < len(data) and not stream.dead and not found.done():
+        stream.feed(data[at : at + step])
+        at, step = at + step, CHUNK_BYTES
+    stream.close()
+    return frozenset(found.kinds), stream.whole or found.done(), stream.used
+
+
+_STRETCH = re.compile(r"[A-Za-z0-9+/_\r\n-]{16,}+={0,2}")
+
+
+def runs_in(text: str, upto: int):
+    """Matches of ENCODED before upto, which lie in stretches of such characters."""
+    for m in _STRETCH.finditer(text, 0, upto):
+        yield from ENCODED.finditer(text, *m.span())
 
 
 def blocks_in(m):
@@ -212,8 +441,9 @@ _LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 
 def unwrap(layer: str, lines: list, upto: int):
     """(text, start, end) of what is readable inside a base64 block, at all four
-    alignments, unpacked where it is gzip or zlib; upto is where its padding ends."""
-    body = "".join(layer[a:z] for a, z in lines).replace("-", "+").replace("_", "/")
+    alignments, and (kinds, start, end) of compressed streams in it; upto is where
+    its padding ends."""
+    body = "".join(layer[a:z] for a, z in lines)
     if len(body) < LEAST_RUN:
         return
     before = [0]
@@ -224,28 +454,29 @@ def unwrap(layer: str, lines: list, upto: int):
         nth = bisect.bisect_right(before, k) - 1
         return lines[nth][0] + k - before[nth]
 
-    for shift in range(4):
-        run = body[shift:]
-        run = run[: len(run) - (len(run) % 4 == 1)]
-        data = base64.b64decode(run + "=" * (-len(run) % 4))
-
-        def found(first, skip=0):
-            for text, s, e in texts_of(lambda: iter([data[first:]])):  # noqa: B023
-                a, z = (first, len(data)) if s is None else (first + s, first + e)  # noqa: B023
-                if skip and s is not None:
-                    continue
-                start = place(shift + a // 3 * 4 + a % 3)  # noqa: B023
-                yield text, start, upto if z == len(data) else place(shift + (4 * z + 2) // 3 - 1) + 1  # noqa: B023
-
-        yield from found(0)
-        at = -1 if squeezed(data[:3]) else data.find(_GZIP, 1)
-        while at > 0:  # a stream behind other bytes
-            yield from found(at, 1)
-            at = data.find(_GZIP, at + 1)
+    for shift, data in enumerate(_alignments(body)):
+        at = 0 if squeezed(data[:3]) else data.find(_GZIP, 1)
+        whole = False
+        while at >= 0 and not whole:  # streams, also behind other bytes
+            kinds, sound, used = kinds_inside(data, at)
+            if kinds:
+                yield kinds, place(shift + at // 3 * 4 + at % 3), upto
+            whole = at == 0 and sound
+            # What a sound member holds has been looked at.
+            at = -1 if sound else data.find(_GZIP, at + max(used, 1))
+        if whole:
+            continue
+        if (text := readable(data)) is not None:
+            found = [(text, 0, len(data))]
+        else:
+            found = ((m.group().decode("ascii"), *m.span()) for m in _READABLE_RUN.finditer(data))
+        for text, a, z in found:
+            yield text, place(shift + a // 3 * 4 + a % 3), upto if z == len(data) else place(shift + (4 * z + 2) // 3 - 1) + 1
 
 
 def parts(layer: str):
-    """(decoded, starts, ends) of every encoded part of a layer."""
+    """(decoded, starts, ends) of every encoded part of a layer; of a compressed
+    stream the kinds of secrets in it instead of what it unfolds to."""
     if "%" in layer or "\\" in layer or "&#" in layer:
         lines, last = set(), -1
         for m in ESCAPE.finditer(layer):
@@ -258,7 +489,7 @@ def parts(layer: str):
         for a, z in sorted(lines):
             if got := unescape(layer[a:z]):
                 yield got[0], [a + x for x in got[1]], [a + x for x in got[2]]
-    for m in ENCODED.finditer(layer):
+    for m in runs_in(layer, len(layer)):
         for lines in blocks_in(m):
             yield from unwrap(layer, lines, m.end() if lines[-1][1] == m.end() - m.group().count("=") else lines[-1][1])
 
@@ -297,7 +528,11 @@ def secrets(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int,
             place = (inner, a, z) if isinstance(a, int) else (inner, tuple(a), tuple(z))
             if place not in seen and inner != layer:
                 seen.add(place)
-                work.append((inner, a, z))
+                if isinstance(inner, str):
+                    work.append((inner, a, z))
+                else:
+                    start, end = (a, z) if isinstance(a, int) else (a[0], max(z))
+                    every |= {(start, kind, end) for kind in inner}
     return base, sorted(every), len(seen)
 
 
@@ -309,8 +544,10 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, counts, spans of base patterns and of all layers per document.
 
     One narrow pass; null text is empty; repeated rows give repeated results; an
-    empty table gives no rows. A text and its layers are held whole by one task;
-    an escaped line takes some 150 bytes of memory a character."""
+    empty table gives no rows. A text and its decoded layers are held whole by one
+    task, an escaped line at some 150 bytes of memory a character; what compressed
+    streams unfold to is passed through in chunks, whatever its size, at some 50 kB
+    a level of nesting."""
     rows = docs.select("doc_id", "text")
     out = (
         f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, "
