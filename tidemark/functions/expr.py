@@ -67,6 +67,15 @@ def computed(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
+def settled(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns computed once per row, as computed() does, by compiled code:
+    a generator evaluates what it is given by interpretation, so it only passes on
+    here what the projection below it has computed."""
+    below = rows.withColumns({f"_{name}": c for name, c in columns.items()})
+    kept = [F.col(c) for c in rows.columns if c not in columns]
+    return below.select(*kept, F.inline(F.array(F.struct(*[F.col(f"_{name}").alias(name) for name in columns]))))
+
+
 def get(v: Column, key: str) -> Column:
     """Member of an object (JSON null included); NULL for anything else."""
     return F.try_variant_get(v, f"$.{key}", "variant")

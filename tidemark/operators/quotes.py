@@ -10,6 +10,7 @@ from ..functions import expr as E
 from .asof import asof_join
 from .diagnostics import classified
 
+_PLAIN = r"^-?[0-9]+(\.[0-9]+)?$"
 SIDE = ["fetch_ok", "error_kind", "http_status", "transport", "best_bid", "best_ask", "mid", "spread", "age_seconds", "error"]
 
 
@@ -23,30 +24,51 @@ def _members(level: Column) -> Column:
     return F.coalesce(pair, E.let(named, lambda x: F.when(x["p"].isNotNull() & x["s"].isNotNull(), x)))
 
 
-def _side(book: Column, name: str) -> Column:
-    """struct(price, size, bad) of the first level of a side as delivered. bad: a
-    member that is no number, or a side that is no list."""
-    side = E.truthy(E.get(book, name))
+def _number_at(book: Column, path: str) -> Column:
+    """E.number() of a member; a plain decimal, a text or not, is read as it stands."""
+    text = F.try_variant_get(book, path, "string")
+    return F.when(text.rlike(_PLAIN), text.try_cast("double")).otherwise(E.number(F.try_variant_get(book, path, "variant")))
 
-    def read(x: Column) -> Column:
-        numbers = E.let(_members(F.get(E.items(x), F.lit(0))), lambda m: F.struct(
-            E.number(m["p"]).alias("price"), E.number(m["s"]).alias("size"), m.isNotNull().alias("there")))
-        return E.let(numbers, lambda n: F.struct(
-            n["price"].alias("price"), n["size"].alias("size"),
-            F.coalesce((n["there"] & (n["price"].isNull() | n["size"].isNull())) | (x.isNotNull() & ~E.is_array(x)), F.lit(False)).alias("bad")))
 
-    return E.let(side, read)
+def _level(book: Column, name: str) -> Column:
+    """struct(price, size, there) of the first level of a side as delivered. Pairs and
+    plain objects are read by their paths, anything else by _members()."""
+    path = f"$.{name}[0]"
+    second = F.try_variant_get(book, f"{path}[1]", "variant")
+    price, size = (F.try_variant_get(book, f"{path}.{k}", "string") for k in ("price", "size"))
+    # A plain number other than 0 is truthy, whether a text or not.
+    plain = lambda t: t.rlike(_PLAIN) & (t.try_cast("double") != 0)
+    entry = lambda p, s, there: F.struct(p.alias("price"), s.alias("size"), there.alias("there"))
+    other = E.let(_members(F.try_variant_get(book, path, "variant")), lambda m: entry(E.number(m["p"]), E.number(m["s"]), m.isNotNull()))
+    nothing = F.try_variant_get(book, path, "variant").isNull()
+    return (
+        F.when(second.isNotNull(), entry(_number_at(book, f"{path}[0]"), _number_at(book, f"{path}[1]"), F.lit(True)))
+        .when(F.coalesce(plain(price) & plain(size), F.lit(False)), entry(price.try_cast("double"), size.try_cast("double"), F.lit(True)))
+        .when(nothing, entry(F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(False)))
+        .otherwise(other)
+    )
+
+
+def _bad(book: Column, name: str, level: Column) -> Column:
+    """A member that is no number, or a side (unless falsy) that is no list."""
+    side = E.get(book, name)
+    member = level["there"] & (level["price"].isNull() | level["size"].isNull())
+    return F.coalesce(member | (side.isNotNull() & ~E.is_array(side) & E.is_truthy(side)), F.lit(False))
 
 
 def snapshots(responses: DataFrame) -> DataFrame:
     """One snapshot per book response. If a level of either side is not numeric,
     both sides stay empty. Age is 0 at the time of the response."""
-    rows = classified(responses, book=True)
+    rows = E.settled(classified(responses, book=True), v=F.col("v"))
     v = F.col("v")
-    nested = F.filter(F.array(*[E.get(v, k) for k in ("book", "data", "orderbook")], v), E.is_object)
-    rows = rows.withColumn("book", F.when(E.is_object(v), F.get(nested, F.lit(0))))
-    rows = rows.withColumn("bid", _side(F.col("book"), "bids")).withColumn("ask", _side(F.col("book"), "asks"))
-    bad = F.col("bid.bad") | F.col("ask.bad")
+    places = [E.get(v, k) for k in ("book", "data", "orderbook")]
+    nested = F.get(F.filter(F.array(*places, v), E.is_object), F.lit(0))
+    flat = F.coalesce(*places).isNull()
+    rows = E.settled(rows, book=F.when(E.is_object(v), F.when(flat, v).otherwise(nested)))
+    book = F.col("book")
+    rows = E.settled(rows, bid=_level(book, "bids"), ask=_level(book, "asks"))
+    rows = E.settled(rows, bid_bad=_bad(book, "bids", F.col("bid")), ask_bad=_bad(book, "asks", F.col("ask")))
+    bad = F.col("bid_bad") | F.col("ask_bad")
     none = F.col("book").isNull()
     parse_error = F.when(none, "non-dict-orderbook").when(bad, "could not convert a level to numbers")
     rows = rows.withColumn("parse_error", parse_error)
@@ -86,12 +108,13 @@ def quote_rows(polls: DataFrame, taken: DataFrame) -> DataFrame:
     with token_yes, token_no) with the snapshots of their two tokens. Polls
     without both tokens are left to quote_warnings."""
     polls = polls.where("token_yes is not null and token_yes <> '' and token_no is not null and token_no <> ''")
-    side = taken.select("poll_id", "token_id", F.struct(*SIDE).alias("s"))
-    rows = (
-        polls.join(side.withColumnsRenamed({"token_id": "token_yes", "s": "yes"}), ["poll_id", "token_yes"], "left")
-        .join(side.withColumnsRenamed({"token_id": "token_no", "s": "no"}), ["poll_id", "token_no"], "left")
-    )
-    return paired(rows)
+    books = taken.groupBy("poll_id").agg(F.collect_list(F.struct("token_id", F.struct(*SIDE).alias("s"))).alias("books"))
+    rows = polls.join(books, "poll_id", "left")
+    # The snapshots are read once; both sides are taken from a poll's few books.
+    for side in ("yes", "no"):
+        own = F.filter("books", lambda b: b["token_id"] == F.col(f"token_{side}"))
+        rows = rows.select("*", F.explode_outer(F.transform(own, lambda b: b["s"])).alias(side))
+    return paired(rows.drop("books"))
 
 
 def paired(rows: DataFrame) -> DataFrame:
