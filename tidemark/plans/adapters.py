@@ -19,8 +19,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames by event type: view is a trade, signup a ticker poll, click an
     oracle update, purchase an oracle list of two points, error plain text or a
-    transport event (every third)."""
-    e = events(spark, sf_dir)
+    transport event (every third). Events are dealt out first: their file may hold
+    few row groups, and reading a frame costs far more than moving an event."""
+    e = events(spark, sf_dir).select("event_id", "ts", "event_type", "value").repartition("event_id")
     ms = F.unix_millis("ts").cast("string")
     value = F.col("value").cast("string")
     kind, odd = F.col("event_type"), F.col("event_id") % 3
@@ -140,11 +141,14 @@ def markets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One market per event: its five-minute bucket (two for every fifth), a slug
     with the prefix or (every fourth) a title that only reads like one; some lack
     tokens, are closed, or belong to no family."""
-    e = events(spark, sf_dir).select("event_id", "ts")
+    return _with_market(events(spark, sf_dir).select("event_id", "ts"))
+
+
+def _with_market(e: DataFrame) -> DataFrame:
     i = F.col("event_id")
     start = (F.floor(F.unix_seconds("ts") / 300) * 300).cast("long")
     return e.select(
-        "event_id", "ts", start.alias("start_s"), (start + F.when(i % 5 == 0, 600).otherwise(300)).alias("end_s"),
+        "*", start.alias("start_s"), (start + F.when(i % 5 == 0, 600).otherwise(300)).alias("end_s"),
         F.concat(F.lit("m"), start.cast("string"), F.lit("-"), (i % 4).cast("string")).alias("market_id"),
         F.when(i % 4 == 0, F.concat(F.lit("other-"), start.cast("string"))).otherwise(F.concat(F.lit("btc-updown-5m-"), start.cast("string"))).alias("slug"),
         F.when(i % 8 == 0, "Bitcoin up or down, 5 minute").otherwise("Up or down").alias("title"),
@@ -155,9 +159,14 @@ def markets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def catalog_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogue polls: every purchase polls and sees the markets of the events up
-    to REACH before and after it (not its own), each as one response. Event ids
-    are laid out over the ids that see them, so this is an equi-join."""
-    m = markets(spark, sf_dir)
+    to REACH before and after it (not its own), each as one response. Polls are
+    laid out over the ids that they see, so this is an equi-join. Ids and times alone
+    are moved; bodies are built where a poll's rows have come together."""
+    e = events(spark, sf_dir)
+    polls = e.where("event_type = 'purchase'").select(F.col("event_id").alias("p"), F.col("ts").alias("poll_ts"))
+    asked = polls.withColumn("shift", F.explode(F.sequence(F.lit(-REACH), F.lit(REACH)))).where("shift <> 0")
+    asked = asked.select(F.col("p").cast("string").alias("poll_id"), "poll_ts", "shift", (F.col("p") + F.col("shift")).alias("event_id"))
+    m = _with_market(asked.join(e.select("event_id", "ts"), "event_id").repartition("poll_id"))
     start, end = (F.date_format(F.timestamp_seconds(c), "yyyy-MM-dd'T'HH:mm:ss'Z'") for c in ("start_s", "end_s"))
     tokens = F.when(F.col("has_tokens"), F.concat(
         F.lit(',"outcomes":"[\\"Up\\",\\"Down\\"]","clobTokenIds":["y'), "market_id", F.lit('","n'), "market_id", F.lit('"]'))).otherwise("")
@@ -170,10 +179,8 @@ def catalog_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("nested"), F.concat(F.lit('{"events":[{"markets":['), market, F.lit("]}]}")))
         .otherwise(market)
     )
-    seen = m.withColumn("body", body).withColumn("shift", F.explode(F.sequence(F.lit(-REACH), F.lit(REACH)))).where("shift <> 0")
-    polls = events(spark, sf_dir).where("event_type = 'purchase'").select(F.col("event_id").alias("p"), F.col("ts").alias("poll_ts"))
-    return polls.join(seen.withColumn("p", F.col("event_id") - F.col("shift")), "p").select(
-        F.col("p").cast("string").alias("poll_id"), "poll_ts", F.lit("BTC").alias("asset"),
+    return m.withColumn("body", body).select(
+        "poll_id", "poll_ts", F.lit("BTC").alias("asset"),
         F.when(F.col("broad"), "broad").otherwise("slug").alias("phase"),
         (F.col("shift") + F.lit(REACH) + F.when(F.col("broad"), 100).otherwise(0)).cast("int").alias("attempt_seq"),
         F.when(F.col("broad"), "broad_market_open_scan").otherwise("slug_exact_market_path").alias("source"), "slug",
