@@ -17,6 +17,8 @@ _ISO = (
 )
 _FULL = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})?$"
 _FLOAT = r"^[+-]?([0-9]+(_[0-9]+)*(\.([0-9]+(_[0-9]+)*)?)?|\.[0-9]+(_[0-9]+)*)([eE][+-]?[0-9]+(_[0-9]+)*)?$"
+#: Beginnings of texts that no falsy value has.
+_SURE = r"^[a-eg-zA-Z1-9]"
 _SPECIAL = r"^[+-]?(?i:inf|infinity|nan)$"
 
 
@@ -67,7 +69,7 @@ def computed(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
-def settled(rows: DataFrame, **columns: Column) -> DataFrame:
+def settled(rows: DataFrame, /, **columns: Column) -> DataFrame:
     """rows with columns computed once per row, as computed() does, by compiled code:
     a generator evaluates what it is given by interpretation, so it only passes on
     here what the projection below it has computed."""
@@ -119,6 +121,16 @@ def first_text(v: Column, *keys: str) -> Column:
     return text(first_truthy(*[get(v, k) for k in keys]))
 
 
+def quick_text(v: Column, *keys: str) -> Column:
+    """first_text() by paths: texts that no falsy value has are taken as they are."""
+
+    def one(key: str) -> Column:
+        t = F.try_variant_get(v, f"$.{key}", "string")
+        return F.when(t.rlike(_SURE), t).when(t.isNotNull(), first_text(v, key))
+
+    return F.coalesce(*[one(k) for k in keys])
+
+
 # --- numbers ----------------------------------------------------------------
 
 
@@ -179,6 +191,11 @@ def find_numeric(v: Column, keys: tuple[str, ...]) -> Column:
 # --- time -------------------------------------------------------------------
 
 
+def full_datetime(s: Column) -> Column:
+    """parse_datetime() of a text of the full form; NULL for others."""
+    return F.when(s.rlike(_FULL), s.try_cast("timestamp"))
+
+
 def parse_datetime(s: Column) -> Column:
     """ISO-8601 text to a UTC instant; NULL for blanks and anything else.
 
@@ -210,6 +227,12 @@ def iso(ts: Column) -> Column:
     )
 
 
+def iso_of(ts: Column) -> Column:
+    """iso() of a plain column, compiled."""
+    part = F.when(F.unix_micros(ts) % 1_000_000 == 0, "").otherwise(F.date_format(ts, ".SSSSSS"))
+    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), part, F.lit("+00:00"))
+
+
 def iso_or_text(s: Column) -> Column:
     """ISO text of a timestamp text, or the text itself where it is none."""
     return F.when(F.trim(s) == "", None).otherwise(F.coalesce(iso(parse_datetime(s)), s))
@@ -254,12 +277,13 @@ def payload_rows(v: Column) -> Column:
     events; the payload itself if it is an object without one; else empty."""
     objects = lambda a: F.filter(a, is_object)
     none = F.array().cast("array<variant>")
-    return let(
+    plain = is_object(v) & F.coalesce(*[get(v, k) for k in ("items", "data", "markets", "events")]).isNull()
+    return F.when(plain, F.array(v)).otherwise(let(
         v,
         lambda x: F.when(is_array(x), objects(items(x)))
         .when(is_object(x), F.coalesce(objects(F.coalesce(*[items(get(x, k)) for k in ("items", "data", "markets", "events")])), F.array(x)))
         .otherwise(none),
-    )
+    ))
 
 
 def series_text(s: Column) -> Column:

@@ -14,8 +14,10 @@ def classified(responses: DataFrame, *, book: bool, keep: int = SETTINGS.sample_
 
     Order of tests: failures to get an answer, then the status (any but 200 for
     order books, 400 and above for the catalogue), then the body."""
-    v = E.parse(F.col("body"))
     bad_status = (F.col("http_status") != 200) if book else (F.col("http_status") >= 400)
+    lost = F.coalesce(F.col("failure").isin("transport", "unexpected") | bad_status, F.lit(False))
+    responses = E.settled(responses, v=F.when(~lost, E.parse(F.col("body"))))
+    v = F.col("v")
     error_kind = (
         F.when(F.col("failure") == "transport", "transport_failure")
         .when(F.col("failure") == "unexpected", "unexpected_failure")
@@ -33,7 +35,6 @@ def classified(responses: DataFrame, *, book: bool, keep: int = SETTINGS.sample_
         .withColumn("ok", F.col("error_kind").isNull())
         .withColumn("error_text", F.when(~F.col("ok"), text))
         .withColumn("response_text_sample", F.substring("body", 1, keep))
-        .withColumn("v", F.when(F.col("ok"), v))
     )
 
 
@@ -42,17 +43,17 @@ def sample(rows: Column, limit: int = SETTINGS.sample_limit) -> Column:
     return F.transform(
         F.slice(rows, 1, limit),
         lambda r: F.struct(
-            E.first_text(r, "slug", "eventSlug").alias("slug"),
-            E.first_text(r, "question", "title", "name").alias("title"),
-            E.iso_or_text(E.first_text(r, "startDate", "start")).alias("start"),
-            E.iso_or_text(E.first_text(r, "endDate", "end")).alias("end"),
+            E.quick_text(r, "slug", "eventSlug").alias("slug"),
+            E.quick_text(r, "question", "title", "name").alias("title"),
+            E.iso_or_text(E.quick_text(r, "startDate", "start")).alias("start"),
+            E.iso_or_text(E.quick_text(r, "endDate", "end")).alias("end"),
         ),
     )
 
 
 def attempts(responses: DataFrame) -> DataFrame:
     """One row per catalogue request: flags and a sample of its rows."""
-    rows = classified(responses, book=False).withColumn("rows", E.payload_rows(F.col("v")))
+    rows = E.settled(classified(responses, book=False), rows=E.payload_rows(F.col("v")))
     exact = F.col("path").startswith("/markets/slug/") | F.col("path").startswith("/events/slug/")
     return rows.select(
         "poll_id", "poll_ts", "asset", "phase", "attempt_seq", "source", "slug", "path", "http_status", "ok", "error_kind",

@@ -13,9 +13,11 @@ from ..config import PROFILES, SETTINGS, AssetProfile, Settings
 from ..functions import expr as E
 from ..sources.workdir import stored
 from .asof import interval_join
-from .diagnostics import attempt_summaries, attempts, classified, failure_reasons
+from .diagnostics import classified, failure_reasons
 
 IDENTITY = ["market_id", "slug", "condition_id", "token_yes", "token_no", "start_time", "end_time"]
+# Labels and keys of the two sides.
+_SIDES = {"yes": (("yes", "up"), ("yesTokenId", "tokenYes", "token_yes")), "no": (("no", "down"), ("noTokenId", "tokenNo", "token_no"))}
 DEDUPE_KEY = ["market_id", "condition_id", "slug", "start", "end"]
 
 
@@ -89,7 +91,8 @@ def _flatten(node: Column) -> Column:
     )
     step = lambda nodes: F.flatten(F.transform(nodes, lambda x: F.when(x["waits"], opened(x["v"])).otherwise(F.array(x))))
     deep = lambda v: F.transform(E.unfolded(v, F.array(entry(True, v)), step), lambda x: x["v"])
-    return E.let(node, lambda v: F.when(E.is_array(E.get(v, "events")), deep(v)).otherwise(_with_markets(v)))
+    plain = F.coalesce(*[E.get(node, k) for k in ("events", "market", "markets")]).isNull()
+    return F.when(plain, F.array(node)).otherwise(E.let(node, lambda v: F.when(E.is_array(E.get(v, "events")), deep(v)).otherwise(_with_markets(v))))
 
 
 def _tokens(c: Column) -> Column:
@@ -100,6 +103,33 @@ def _tokens(c: Column) -> Column:
     return E.let(lists, lambda x: _tokens_of(c, x["ids"], x["labels"]))
 
 
+def _token_pair(c: Column) -> Column:
+    """struct(labels, ids) of texts: paired lists of two, or texts of such; else NULLs
+    inside. What _tokens() reads of the lists is their texts."""
+    def texts(key: str) -> Column:
+        read = lambda v: F.try_variant_get(v, "$", "array<string>")
+        return F.coalesce(F.try_variant_get(c, f"$.{key}", "array<string>"), read(F.try_parse_json(F.try_variant_get(c, f"$.{key}", "string"))))
+
+    return F.struct(texts("outcomes").alias("labels"), texts("clobTokenIds").alias("ids"))
+
+
+def _tokens_by(pair: Column, c: Column) -> Column:
+    """_tokens(c): both tokens of a pair of lists are taken as they are, an object
+    without a key of tokens has none, and anything else goes the whole way."""
+    labels, ids = pair["labels"], pair["ids"]
+    at = lambda i: (F.lower(F.trim(F.get(labels, F.lit(i)))), F.nullif(F.get(ids, F.lit(i)), F.lit("")))
+    (l0, i0), (l1, i1) = at(0), at(1)
+    two = (F.size(labels) == 2) & (F.size(ids) == 2) & i0.isNotNull() & i1.isNotNull()
+    straight = two & l0.isin(*_SIDES["yes"][0]) & l1.isin(*_SIDES["no"][0])
+    crossed = two & l0.isin(*_SIDES["no"][0]) & l1.isin(*_SIDES["yes"][0])
+    keys = ("clobTokenIds", "outcomes", "tokens", "outcomeTokens", *_SIDES["yes"][1], *_SIDES["no"][1])
+    none = F.coalesce(*[E.get(c, k) for k in keys]).isNull()
+    of = lambda yes, no: F.struct(yes.alias("yes"), no.alias("no"))
+    null = F.lit(None).cast("string")
+    yes = lambda x: F.coalesce(x, F.lit(False))
+    return F.when(yes(straight), of(i0, i1)).when(yes(crossed), of(i1, i0)).when(none, of(null, null)).otherwise(_tokens(c))
+
+
 def _tokens_of(c: Column, ids: Column, labels: Column) -> Column:
     empty = F.array().cast("array<variant>")
     group = lambda v: F.coalesce(E.items(v), F.map_values(F.try_variant_get(v, "$", "map<string,variant>")), empty)
@@ -114,8 +144,7 @@ def _tokens_of(c: Column, ids: Column, labels: Column) -> Column:
             E.series_text(E.first_text(o, "side", "name", "outcome", "label")).alias("label"), E.first_text(o, "id", "tokenId", "token_id", "assetId").alias("id")
         ),
     )
-    # Labels and keys of the two sides.
-    sides = {"yes": (("yes", "up"), ("yesTokenId", "tokenYes", "token_yes")), "no": (("no", "down"), ("noTokenId", "tokenNo", "token_no"))}
+    sides = _SIDES
 
     def of(entries: Column, names: tuple[str, ...]) -> Column:
         return F.get(F.filter(entries, lambda e: e["label"].isin(*names) & e["id"].isNotNull()), F.lit(0))["id"]
@@ -136,13 +165,20 @@ def normalized(responses: DataFrame, *, expand_lists: bool = False) -> DataFrame
     A payload that is a list gives none, unless ``expand_lists`` feeds each of
     its objects as a payload of its own. Candidates without id, slug, tokens and
     times are left out. nth numbers an attempt's candidates after its own dedupe."""
-    rows = classified(responses, book=False).where("ok")
+    return numbered(read_candidates(responses, expand_lists=expand_lists))
+
+
+def read_candidates(responses: DataFrame, *, expand_lists: bool = False) -> DataFrame:
+    """Every node of every answer as a row, with here: whether it is a candidate. A
+    request without any has one row, so that its answer (ok) is told as well."""
+    rows = classified(responses, book=False)
     single = F.when(E.is_object(F.col("v")), F.array("v"))
     payloads = F.coalesce(single, _objects(F.col("v"))) if expand_lists else single
-    rows = rows.select("poll_id", "poll_ts", "asset", "phase", "attempt_seq", "source", "path", F.posexplode(payloads).alias("payload_seq", "p"))
-    rows = rows.select("*", F.posexplode(_flatten(F.col("p"))).alias("candidate_seq", "c"))
+    rows = rows.select("poll_id", "poll_ts", "asset", "phase", "attempt_seq", "source", "path", "ok", F.posexplode_outer(payloads).alias("payload_seq", "p"))
+    rows = E.settled(rows, nodes=F.when(F.col("p").isNotNull(), _flatten(F.col("p"))))
+    rows = rows.select("*", F.posexplode_outer("nodes").alias("candidate_seq", "c")).drop("nodes")
     c, p = F.col("c"), F.col("p")
-    rows = E.computed(rows, e0=F.get(E.items(E.get(p, "events")), F.lit(0)))
+    rows = E.settled(rows, e0=F.try_variant_get(p, "$.events[0]", "variant"))
     e0 = F.col("e0")
     starts = [
         ("candidate.eventStartTime", c, "eventStartTime"), ("candidate.startTime", c, "startTime"),
@@ -153,23 +189,29 @@ def normalized(responses: DataFrame, *, expand_lists: bool = False) -> DataFrame
     ends = [("events[0].endDate", e0, "endDate"), ("candidate.endDate", c, "endDate"), ("payload.endDate", p, "endDate")]
 
     def chosen(sources) -> Column:
-        texts = F.array(*[F.struct(E.text(E.get(v, k)).alias("t"), F.lit(name).alias("source")) for name, v, k in sources])
-        there = F.filter(texts, lambda s: s["t"].isNotNull())
-        tried = F.transform(there, lambda s: F.struct(E.parse_datetime(s["t"]).alias("at"), s["source"].alias("source")))
-        return F.get(F.filter(tried, lambda s: s["at"].isNotNull()), F.lit(0))
-
-    rows = E.computed(rows, s=chosen(starts), z=chosen(ends), own=_tokens(c))
-    # The payload's tokens count where the candidate lacks one.
-    rows = E.computed(rows, top=F.when(F.col("own.yes").isNull() | F.col("own.no").isNull(), _tokens(p)))
+        # Where the candidate is the payload itself, the payload's keys are its own.
+        texts = [(F.try_variant_get(v, f"$.{k}", "string"), name) for name, v, k in sources]
+        told = lambda at, name: F.when(at.isNotNull(), F.struct(at.alias("at"), F.lit(name).alias("source")))
+        return F.coalesce(*[told(F.coalesce(E.full_datetime(t), E.parse_datetime(t)), name) for t, name in texts])
+
+    rows = E.settled(rows, s=chosen(starts), z=chosen(ends), pair=_token_pair(c))
+    rows = E.settled(rows, own=_tokens_by(F.col("pair"), c))
+    # The payload's tokens count where the candidate, unless it is the payload, lacks one.
+    lacks = (F.col("candidate_seq") > 0) & (F.col("own.yes").isNull() | F.col("own.no").isNull())
+    rows = E.settled(rows, top=F.when(lacks, _tokens(p)))
     rows = rows.select(
         "*", F.col("s.at").alias("start"), F.col("z.at").alias("end"),
         F.col("s.source").alias("start_source"), F.col("z.source").alias("end_source"),
         F.coalesce("own.yes", "top.yes").alias("token_yes"), F.coalesce("own.no", "top.no").alias("token_no"),
     )
-    pick = lambda own, top: E.text(E.first_truthy(*[E.get(c, k) for k in own], *[E.get(p, k) for k in top]))
-    raw = E.series_text(E.first_text(c, "status", "state", "marketStatus"))
+
+    def pick(own: tuple[str, ...], top: tuple[str, ...]) -> Column:
+        more = E.quick_text(p, *top)
+        return F.coalesce(E.quick_text(c, *own), F.when(F.col("candidate_seq") > 0, more) if set(top) <= set(own) else more)
+
+    raw = E.series_text(E.quick_text(c, "status", "state", "marketStatus"))
     in_window = F.coalesce((F.col("start") <= F.col("poll_ts")) & (F.col("poll_ts") < F.col("end")), F.lit(True))
-    yes = lambda k: F.coalesce(E.is_true(E.get(c, k)), F.lit(False))
+    yes = lambda k: F.coalesce((F.try_variant_get(c, f"$.{k}", "string") == "true") & (F.schema_of_variant(E.get(c, k)) == "BOOLEAN"), F.lit(False))
     # States as the catalogue names them.
     status = (
         F.when(raw.isin("open", "active", "tradable", "trading"), "open")
@@ -179,19 +221,27 @@ def normalized(responses: DataFrame, *, expand_lists: bool = False) -> DataFrame
         .when((yes("enableOrderBook") | yes("acceptingOrders") | yes("tradable") | yes("active")) & in_window, "open")
         .when(raw != "", raw)
     )
-    out = rows.select(
-        "poll_id", "poll_ts", "asset", "phase", "attempt_seq", "payload_seq", "candidate_seq",
+    own = ["poll_id", "poll_ts", "asset", "phase", "attempt_seq", "ok", "payload_seq", "candidate_seq"]
+    told = rows.select(
+        *own,
         pick(("id", "marketId", "market_id", "questionID"), ("marketId", "market_id")).alias("market_id"),
         pick(("conditionId", "condition_id", "condition"), ("conditionId", "condition_id")).alias("condition_id"),
         pick(("slug",), ("slug", "eventSlug")).alias("slug"),
         pick(("title", "question", "name"), ("title", "name")).alias("title"),
-        "token_yes", "token_no", "start", "end", E.iso(F.col("start")).alias("start_time"), E.iso(F.col("end")).alias("end_time"),
+        "token_yes", "token_no", "start", "end", E.iso_of(F.col("start")).alias("start_time"), E.iso_of(F.col("end")).alias("end_time"),
         status.alias("status"), F.concat_ws(":", "source", "path").alias("detection_source"), "start_source", "end_source",
-    ).where(F.coalesce("market_id", "slug", "token_yes", "token_no", "start_time", "end_time").isNotNull())
+    )
+    told = E.settled(told, **{c: F.col(c) for c in told.columns if c not in own})
+    return told.withColumn("here", F.coalesce("market_id", "slug", "token_yes", "token_no", "start_time", "end_time").isNotNull())
+
+
+def numbered(told: DataFrame) -> DataFrame:
+    """The candidates of read_candidates(), without copies within an attempt; nth
+    numbers the rest of an attempt."""
     first = Window.partitionBy("poll_id", "attempt_seq", *DEDUPE_KEY).orderBy("payload_seq", "candidate_seq")
     nth = Window.partitionBy("poll_id", "attempt_seq").orderBy("payload_seq", "candidate_seq")
     return (
-        out.withColumn("copy", F.row_number().over(first)).where("copy = 1").drop("copy")
+        told.where("here").drop("here", "ok").withColumn("copy", F.row_number().over(first)).where("copy = 1").drop("copy")
         .withColumn("nth", F.row_number().over(nth))
     )
 
@@ -299,21 +349,30 @@ def selected(rows: DataFrame) -> DataFrame:
     return rows.where("exclusion is null").withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
+def answered(told: DataFrame, found: DataFrame) -> DataFrame:
+    """poll_id, attempt_seq, ok and extracted_candidate_count of every request, as
+    attempt_summaries() has them, from read_candidates() and the candidates kept."""
+    n = found.groupBy("poll_id", "attempt_seq").agg(F.count(F.lit(1)).alias("n"))
+    sent = told.where("coalesce(payload_seq, 0) = 0 and coalesce(candidate_seq, 0) = 0").select("poll_id", "attempt_seq", "ok")
+    counted = sent.join(n, ["poll_id", "attempt_seq"], "left")
+    return counted.select("poll_id", "attempt_seq", "ok", F.when(F.col("ok"), F.coalesce("n", F.lit(0))).alias("extracted_candidate_count"))
+
+
 def route(responses: DataFrame, polls: DataFrame | None = None) -> DataFrame:
     """One decision per poll: the routed market or NULLs with the reason, and
     the counts behind it. polls (poll_id, poll_ts, asset) adds polls that got no
     response at all."""
-    found = stored(normalized(responses), "candidates")
-    tried = attempt_summaries(attempts(responses), found)
+    told = stored(read_candidates(responses), "candidates").repartition("poll_id")
+    found = numbered(told)
     judged_rows = combined(found)
     best = selected(judged_rows).select(
         "poll_id", "market_id", "slug", "title", "condition_id", "token_yes", "token_no", "start_time", "end_time", "status",
         "detection_source", F.col("score").alias("routing_score"), "reason", F.col("selection_bucket").alias("selection_mode"),
     )
-    head = responses.select("poll_id", "poll_ts", "asset")
+    head = told.select("poll_id", "poll_ts", "asset")
     head = (head if polls is None else head.unionByName(polls.select("poll_id", "poll_ts", "asset"))).distinct()
     return (
-        head.join(failure_reasons(tried), "poll_id", "left")
+        head.join(failure_reasons(answered(told, found)), "poll_id", "left")
         .join(waterfall(judged_rows).select("poll_id", F.col("normalized_total").alias("n_candidates"), F.col("filtered_final").alias("n_final")), "poll_id", "left")
         .join(best, "poll_id", "left")
         .withColumn("routing_reason", F.when(F.col("routing_score").isNotNull(), F.col("reason")).otherwise(F.coalesce("failure_reason", F.lit("gamma_http_failure"))))
