@@ -5,9 +5,11 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import quotes
+from tidemark.operators import health, quotes, routing
 from tidemark.plans import adapters
 from tidemark.sources import schemas
+from tidemark.sources.workdir import stored
+from tidemark.streaming import heartbeats
 
 SF = "/root/testdata/sf0.001"
 given = pytest.mark.skipif(not os.path.isdir(SF), reason="the given tables are not here")
@@ -53,3 +55,26 @@ def test_book_levels(spark):
 def test_responses_move_ids_not_bodies(spark):
     plan = optimized(adapters.catalog_responses(spark, SF))
     assert plan.index("eventStartTime") < plan.index("Join")
+
+
+@given
+def test_route_reads_responses_once(spark, monkeypatch):
+    """Bodies are parsed in what route() stores, and not again in what goes on from there."""
+    kept = []
+    monkeypatch.setattr(routing, "stored", lambda df, label: kept.append(df) or stored(df, label))
+    got = routing.route(adapters.catalog_responses(spark, SF))
+    assert len(kept) == 1 and "parse_json" in optimized(kept[0]) and "parse_json" not in optimized(got)
+
+
+def test_beats_reduce_parts(spark):
+    """A task sends on the last row of a beat and signal, of several parts."""
+    pd = pytest.importorskip("pandas")
+    part = lambda *rows: pd.DataFrame(rows, columns=["asset", "signal", "seq", "value", "us"])
+    parts = [part(("B", "x", "1", "a", 5), ("B", "x", "2", "b", 5), ("B", "y", None, "c", 1)), part(("B", "x", None, "d", 4), ("B", "x", "1", "e", 10_000_001))]
+    got = pd.concat(list(heartbeats.latest_of_parts(10)(iter(parts))))
+    assert sorted(got["value"]) == ["b", "c", "e"]
+
+
+def test_tick_signals_read_ticks_once(spark):
+    rows = spark.createDataFrame([], "asset string, at timestamp, seq string, family string, source string, warning string, error string")
+    assert optimized(health.tick_signals(rows)).count("Union") == 0

@@ -101,21 +101,23 @@ def tick_signals(rows: DataFrame) -> DataFrame:
     warning = F.coalesce("warning", F.lit(""))
     up = ~warning.isin("rtds_reconnect", "ws_reconnect_rest_fallback")
     fallback = (F.col("source") == "binance_rest") | (warning == "ws_reconnect_rest_fallback")
-    failed = rows.where("error is not null")
-    parts = []
+    told = E.settled(rows.select("asset", "at", F.col("seq").cast("string").alias("seq"), "family", "source", "warning", "error"), at_text=E.iso_of(F.col("at")))
+    entry = lambda name, when, value: F.when(when, F.struct(F.lit(name).alias("signal"), value.cast("string").alias("value")))
+    entries = []
     for f, more in (("chainlink", {}), ("binance", {"binance_fallback": fallback})):
-        own = rows.where(F.col("family") == f)
-        parts += [_signal(own, **{f"{f}_at": E.iso(F.col("at")), f"{f}_up": up, **more}), _signal(failed.where(F.col("family") == f), **{f"{f}_error": F.col("error")})]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        own = F.col("family") == f
+        entries += [entry(name, own, value) for name, value in {f"{f}_at": F.col("at_text"), f"{f}_up": up, **more}.items()]
+        entries.append(entry(f"{f}_error", own & F.col("error").isNotNull(), F.col("error")))
+    # Every row is read once, whatever it tells.
+    return told.select("asset", "at", "seq", F.explode(F.array_compact(F.array(*entries))).alias("s")).select("asset", "s.signal", "at", "seq", "s.value")
 
 
 def quote_signals(polls: DataFrame) -> DataFrame:
     """Of quote polls (asset, at, seq, taken, last_error): when snapshots were last
     taken, and the error of the last poll; one that went well resets it."""
-    return _signal(polls.where("taken"), quotes_at=E.iso(F.col("at"))).unionByName(_signal(polls, quote_error=F.col("last_error")))
+    entry = lambda name, when, value: F.when(when, F.struct(F.lit(name).alias("signal"), value.alias("value")))
+    entries = F.array_compact(F.array(entry("quotes_at", F.col("taken"), E.iso(F.col("at"))), entry("quote_error", F.lit(True), F.col("last_error"))))
+    return polls.select("asset", "at", F.col("seq").cast("string").alias("seq"), F.explode(entries).alias("s")).select("asset", "s.signal", "at", "seq", "s.value")
 
 
 def _assembled(rows: DataFrame, output_dir: str) -> DataFrame:

@@ -43,26 +43,25 @@ def chainlink_rows(frames: DataFrame) -> DataFrame:
     anywhere in the message; without one the row is a warning. Empty frames give
     keepalive rows."""
     msg = F.when(F.col("event").isNull(), E.parse(F.col("raw")))
-    rows = frames.where("feed = 'chainlink'").withColumn("v", msg)
+    rows = E.settled(frames.where("feed = 'chainlink'"), v=msg)
     v = F.col("v")
-    rows = rows.withColumn("env", F.get(F.filter(F.array(E.get(v, "payload"), v), E.is_object), F.lit(0)))
+    rows = E.settled(rows, env=F.get(F.filter(F.array(E.get(v, "payload"), v), E.is_object), F.lit(0)))
     env = F.col("env")
     points = E.items(E.get(env, "data"))
-    rows = rows.withColumn("last", F.get(F.filter(F.slice(points, -1, 1), E.is_object), F.lit(0)))
+    rows = E.settled(rows, last=F.get(F.filter(F.slice(points, -1, 1), E.is_object), F.lit(0)))
     last = F.col("last")
     topic, kind = E.text(E.get(v, "topic")), E.text(E.get(v, "type"))
-    rows = (
-        rows.withColumn("topic", F.when(E.is_object(v), topic))
-        .withColumn("type", F.when(E.is_object(v), kind))
-        .withColumn("price_1", E.find_numeric(last, ("value", "price", "answer")))
-        .withColumn("ts_1", _source_ts(last, "timestamp", "ts", "time"))
+    there = last.isNotNull()
+    rows = E.settled(
+        rows, topic=F.when(E.is_object(v), topic), type=F.when(E.is_object(v), kind),
+        price_1=F.when(there, E.find_numeric(last, ("value", "price", "answer"))), ts_1=F.when(there, _source_ts(last, "timestamp", "ts", "time")),
     )
     full = E.text(E.get(env, "full_accuracy_value"))
     use_full = F.col("price_1").isNull() & full.isNotNull()
-    rows = (
-        rows.withColumn("full", F.when(use_full, full))
-        .withColumn("price_2", F.coalesce("price_1", F.when(use_full, E.find_numeric(env, ("value", "full_accuracy_value", "price", "answer")))))
-        .withColumn("ts_2", F.when(use_full, _source_ts(env, "timestamp", "ts", "time")).otherwise(F.col("ts_1")))
+    rows = E.settled(
+        rows, full=F.when(use_full, full),
+        price_2=F.coalesce("price_1", F.when(use_full, E.find_numeric(env, ("value", "full_accuracy_value", "price", "answer")))),
+        ts_2=F.when(use_full, _source_ts(env, "timestamp", "ts", "time")).otherwise(F.col("ts_1")),
     )
     family = (
         F.when(F.col("full").isNotNull(), F.when((F.col("topic") == "crypto_prices_chainlink") & (F.col("type") == "update"), "live_update").otherwise("full_accuracy_value"))
@@ -70,18 +69,19 @@ def chainlink_rows(frames: DataFrame) -> DataFrame:
         .otherwise("unknown")
     )
     fallback_ts = E.source_time(E.first_truthy(*[E.get(env, k) for k in ("timestamp", "ts", "time")], E.get(v, "timestamp")))
-    rows = (
-        rows.withColumn("source_ts", F.coalesce("ts_2", F.when(E.is_object(v), fallback_ts)))
-        .withColumn("price", F.coalesce("price_2", E.find_numeric(v, ("price", "value", "answer", "mark_price", "aggregate_price", "full_accuracy_value"))))
-        .withColumn("family", family)
+    rows = E.settled(
+        rows, source_ts=F.coalesce("ts_2", F.when(E.is_object(v), fallback_ts)),
+        price=F.coalesce("price_2", E.find_numeric(v, ("price", "value", "answer", "mark_price", "aggregate_price", "full_accuracy_value"))),
+        family=family,
     )
     is_frame = F.col("event").isNull()
     empty = is_frame & (F.coalesce(F.col("raw"), F.lit("")) == "")
-    parsed = is_frame & (E.is_object(v) | E.is_array(v))
+    symbol = F.coalesce(E.text(E.first_truthy(E.get(env, "symbol"), E.get(v, "symbol"), E.get(v, "pair"))), F.lit("btc/usd"))
+    rows = E.settled(rows, parsed=is_frame & (E.is_object(v) | E.is_array(v)), symbol=symbol, at_text=E.iso_of(F.col("received_ts")))
+    parsed = F.col("parsed")
     plain = is_frame & ~empty & ~parsed
     warning = F.when(~is_frame, F.col("event")).when(plain, "non_json_message").when(parsed & F.col("price").isNull(), "unparsed_chainlink_payload")
-    symbol = F.coalesce(E.text(E.first_truthy(E.get(env, "symbol"), E.get(v, "symbol"), E.get(v, "pair"))), F.lit("btc/usd"))
-    ts = E.iso(F.col("received_ts"))
+    symbol, ts = F.col("symbol"), F.col("at_text")
     return rows.select(
         ts.alias("ts"),
         F.when(is_frame, ts).alias("received_ts"),
@@ -109,12 +109,12 @@ def without_keepalives(rows: DataFrame) -> DataFrame:
 def binance_rows(frames: DataFrame) -> DataFrame:
     """Trade frames, ticker polls and transport events of the exchange feed. A
     ticker poll whose price is no number is a failed poll."""
-    rows = frames.where("feed in ('binance_ws', 'binance_rest')").withColumn("v", F.when(F.col("event").isNull(), E.parse(F.col("raw"))))
+    rows = E.settled(frames.where("feed in ('binance_ws', 'binance_rest')"), v=F.when(F.col("event").isNull(), E.parse(F.col("raw"))))
     v = F.col("v")
     rest = F.col("feed") == "binance_rest"
     is_frame = F.col("event").isNull()
     price = F.when(rest, E.number(E.get(v, "price"))).otherwise(E.number(E.first_truthy(E.get(v, "p"), E.get(v, "price"))))
-    rows = rows.withColumn("price", F.when(E.is_object(v), price))
+    rows = E.settled(rows, price=F.when(E.is_object(v), price), at_text=E.iso_of(F.col("received_ts")))
     plain = is_frame & ~rest & ~E.is_object(v)
     warning = (
         F.when(~is_frame, F.col("event"))
@@ -123,7 +123,7 @@ def binance_rows(frames: DataFrame) -> DataFrame:
     )
     failed = ~is_frame | (rest & F.col("price").isNull())
     return rows.select(
-        E.iso(F.col("received_ts")).alias("ts"),
+        F.col("at_text").alias("ts"),
         F.when(warning.isNull(), "tick").otherwise("warning").alias("record_type"),
         F.col("feed").alias("source"),
         F.lit(BINANCE_SYMBOL).alias("symbol"),

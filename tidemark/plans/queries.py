@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as E
 from ..operators import diagnostics, health, quotes, results, routing, segments, ticks
 from ..sources import schemas, store
-from ..sources.workdir import new_folder
+from ..sources.workdir import new_folder, stored
 from ..streaming import heartbeats, jobs, routes
 from ..streaming import quotes as quote_streams
 from ..streaming import segments as segment_streams
@@ -244,7 +244,8 @@ def heartbeat_rows(spark, sf_dir):
     span = A.events(spark, sf_dir).agg(F.min("ts").alias("low"), F.max("ts").alias("high"))
     low, high = span.select((F.ceil(F.unix_micros("low") / 300_000_000) * 300).cast("timestamp"), "high").first()
     at = health.beats(low, high, spark, every_seconds=300).select(F.lit("BTC").alias("asset"), "ts")
-    return _flat(health.heartbeats(at, _signals(spark, sf_dir), output_dir="store"))
+    # The join reads the signals twice.
+    return _flat(health.heartbeats(at, stored(_signals(spark, sf_dir), "signals"), output_dir="store"))
 
 
 @contextmanager
