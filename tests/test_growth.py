@@ -5,8 +5,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import health, quotes, routing
-from tidemark.plans import adapters
+from tidemark.functions import expr as E
+from tidemark.operators import health, quotes, routing, segments
+from tidemark.plans import adapters, queries
 from tidemark.sources import schemas
 from tidemark.sources.workdir import stored
 from tidemark.streaming import heartbeats
@@ -79,3 +80,36 @@ def test_beats_reduce_parts(spark):
 def test_tick_signals_read_ticks_once(spark):
     rows = spark.createDataFrame([], "asset string, at timestamp, seq string, family string, source string, warning string, error string")
     assert optimized(health.tick_signals(rows)).count("Union") == 0
+
+
+def test_tick_values_by_path_as_the_general_way(spark):
+    """Plain members are read by paths; odd ones give what the general reading gives."""
+    bodies = ['{"value":"1.5","timestamp":1700000000}', '{"value":"1_0","timestamp":"1700000000123"}', '{"value":0,"timestamp":0,"ts":5}', '{"value":[2],"timestamp":1.7e9}', '{"price":"-3","timestamp":"x"}',
+              '{"value":true,"time":99999999999999999}', '{"value":"none","answer":" 7 ","timestamp":999999999999999}', "[4]", "5", '{"value":null,"timestamp":10000000000}', '{"timestamp":"0012","value":{"price":8}}', None]
+    v, keys, times = F.col("v"), ("value", "price", "answer"), ("timestamp", "ts", "time")
+    got = spark.createDataFrame([(b,) for b in bodies], "b string").select(E.parse(F.col("b")).alias("v")).select(
+        F.struct(E.quick_find(v, keys), E.quick_number(v, "value"), E.quick_source_time(v, *times)).alias("quick"),
+        F.struct(E.find_numeric(v, keys), E.number(E.get(v, "value")), E.source_time(E.first_truthy(*[E.get(v, k) for k in times]))).alias("whole"))
+    rows = got.collect()
+    assert [tuple(r.quick) for r in rows] == [tuple(r.whole) for r in rows] and rows[0].quick[0] == 1.5
+
+
+def test_dates_of_a_column(spark):
+    texts = ["2024-01-01T00:00:00+00:00", " 2024-01-01T00:00:00Z ", "2024-13-01T00:00:00Z", "20240101T101500", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "s string").select(E.datetime_of(F.col("s")).alias("a"), E.parse_datetime(F.col("s")).alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows] and rows[0].a is not None
+
+
+def test_catalogue_reads_segments_once(spark):
+    """Segments and manifests come together in one join, whatever their state."""
+    found = spark.createDataFrame([("d", h) for h in ("01", "02", "03", "04", "04")], "segment_date string, segment_hour string")
+    told = spark.createDataFrame([("d", "02", "x")], "segment_date string, segment_hour string, segment_end_utc string")
+    got = segments.catalogue(found, told)
+    assert sorted((r.segment_hour, r.state, r.segment_end_utc) for r in got.collect()) == [("01", "orphaned", None), ("02", "closed", "x"), ("03", "orphaned", None), ("04", "active", None)]
+    assert optimized(got).count("Join") == 1
+
+
+@given
+def test_segment_catalog_reads_ticks_once(spark):
+    files = queries.segment_catalog(spark, SF).inputFiles()
+    assert files and all("segmented" in f for f in files)

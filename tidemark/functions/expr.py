@@ -17,6 +17,8 @@ _ISO = (
 )
 _FULL = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})?$"
 _FLOAT = r"^[+-]?([0-9]+(_[0-9]+)*(\.([0-9]+(_[0-9]+)*)?)?|\.[0-9]+(_[0-9]+)*)([eE][+-]?[0-9]+(_[0-9]+)*)?$"
+#: A decimal as most payloads write it.
+PLAIN_NUMBER = r"^-?[0-9]+(\.[0-9]+)?$"
 #: Beginnings of texts that no falsy value has.
 _SURE = r"^[a-eg-zA-Z1-9]"
 _SPECIAL = r"^[+-]?(?i:inf|infinity|nan)$"
@@ -151,6 +153,13 @@ def number(v: Column) -> Column:
     )
 
 
+def quick_number(v: Column, key: str) -> Column:
+    """number() of a member by its path: a plain decimal, a text or not, is read as it
+    stands; anything else the general way."""
+    t = F.try_variant_get(v, f"$.{key}", "string")
+    return F.when(t.rlike(PLAIN_NUMBER), t.try_cast("double")).when(t.isNotNull(), number(get(v, key)))
+
+
 def _spread(node: Column, keys: tuple[str, ...]) -> Column:
     members = F.array_compact(F.array(*[get(node, k) for k in dict.fromkeys((*keys, "data", "payload", "event", "price"))]))
     return F.when(is_object(node), members).when(is_array(node), F.try_variant_get(node, "$", "array<variant>")).otherwise(F.array(node))
@@ -188,6 +197,13 @@ def find_numeric(v: Column, keys: tuple[str, ...]) -> Column:
     return let(v, lambda x: F.coalesce(direct(x), F.when(is_object(x) | is_array(x), deep(x))))
 
 
+def quick_find(v: Column, keys: tuple[str, ...]) -> Column:
+    """find_numeric() by paths: a plain decimal at an object's first key is what the
+    search meets first."""
+    t = F.try_variant_get(v, f"$.{keys[0]}", "string")
+    return F.when(t.rlike(PLAIN_NUMBER), t.try_cast("double")).when(v.isNotNull(), find_numeric(v, keys))
+
+
 # --- time -------------------------------------------------------------------
 
 
@@ -215,6 +231,11 @@ def parse_datetime(s: Column) -> Column:
     return let(F.trim(s), whole)
 
 
+def datetime_of(s: Column) -> Column:
+    """parse_datetime() of a plain column: texts of the full form by compiled code."""
+    return F.coalesce(full_datetime(s), parse_datetime(s))
+
+
 def iso(ts: Column) -> Column:
     """ISO text in UTC, with microseconds only where there are some."""
     return let(
@@ -259,6 +280,16 @@ def source_time(v: Column) -> Column:
     return let(v, one)
 
 
+def quick_source_time(v: Column, *keys: str) -> Column:
+    """source_time() of the first truthy member; whole seconds or milliseconds of up to
+    15 digits at the first key are read by its path."""
+    t = F.try_variant_get(v, f"$.{keys[0]}", "string")
+    n = F.when(t.rlike("^[1-9][0-9]{0,14}$"), t.try_cast("long"))
+    at = F.when(n.between(1, 10_000_000_000), F.timestamp_seconds(n)).when(n <= 253_402_300_799_000, F.timestamp_millis(n))
+    whole = source_time(first_truthy(*[get(v, k) for k in keys]))
+    return F.when(n <= 253_402_300_799_000, iso_of(at)).when(v.isNotNull(), whole)
+
+
 def age_text(age: Column) -> Column:
     """12.3s, or n/a."""
     return F.when(age.isNull(), "n/a").otherwise(F.format_string("%.1fs", age))

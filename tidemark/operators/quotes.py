@@ -10,7 +10,6 @@ from ..functions import expr as E
 from .asof import asof_join
 from .diagnostics import classified
 
-_PLAIN = r"^-?[0-9]+(\.[0-9]+)?$"
 SIDE = ["fetch_ok", "error_kind", "http_status", "transport", "best_bid", "best_ask", "mid", "spread", "age_seconds", "error"]
 
 
@@ -27,7 +26,7 @@ def _members(level: Column) -> Column:
 def _number_at(book: Column, path: str) -> Column:
     """E.number() of a member; a plain decimal, a text or not, is read as it stands."""
     text = F.try_variant_get(book, path, "string")
-    return F.when(text.rlike(_PLAIN), text.try_cast("double")).otherwise(E.number(F.try_variant_get(book, path, "variant")))
+    return F.when(text.rlike(E.PLAIN_NUMBER), text.try_cast("double")).otherwise(E.number(F.try_variant_get(book, path, "variant")))
 
 
 def _level(book: Column, name: str) -> Column:
@@ -37,7 +36,7 @@ def _level(book: Column, name: str) -> Column:
     second = F.try_variant_get(book, f"{path}[1]", "variant")
     price, size = (F.try_variant_get(book, f"{path}.{k}", "string") for k in ("price", "size"))
     # A plain number other than 0 is truthy, whether a text or not.
-    plain = lambda t: t.rlike(_PLAIN) & (t.try_cast("double") != 0)
+    plain = lambda t: t.rlike(E.PLAIN_NUMBER) & (t.try_cast("double") != 0)
     entry = lambda p, s, there: F.struct(p.alias("price"), s.alias("size"), there.alias("there"))
     other = E.let(_members(F.try_variant_get(book, path, "variant")), lambda m: entry(E.number(m["p"]), E.number(m["s"]), m.isNotNull()))
     nothing = F.try_variant_get(book, path, "variant").isNull()

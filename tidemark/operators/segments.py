@@ -57,12 +57,11 @@ def catalogue(rows: DataFrame, manifest_rows: DataFrame) -> DataFrame:
     earlier ones without a manifest are orphaned."""
     found = rows.select("segment_date", "segment_hour").distinct()
     keys = ["segment_date", "segment_hour"]
-    closed = found.join(manifest_rows, keys).withColumn("state", F.lit("closed"))
-    loose = found.join(manifest_rows.select(*keys), keys, "left_anti")
-    key = F.concat("segment_date", "segment_hour")
-    last = F.max(key).over(Window.partitionBy(F.lit(0)))  # one row per segment without a manifest
-    state = F.when(key == last, "active").otherwise("orphaned")
-    return closed.unionByName(loose.withColumn("state", state), allowMissingColumns=True)
+    rows = found.join(manifest_rows.withColumn("closed", F.lit(True)), keys, "left")
+    key = F.when(F.col("closed").isNull(), F.concat(*keys))
+    last = F.max(key).over(Window.partitionBy(F.lit(0)))  # a few rows per segment
+    state = F.when(F.col("closed"), "closed").when(key == last, "active").otherwise("orphaned")
+    return rows.withColumn("state", state).drop("closed")
 
 
 def latest_closed(manifest_rows: DataFrame) -> DataFrame:

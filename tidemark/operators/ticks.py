@@ -33,10 +33,6 @@ def _null(kind: str) -> Column:
     return F.lit(None).cast(kind)
 
 
-def _source_ts(v: Column, *keys: str) -> Column:
-    return E.source_time(E.first_truthy(*[E.get(v, k) for k in keys]))
-
-
 def chainlink_rows(frames: DataFrame) -> DataFrame:
     """Oracle frames and transport events. A price comes from the last point of
     a data list, else from an envelope with a full-accuracy value, else from
@@ -45,23 +41,25 @@ def chainlink_rows(frames: DataFrame) -> DataFrame:
     msg = F.when(F.col("event").isNull(), E.parse(F.col("raw")))
     rows = E.settled(frames.where("feed = 'chainlink'"), v=msg)
     v = F.col("v")
-    rows = E.settled(rows, env=F.get(F.filter(F.array(E.get(v, "payload"), v), E.is_object), F.lit(0)))
+    rows = E.settled(rows, obj=E.is_object(v), payload=E.get(v, "payload"))
+    is_obj, payload = F.col("obj"), F.col("payload")
+    rows = E.settled(rows, arr=~is_obj & E.is_array(v), env=F.when(E.is_object(payload), payload).when(is_obj, v))
     env = F.col("env")
-    points = E.items(E.get(env, "data"))
-    rows = E.settled(rows, last=F.get(F.filter(F.slice(points, -1, 1), E.is_object), F.lit(0)))
+    rows = E.settled(rows, end=F.try_element_at(E.items(E.get(env, "data")), F.lit(-1)))
+    rows = E.settled(rows, last=F.when(E.is_object(F.col("end")), F.col("end")))
     last = F.col("last")
     topic, kind = E.text(E.get(v, "topic")), E.text(E.get(v, "type"))
     there = last.isNotNull()
     rows = E.settled(
-        rows, topic=F.when(E.is_object(v), topic), type=F.when(E.is_object(v), kind),
-        price_1=F.when(there, E.find_numeric(last, ("value", "price", "answer"))), ts_1=F.when(there, _source_ts(last, "timestamp", "ts", "time")),
+        rows, topic=F.when(is_obj, topic), type=F.when(is_obj, kind),
+        price_1=F.when(there, E.quick_find(last, ("value", "price", "answer"))), ts_1=F.when(there, E.quick_source_time(last, "timestamp", "ts", "time")),
     )
     full = E.text(E.get(env, "full_accuracy_value"))
     use_full = F.col("price_1").isNull() & full.isNotNull()
     rows = E.settled(
         rows, full=F.when(use_full, full),
-        price_2=F.coalesce("price_1", F.when(use_full, E.find_numeric(env, ("value", "full_accuracy_value", "price", "answer")))),
-        ts_2=F.when(use_full, _source_ts(env, "timestamp", "ts", "time")).otherwise(F.col("ts_1")),
+        price_2=F.coalesce("price_1", F.when(use_full, E.quick_find(env, ("value", "full_accuracy_value", "price", "answer")))),
+        ts_2=F.when(use_full, E.quick_source_time(env, "timestamp", "ts", "time")).otherwise(F.col("ts_1")),
     )
     family = (
         F.when(F.col("full").isNotNull(), F.when((F.col("topic") == "crypto_prices_chainlink") & (F.col("type") == "update"), "live_update").otherwise("full_accuracy_value"))
@@ -70,14 +68,14 @@ def chainlink_rows(frames: DataFrame) -> DataFrame:
     )
     fallback_ts = E.source_time(E.first_truthy(*[E.get(env, k) for k in ("timestamp", "ts", "time")], E.get(v, "timestamp")))
     rows = E.settled(
-        rows, source_ts=F.coalesce("ts_2", F.when(E.is_object(v), fallback_ts)),
-        price=F.coalesce("price_2", E.find_numeric(v, ("price", "value", "answer", "mark_price", "aggregate_price", "full_accuracy_value"))),
+        rows, source_ts=F.coalesce("ts_2", F.when(is_obj, fallback_ts)),
+        price=F.coalesce("price_2", E.quick_find(v, ("price", "value", "answer", "mark_price", "aggregate_price", "full_accuracy_value"))),
         family=family,
     )
     is_frame = F.col("event").isNull()
     empty = is_frame & (F.coalesce(F.col("raw"), F.lit("")) == "")
-    symbol = F.coalesce(E.text(E.first_truthy(E.get(env, "symbol"), E.get(v, "symbol"), E.get(v, "pair"))), F.lit("btc/usd"))
-    rows = E.settled(rows, parsed=is_frame & (E.is_object(v) | E.is_array(v)), symbol=symbol, at_text=E.iso_of(F.col("received_ts")))
+    symbol = F.coalesce(E.quick_text(env, "symbol"), E.quick_text(v, "symbol", "pair"), F.lit("btc/usd"))
+    rows = E.settled(rows, parsed=is_frame & (is_obj | F.col("arr")), symbol=symbol, at_text=E.iso_of(F.col("received_ts")))
     parsed = F.col("parsed")
     plain = is_frame & ~empty & ~parsed
     warning = F.when(~is_frame, F.col("event")).when(plain, "non_json_message").when(parsed & F.col("price").isNull(), "unparsed_chainlink_payload")
@@ -113,9 +111,12 @@ def binance_rows(frames: DataFrame) -> DataFrame:
     v = F.col("v")
     rest = F.col("feed") == "binance_rest"
     is_frame = F.col("event").isNull()
-    price = F.when(rest, E.number(E.get(v, "price"))).otherwise(E.number(E.first_truthy(E.get(v, "p"), E.get(v, "price"))))
-    rows = E.settled(rows, price=F.when(E.is_object(v), price), at_text=E.iso_of(F.col("received_ts")))
-    plain = is_frame & ~rest & ~E.is_object(v)
+    traded = F.try_variant_get(v, "$.p", "string")
+    known = F.when(traded.rlike(E.PLAIN_NUMBER), F.nullif(traded.try_cast("double"), F.lit(0.0)))
+    price = F.when(rest, E.quick_number(v, "price")).otherwise(F.coalesce(known, E.number(E.first_truthy(E.get(v, "p"), E.get(v, "price")))))
+    rows = E.settled(rows, obj=E.is_object(v))
+    rows = E.settled(rows, price=F.when(F.col("obj"), price), at_text=E.iso_of(F.col("received_ts")))
+    plain = is_frame & ~rest & ~F.col("obj")
     warning = (
         F.when(~is_frame, F.col("event"))
         .when(plain, "non_json_message")
@@ -128,7 +129,7 @@ def binance_rows(frames: DataFrame) -> DataFrame:
         F.col("feed").alias("source"),
         F.lit(BINANCE_SYMBOL).alias("symbol"),
         "price",
-        F.when(is_frame & ~rest, E.first_text(v, "E", "T", "eventTime")).alias("observed_at"),
+        F.when(is_frame & ~rest, E.quick_text(v, "E", "T", "eventTime")).alias("observed_at"),
         warning.alias("warning"),
         F.when(failed, F.coalesce(F.col("error"), F.when(is_frame, "price is not a number"))).alias("error"),
         F.when(failed, _url_json()).otherwise(F.col("raw")).alias("raw_payload_fragment"),

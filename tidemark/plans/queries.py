@@ -276,7 +276,7 @@ def heartbeat_stream(spark, sf_dir):
 
 def _segmented(spark, sf_dir):
     rows = ticks.all_ticks(A.raw_frames(spark, sf_dir))
-    return segments.with_segment(rows.withColumn("at", E.parse_datetime(F.col("ts"))), "at")
+    return segments.with_segment(rows.withColumn("at", E.datetime_of(F.col("ts"))), "at")
 
 
 def segment_manifest(spark, sf_dir):
@@ -286,7 +286,8 @@ def segment_manifest(spark, sf_dir):
 
 
 def segment_catalog(spark, sf_dir):
-    rows = _segmented(spark, sf_dir)
+    # The ticks are read once; the catalogue and its manifests count from what is kept.
+    rows = stored(_segmented(spark, sf_dir).select("segment_date", "segment_hour", "family"), "segmented")
     return segments.catalogue(rows, segments.manifests(rows)).select("segment_date", "segment_hour", "state", "segment_end_utc")
 
 

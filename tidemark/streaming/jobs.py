@@ -24,7 +24,7 @@ def record_ticks(frames: DataFrame, root: str, checkpoint: str) -> None:
     """Write a stream of frames as hourly JSON segments of both feeds; every
     file is committed once, also after a restart from the checkpoint."""
     rows = ticks.all_ticks(frames)
-    placed = with_segment(rows.withColumn("_at", E.parse_datetime(F.col("ts"))), "_at").drop("_at")
+    placed = with_segment(rows.withColumn("_at", E.datetime_of(F.col("ts"))), "_at").drop("_at")
     run_once(
         placed.writeStream.format("json").option("ignoreNullFields", "false").option("path", root).partitionBy("family", "segment_date", "segment_hour"),
         checkpoint,
@@ -34,7 +34,7 @@ def record_ticks(frames: DataFrame, root: str, checkpoint: str) -> None:
 def hourly_counts(frames: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     """Streaming rows per hour, family and record type; an hour is final when
     the watermark has passed it."""
-    rows = ticks.all_ticks(frames).withColumn("at", E.parse_datetime(F.col("ts"))).withWatermark("at", lateness)
+    rows = ticks.all_ticks(frames).withColumn("at", E.datetime_of(F.col("ts"))).withWatermark("at", lateness)
     return (
         rows.groupBy(F.window("at", "1 hour"), "family", "record_type")
         .agg(F.count(F.lit(1)).alias("n_rows"))
