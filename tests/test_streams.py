@@ -206,3 +206,28 @@ def test_changes_over_batches(spark, tmp_path):
     fed(spark, folder, [rows[:50], rows[50:53], rows[53:]], schema, build)
     got = sorted((x.poll_id, x.market_changed) for x in spark.read.parquet(f"{folder}/out/rows").collect())
     assert got == sorted((x.poll_id, x.market_changed) for x in routing.route_rows(spark.createDataFrame(rows, schema)).collect())
+
+
+def test_recorded_sides_are_told_once(spark, tmp_path):
+    """As the join of streams tells them: books before and after their poll, late and
+    doubled ones, a side without a book, rows behind the watermark, with restarts."""
+    folder = f"file://{tmp_path}"
+    polls = "poll_id string, poll_ts timestamp, asset string, market_id string, slug string, title string, condition_id string, token_yes string, token_no string, start_time string, end_time string, status string"
+    book = '{"bids":[["0.4","1"]],"asks":[["0.5","1"]]}'
+    poll = lambda i, at: (str(i), seconds(at), "BTC", f"m{i}", "s", "t", "c", f"y{i}", f"n{i}", "a", "b", "open")
+    taken = lambda i, at, side: (str(i), seconds(at), "BTC", f"{side}{i}", 200, "https", None, None, book)
+    parts = [([poll(1, 0), poll(2, 10), poll(3, 20)], [taken(1, 60, "y"), taken(1, 61, "n"), taken(2, 10, "y"), taken(4, 29, "y")]),
+             ([poll(4, 30), poll(5, 31)], [taken(3, 20, "n"), taken(3, 20, "y"), taken(1, 0, "y"), taken(4, 30, "n")]),
+             ([poll(9, 9_000)], [taken(9, 9_000, "y")]), ([poll(6, 40)], [taken(6, 40, "y"), taken(6, 40, "n"), taken(9, 9_001, "n")])]
+    for some, books in parts:
+        spark.createDataFrame(some, polls).write.mode("append").parquet(f"{folder}/polls")
+        spark.createDataFrame(books, schemas.BOOK_RESPONSES).write.mode("append").parquet(f"{folder}/books")
+        read = lambda name, schema: spark.readStream.schema(schema).parquet(f"{folder}/{name}")
+        stream_quotes.record_sides(read("polls", polls), read("books", schemas.BOOK_RESPONSES), f"{folder}/out", f"{folder}/state", lateness_seconds=60)
+    told = spark.read.parquet(f"{folder}/out/rows")
+    sides = sorted((r.poll_id, r.side, r.snapshot is not None) for r in told.collect())
+    with_book = [("1", "yes"), ("2", "yes"), ("3", "no"), ("3", "yes"), ("4", "no"), ("4", "yes"), ("9", "no"), ("9", "yes")]
+    without = [("1", "no"), ("2", "no"), ("5", "no"), ("5", "yes")]
+    assert sides == sorted([(*x, True) for x in with_book] + [(*x, False) for x in without])
+    got = {r.poll_id: r.quote_capture_status for r in stream_quotes.paired_sides(told).collect()}
+    assert got == {"1": "partial_failure", "2": "partial_failure", "3": "ok", "4": "ok", "5": "failed", "9": "ok"}

@@ -412,9 +412,9 @@ def quote_rows_stream(spark, sf_dir):
     for part in (lambda rows: rows, last):
         for name, rows in (("polls", polls), ("books", books)):
             part(rows).write.mode("append").parquet(f"{out}/{name}")
-        told = quote_streams.sides(*(spark.readStream.schema(x.schema).parquet(f"{out}/{name}") for name, x in (("polls", polls), ("books", books))))
-        jobs.run_once(told.writeStream.format("parquet").option("path", f"{out}/rows").outputMode("append"), f"{out}/state")
-    got = quote_streams.paired_sides(spark.read.schema(told.schema).parquet(f"{out}/rows").where("poll_id <> 'end'"))
+        quote_streams.record_sides(*(spark.readStream.schema(x.schema).parquet(f"{out}/{name}") for name, x in (("polls", polls), ("books", books))), f"{out}/sides", f"{out}/state")
+    told = spark.read.parquet(f"{out}/sides/rows").drop("batch")
+    got = quote_streams.paired_sides(told.where("poll_id <> 'end'"))
     return got.select(
         "poll_id", "ts", "quote_capture_ok", "quote_capture_status", "market_id", F.col("yes.mid").alias("yes_mid"), F.col("no.mid").alias("no_mid"),
         F.col("yes.spread").alias("yes_spread"), F.col("quote_age_diagnostics.max_age_seconds").alias("max_age_seconds"),
