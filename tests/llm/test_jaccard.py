@@ -56,3 +56,26 @@ def test_binaries_and_back():
     for x in (column, pa.chunked_array([column.slice(1), column.slice(0, 2)])):
         back, cuts = flat(x, np.uint16)
         assert [back[a:b].tobytes() for a, b in zip(cuts, cuts[1:])] == x.to_pylist()
+
+
+def test_copies_around_a_middle(spark, monkeypatch):
+    """Copies that are similar to one text in the middle and not to each other: other
+    heads link them, and the exact step is left with few pairs."""
+    r, n = random.Random(5), 60
+    base = [f"w{r.randrange(10**9)}" for _ in range(400)]
+    rows = []
+    for i in range(n):
+        copy = list(base)
+        # The text in the middle is not the first row: the least of a signature is a copy.
+        for at in r.sample(range(0, 400, 10), 9 if i != n // 2 else 0):
+            copy[at] = f"x{r.randrange(10**9)}"
+        rows.append((i, " ".join(copy)))
+    pairs = []
+    whole = jaccard_join.across_components
+    monkeypatch.setattr(jaccard_join, "across_components", lambda *a: pairs.append(whole(*a)) or pairs[-1])
+    counted = []
+    kept = jaccard_join.materialise
+    monkeypatch.setattr(jaccard_join, "materialise", lambda df, label: counted.append(pairs[-1].count()) or kept(df, label) if label == "jaccard-more-links" else kept(df, label))
+    got = {x.doc_id: x.component_id for x in jaccard_join.join_components(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()}
+    assert got == {i: 0 for i in range(n)}
+    assert counted and counted[0] < n

@@ -12,7 +12,8 @@ Before that, texts with equal sets fold into one class, and classes with too
 many shingles that no other class has (counted over a fixed share of the hash
 domain) drop out: they cannot reach t with anything. Both steps lose nothing.
 
-Sets of a signature are first compared with the least one only. The exact way
+Sets of a signature are first compared with the least one only, then, where they lie in
+different components, with others chosen by hash, a few rounds long. The exact way
 for the rest: of the members of signatures that are still in different
 components, those are compared whose first common shingle, rare ones first,
 leaves room for enough common ones. Groups of near copies thus do not unfold into
@@ -36,6 +37,8 @@ _TO_LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
 BLOCK_BYTES = 4 << 20
 #: Of 1024 hash values, so many are looked at to find unshared shingles.
 LOOKED_AT = 512
+#: Rounds of comparing the members of a signature with another head, at most.
+HEAD_ROUNDS = 4
 #: Partitions per half difference; above 1 so that most sets need no empty parts.
 PARTITION_SLACK = 1.2
 
@@ -309,6 +312,21 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return close.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(lean(compare), "a long, b long")
 
 
+def apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """sig, cid, label of the members of signatures that lie in several components."""
+    named = shared.join(labels, F.col("cid") == F.col("id"), "left").select("sig", "cid", F.coalesce("label", "cid").alias("label"))
+    split = named.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
+    return named.join(split, "sig")
+
+
+def other_heads(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b): one member of every signature, chosen by a hash that differs from
+    signature to signature and turn to turn, with those of other components."""
+    heads = members.groupBy("sig").agg(F.min_by(F.struct("cid", "label"), F.struct(F.xxhash64("sig", "cid", F.lit(turn)), "cid")).alias("h"))
+    pairs = members.join(heads, "sig").where(F.col("label") != F.col("h.label"))
+    return pairs.select(F.least("cid", "h.cid").alias("a"), F.greatest("cid", "h.cid").alias("b")).distinct()
+
+
 def across_components(sets: DataFrame, open_ones: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of sets in different components that may still be similar.
 
@@ -428,10 +446,20 @@ def join_components(docs: DataFrame, *, shingle_words: int = 5, num: int = 75, d
     stars = shared.where("head < cid").select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct()
     links = materialise(verified(stars, sets, num, den), "jaccard-links")
     labels = least_labels(links)
-    # Members of signatures that the stars left in different components.
-    named = shared.join(labels, F.col("cid") == F.col("id"), "left").select("sig", "cid", F.coalesce("label", "cid").alias("label"))
-    split = named.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
-    open_ones = materialise(named.join(split, "sig").select("cid", "label").distinct(), "jaccard-open")
+    # Copies of a text may differ too much from each other and be held together by one of
+    # them that is not the least: heads chosen anew for each signature find it at a cost
+    # of one comparison a member.
+    for turn in range(HEAD_ROUNDS):
+        tried = materialise(other_heads(apart(shared, labels), turn).join(stars, ["a", "b"], "left_anti"), "jaccard-heads")
+        closer = materialise(verified(tried, sets, num, den), "jaccard-closer")
+        found = closer.limit(1).count()
+        discard(tried)
+        if not found:
+            discard(closer)
+            break
+        links = materialise(links.union(closer), "jaccard-links")
+        labels = least_labels(links)
+    open_ones = materialise(apart(shared, labels).select("cid", "label").distinct(), "jaccard-open")
     rest = across_components(sets, open_ones, num, den).join(stars, ["a", "b"], "left_anti")
     more = materialise(verified(rest, sets, num, den), "jaccard-more-links")
     if more.limit(1).count():
