@@ -231,3 +231,23 @@ def test_recorded_sides_are_told_once(spark, tmp_path):
     assert sides == sorted([(*x, True) for x in with_book] + [(*x, False) for x in without])
     got = {r.poll_id: r.quote_capture_status for r in stream_quotes.paired_sides(told).collect()}
     assert got == {"1": "partial_failure", "2": "partial_failure", "3": "ok", "4": "ok", "5": "failed", "9": "ok"}
+
+
+def test_polls_leave_once_and_without_a_state(spark, tmp_path):
+    """A batch's polls are counted as a table: rows after their poll has left, behind the
+    watermark or without a time are dropped, through restarts and a batch run again."""
+    folder, schema = f"file://{tmp_path}", f"{schemas.CATALOG_RESPONSES}, n_expected int"
+    untimed = (*response(9, 0, 0, body(9), 1)[:1], None, *response(9, 0, 0, body(9), 1)[2:])
+    parts = [[response(1, 1, 0, "x", 2), response(2, 300, 0, "x", 2), response(2, 300, 1, "x", 2), response(3, 290, 0, "x", 3), untimed], [response(2, 300, 2, "x", 2), response(3, 290, 1, "x", 3), response(1, 1, 1, "x", 2)],
+             [response(2, 300, 3, "x", 2), response(3, 290, 2, "x", 3), response(5, 340, 0, "x")], [response(2, 300, 4, "x", 1), response(6, 900, 0, "x", 1)]]
+    count = lambda rows: rows.groupBy("poll_id").count()
+    build = lambda s: routes.record_routes(s, f"{folder}/out", f"{folder}/state", lateness="1 minute", route=count)
+    fed(spark, folder, parts, schema, build)
+    want = [("1", 1, 0), ("2", 2, 0), ("3", 3, 2), ("5", 1, 3), ("6", 1, 3)]
+    told = lambda: sorted((r.poll_id, r["count"], r.batch) for r in spark.read.parquet(f"{folder}/out/decisions").collect())
+    assert told() == want
+    assert not (tmp_path / "state" / "state").exists()
+    (tmp_path / "state" / "commits" / "3").unlink()
+    (tmp_path / "state" / "commits" / ".3.crc").unlink(missing_ok=True)
+    build(spark.readStream.schema(schema).parquet(f"{folder}/in"))
+    assert told() == want

@@ -5,6 +5,7 @@ from __future__ import annotations
 from contextlib import contextmanager
 from datetime import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
@@ -374,14 +375,12 @@ def routed_market_stream(spark, sf_dir):
     attempts land before it, the others after."""
     out = new_folder(spark, "routes")
     rows = A.catalog_responses(spark, sf_dir)
-    known = rows.groupBy("poll_id").agg(F.count(F.lit(1)).alias("n_expected"))
-    rows = store.kept(rows.join(known, "poll_id"), f"{out}/all")
+    rows = store.kept(rows.withColumn("n_expected", F.count(F.lit(1)).over(Window.partitionBy("poll_id"))), f"{out}/all")
     pause = F.to_timestamp(F.lit(PAUSE))
     early = (F.col("poll_ts") < pause) | ((F.col("poll_ts") < pause + F.expr("interval 1 hour")) & (F.col("attempt_seq") % 2 == 0))
-    with _rocksdb(spark):
-        for part in (early, ~early):
-            rows.where(part).write.mode("append").parquet(f"{out}/in")
-            routes.record_routes(spark.readStream.schema(rows.schema).parquet(f"{out}/in"), f"{out}/rows", f"{out}/state", lateness="2 hours")
+    for part in (early, ~early):
+        rows.where(part).write.mode("append").parquet(f"{out}/in")
+        routes.record_routes(spark.readStream.schema(rows.schema).parquet(f"{out}/in"), f"{out}/rows", f"{out}/state", lateness="2 hours")
     got = spark.read.parquet(f"{out}/rows/decisions")
     return got.select("poll_id", "asset", "market_id", "slug", "token_yes", "token_no", "start_time", "end_time", "status", "routing_score", "routing_reason", "selection_mode", "n_ok", "n_candidates", "n_final")
 

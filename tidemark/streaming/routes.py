@@ -1,92 +1,71 @@
 """Routing on a stream of catalogue responses: one decision per poll, once.
 
-A poll's requests land in several files. Its rows wait in the state of the poll until
-all attempts are there (where the rows say how many there are) or the watermark has
-passed the poll; then they leave together, and the batch job routes whole polls."""
+A poll's requests land in several files. Its rows wait until all attempts are there
+(where the rows say how many there are) or the watermark has passed the poll; then they
+leave together, and the batch job routes whole polls.
+
+A batch is taken as a table with the rows that wait from the batch before: polls that
+arrive together do not pass through a state, a key at a time, first."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType, TimestampType
 
 from ..operators import routing
-from ..sources import schemas
 from .jobs import run_once
 
-RELEASED = "poll_id string, row string"
-#: Timestamps as JSON text, to the microsecond.
-JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
-
-
-def poll_handler():
-    import pandas as pd
-    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-    class Polls(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.handle = handle
-            self.rows = handle.getListState("rows", "row string")
-            self.seen = handle.getValueState("seen", "n long, released boolean")
-
-        def release(self, key) -> pd.DataFrame:
-            rows = [r[0] for r in self.rows.get()]
-            self.rows.clear()
-            return pd.DataFrame({"poll_id": [key[0]] * len(rows), "row": rows})
-
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            n, released = self.seen.get() if self.seen.exists() else (None, False)
-            for part in rows:
-                if n is None:
-                    n = 0
-                    self.handle.registerTimer(int(part["us"].max()) // 1000 + 1)
-                if not released:
-                    self.rows.appendList([(x,) for x in part["row"]])
-                    n += len(part)
-                    expected = part["n_expected"].max()
-                    if not pd.isna(expected) and n >= expected:
-                        released = True
-                        yield self.release(key)
-            self.seen.update((n, released))
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            if not self.seen.get()[1]:
-                yield self.release(key)
-            # Rows that come now are behind the watermark.
-            self.seen.clear()
-
-        def close(self) -> None:
-            pass
-
-    return Polls()
-
-
-def whole_polls(responses: DataFrame, *, lateness: str = "10 minutes") -> DataFrame:
-    """A stream of responses (schemas.CATALOG_RESPONSES, and n_expected where the
-    number of a poll's attempts is known) as poll_id and row (JSON text): a poll's rows
-    leave in one batch. Rows after the release, and rows
-    without a time, are dropped. Needs the RocksDB store."""
-    expected = F.col("n_expected").cast("long") if "n_expected" in responses.columns else F.lit(None).cast("long")
-    own = [c for c in responses.columns if c != "n_expected"]
-    rows = responses.where("poll_ts is not null").select("poll_id", "poll_ts", F.unix_micros("poll_ts").alias("us"), expected.alias("n_expected"), F.to_json(F.struct(*own), JSON_TIMES).alias("row"))
-    return rows.withWatermark("poll_ts", lateness).groupBy("poll_id").transformWithStateInPandas(poll_handler(), RELEASED, "append", "eventTime")
-
-
-def responses_of(released: DataFrame) -> DataFrame:
-    return released.select(F.from_json("row", schemas.CATALOG_RESPONSES, JSON_TIMES).alias("r")).select("r.*")
+#: Polls that have left and that the watermark has not passed.
+LEFT = "poll_id string, at timestamp"
+#: The latest time so far, less the lateness, in microseconds.
+MARK = "mark long"
 
 
 def record_routes(responses: DataFrame, root: str, checkpoint: str, *, lateness: str = "10 minutes", route: Callable[[DataFrame], DataFrame] = routing.route) -> None:
-    """Route whole polls of a stream with ``route`` (responses to decisions). The rows
-    of a batch are written once, and routed from there: the state is asked only once.
-    Rows and decisions go to root/polls and root/decisions, a folder per batch, which a
-    batch that runs again replaces."""
+    """Route whole polls of a stream of responses (schemas.CATALOG_RESPONSES, and
+    n_expected where the number of a poll's attempts is known) with ``route`` (responses
+    to decisions): a poll's rows leave in one batch. Rows after that, behind the
+    watermark, and without a time, are dropped.
+
+    The watermark is the latest time less the lateness: rows are behind it by what came
+    before their batch, polls leave by what came with it. Everything goes to a folder per
+    batch, which a batch that runs again replaces: the open rows to root/polls, by whether
+    their poll is complete; decisions to root/decisions; to root/left and root/marks what
+    the next batch must know."""
+    expected = F.col("n_expected") if "n_expected" in responses.columns else F.lit(None)
+    rows = responses.where("poll_ts is not null").withColumn("n_expected", expected.cast("long"))
+    own = [c for c in responses.columns if c != "n_expected"]
+    poll = Window.partitionBy("poll_id")
+    at = F.unix_micros("at")
+    held_schema = StructType([*rows.schema, StructField("at", TimestampType()), StructField("complete", BooleanType())])
 
     def decide(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/polls/batch={n}")
-        rows = batch.sparkSession.read.schema(RELEASED).parquet(f"{root}/polls/batch={n}")
-        if not rows.isEmpty():
-            route(responses_of(rows)).write.mode("overwrite").parquet(f"{root}/decisions/batch={n}")
-
-    run_once(whole_polls(responses, lateness=lateness).writeStream.foreachBatch(decide), checkpoint)
+        spark = batch.sparkSession
+        before = spark.read.schema(MARK).parquet(f"{root}/marks/batch={n - 1}").first()[0] if n else None
+        fresh = batch if before is None else batch.where(F.unix_micros("poll_ts") >= before)
+        if n:
+            left = spark.read.schema(LEFT).parquet(f"{root}/left/batch={n - 1}")
+            fresh = fresh.join(left, fresh["poll_id"].eqNullSafe(left["poll_id"]), "left_anti")
+            waiting = spark.read.schema(held_schema).parquet(f"{root}/polls/batch={n - 1}").where("not complete")
+            waiting = waiting if before is None else waiting.where(at >= before)
+            fresh = fresh.unionByName(waiting.select(fresh.columns))
+        complete = F.coalesce(F.count(F.lit(1)).over(poll) >= F.max("n_expected").over(poll), F.lit(False))
+        kept = fresh.select("*", F.max("poll_ts").over(poll).alias("at"), complete.alias("complete"))
+        kept.write.mode("overwrite").partitionBy("complete").parquet(f"{root}/polls/batch={n}")
+        held = spark.read.schema(held_schema).parquet(f"{root}/polls/batch={n}")
+        latest = held.agg(F.unix_micros(F.max("at") - F.expr(f"interval {lateness}"))).first()[0]
+        mark = max((x for x in (before, latest) if x is not None), default=None)
+        passed = F.lit(False) if mark is None else at < mark
+        whole = held.where(F.col("complete") | passed)
+        if not whole.isEmpty():
+            route(whole.select(own)).write.mode("overwrite").parquet(f"{root}/decisions/batch={n}")
+        gone = whole.select("poll_id", "at")
+        if n:
+            gone = gone.unionByName(left)
+        gone.where(~passed).distinct().write.mode("overwrite").parquet(f"{root}/left/batch={n}")
+        spark.createDataFrame([(mark,)], MARK).coalesce(1).write.mode("overwrite").parquet(f"{root}/marks/batch={n}")
+
+    run_once(rows.writeStream.foreachBatch(decide), checkpoint)
