@@ -263,6 +263,18 @@ def sketch(s) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+#: Columns of a set's brief sketch: 64 cells each, of one size for all sets.
+BRIEF = ["brief0", "brief1", "brief2", "brief3"]
+
+
+def brief(s):
+    """As sketch(), of 256 cells, as four numbers."""
+    import numpy as np
+
+    odd = np.bincount((s >> np.uint64(7) & np.uint64(255)).astype(np.intp), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def flips(x: bytes, y: bytes) -> int:
     """Cells whose parity differs, the finer sketch folded to the coarser."""
     import numpy as np
@@ -319,11 +331,17 @@ def apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(split, "sig")
 
 
-def other_heads(members: DataFrame, turn: int) -> DataFrame:
+def other_heads(members: DataFrame, sets: DataFrame, turn: int, num: int, den: int) -> DataFrame:
     """Pairs (a, b): one member of every signature, chosen by a hash that differs from
-    signature to signature and turn to turn, with those of other components."""
-    heads = members.groupBy("sig").agg(F.min_by(F.struct("cid", "label"), F.struct(F.xxhash64("sig", "cid", F.lit(turn)), "cid")).alias("h"))
-    pairs = members.join(heads, "sig").where(F.col("label") != F.col("h.label"))
+    signature to signature and turn to turn, with those of other components. Members
+    whose size or brief sketch rules out their head are not paired with it."""
+    known = ["cid", "label", "n_shingles", *BRIEF]
+    members = members.join(sets.select("cid", "n_shingles", *BRIEF), "cid")
+    heads = members.groupBy("sig").agg(F.min_by(F.struct(*known), F.struct(F.xxhash64("sig", "cid", F.lit(turn)), "cid")).alias("h"))
+    m, n = F.col("n_shingles"), F.col("h.n_shingles")
+    flipped = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"h.{c}"))) for c in BRIEF), F.lit(0))
+    near = (F.least(m, n) * den >= F.greatest(m, n) * num) & (flipped * (den + num) <= (m + n) * (den - num))
+    pairs = members.join(heads, "sig").where((F.col("label") != F.col("h.label")) & near)
     return pairs.select(F.least("cid", "h.cid").alias("a"), F.greatest("cid", "h.cid").alias("b")).distinct()
 
 
@@ -402,12 +420,14 @@ def join_components(docs: DataFrame, *, shingle_words: int = 5, num: int = 75, d
             sets = block_sets(as_bytes(b.column("text")), shingle_words)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block] * len(sets), pa.int64()), pa.array(np.arange(len(sets))), b.column("cid"), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary())],
-                ["block", "pos", "cid", "n_shingles", "hashes", "sketch"],
+                 pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary()),
+                 *(pa.array(x) for x in np.array([brief(s) for s in sets]).reshape(-1, len(BRIEF)).T.copy())],
+                ["block", "pos", "cid", "n_shingles", "hashes", "sketch", *BRIEF],
             )
 
+    briefs = ", ".join(f"{c} long" for c in BRIEF)
     first = materialise(
-        texts.select("cid", "text").mapInArrow(lean(to_sets), "block long, pos long, cid long, n_shingles long, hashes binary, sketch binary"), "jaccard-alive"
+        texts.select("cid", "text").mapInArrow(lean(to_sets), f"block long, pos long, cid long, n_shingles long, hashes binary, sketch binary, {briefs}"), "jaccard-alive"
     )
     again = unshared_in_sets(first).groupBy("cid").agg(F.max("unshared").alias("unshared"))
     left = (
@@ -416,7 +436,7 @@ def join_components(docs: DataFrame, *, shingle_words: int = 5, num: int = 75, d
         .where(F.col("unshared") * den <= F.col("n") * (den - num))
         .select("at.block", "at.pos")
     )
-    sets = materialise(first.join(left, ["block", "pos"]).select("cid", "n_shingles", "hashes", "sketch"), "jaccard-left")
+    sets = materialise(first.join(left, ["block", "pos"]).select("cid", "n_shingles", "hashes", "sketch", *BRIEF), "jaccard-left")
     largest = int(sets.agg(F.max("n_shingles")).first()[0] or 0)
     lows = bands(num, den, largest * den // num + 1)
 
@@ -450,7 +470,7 @@ def join_components(docs: DataFrame, *, shingle_words: int = 5, num: int = 75, d
     # them that is not the least: heads chosen anew for each signature find it at a cost
     # of one comparison a member.
     for turn in range(HEAD_ROUNDS):
-        tried = materialise(other_heads(apart(shared, labels), turn).join(stars, ["a", "b"], "left_anti"), "jaccard-heads")
+        tried = materialise(other_heads(apart(shared, labels), sets, turn, num, den).join(stars, ["a", "b"], "left_anti"), "jaccard-heads")
         closer = materialise(verified(tried, sets, num, den), "jaccard-closer")
         found = closer.limit(1).count()
         discard(tried)
