@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import expr as E
-from tidemark.operators import health, quotes, routing, segments
+from tidemark.operators import health, quotes, results, routing, segments
 from tidemark.plans import adapters, queries
 from tidemark.sources import schemas
 from tidemark.sources.workdir import stored
@@ -113,3 +113,9 @@ def test_catalogue_reads_segments_once(spark):
 def test_segment_catalog_reads_ticks_once(spark):
     files = queries.segment_catalog(spark, SF).inputFiles()
     assert files and all("segmented" in f for f in files)
+
+
+@given
+def test_route_results_work_out_responses_once(spark):
+    files = results.route_results(adapters.catalog_responses(spark, SF)).inputFiles()
+    assert files and not any("events.parquet" in f for f in files)

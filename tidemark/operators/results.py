@@ -68,6 +68,8 @@ def route_results(responses: DataFrame, profiles: tuple[AssetProfile, ...] = PRO
     where none was found), routing_reason, detection_source, and diagnostics with the
     slugs tried, the requests, and the filter summary of the slug phase, of the broad
     phase, and of the candidates decided on."""
+    # Four parts start from the responses: what they are made of is worked out once.
+    responses = stored(responses, "responses")
     found = stored(routing.normalized(responses), "candidates")
     tried = stored(attempt_summaries(attempts(responses), found), "attempts")
     in_phase = stored(routing.judged(routing.deduped(found, ["poll_id", "phase"])), "judged")
