@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, binaries, blocks_of, discard, flat, lean, materialise, text_bytes
-from .components import least_labels
+from .components import least_labels, with_edges
 
 _UPPER = bytes(range(0x41, 0x5B))
 _TO_LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
@@ -477,13 +477,13 @@ def join_components(docs: DataFrame, *, shingle_words: int = 5, num: int = 75, d
         if not found:
             discard(closer)
             break
-        links = materialise(links.union(closer), "jaccard-links")
-        labels = least_labels(links)
+        labels = with_edges(labels, closer)
+        discard(closer)
     open_ones = materialise(apart(shared, labels).select("cid", "label").distinct(), "jaccard-open")
     rest = across_components(sets, open_ones, num, den).join(stars, ["a", "b"], "left_anti")
     more = materialise(verified(rest, sets, num, den), "jaccard-more-links")
     if more.limit(1).count():
-        labels = least_labels(links.union(more))
+        labels = with_edges(labels, more)
     whole = classes.join(labels, F.col("cid") == F.col("id"), "left").withColumn("label", F.coalesce("label", "cid"))
     discard(first, sets, shared, links, open_ones, more)
     # Only classes with a link take part in the sums over components.
